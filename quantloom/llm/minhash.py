@@ -84,7 +84,7 @@ def _sketches(batches: Iterator[pa.RecordBatch], words: int, bands: int, rows: i
     flip = rng.integers(0, 1 << 32, bands * rows, dtype=np.uint32)[:, None]
     times = (rng.integers(0, 1 << 32, bands * rows, dtype=np.uint32) | np.uint32(1))[:, None]
     coef = textkit._stream(71, rows) | np.uint64(1)
-    for batch in batches:
+    for batch in textkit.parts(batches, 1):
         h, bounds = textkit.word_hashes(*textkit.utf8(batch.column(1)), fold=True)
         sizes, lows, highs, sigs, keys = [], [], [], [], []
         for s in textkit.shingle_sets(h, bounds, words):
@@ -110,7 +110,7 @@ def _sketches(batches: Iterator[pa.RecordBatch], words: int, bands: int, rows: i
 
 
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in textkit.parts(batches, 1):
         h, bounds = textkit.word_hashes(*textkit.utf8(batch.column(1)), fold=True)
         yield pa.record_batch([batch.column(0), pa.array([s.tobytes() for s in textkit.shingle_sets(h, bounds, words)], pa.binary())], names=["id", "shingles"])
 

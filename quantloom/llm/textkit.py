@@ -64,6 +64,17 @@ def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offs[0] : offs[-1]], offs - offs[0]
 
 
+def parts(batches: Iterator[pa.RecordBatch], text: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut into runs of rows with at most `size` bytes of text, or one longer row."""
+    for batch in batches:
+        _, offs = utf8(batch.column(text))
+        i = 0
+        while i < batch.num_rows:
+            j = max(i + 1, int(np.searchsorted(offs, offs[i] + size, side="right")) - 1)
+            yield batch.slice(i, j - i)
+            i = j
+
+
 def texts(col: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null is empty."""
     data, offs = utf8(col)
