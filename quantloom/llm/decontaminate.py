@@ -20,8 +20,9 @@ NUMBER, NAME, UNIT = "0number", "0name", "0unit"
 # Units of measure, currency and time that follow a number.
 UNITS = "km m cm mm mi ft in kg g mg lb oz l ml s ms min h hr hrs hour hours minute minutes second seconds day days week weeks month months year years percent usd eur gbp dollar dollars euro euros pound pounds cent cents mile miles meter meters metre metres kilometer kilometers kilometre kilometres gram grams kilogram kilograms liter liters litre litres foot feet inch inches mph kmh"
 _NUMBERS = r"\d+(?:[.,]\d+)*"
-_NAMES = r"(?<=[\p{Ll}\p{N},;:'’-] )\p{Lu}\p{Ll}[\p{L}]*"
-_UNITS = rf"(?<={NUMBER}\s{{1,3}})(?:{'|'.join(UNITS.split())})\b|(?<={NUMBER}\s{{0,3}})[%$€£°]|[$€£](?=\s{{0,3}}{NUMBER})"
+_NAMES = r"\p{Lu}(?<=[\p{Ll}\p{N},;:'’-] .)\p{Ll}\p{L}*"
+_UNITS = rf"{NUMBER}\s{{1,3}}(?:{'|'.join(sorted(UNITS.split(), key=len, reverse=True))})\b|{NUMBER}\s{{0,3}}[%$€£°]"
+_CURRENCY = rf"[$€£]\s{{0,3}}{NUMBER}"
 _GAPS = r"[^\p{L}\p{M}\p{N}]+"
 
 
@@ -29,7 +30,8 @@ def canonical(text: Column) -> Column:
     """The text with typed placeholders, lower-cased."""
     t = F.regexp_replace(text, _NUMBERS, f" {NUMBER} ")
     t = F.regexp_replace(t, _NAMES, f" {NAME} ")
-    return F.regexp_replace(F.lower(t), _UNITS, f" {UNIT} ")
+    t = F.regexp_replace(F.lower(t), _UNITS, f" {NUMBER} {UNIT} ")
+    return F.regexp_replace(t, _CURRENCY, f" {UNIT} {NUMBER} ")
 
 
 def tokens(text: Column) -> Column:
@@ -42,12 +44,13 @@ def raw_tokens(text: Column) -> Column:
 
 
 def window_hashes(words: Column, size: int = WINDOW) -> Column:
-    """Hash of each run of `size` tokens; none if there are fewer. The tokens are bound to a lambda variable, so they are made once a text."""
+    """Hash of each run of `size` tokens; none if there are fewer. The tokens are bound to a lambda variable, so they are made once a text;
+    tokens are taken one by one, as slice() would copy the whole text for each window."""
 
     def hashes(w: Column) -> Column:
         last = F.size(w) - size
         at = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.xxhash64(F.slice(w, i + 1, size)))
+        return F.transform(at, lambda i: F.xxhash64(*(F.get(w, i + j) for j in range(size))))
 
     return F.element_at(F.transform(F.array(words), hashes), 1)
 
