@@ -4,7 +4,7 @@ All windows of a function share one partitioning and order, so Spark sorts once.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions import rolling as R
@@ -57,7 +57,7 @@ def liquidity(bars: DataFrame) -> DataFrame:
     return df.select(
         "id", "date", R.ratio(F.col("volume"), R.mean("volume", 20)).alias("volume_ratio"), (R.ratio(R.mean("volume", 5), R.mean("volume", 20)) - 1).alias("volume_trend"),
         R.ratio(R.std("turnover", 20), R.mean("turnover", 20)).alias("turnover_cv"), F.log1p(R.mean("turnover", 20)).alias("log_turnover"), (R.mean(impact, 20) * 1e6).alias("amihud"),
-        F.sum("signed").over(R.history().rowsBetween(-(2**31), 0)).alias("obv"),
+        F.sum("signed").over(R.history().rowsBetween(Window.unboundedPreceding, 0)).alias("obv"),
         F.when(F.count("rise").over(R.last_n(14)) >= 14, 100 * R.ratio(up, up + down)).alias("mfi"),
     )
 
