@@ -21,7 +21,7 @@ from . import textkit
 from .storage import staged
 
 #: entries of a worker's cache of tokenised words; others are tokenised each time
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 _TOKENIZERS: dict[str, object] = {}
 
 
@@ -39,12 +39,16 @@ class _Ids(dict):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, word: bytes) -> bytes:
+        if word[-1:] in b".,":  # after a letter, a final point or comma is a token of its own
+            if len(word) > 1 and 97 <= word[-2] <= 122:
+                return self[word[:-1]] + self[word[-1:]]
         out = self.encode(word.decode("utf-8", "replace"))
         if len(self) < CACHE_WORDS:
             self[word] = out
         return out
 
     def text(self, text: bytes) -> bytes:
+        text = text if b"<|" in text else text.lower()  # as the vocabulary does; special tokens keep their case
         return b"".join(map(self.__getitem__, text.split()))
 
 
