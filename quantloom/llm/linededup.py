@@ -109,13 +109,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = found.groupBy("high", "low").agg(F.count("*").alias("n"), F.min(F.struct("id", "key", "place")).alias("first"))
     first = staged(first.where("n > 1").select("high", "low", "first"), "repeated")
     holds = first.groupBy(F.col("first.id").alias("fid"), F.col("first.key").alias("fkey")).agg(F.collect_list(F.struct(F.col("first.place").alias("place"), "high", "low")).alias("wanted"))
-    holds = staged(holds, "holders")
+    holds = staged(holds, "holders").hint("merge")  # one plan at every size
     texts = src.join(holds, src["id"].eqNullSafe(holds["fid"]) & (src["key"] == holds["fkey"])).select("text", "wanted")
     texts = staged(texts.mapInArrow(_texts_at, "high long, low long, chunk binary").dropDuplicates(["high", "low"]), "first-texts")
     again = found.join(first, ["high", "low"]).where(~F.struct("id", "key", "place").eqNullSafe(F.col("first"))).select("id", "key", "place", "high", "low")
     again = staged(again, "again").join(texts, ["high", "low"])
     drop = again.groupBy(F.col("id").alias("_ql_id"), F.col("key").alias("_ql_key")).agg(F.collect_list(F.struct("place", "chunk")).alias("_ql_drop"))
-    drop = staged(drop, "cuts")
+    drop = staged(drop, "cuts").hint("merge")
     all_rows = docs.withColumnRenamed(text_col, "_ql_text")
     wide = all_rows.join(drop, F.col(id_col).cast("long").eqNullSafe(F.col("_ql_id")) & (F.xxhash64("_ql_text") == F.col("_ql_key")), "left").drop("_ql_id", "_ql_key")
     fields = [f for f in wide.schema.fields if f.name not in ("_ql_text", "_ql_drop")]
