@@ -136,24 +136,26 @@ def _walk(node: Node) -> Iterator[Node]:
 
 
 def blocks(node: Node, removed: frozenset[str]) -> list[str]:
-    """Texts of the blocks in page order; white space is one space, empty blocks are left out."""
+    """Texts of the blocks in page order; white space is one space, empty blocks are left out.
+
+    A removed node loses the text that it shows itself; nodes below it are judged by their own paths, so a branch goes when all of it is of low importance."""
     out: list[list[str]] = [[]]
 
     def visit(x: Node) -> None:
+        silent = x.path in removed
         for y in x.items:
             if isinstance(y, str):
-                out[-1].append(y)
-            elif y.out or y.path in removed:
-                if y.tag in BLOCK:
-                    out.append([])
-            elif y.tag in BLOCK:
-                out.append([])
-                visit(y)
-                out.append([])
+                out[-1].append(" " if silent else y)
             elif y.tag == "br":
                 out[-1].append(" ")
             else:
-                visit(y)
+                block = y.tag in BLOCK
+                if block:
+                    out.append([])
+                if not y.out:
+                    visit(y)
+                if block:
+                    out.append([])
 
     visit(node)
     return [t for t in (" ".join("".join(x).split()) for x in out) if t]
@@ -242,7 +244,7 @@ def extract(pages: DataFrame, threshold: float = 0.1, least_pages: int = 20) ->
     one small row; Spark broadcasts these rows only below its own size
     threshold and else joins by host, where AQE splits a hot host."""
     src = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    low = style_tree(src).where((F.col("importance") < threshold) & (F.col("shown") >= least_pages))
+    low = style_tree(src).where(F.col("content").isNotNull() & (F.col("importance") < threshold) & (F.col("shown") >= least_pages))
     low = staged(low.groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("low")), "low-branches")
     keyed = src.withColumn("host", host_of("url"))
     return keyed.join(low, "host", "left").select("page_id", "url", "html", "low").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
