@@ -92,12 +92,11 @@ def beta(bars: DataFrame, bench: DataFrame, n: int = 60) -> DataFrame:
 
 
 def smoothed(bars: DataFrame) -> DataFrame:
-    """Wilder RSI and ATR of 14 days, MACD histogram 12/26/9, EMA 12 and KDJ of 9 days."""
+    """Wilder RSI and ATR of 14 days, MACD histogram 12/26/9 and EMA 12."""
     prev = lagged("close")
-    lo, hi = R.full(F.min, "low", 9), R.full(F.max, "high", 9)
     df = bars.select(
         "id", "date", "close", F.greatest(F.col("close") - prev, F.lit(0.0)).alias("gain"), F.greatest(prev - F.col("close"), F.lit(0.0)).alias("loss"),
-        F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - prev), F.abs(F.col("low") - prev)).alias("range"), (100 * R.ratio(F.col("close") - lo, hi - lo)).alias("rsv"),
+        F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - prev), F.abs(F.col("low") - prev)).alias("range"),
     )
     df = df.withColumns({"gain": F.when(prev.isNotNull(), F.col("gain")), "loss": F.when(prev.isNotNull(), F.col("loss"))})
     df = R.exponential(df, {"g": ("gain", 1 / 14, 14), "l": ("loss", 1 / 14, 14), "atr": ("range", 1 / 14, 14), "e12": ("close", 2 / 13, 1), "e26": ("close", 2 / 27, 1)})
