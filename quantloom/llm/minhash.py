@@ -193,7 +193,7 @@ def near_duplicates(
     alive = staged(alive.mapInArrow(lambda it: _signature_test(it, percent, miss), "a long, b long"), "survivors")
     wide = filled.where("size > 2").select("rep")
     wanted = alive.select(F.col("a").alias("id")).union(alive.select("b")).union(wide).distinct()
-    texts = src.join(staged(wanted, "wanted"), "id", "left_semi").select("id", "text")
+    texts = src.join(staged(wanted, "wanted").hint("merge"), "id", "left_semi").select("id", "text")
     sets = staged(texts.mapInArrow(lambda it: _sets(it, words), "id long, shingles binary").dropDuplicates(["id"]), "sets")
     set_a, set_b = (sets.select(F.col("id").alias(c), F.col("shingles").alias(f"t{c}")) for c in "ab")
     tested = alive.join(set_a, "a").join(set_b, "b").select("a", "b", "ta", "tb")
