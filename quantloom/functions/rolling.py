@@ -50,6 +50,12 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a, b)
 
 
+def correlation(x: str, y: str) -> Column:
+    """Correlation over the rows that have both, as an aggregate; null where one of them does not vary, which the built-in answers with an error in ANSI mode."""
+    a, b = F.when(F.col(y).isNotNull(), F.col(x)), F.when(F.col(x).isNotNull(), F.col(y))
+    return ratio(F.covar_pop(x, y), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def clip(x: Column, lo: float, hi: float) -> Column:
     return F.when(x.isNotNull(), F.greatest(F.lit(lo), F.least(F.lit(hi), x)))
 

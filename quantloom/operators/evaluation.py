@@ -12,8 +12,8 @@ def rank_ic(df: DataFrame, signal: str, label: str, least: int = 5) -> DataFrame
     """Per date: rank correlation of signal and label over rows that have both, and how many there are."""
     both = df.where(F.col(signal).isNotNull() & F.col(label).isNotNull())
     both = both.withColumn("_a", R.average_rank(signal, ["date"])).withColumn("_b", R.average_rank(label, ["date"]))
-    out = both.groupBy("date").agg(F.corr("_a", "_b").alias("ic"), F.count("*").alias("n")).where(F.col("n") >= least)
-    return out.select("date", F.nanvl("ic", F.lit(None)).alias("ic"), "n")
+    out = both.groupBy("date").agg(R.correlation("_a", "_b").alias("ic"), F.count("*").alias("n")).where(F.col("n") >= least)
+    return out.select("date", "ic", "n")
 
 
 def spread(df: DataFrame, signal: str, label: str, k: int) -> DataFrame:
@@ -79,7 +79,7 @@ def pair_correlations(df: DataFrame, key: str, x: str, least: int = 20) -> DataF
     """Covariance and correlation of every pair of a short list of series (sectors, factors), over the dates both have. The pairs grow with the list's square, so the list must be short."""
     a, b = df.select("date", F.col(key).alias("a"), F.col(x).alias("x")), df.select("date", F.col(key).alias("b"), F.col(x).alias("y"))
     both = a.join(b, "date").where((F.col("a") <= F.col("b")) & F.col("x").isNotNull() & F.col("y").isNotNull())
-    return both.groupBy("a", "b").agg(F.count("*").alias("n"), F.covar_samp("x", "y").alias("cov"), F.corr("x", "y").alias("corr")).where(F.col("n") >= least)
+    return both.groupBy("a", "b").agg(F.count("*").alias("n"), F.covar_samp("x", "y").alias("cov"), R.correlation("x", "y").alias("corr")).where(F.col("n") >= least)
 
 
 def adjusted_p(df: DataFrame, p: str) -> DataFrame:

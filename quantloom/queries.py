@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions import rolling as R
-from quantloom.operators import cross_section, evaluation, features, labels, panel
+from quantloom.operators import cross_section, diagnostics, evaluation, features, labels, panel, portfolio
 from quantloom.plans import research
 from quantloom.sources import market
 from quantloom.streaming import ticks as tick_ops
@@ -394,3 +394,131 @@ def point_in_time_orders(spark, d):
     days = market.calendar(spark, d).orderBy(F.desc("date")).limit(5).select("date")
     probes = market.table(spark, d, "customer").select(F.col("c_custkey").alias("account")).crossJoin(F.broadcast(days))  # five rows
     return R.asof(probes, facts, ["account"], "date", "fact_date", ["last_amount"])
+
+
+@query(f"""{BARS} SELECT id, date, {_rounded(f'avg(close) OVER {w(5)} AS mavg', f'coalesce(sum(close * volume) OVER {w(5)} / nullif(sum(volume) OVER {w(5)}, 0), 0) AS vwap')} FROM bars""")
+def trailing_averages(spark, d):
+    n = R.last_n(5)
+    vwap = F.coalesce(R.ratio(F.sum(F.col("close") * F.col("volume")).over(n), F.sum("volume").over(n)), F.lit(0.0))
+    return market.bars(spark, d).select("id", "date", F.avg("close").over(n).alias("mavg"), vwap.alias("vwap"))
+
+
+_TURN = """n AS (SELECT date, row_number() OVER (ORDER BY date) AS n FROM (SELECT DISTINCT date FROM wts)), a AS (SELECT n, id, weight FROM wts JOIN n USING (date)),
+j AS (SELECT coalesce(x.n, y.n + 1) AS n, coalesce(x.weight, 0) AS a, coalesce(y.weight, 0) AS b FROM a x FULL JOIN a y ON x.n = y.n + 1 AND x.id = y.id),
+trn AS (SELECT date, sum(abs(a - b)) / 2 AS turnover, count_if(a > 0 AND b > 0)::DOUBLE / count_if(a > 0 OR b > 0) AS overlap FROM j JOIN n USING (n) GROUP BY date)"""
+
+
+@query(f"""{BARS}, {FWD}, {WEIGHTS}, {_PORT}, {_TURN}, g AS (SELECT avg(turnover) AS t, avg(ret) AS g, avg(ret - turnover * 0.002) AS n FROM port JOIN trn USING (date))
+SELECT {_rounded('t * 252 AS annual_turnover', 't AS mean_turnover', 't * 0.002 * 252 AS annual_drag', "CASE WHEN abs(g) <= 1e-12 THEN 0 WHEN g > 0 THEN 1 - n / g ELSE 'inf'::DOUBLE END AS erosion", 'n AS net_mean', 'CASE WHEN t > 1e-12 AND g > 0 THEN g / t * 10000 ELSE 0 END AS breakeven_bps')} FROM g""")
+def cost_layer(spark, d):
+    return portfolio.cost_summary(_portfolio(spark, d).join(evaluation.turnover(_top_weights(spark, d)), "date"), 0.002)
+
+
+@query(f"""{BARS}, {FWD}, {WEIGHTS}, {_PORT}, {_TURN}, e AS (SELECT date, ret, exp(sum(ln(1 + ret)) OVER (ORDER BY date)) AS equity FROM port), p AS (SELECT *, equity / greatest(1, max(equity) OVER (ORDER BY date)) - 1 AS drawdown FROM e)
+SELECT {_rounded('avg(ret) AS mean_return', 'min(drawdown) AS max_drawdown', 'stddev_pop(ret) * sqrt(252) AS volatility', 'avg(ret) / nullif(stddev_pop(ret), 0) AS ir', 'avg(turnover) AS turnover', 'avg(overlap) AS overlap')} FROM p JOIN trn USING (date)""")
+def portfolio_summary(spark, d):
+    curve = evaluation.equity(_portfolio(spark, d).withColumn("book", F.lit(1)), "ret", ["book"])
+    return portfolio.summary(curve.join(evaluation.turnover(_top_weights(spark, d)), "date"))
+
+
+@query(f"""{BARS}, {FWD}, {WEIGHTS}, {_PORT}, p AS (SELECT year(date)::INT AS year, month(date) AS m, ln(1 + ret) AS g FROM port)
+SELECT year, {', '.join(f'round(exp(sum(CASE WHEN m = {k} THEN g END)) - 1, 6) AS m{k:02d}' for k in range(1, 13))}, round(exp(sum(g)) - 1, 6) AS total FROM p GROUP BY year""")
+def monthly_returns(spark, d):
+    return portfolio.calendar_returns(_portfolio(spark, d), "ret")
+
+
+@query(f"""{BARS}, {FWD}, {WEIGHTS}, x AS (SELECT date, industry, sum(weight) AS w FROM wts JOIN inst USING (id) GROUP BY 1, 2)
+SELECT date, count(*) AS n, {_rounded('avg(w) AS mean', 'stddev_samp(w) AS std', 'min(w) AS lo', 'quantile_cont(w, 0.25) AS q25', 'quantile_cont(w, 0.5) AS q50', 'quantile_cont(w, 0.75) AS q75', 'max(w) AS hi')} FROM x GROUP BY date""")
+def weight_distribution(spark, d):
+    x = _top_weights(spark, d).join(market.instruments(spark, d), "id").groupBy("date", "industry").agg(F.sum("weight").alias("w"))
+    q = F.percentile("w", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    g = x.groupBy("date").agg(F.count("*").alias("n"), F.avg("w").alias("mean"), F.stddev_samp("w").alias("std"), F.min("w").alias("lo"), F.max("w").alias("hi"), q.alias("q"))
+    return g.select("date", "n", "mean", "std", "lo", "hi", *(F.col("q")[i].alias(f"q{p}") for i, p in enumerate((25, 50, 75))))
+
+
+@query(f"""{BARS}, p AS (SELECT date, close / first_value(close) OVER (PARTITION BY id ORDER BY date) AS rel, volume FROM bars) SELECT date, {_rounded('avg(rel) * 100 AS close', 'sum(volume) AS volume')} FROM p GROUP BY date""")
+def equal_weight_index(spark, d):
+    rel = F.col("close") / F.first("close", ignorenulls=True).over(R.history().rowsBetween(Window.unboundedPreceding, 0))
+    return market.bars(spark, d).select("date", rel.alias("rel"), "volume").groupBy("date").agg((F.avg("rel") * 100).alias("close"), F.sum("volume").alias("volume"))
+
+
+@query(f"""{BARS}, {FWD}, s AS (SELECT date, min(mom20) AS lo, max(mom20) AS hi, avg(mom20) AS mean, stddev_pop(mom20) AS std, quantile_cont(mom20, 0.05) AS p05, quantile_cont(mom20, 0.5) AS p50, quantile_cont(mom20, 0.95) AS p95 FROM sig WHERE mom20 IS NOT NULL GROUP BY date), t AS (SELECT *, p95 - p50 AS lead FROM s)
+SELECT {', '.join(f'round(quantile_cont({c}, 0.5), 6) AS {c}_p50' for c in ('lo', 'hi', 'mean', 'p05', 'p50', 'p95'))}, {', '.join(f'round(quantile_cont({c}, {p / 100}), 6) AS {c}_p{p:02d}' for c in ('std', 'lead') for p in (1, 5))}, count(*) AS n_days FROM t""")
+def score_sanity(spark, d):
+    return diagnostics.score_ranges(features.momentum(market.bars(spark, d)), "mom20")
+
+
+_LONG = "lng AS (SELECT date, id, 'mom20' AS feature, mom20 AS v, fwd5 FROM pan UNION ALL SELECT date, id, 'reversal', reversal, fwd5 FROM pan)"
+
+
+@query(f"""{BARS}, {FWD}, {_LONG}, ok AS (SELECT * FROM lng WHERE v IS NOT NULL AND fwd5 IS NOT NULL), rk AS (SELECT feature, date, rank() OVER (PARTITION BY feature, date ORDER BY v) + (count(*) OVER (PARTITION BY feature, date, v) - 1) / 2.0 AS a, rank() OVER (PARTITION BY feature, date ORDER BY fwd5) + (count(*) OVER (PARTITION BY feature, date, fwd5) - 1) / 2.0 AS b FROM ok),
+i AS (SELECT feature, corr(a, b) AS ic FROM rk GROUP BY feature, date HAVING count(*) >= 10) SELECT feature, count(*) AS dates, {_rounded('avg(ic) AS ic_mean', 'stddev_pop(ic) AS ic_std', 'coalesce(avg(ic) / nullif(stddev_pop(ic), 0), 0) AS ic_ir')} FROM i WHERE ic IS NOT NULL AND NOT isnan(ic) GROUP BY feature""")
+def factor_ic_table(spark, d):
+    return diagnostics.factor_ic(research.panel(market.bars(spark, d)), ["mom20", "reversal"], "fwd5")
+
+
+@query(f"""{BARS}, {FWD}, v AS (SELECT id, date, mom20, reversal, volume FROM sig), pr AS (SELECT date, 'mom20' AS a, 'reversal' AS b, mom20 AS x, reversal AS y FROM v UNION ALL SELECT date, 'mom20', 'volume', mom20, volume FROM v UNION ALL SELECT date, 'reversal', 'volume', reversal, volume FROM v),
+cnt AS (SELECT date FROM v GROUP BY date HAVING count(*) >= 20), ok AS (SELECT * FROM pr WHERE x IS NOT NULL AND y IS NOT NULL), rk AS (SELECT a, b, date, rank() OVER (PARTITION BY a, b, date ORDER BY x) + (count(*) OVER (PARTITION BY a, b, date, x) - 1) / 2.0 AS p, rank() OVER (PARTITION BY a, b, date ORDER BY y) + (count(*) OVER (PARTITION BY a, b, date, y) - 1) / 2.0 AS q FROM ok),
+c AS (SELECT a, b, date, corr(p, q) AS c FROM rk GROUP BY a, b, date), k AS (SELECT DISTINCT a, b FROM pr)
+SELECT a, b, count(*) AS dates, round(avg(CASE WHEN c IS NULL OR isnan(c) THEN 0 ELSE c END), 6) AS agreement FROM cnt CROSS JOIN k LEFT JOIN c USING (a, b, date) GROUP BY a, b""")
+def factor_agreement(spark, d):
+    b = market.bars(spark, d)
+    return diagnostics.rank_agreement(features.momentum(b).join(b.select("id", "date", "volume"), ["id", "date"]), ["mom20", "reversal", "volume"])
+
+
+@query(f"""{BARS}, {FWD}, l AS (SELECT 'mom20' AS feature, mom20 AS v FROM sig UNION ALL SELECT 'reversal', reversal FROM sig) SELECT feature, count(*) AS n, count_if(v IS NULL)::BIGINT AS missing, round(count_if(v IS NULL)::DOUBLE / count(*), 6) AS share FROM l GROUP BY feature""")
+def feature_missingness(spark, d):
+    return diagnostics.missingness(features.momentum(market.bars(spark, d)), ["mom20", "reversal"])
+
+
+@query(f"""{BARS}, {FWD} SELECT id, date, concat_ws(',', CASE WHEN mom20 IS NULL THEN 'mom20' END, CASE WHEN reversal IS NULL THEN 'reversal' END) AS reasons FROM sig WHERE mom20 IS NULL OR reversal IS NULL""")
+def incomplete_rows(spark, d):
+    df = features.momentum(market.bars(spark, d)).withColumn("reasons", diagnostics.missing_reasons(["mom20", "reversal"]))
+    return df.where(F.size("reasons") > 0).select("id", "date", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query(f"""{BARS}, {FWD}, m AS (SELECT date, median(mom20) AS a, median(volume) AS b FROM sig GROUP BY date) SELECT id, date, {_rounded('mom20', 'volume')} FROM sig JOIN m USING (date) WHERE (a IS NULL OR mom20 > a) AND (b IS NULL OR volume > b)""")
+def above_median(spark, d):
+    b = market.bars(spark, d)
+    df = features.momentum(b).select("id", "date", "mom20").join(b.select("id", "date", "volume"), ["id", "date"])
+    return diagnostics.above_median(df, ["mom20", "volume"])
+
+
+@query(f"""{BARS}, p AS (SELECT id, date, (volume - ({full('avg', 'volume', 60, 20)})) / nullif({full('stddev_pop', 'volume', 60, 20)}, 0) AS z FROM bars) SELECT id, date, round(greatest(-4, least(4, coalesce(z, 0))), 6) AS z FROM p""")
+def volume_zscore(spark, d):
+    z = R.ratio(F.col("volume") - R.mean("volume", 60, 20), R.std0("volume", 60, 20))
+    return market.bars(spark, d).select("id", "date", R.clip(F.coalesce(z, F.lit(0.0)), -4.0, 4.0).alias("z"))
+
+
+@query(f"""{BARS}, b AS (SELECT date, bench / lag(bench) OVER (ORDER BY date) - 1 AS bret FROM bench), x AS (SELECT id, date, bret - ret AS s FROM rets JOIN b USING (date) WHERE ret IS NOT NULL AND bret IS NOT NULL), y AS (SELECT id, {full('sum', 's', 20)} AS t FROM x) SELECT id, round(max(t), 6) AS shortfall FROM y GROUP BY id""")
+def worst_shortfall(spark, d):
+    b = market.benchmark(spark, d).withColumn("bret", R.ratio(F.col("bench"), F.lag("bench").over(Window.orderBy("date"))) - 1).select("date", "bret")
+    return portfolio.worst_shortfall(features.with_returns(market.bars(spark, d)).join(b, "date"), "ret", "bret")
+
+
+@query(f"""{BARS}, p AS (SELECT id, date, close, max(close) OVER h AS peak FROM bars WINDOW h AS (PARTITION BY id ORDER BY date)), q AS (SELECT id, date, close / peak - 1 AS dd, max(CASE WHEN close = peak THEN date END) OVER (PARTITION BY id ORDER BY date) AS peak_at FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dd, date) AS k FROM q)
+SELECT id, peak_at AS peak_date, date AS trough_date, round(dd, 6) AS drawdown FROM r WHERE k = 1""")
+def drawdown_intervals(spark, d):
+    return portfolio.drawdown_interval(market.bars(spark, d), "close")
+
+
+@query(f"""{BARS} SELECT id, date, {_rounded('lead(open, 1) OVER h AS execution_price', 'ret')}, lead(date, 1) OVER h AS execution_date, coalesce(abs(ret) > 0.2, false) AS jump FROM rets WINDOW h AS (PARTITION BY id ORDER BY date)""")
+def execution_prices(spark, d):
+    h = R.history()
+    df = features.with_returns(market.bars(spark, d))
+    return df.select("id", "date", F.lead("open").over(h).alias("execution_price"), "ret", F.lead("date").over(h).alias("execution_date"), F.coalesce(F.abs("ret") > 0.2, F.lit(False)).alias("jump"))
+
+
+@query(f"""{BARS}, s AS (SELECT a.id, date, a.close - b.close AS spread FROM bars a JOIN bars b USING (date) WHERE b.id = a.id + 1 AND a.id % 2 = 1)
+SELECT id, date, {_rounded('spread', f"({full('avg', 'spread', 60)}) - 2 * ({full('stddev_pop', 'spread', 60)}) AS low", f"({full('avg', 'spread', 60)}) + 2 * ({full('stddev_pop', 'spread', 60)}) AS high")} FROM s""")
+def pair_bands(spark, d):
+    b = market.bars(spark, d).select("id", "date", "close")
+    other = b.select((F.col("id") - 1).alias("id"), "date", F.col("close").alias("other"))
+    s = b.where("id % 2 = 1").join(other, ["id", "date"]).withColumn("spread", F.col("close") - F.col("other"))
+    mid, half = R.mean("spread", 60), 2 * R.std0("spread", 60)
+    return s.select("id", "date", "spread", (mid - half).alias("low"), (mid + half).alias("high"))
+
+
+@query("""t AS (SELECT user_id AS id, max(ts) AS ts, arg_max(value, (ts, event_id)) AS last, count(*) AS n FROM events GROUP BY 1) SELECT id, ts, round(last, 6) AS last, n FROM t""")
+def tick_snapshot(spark, d):
+    return market.ticks(spark, d).groupBy("id").agg(F.max("ts").alias("ts"), F.max_by("price", F.struct("ts", "event_id")).alias("last"), F.count("*").alias("n"))
