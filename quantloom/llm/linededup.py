@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit
-from .storage import staged
+from .storage import scratch, staged
 
 WINDOW = 2
 DIVISOR = 2
@@ -94,16 +94,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = False) -> DataFrame:
-    """`docs` with the repeated multi-line chunks cut out of `text_col`; with `counts` also n_chunks_removed and n_lines_removed.
-
-    The first occurrence, by id and then by place, stays. Null texts stay null,
-    empty ones empty; a text may become empty, its row stays. Rows with a null
-    id take part and come first. Rows that repeat both id and text count as one
-    document: they keep and lose the same chunks. All other columns are carried
-    along unchanged. An empty table gives an empty one."""
-    key = F.xxhash64(F.col(text_col))
-    src = docs.select(F.col(id_col).cast("long").alias("id"), key.alias("key"), F.col(text_col).alias("text"))
+def _repeats(src: DataFrame) -> DataFrame:
+    """The chunks to cut out of each document, with the bytes of their first occurrences."""
     found = staged(src.mapInArrow(_hashes, "id long, key long, place long, high long, low long"), "chunks")
     found = found.distinct()
     first = found.groupBy("high", "low").agg(F.count("*").alias("n"), F.min(F.struct("id", "key", "place")).alias("first"))
@@ -114,8 +106,21 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = staged(texts.mapInArrow(_texts_at, "high long, low long, chunk binary").dropDuplicates(["high", "low"]), "first-texts")
     again = found.join(first, ["high", "low"]).where(~F.struct("id", "key", "place").eqNullSafe(F.col("first"))).select("id", "key", "place", "high", "low")
     again = staged(again, "again").join(texts, ["high", "low"])
-    drop = again.groupBy(F.col("id").alias("_ql_id"), F.col("key").alias("_ql_key")).agg(F.collect_list(F.struct("place", "chunk")).alias("_ql_drop"))
-    drop = staged(drop, "cuts").hint("merge")
+    return again.groupBy(F.col("id").alias("_ql_id"), F.col("key").alias("_ql_key")).agg(F.collect_list(F.struct("place", "chunk")).alias("_ql_drop"))
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = False) -> DataFrame:
+    """`docs` with the repeated multi-line chunks cut out of `text_col`; with `counts` also n_chunks_removed and n_lines_removed.
+
+    The first occurrence, by id and then by place, stays. Null texts stay null,
+    empty ones empty; a text may become empty, its row stays. Rows with a null
+    id take part and come first. Rows that repeat both id and text count as one
+    document: they keep and lose the same chunks. All other columns are carried
+    along unchanged. An empty table gives an empty one."""
+    key = F.xxhash64(F.col(text_col))
+    src = docs.select(F.col(id_col).cast("long").alias("id"), key.alias("key"), F.col(text_col).alias("text"))
+    with scratch(docs.sparkSession):
+        drop = staged(_repeats(src), "cuts", keep=True).hint("merge")  # one plan at every size
     all_rows = docs.withColumnRenamed(text_col, "_ql_text")
     wide = all_rows.join(drop, F.col(id_col).cast("long").eqNullSafe(F.col("_ql_id")) & (F.xxhash64("_ql_text") == F.col("_ql_key")), "left").drop("_ql_id", "_ql_key")
     fields = [f for f in wide.schema.fields if f.name not in ("_ql_text", "_ql_drop")]

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import textkit
 from .graph import components
-from .storage import staged
+from .storage import scratch, staged
 
 #: similarities on which the posterior is integrated
 _GRID = np.linspace(0.0005, 0.9995, 1000)
@@ -109,10 +109,38 @@ def _sketches(batches: Iterator[pa.RecordBatch], words: int, bands: int, rows: i
         )
 
 
-def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Compressed texts: a third of the size of their sets, so these are what the joins move."""
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(level=3).compress
     for batch in textkit.parts(batches, 1):
-        h, bounds = textkit.word_hashes(*textkit.utf8(batch.column(1)), fold=True)
-        yield pa.record_batch([batch.column(0), pa.array([s.tobytes() for s in textkit.shingle_sets(h, bounds, words)], pa.binary())], names=["id", "shingles"])
+        yield pa.record_batch([batch.column(0), pa.array(map(pack, textkit.texts(batch.column(1))), pa.binary())], names=["id", "pack"])
+
+
+def _sets_of(packs: list[bytes], words: int, size: int = 4 << 20) -> dict[bytes, np.ndarray]:
+    """The shingle set of each distinct compressed text; at most `size` bytes of text, or one longer text, are hashed at once."""
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    out: dict[bytes, np.ndarray] = {}
+    run: list[bytes] = []
+    texts: list[bytes] = []
+
+    def hash_run() -> None:
+        h, bounds = textkit.word_hashes(*textkit.utf8(pa.array(texts, pa.binary())), fold=True)
+        out.update(zip(run, textkit.shingle_sets(h, bounds, words), strict=True))
+        run.clear(), texts.clear()
+
+    held = 0
+    for p in dict.fromkeys(packs):
+        run.append(p), texts.append(unpack(p))
+        held += len(texts[-1])
+        if held > size:
+            hash_run()
+            held = 0
+    hash_run()
+    return out
 
 
 def _signature_test(batches: Iterator[pa.RecordBatch], percent: int, miss: float) -> Iterator[pa.RecordBatch]:
@@ -122,20 +150,24 @@ def _signature_test(batches: Iterator[pa.RecordBatch], percent: int, miss: float
             yield batch.select(["a", "b"]).take(pa.array(plausible(a, b, percent / 100, miss)))
 
 
-def _set_test(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ok = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True)]
-        yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+def _set_test(batches: Iterator[pa.RecordBatch], percent: int, words: int) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in textkit.parts(textkit.parts([whole], 2, 1 << 20), 3, 1 << 20):  # column 2 is ta, 3 is tb
+            left, right = batch.column("ta").to_pylist(), batch.column("tb").to_pylist()
+            sets = _sets_of(left + right, words)
+            yield batch.select(["a", "b"]).filter(pa.array([similar(sets[x], sets[y], percent) for x, y in zip(left, right, strict=True)], pa.bool_()))
 
 
-def _block_links(t: pa.Table, percent: int, miss: float) -> pa.Table:
+def _block_links(t: pa.Table, percent: int, miss: float, words: int) -> pa.Table:
     """Verified links between the members of two blocks of one bucket that are not connected yet."""
     ids, group = t.column("rep").to_numpy(), t.column("component").to_numpy()
     block, blocks = t.column("block").to_numpy(), t.column("pair").to_numpy()
     sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
     keys = np.array(t.column("keys").to_pylist(), np.int64)
     band = t.column("band")[0].as_py()
-    sets = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
+    packs = t.column("pack").to_pylist()
+    known = _sets_of(packs, words)
+    sets = [known[x] for x in packs]
     parent = {int(g): int(g) for g in group}
 
     def root(x: int) -> int:
@@ -180,6 +212,15 @@ def near_duplicates(
     sketch = staged(
         src.mapInArrow(lambda it: _sketches(it, words, bands, rows), "id long, n long, f1 long, f2 long, sig binary, keys array<long>"), "sketches"
     )
+    with scratch(docs.sparkSession):
+        classes = staged(_classes(src, sketch, percent, words, miss, block), "final", keep=True)
+    out = sketch.select("id", "n", "f1", "f2").join(classes, ["n", "f1", "f2"], "left")
+    own = F.coalesce("component", "id")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("id") == own, F.lit(True)).alias("kept"))
+
+
+def _classes(src: DataFrame, sketch: DataFrame, percent: int, words: int, miss: float, block: int) -> DataFrame:
+    """The component of each class of equal sets."""
     some = sketch.where("n > 0 and id is not null")
     reps = some.groupBy("n", "f1", "f2").agg(F.min(F.struct("id", "sig", "keys")).alias("m"))
     reps = staged(reps.select("n", "f1", "f2", F.col("m.id").alias("rep"), F.col("m.sig").alias("sig"), F.col("m.keys").alias("keys")), "classes")
@@ -193,11 +234,11 @@ def near_duplicates(
     alive = staged(alive.mapInArrow(lambda it: _signature_test(it, percent, miss), "a long, b long"), "survivors")
     wide = filled.where("size > 2").select("rep")
     wanted = alive.select(F.col("a").alias("id")).union(alive.select("b")).union(wide).distinct()
-    texts = src.join(staged(wanted, "wanted").hint("merge"), "id", "left_semi").select("id", "text")
-    sets = staged(texts.mapInArrow(lambda it: _sets(it, words), "id long, shingles binary").dropDuplicates(["id"]), "sets")
-    set_a, set_b = (sets.select(F.col("id").alias(c), F.col("shingles").alias(f"t{c}")) for c in "ab")
-    tested = alive.join(set_a, "a").join(set_b, "b").select("a", "b", "ta", "tb")
-    links = staged(tested.mapInArrow(lambda it: _set_test(it, percent), "a long, b long"), "links")
+    packs = src.mapInArrow(_packs, "id long, pack binary").join(staged(wanted, "wanted").hint("merge"), "id", "left_semi")
+    packs = staged(packs.groupBy("id").agg(F.min("pack").alias("pack")), "packs")  # in the order that the join leaves, no further shuffle
+    pack_a, pack_b = (packs.select(F.col("id").alias(c), F.col("pack").alias(f"t{c}")) for c in "ab")
+    tested = alive.join(pack_a, "a").join(pack_b, "b").select("a", "b", "ta", "tb")
+    links = staged(tested.mapInArrow(lambda it: _set_test(it, percent, words), "a long, b long"), "links")
     first = components(links)
 
     # buckets that still hold several components
@@ -206,13 +247,10 @@ def near_duplicates(
     mixed = labelled.groupBy("band", "key").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"))
     mixed = staged(mixed.where("lo <> hi").select("band", "key", F.ceil(F.col("size") / block).cast("int").alias("blocks")), "mixed")
     rest = labelled.join(mixed, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    rest = rest.join(reps.select("rep", "sig", "keys"), "rep").join(sets.withColumnRenamed("id", "rep"), "rep")
+    rest = rest.join(reps.select("rep", "sig", "keys"), "rep").join(packs.withColumnRenamed("id", "rep"), "rep")
     both = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(F.col("block"), o) * 65536 + F.greatest(F.col("block"), o))
-    rest = rest.select("band", "key", "rep", "component", "block", "sig", "keys", "shingles", F.explode(both).alias("pair"))
-    more = rest.groupBy("band", "key", "pair").applyInArrow(lambda t: _block_links(t, percent, miss), "a long, b long")
+    rest = rest.select("band", "key", "rep", "component", "block", "sig", "keys", "pack", F.explode(both).alias("pair"))
+    more = rest.groupBy("band", "key", "pair").applyInArrow(lambda t: _block_links(t, percent, miss, words), "a long, b long")
     final = components(links.union(staged(more, "more")))
 
-    classes = staged(reps.join(final, reps["rep"] == final["node"], "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component")), "final")
-    out = sketch.select("id", "n", "f1", "f2").join(classes, ["n", "f1", "f2"], "left")
-    own = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("id") == own, F.lit(True)).alias("kept"))
+    return reps.join(final, reps["rep"] == final["node"], "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component"))

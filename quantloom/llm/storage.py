@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
+#: one list of paths for each `scratch` block that is open
+_OPEN: list[list[str]] = []
+#: of Spark 4.1: shuffle files go once the query that wrote them has ended
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,12 +32,32 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside the block are deleted at its end, but those staged with `keep`. Nothing lazy that reads them may leave the block."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def staged(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Write `df` as a Parquet table in the shared folder and read it again.
 
     The table survives lost executors, cuts the lineage, and lets AQE split a
     hot key in the joins that follow, as both join inputs are then plain
-    exchanges."""
-    path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    exchanges. What was shuffled for it is freed as soon as it is written."""
+    spark = df.sparkSession
+    path = fresh_path(spark, label)
+    if _OPEN and not keep:
+        _OPEN[-1].append(path)
+    was = spark.conf.get(_FREE_SHUFFLES, "false")
+    spark.conf.set(_FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_FREE_SHUFFLES, was)
+    return spark.read.schema(df.schema).parquet(path)
