@@ -4,6 +4,8 @@ All windows of a function share one partitioning and order, so Spark sorts once.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,3 +122,50 @@ def crossings(bars: DataFrame) -> DataFrame:
     breakout = F.when(F.col("close") > F.col("top"), 1).when(F.col("close") < F.col("bottom"), -1).otherwise(0)
     span = F.greatest(F.col("hh") - F.col("lc"), F.col("hc") - F.col("ll"))
     return df.select("id", "date", cross.alias("cross"), breakout.alias("breakout"), (F.col("open") + 0.5 * span).alias("buy_above"), (F.col("open") - 0.5 * span).alias("sell_below"))
+
+
+def _recent(df: DataFrame, x: str, n: int, key: str, order: str) -> DataFrame:
+    """The last n rows of each key with a finite x; `_now` is the latest x."""
+    back = Window.partitionBy(key).orderBy(F.col(order).desc())
+    good = df.where(F.col(x).isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    return good.withColumn("_k", F.row_number().over(back)).withColumn("_now", F.first(x).over(back)).where(F.col("_k") <= n)
+
+
+def latest_percentile(df: DataFrame, x: str, n: int = 252, key: str = "id", order: str = "date") -> DataFrame:
+    """Per key: latest x and the share of the last n values that are not larger; null below min(n, 20) values. Keys without a value are left out."""
+    share = F.avg(F.when(F.col(x) <= F.col("_now"), 1.0).otherwise(0.0))
+    return _recent(df, x, n, key, order).groupBy(key).agg(F.max("_now").alias("value"), F.when(F.count("*") >= min(n, 20), share).alias("percentile"))
+
+
+def hurst(df: DataFrame, x: str, n: int = 100, lags: int = 20, key: str = "id", order: str = "date") -> DataFrame:
+    """Per key: twice the slope of log deviation of lagged differences on log lag, within 0 and 1, over the last n values; null with fewer values or without variance.
+
+    All lags share one window, so the rows are sorted once."""
+    h = R.history(key, order)
+    span = range(2, lags + 1)
+    rows = _recent(df, x, n, key, order).select(key, order, *((F.col(x) - F.lag(x, k).over(h)).alias(f"_d{k}") for k in span))
+    moments = rows.groupBy(key).agg(F.count("*").alias("_n"), *(F.stddev_pop(f"_d{k}").alias(f"_s{k}") for k in span))
+    logs = [math.log(k) for k in span]
+    mid = sum(logs) / len(logs)
+    spread = sum((v - mid) ** 2 for v in logs)
+    slope = sum((F.when(F.col(f"_s{k}") > 0, F.ln(f"_s{k}")) * ((v - mid) / spread) for k, v in zip(span, logs, strict=True)), F.lit(0.0))
+    return moments.select(key, F.when(F.col("_n") >= n, R.clip(2 * slope, 0.0, 1.0)).alias("hurst"))
+
+
+def common(bars: DataFrame, full_liquidity: float = 5e8, fund_cost: float = 4e-4) -> DataFrame:
+    """Factors for shares and funds alike: momentum, volatility with short minimum histories, liquidity, risk and cost forecasts, illiquidity, skew.
+
+    `asset_type`, where the bars have it, gives funds ("etf") a flat cost."""
+    df = with_returns(bars).withColumn("_dv", F.greatest(F.coalesce(F.col("close") * F.coalesce("volume", F.lit(0.0)), F.lit(0.0)), F.lit(0.0)))
+    df = df.withColumn("_impact", R.ratio(F.coalesce(F.abs("ret"), F.lit(0.0)), F.col("_dv")))
+    n = F.count("ret").over(R.last_n(20))
+    skew = R.full(F.skewness, "ret", 20, 5) * F.sqrt(n * (n - 1)) / (n - 2)
+    liquid = F.coalesce(R.clip(R.mean("_dv", 20, 3) / full_liquidity, 0.0, 1.0), F.lit(0.0))
+    cost = 0.0001 + (1 - liquid) * 0.0015
+    if "asset_type" in bars.columns:
+        cost = F.when(F.lower("asset_type") == "etf", fund_cost).otherwise(cost)
+    return df.select(
+        "id", "date", (R.ratio(F.col("close"), lagged("close", 5)) - 1).alias("momentum5"), *(R.std("ret", k, least).alias(f"vol{k}") for k, least in ((5, 2), (10, 3), (20, 5), (60, 10))),
+        F.log1p("_dv").alias("dollar_volume"), liquid.alias("liquidity"), F.coalesce(R.std("ret", 20, 5), F.lit(0.0)).alias("risk"), cost.alias("cost"),
+        F.coalesce(R.mean("_impact", 20, 5), F.lit(0.0)).alias("illiquidity"), F.coalesce(skew, F.lit(0.0)).alias("skew"),
+    )

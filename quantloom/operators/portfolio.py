@@ -44,3 +44,30 @@ def worst_shortfall(df: DataFrame, ret: str, bench: str, n: int = 20, key: str =
     """Per key: largest n-row sum of benchmark less own return, over full windows."""
     behind = df.withColumn("_short", F.col(bench) - F.col(ret)).where(F.col("_short").isNotNull())
     return behind.withColumn("_sum", R.full(F.sum, "_short", n)).groupBy(key).agg(F.max("_sum").alias("shortfall"))
+
+
+def active_share(weights: DataFrame, bench: DataFrame) -> DataFrame:
+    """Per date on which both sides hold something: half the sum of absolute differences of `weight` between (date, id) tables; what one side lacks counts as 0."""
+    both = weights.select("date", "id", F.col("weight").alias("_w")).join(bench.select("date", "id", F.col("weight").alias("_b")), ["date", "id"], "full")
+    apart = F.sum(F.abs(F.coalesce("_w", F.lit(0.0)) - F.coalesce("_b", F.lit(0.0)))) / 2
+    per_date = both.groupBy("date").agg(apart.alias("active_share"), F.count("_w").alias("_nw"), F.count("_b").alias("_nb"))
+    return per_date.where("_nw > 0 and _nb > 0").select("date", "active_share")
+
+
+def activity(weights: DataFrame, target: float = 1.0, tiny: float = 1e-12) -> DataFrame:
+    """One row: mean and largest gross exposure, share of days with and without exposure, mean cash below the target exposure. Null weights count as 0."""
+    gross = weights.groupBy("date").agg(F.sum(F.abs(F.coalesce("weight", F.lit(0.0)))).alias("_g"))
+    on = F.when(F.col("_g") > tiny, 1.0).otherwise(0.0)
+    return gross.agg(F.avg("_g").alias("gross_mean"), F.max("_g").alias("gross_max"), F.avg(on).alias("active_days"), F.avg(1 - on).alias("idle_days"), F.avg(F.greatest(target - F.col("_g"), F.lit(0.0))).alias("mean_cash"))
+
+
+def up_down(daily: DataFrame, ret: str, fold: str) -> DataFrame:
+    """One row: number, mean and sum of rising and of other periods (0 without any), and how many folds have a positive mean. Null returns are left out."""
+    rows = daily.where(F.col(ret).isNotNull())
+    up, down = F.when(F.col(ret) > 0, F.col(ret)), F.when(F.col(ret) <= 0, F.col(ret))
+    parts = rows.groupBy(fold).agg(F.avg(ret).alias("_m"), *(f(c).alias(f"_{side}{name}") for side, c in (("up", up), ("down", down)) for name, f in (("n", F.count), ("t", F.sum))))
+    out = parts.agg(
+        *(F.sum(f"_{s}n").alias(f"{s}_periods") for s in ("up", "down")), *(F.coalesce(F.sum(f"_{s}t"), F.lit(0.0)).alias(f"{s}_total") for s in ("up", "down")),
+        F.sum(F.when(F.col("_m") > 0, 1).otherwise(0)).alias("positive_folds"), F.count("*").alias("folds"),
+    )
+    return out.select("*", *(F.coalesce(R.ratio(F.col(f"{s}_total"), F.col(f"{s}_periods")), F.lit(0.0)).alias(f"{s}_mean") for s in ("up", "down")))

@@ -522,3 +522,40 @@ def pair_bands(spark, d):
 @query("""t AS (SELECT user_id AS id, max(ts) AS ts, arg_max(value, (ts, event_id)) AS last, count(*) AS n FROM events GROUP BY 1) SELECT id, ts, round(last, 6) AS last, n FROM t""")
 def tick_snapshot(spark, d):
     return market.ticks(spark, d).groupBy("id").agg(F.max("ts").alias("ts"), F.max_by("price", F.struct("ts", "event_id")).alias("last"), F.count("*").alias("n"))
+
+
+@query(f"""{BARS}, r AS (SELECT id, date, close, row_number() OVER b AS k, first(close) OVER b AS now FROM bars WINDOW b AS (PARTITION BY id ORDER BY date DESC)) SELECT id, round(max(now), 6) AS value, round(CASE WHEN count(*) >= 20 THEN avg((close <= now)::INT) END, 6) AS percentile FROM r WHERE k <= 252 GROUP BY id""")
+def latest_percentile(spark, d):
+    return features.latest_percentile(market.bars(spark, d), "close")
+
+
+@query(f"""{BARS}, r AS (SELECT id, date, close, row_number() OVER (PARTITION BY id ORDER BY date DESC) AS k FROM bars), d AS (SELECT id, lag, close - lag(close, lag::INT) OVER (PARTITION BY id, lag ORDER BY date) AS v FROM r, range(2, 21) AS g(lag) WHERE k <= 100),
+s AS (SELECT id, lag, count(*) AS n, stddev_pop(v) AS sd FROM d GROUP BY id, lag) SELECT id, CASE WHEN min(n) >= 100 AND min(sd) > 0 THEN round(greatest(0, least(1, 2 * regr_slope(ln(nullif(sd, 0)), ln(lag)))), 6) END AS hurst FROM s GROUP BY id""")
+def hurst_exponent(spark, d):
+    return features.hurst(market.bars(spark, d), "close")
+
+
+@query(f"""{BARS}, v AS (SELECT *, close * volume AS dv, coalesce(abs(ret), 0) / nullif(close * volume, 0) AS impact FROM rets), f AS (SELECT id, date, close / lag(close, 5) OVER h - 1 AS momentum5, {', '.join(f'{full("stddev_samp", "ret", n, k)} AS vol{n}' for n, k in ((5, 2), (10, 3), (20, 5), (60, 10)))}, ln(1 + dv) AS dollar_volume,
+greatest(0, least(1, coalesce({full('avg', 'dv', 20, 3)}, 0) / 5e6)) AS liquidity, coalesce({full('avg', 'impact', 20, 5)}, 0) AS illiquidity, coalesce({full('skewness', 'ret', 20, 5)}, 0) AS skew FROM v WINDOW h AS (PARTITION BY id ORDER BY date))
+SELECT id, date, {_rounded('momentum5', 'vol5', 'vol10', 'vol20', 'vol60', 'dollar_volume', 'liquidity', 'coalesce(vol20, 0) AS risk', '0.0001 + (1 - liquidity) * 0.0015 AS cost', 'illiquidity', 'skew')} FROM f""")
+def common_factors(spark, d):
+    return features.common(market.bars(spark, d), full_liquidity=5e6)
+
+
+@query(f"""{BARS}, {FWD}, {WEIGHTS}, b AS (SELECT date, id, turnover / sum(turnover) OVER (PARTITION BY date) AS share FROM bars), j AS (SELECT date, weight, share FROM wts FULL JOIN b USING (date, id)) SELECT date, round(sum(abs(coalesce(weight, 0) - coalesce(share, 0))) / 2, 6) AS active_share FROM j GROUP BY date HAVING count(weight) > 0 AND count(share) > 0""")
+def active_share(spark, d):
+    share = R.ratio(F.col("turnover"), F.sum("turnover").over(Window.partitionBy("date")))
+    return portfolio.active_share(_top_weights(spark, d), market.bars(spark, d).select("date", "id", share.alias("weight")))
+
+
+@query(f"""{BARS}, {FWD}, g AS (SELECT date, sum(CASE WHEN mom20 IS NULL THEN 0 ELSE greatest(0, least(1, mom20)) END / 10) AS g FROM sig GROUP BY date) SELECT {_rounded('avg(g) AS gross_mean', 'max(g) AS gross_max', 'avg((g > 1e-12)::INT) AS active_days', 'avg((g <= 1e-12)::INT) AS idle_days', 'avg(greatest(1 - g, 0)) AS mean_cash')} FROM g""")
+def activity(spark, d):
+    return portfolio.activity(features.momentum(market.bars(spark, d)).select("date", (R.clip(F.col("mom20"), 0.0, 1.0) / 10).alias("weight")))
+
+
+@query("""b AS (SELECT CAST(l_shipdate AS DATE) AS date, sum(l_extendedprice) / sum(l_quantity) AS px FROM lineitem GROUP BY 1), r AS (SELECT year(date) AS fold, px / lag(px) OVER (ORDER BY date) - 1 AS ret FROM b), ok AS (SELECT * FROM r WHERE ret IS NOT NULL), f AS (SELECT fold, avg(ret) AS m FROM ok GROUP BY fold)
+SELECT count_if(ret > 0)::BIGINT AS up_periods, count_if(ret <= 0)::BIGINT AS down_periods, round(coalesce(sum(ret) FILTER (ret > 0), 0), 6) AS up_total, round(coalesce(sum(ret) FILTER (ret <= 0), 0), 6) AS down_total, (SELECT count_if(m > 0)::BIGINT FROM f) AS positive_folds, (SELECT count(*) FROM f) AS folds,
+round(coalesce(avg(ret) FILTER (ret > 0), 0), 6) AS up_mean, round(coalesce(avg(ret) FILTER (ret <= 0), 0), 6) AS down_mean FROM ok""")
+def up_down_periods(spark, d):
+    days = market.benchmark(spark, d).withColumn("ret", R.ratio(F.col("bench"), F.lag("bench").over(Window.orderBy("date"))) - 1)
+    return portfolio.up_down(days.withColumn("fold", F.year("date")), "ret", "fold")

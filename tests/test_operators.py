@@ -3,9 +3,10 @@
 import datetime as dt
 
 import pandas as pd
+from pyspark.sql import functions as F
 
 from quantloom.functions import rolling as R
-from quantloom.operators import cross_section, evaluation, features, labels, panel
+from quantloom.operators import cross_section, evaluation, features, labels, panel, portfolio
 from quantloom.streaming import ticks
 
 
@@ -101,3 +102,29 @@ def test_tick_bars_stream_equals_batch(spark, tmp_path):
     run.awaitTermination(120)
     key = lambda r: (r.start, r.open, r.close, r.n)
     assert sorted(map(key, spark.table("bars_out").collect())) == sorted(map(key, ticks.tick_bars(df).collect()))
+
+
+def test_hurst_and_percentile_need_their_history_and_variance(spark):
+    b = bars(spark, n=100, ids=2)
+    assert {r.id: r.hurst is None for r in features.hurst(b, "close").collect()} == {0: False, 1: False}
+    assert all(r.hurst is None for r in features.hurst(b.withColumn("close", F.lit(5.0)), "close").collect())
+    assert all(r.hurst is None for r in features.hurst(b.where("date > '2024-01-01'"), "close").collect())
+    few = b.where("date < '2024-01-15'").withColumn("close", F.when(F.col("id") == 0, F.col("close")))
+    assert [(r.id, r.percentile) for r in features.latest_percentile(few, "close").collect()] == [(0, None)]
+    assert features.hurst(b.where("false"), "close").count() == features.latest_percentile(b.where("false"), "close").count() == 0
+
+
+def test_common_factors_give_funds_a_flat_cost(spark):
+    b = bars(spark, n=30, ids=2).withColumn("asset_type", F.when(F.col("id") == 0, "ETF").otherwise("stock"))
+    got = features.common(b).groupBy("id").agg(F.min("cost").alias("lo"), F.max("cost").alias("hi"), F.count("vol5").alias("n")).orderBy("id").collect()
+    assert (got[0].lo, got[0].hi) == (4e-4, 4e-4) and got[1].lo > 1e-3 and got[0].n == 28
+
+
+def test_active_share_activity_and_up_down(spark):
+    w = spark.createDataFrame([(1, 1, 0.6), (1, 2, 0.4), (2, 1, 1.0), (3, 1, None)], "date int, id int, weight double")
+    bench = spark.createDataFrame([(1, 1, 0.5), (1, 3, 0.5), (4, 1, 1.0)], "date int, id int, weight double")
+    assert [(r.date, round(r.active_share, 9)) for r in portfolio.active_share(w, bench).collect()] == [(1, 0.5)]
+    a = portfolio.activity(w).first()
+    assert [round(x, 9) for x in a] == [round(2 / 3, 9), 1.0, round(2 / 3, 9), round(1 / 3, 9), round(1 / 3, 9)]
+    u = portfolio.up_down(spark.createDataFrame([(1, 0.2), (1, -0.1), (2, 0.0), (2, None)], "fold int, ret double"), "ret", "fold").first()
+    assert (u.up_periods, u.down_periods, u.positive_folds, u.folds, u.up_mean, u.down_mean) == (1, 2, 1, 2, 0.2, -0.05)
