@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions import rolling as R
@@ -45,13 +45,20 @@ def full(agg: str, x: str, n: int, least: int | None = None) -> str:
     return f"CASE WHEN count({x}) OVER {w(n)} >= {n if least is None else least} THEN {agg}({x}) OVER {w(n)} END"
 
 
+def _half_away(c: str, digits: int) -> Column:
+    """Rounded as SQL engines round binary doubles, so that both sides agree on ties such as 0.0000005; `F.round` goes by the decimal form."""
+    x, unit = F.col(c), 10.0**digits
+    small = F.signum(x) * F.floor(F.abs(x) * unit + 0.5) / unit
+    return F.when(F.abs(x) * unit < 2.0**52, small).otherwise(x * unit / unit)  # beyond, the scaled double is whole
+
+
 def query(sql: str | None = None, digits: int = 6) -> Callable[[Query], Query]:
     """Register a query; all its double columns are rounded."""
 
     def register(f: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             df = f(spark, sf_dir)
-            return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+            return df.select(*(_half_away(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
         _QUERIES[f.__name__] = run
         if sql:
