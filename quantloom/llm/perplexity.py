@@ -218,22 +218,25 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return staged(src.mapInArrow(lambda it: _measure(it, sent), schema), "measured")
 
 
-def judged(rows: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, width: float = 8.0, floor: float = 0.4) -> DataFrame:
+def judged(rows: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, width: float = 3.0, floor: float = 0.4) -> DataFrame:
     """Add `base_failed`, the band of the row's language (`lower`, `upper` perplexity), `perplexity` and `kept`.
 
     base_failed: fewer than `min_words` words, or more than `max_repeat_percent`
-    of the words in repeated 3-word windows. The band lies `width` robust
-    standard deviations (1.4826 x median absolute deviation of the log
-    perplexity of the language's rows that pass the base rules), `floor` nats
-    at least, on both sides of the median. A language without such a row has no
-    band and rejects by the base rules only."""
+    of the words in repeated 3-word windows. The two ends of the band lie
+    `width` robust standard deviations from the median, each end by the rows on
+    its own side: 1.4826 x median distance of the log perplexity of the
+    language's rows that pass the base rules. As few rows give no certain
+    spread, an end is `floor` / sqrt(rows) nats away at least. A language
+    without such a row has no band and rejects by the base rules only."""
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed)
     fair = rows.where("not base_failed")
-    middle = fair.groupBy("model").agg(F.percentile_approx("loss", 0.5, 10000).alias("mid"))
-    spread = fair.join(F.broadcast(middle), "model").groupBy("model", "mid").agg(F.percentile_approx(F.abs(F.col("loss") - F.col("mid")), 0.5, 10000).alias("mad"))
-    half = F.greatest(F.lit(floor), F.lit(width * 1.4826) * F.col("mad"))
-    bands = spread.select("model", F.exp(F.col("mid") - half).alias("lower"), F.exp(F.col("mid") + half).alias("upper"))
+    middle = fair.groupBy("model").agg(F.percentile_approx("loss", 0.5, 10000).alias("mid"), F.count("*").alias("n"))
+    far = F.col("loss") - F.col("mid")
+    side = lambda x: F.coalesce(F.percentile_approx(F.when(x >= 0, x), 0.5, 10000), F.lit(0.0))
+    spread = fair.join(F.broadcast(middle), "model").groupBy("model", "mid", "n").agg(side(-far).alias("below"), side(far).alias("above"))
+    half = lambda c: F.greatest(floor / F.sqrt("n"), width * 1.4826 * F.col(c))
+    bands = spread.select("model", F.exp(F.col("mid") - half("below")).alias("lower"), F.exp(F.col("mid") + half("above")).alias("upper"))
     ppl = F.exp("loss")
     out = rows.withColumn("perplexity", ppl).join(F.broadcast(bands), "model", "left")  # one row for each of at most LANGUAGES + 1 models
     inside = F.coalesce(F.col("perplexity").between(F.col("lower"), F.col("upper")), F.lit(True))

@@ -299,6 +299,22 @@ def test_op9_base_rules_equal_brute_force(docs, odd):
     assert perplexity.judged(perplexity.measured(odd.where("false"))).count() == 0
 
 
+def test_op9_band_follows_each_languages_own_spread(spark):
+    rng = random.Random(3)
+    loss = [("en", 1.6 + rng.gauss(0, 0.02)) for _ in range(400)] + [("en", 1.35), ("en", 1.9), ("xx", 1.2), ("xx", 1.3)]
+    rows = [(i, m, 100, 0, x) for i, (m, x) in enumerate(loss)]
+    kept = {r.doc_id: r.kept for r in perplexity.judged(spark.createDataFrame(rows, "doc_id long, model string, n_words long, n_repeat_words long, loss double")).collect()}
+    assert not kept[400] and not kept[401] and kept[402] and kept[403]  # two rows tell no spread
+    assert sum(kept[i] for i in range(400)) >= 390
+
+
+def test_op9_rejects_junk_and_keeps_clean_documents(spark):
+    data = DATA.replace("sf0.001", "sf0.01")
+    rows = perplexity.judged(perplexity.measured(spark.read.parquet(f"{data}/documents.parquet"))).where("not base_failed")
+    share = {r.quality: r.share for r in rows.join(spark.read.parquet(f"{data}/labels.parquet"), "doc_id").selectExpr("quality", "cast(kept as int) kept").groupBy("quality").avg("kept").toDF("quality", "share").collect()}
+    assert share[1] > 0.95 and share[0] < 0.6
+
+
 def test_kneser_ney_probabilities_sum_to_one():
     code, owner = perplexity._grams([b"banana", b"bandana", b"anna", b"nab"], perplexity.ORDER)
     kinds, count = np.unique(code, return_counts=True)
