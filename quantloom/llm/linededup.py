@@ -4,7 +4,11 @@ A rolling hash over the hashes of the last lines decides after which lines a
 chunk ends, so an inserted or deleted line moves only the boundaries next to
 it. Chunks that occur in several places of the corpus are found by their
 128-bit hashes; the first occurrence stays, and each other one is removed after
-its bytes were compared with the first one's."""
+its bytes were compared with the first one's.
+
+Whole passages need no boundary: there each two consecutive lines are a chunk,
+so a repeated run of k lines is k - 1 repeated chunks that overlap, and their
+union is the run from its first line to its last, whatever stands around it."""
 
 from __future__ import annotations
 
@@ -47,31 +51,64 @@ def _multi(chunk: list[bytes]) -> bool:
     return len(chunk) > 1 and sum(1 for x in chunk if x.strip()) > 1
 
 
-def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def pairs(text: bytes) -> tuple[list[bytes], list[tuple[int, int]]]:
+    """The lines of a text, and the places of each two consecutive lines that are more than white space; empty lines between belong to the two."""
+    lines = text.split(b"\n")
+    shown = [i for i, x in enumerate(lines) if x.strip()]
+    return lines, list(zip(shown[:-1], shown[1:], strict=True))
+
+
+def _pieces(text: bytes, whole: bool) -> list[tuple[int, bytes]]:
+    """Place and bytes of all that can be removed from a text."""
+    if whole:
+        lines, both = pairs(text)
+        return [(k, b"\n".join(lines[a : b + 1])) for k, (a, b) in enumerate(both)]
+    return [(k, b"\n".join(c)) for k, c in enumerate(chunks(text)) if _multi(c)]
+
+
+def _without(text: bytes, drop: list[dict], whole: bool) -> tuple[bytes, int, int]:
+    """The text without the pieces whose bytes equal those of the first occurrence, and how many chunks (whole passages: runs of lines) and lines went."""
+    own = dict(_pieces(text, whole))
+    same = [x["place"] for x in drop if own[x["place"]] == x["chunk"]]
+    if whole:
+        lines, both = pairs(text)
+        gone = [False] * len(lines)
+        for k in same:
+            a, b = both[k]
+            gone[a : b + 1] = [True] * (b + 1 - a)
+        runs = sum(x and not y for x, y in zip(gone, [False, *gone], strict=False))
+        return b"\n".join(x for x, y in zip(lines, gone, strict=True) if not y), runs, sum(gone)
+    all_chunks, n = chunks(text), 0
+    for k in same:
+        n += len(all_chunks[k])
+        all_chunks[k] = []
+    return b"\n".join(line for c in all_chunks for line in c), len(same), n
+
+
+def _hashes(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
     import xxhash
 
     for batch in textkit.parts(batches, 2):
         rows, place, high, low = [], [], [], []
         for i, text in enumerate(textkit.texts(batch.column(2))):
-            for k, chunk in enumerate(chunks(text)):
-                if _multi(chunk):
-                    h = xxhash.xxh3_128_intdigest(b"\n".join(chunk))
-                    rows.append(i), place.append(k), high.append((h >> 64) - (1 << 63)), low.append((h & _MASK) - (1 << 63))
+            for k, piece in _pieces(text, whole):
+                h = xxhash.xxh3_128_intdigest(piece)
+                rows.append(i), place.append(k), high.append((h >> 64) - (1 << 63)), low.append((h & _MASK) - (1 << 63))
         at = pa.array(rows, pa.int64())
         yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(x, pa.int64()) for x in (place, high, low))], names=["id", "key", "place", "high", "low"])
 
 
-def _texts_at(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _texts_at(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
     for batch in textkit.parts(batches, 0):
         high, low, out = [], [], []
         for text, wanted in zip(textkit.texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-            own = chunks(text)
+            own = dict(_pieces(text, whole))
             for x in wanted:
-                high.append(x["high"]), low.append(x["low"]), out.append(b"\n".join(own[x["place"]]))
+                high.append(x["high"]), low.append(x["low"]), out.append(own[x["place"]])
         yield pa.record_batch([pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(out, pa.binary())], names=["high", "low", "chunk"])
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
     """The texts without the chunks that equal the first occurrence's bytes, and how many chunks and lines went."""
     for batch in batches:
         texts, gone, lines = [], [], []
@@ -79,13 +116,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, is_null, drop in zip(textkit.texts(raw), raw.is_null().to_pylist(), batch.column("_ql_drop").to_pylist(), strict=True):
             n = m = 0
             if drop:
-                own = chunks(text)
-                for x in drop:
-                    chunk = own[x["place"]]
-                    if b"\n".join(chunk) == x["chunk"]:
-                        n, m = n + 1, m + len(chunk)
-                        own[x["place"]] = []
-                text = b"\n".join(line for c in own for line in c)
+                text, n, m = _without(text, drop, whole)
             texts.append(None if is_null else text.decode("utf-8", "replace")), gone.append(n), lines.append(m)
         rest = [i for i, name in enumerate(batch.schema.names) if name not in ("_ql_text", "_ql_drop")]
         yield pa.record_batch(
@@ -94,24 +125,31 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _repeats(src: DataFrame) -> DataFrame:
+def _repeats(src: DataFrame, whole: bool) -> DataFrame:
     """The chunks to cut out of each document, with the bytes of their first occurrences."""
-    found = staged(src.mapInArrow(_hashes, "id long, key long, place long, high long, low long"), "chunks")
+    found = staged(src.mapInArrow(lambda it: _hashes(it, whole), "id long, key long, place long, high long, low long"), "chunks")
     found = found.distinct()
     first = found.groupBy("high", "low").agg(F.count("*").alias("n"), F.min(F.struct("id", "key", "place")).alias("first"))
     first = staged(first.where("n > 1").select("high", "low", "first"), "repeated")
     holds = first.groupBy(F.col("first.id").alias("fid"), F.col("first.key").alias("fkey")).agg(F.collect_list(F.struct(F.col("first.place").alias("place"), "high", "low")).alias("wanted"))
     holds = staged(holds, "holders").hint("merge")  # one plan at every size
     texts = src.join(holds, src["id"].eqNullSafe(holds["fid"]) & (src["key"] == holds["fkey"])).select("text", "wanted")
-    texts = staged(texts.mapInArrow(_texts_at, "high long, low long, chunk binary").dropDuplicates(["high", "low"]), "first-texts")
-    again = found.join(first, ["high", "low"]).where(~F.struct("id", "key", "place").eqNullSafe(F.col("first"))).select("id", "key", "place", "high", "low")
+    texts = staged(texts.mapInArrow(lambda it: _texts_at(it, whole), "high long, low long, chunk binary").dropDuplicates(["high", "low"]), "first-texts")
+    again = found.join(first, ["high", "low"]).where(~F.struct("id", "key", "place").eqNullSafe(F.col("first")))
+    if whole:  # two lines that overlap their first occurrence, as three equal lines do, are no copy of it
+        again = again.where(~F.struct("id", "key", F.col("place") - 1).eqNullSafe(F.struct("first.id", "first.key", "first.place")))
+    again = again.select("id", "key", "place", "high", "low")
     again = staged(again, "again").join(texts, ["high", "low"])
     return again.groupBy(F.col("id").alias("_ql_id"), F.col("key").alias("_ql_key")).agg(F.collect_list(F.struct("place", "chunk")).alias("_ql_drop"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = False, whole: bool = False) -> DataFrame:
     """`docs` with the repeated multi-line chunks cut out of `text_col`; with `counts` also n_chunks_removed and n_lines_removed.
 
+    With `whole`, every run of two or more lines that stood before goes from
+    its first line to its last; n_chunks_removed counts the runs cut out. The
+    first copy of each line always stays.
+
     The first occurrence, by id and then by place, stays. Null texts stay null,
     empty ones empty; a text may become empty, its row stays. Rows with a null
     id take part and come first. Rows that repeat both id and text count as one
@@ -120,11 +158,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     key = F.xxhash64(F.col(text_col))
     src = docs.select(F.col(id_col).cast("long").alias("id"), key.alias("key"), F.col(text_col).alias("text"))
     with scratch(docs.sparkSession):
-        drop = staged(_repeats(src), "cuts", keep=True).hint("merge")  # one plan at every size
+        drop = staged(_repeats(src, whole), "cuts", keep=True).hint("merge")  # one plan at every size
     all_rows = docs.withColumnRenamed(text_col, "_ql_text")
     wide = all_rows.join(drop, F.col(id_col).cast("long").eqNullSafe(F.col("_ql_id")) & (F.xxhash64("_ql_text") == F.col("_ql_key")), "left").drop("_ql_id", "_ql_key")
     fields = [f for f in wide.schema.fields if f.name not in ("_ql_text", "_ql_drop")]
     schema = T.StructType([*fields, T.StructField("_ql_clean", T.StringType()), T.StructField("_ql_chunks", T.LongType()), T.StructField("_ql_lines", T.LongType())])
-    out = wide.mapInArrow(_cut, schema)
+    out = wide.mapInArrow(lambda it: _cut(it, whole), schema)
     more = [F.col("_ql_chunks").alias("n_chunks_removed"), F.col("_ql_lines").alias("n_lines_removed")] if counts else []
     return out.select(*(F.col("_ql_clean").alias(text_col) if c == text_col else F.col(c) for c in docs.columns), *more)

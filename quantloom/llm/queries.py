@@ -51,7 +51,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.dedup_lines(_table(spark, sf_dir, "documents"), counts=True).select("doc_id", "text", "n_chunks_removed", "n_lines_removed")
+    return linededup.dedup_lines(_table(spark, sf_dir, "documents"), counts=True, whole=True).select("doc_id", "text", "n_chunks_removed", "n_lines_removed")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -284,6 +284,16 @@ def test_op8_equals_brute_force(spark, odd, docs):
     assert {r.text for r in out.where("doc_id = 1 or doc_id = 4").collect()} == {None, "one two"}
 
 
+@pytest.mark.parametrize("size", [2, 3, 4, 6, 12])
+def test_op8_removes_whole_passages_whatever_stands_around(spark, size):
+    passage = "\n".join(f"line {i} of the passage of {size}" for i in range(size))
+    rows = [(i, f"before {i}\n{passage}\n\nafter {i}") for i in range(40)] + [(90, "x\nx\nx"), (91, "y\n\nz"), (92, "a\ny\n\nz\nb"), (93, "u\nv\nu\nv"), (None, f"{passage}\nlost id")]
+    got = {r.doc_id: (r.text, r.n_chunks_removed, r.n_lines_removed) for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), counts=True, whole=True).collect()}
+    assert all(got[i] == (f"before {i}\n\nafter {i}", 1, size) for i in range(40))  # the row without an id comes first and keeps it
+    assert got[None] == (f"{passage}\nlost id", 0, 0) and got[90] == ("x\nx\nx", 0, 0) and got[91][1] == 0
+    assert got[92] == ("a\nb", 1, 3) and got[93] == ("u\nv", 1, 2)
+
+
 def test_op9_base_rules_equal_brute_force(docs, odd):
     for table in (docs, odd):
         want = collections.Counter()
