@@ -182,13 +182,13 @@ def host_of(url: str) -> Column:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per page and node path: the hashes of the child sequences (kind 0) and of the texts (kind 1) it shows, each once."""
+    """Per page and node path: the hashes of the child sequences (kind 0) and of the texts (kind 1) it shows, each once, with the hash of the page."""
     import xxhash
 
     for batch in textkit.parts(batches, 1):
-        hosts, paths, kinds, features = [], [], [], []
+        hosts, pages, paths, kinds, features = [], [], [], [], []
         for host, page in zip(batch.column(0).to_pylist(), textkit.texts(batch.column(1)), strict=True):
-            seen = set()
+            seen, digest = set(), xxhash.xxh3_64_intdigest(page) >> 1
             for node in _walk(parse(page.decode("utf-8", "replace"))):
                 style = ",".join(dict.fromkeys(x.tag for x in node.items if isinstance(x, Node)))
                 seen.add((node.path, 0, xxhash.xxh3_64_intdigest(style) >> 1))
@@ -196,19 +196,19 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if own:
                     seen.add((node.path, 1, xxhash.xxh3_64_intdigest(own) >> 1))
             for path, kind, feature in seen:
-                hosts.append(host), paths.append(path), kinds.append(kind), features.append(feature)
-        yield pa.record_batch([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(kinds, pa.int8()), pa.array(features, pa.int64())], names=["host", "path", "kind", "feature"])
+                hosts.append(host), pages.append(digest), paths.append(path), kinds.append(kind), features.append(feature)
+        yield pa.record_batch([pa.array(hosts, pa.string()), pa.array(pages, pa.int64()), pa.array(paths, pa.string()), pa.array(kinds, pa.int8()), pa.array(features, pa.int64())], names=["host", "page", "path", "kind", "feature"])
 
 
 def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, path, `shown` (feature count over pages), `presentation`, `content`, `importance` of every node of every site's merged tree.
+    """host, path, `shown` (feature count over the site's distinct pages), `presentation`, `content`, `importance` of every node of every site's merged tree.
 
-    With m features shown over a site's pages, a child sequence of k pages adds
+    With m features shown over a site's distinct pages, a child sequence of k pages adds
     -(k/m) log_m(k/m) to the presentation importance; a text repeated on k pages
     has entropy log_m k, and content importance is 1 minus the mean over texts.
     A node's importance is its content importance if it shows text, else its
     presentation importance; with m = 1 it is 1."""
-    rows = pages.select(host_of(url_col).alias("host"), F.col(html_col)).mapInArrow(_features, "host string, path string, kind byte, feature long")
+    rows = pages.select(host_of(url_col).alias("host"), F.col(html_col)).mapInArrow(_features, "host string, page long, path string, kind byte, feature long").distinct()  # copies of a page are one page
     counts = rows.groupBy("host", "path", "kind", "feature").agg(F.count("*").alias("k"))
     k = F.col("k").cast("double")
     text, style = F.col("kind") == 1, F.col("kind") == 0
@@ -232,19 +232,20 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
-def extract(pages: DataFrame, threshold: float = 0.1, least_pages: int = 20) -> DataFrame:
+def extract(pages: DataFrame, threshold: float = 0.1) -> DataFrame:
     """page_id, url, main text and its length of every row of `pages` (page_id, url, html).
 
-    Branches whose importance in the site's style tree is below `threshold`,
-    shown on `least_pages` pages or more, are removed, unless nothing would be
-    left (a site of copies of one page). Null or empty html: empty
+    Branches whose importance in the site's style tree is below `threshold`
+    times 1 - 1/m are removed, where m is the number of distinct pages that show
+    them: the fewer pages, the surer a repetition must be. One page alone tells
+    nothing. If nothing would be left, all stays. Null or empty html: empty
     text. Null urls are one site of their own. Repeated page ids are extracted
     row by row; other columns are not read; an empty table gives an empty
     result. Whole pages are read and nothing is cut. A site's low branches are
     one small row; Spark broadcasts these rows only below its own size
     threshold and else joins by host, where AQE splits a hot host."""
     src = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    low = style_tree(src).where(F.col("content").isNotNull() & (F.col("importance") < threshold) & (F.col("shown") >= least_pages))
+    low = style_tree(src).where(F.col("content").isNotNull() & (F.col("importance") < threshold * (1 - 1 / F.col("shown"))))
     low = staged(low.groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("low")), "low-branches")
     keyed = src.withColumn("host", host_of("url"))
     return keyed.join(low, "host", "left").select("page_id", "url", "html", "low").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

@@ -354,6 +354,14 @@ def test_op10_style_tree_and_odd_pages(spark):
     assert got[3] == "Own text n23757 & more\na n23757\nb" and got[90] == got[91] == "" and got[92] == "open bold tail"
 
 
+def test_op10_judges_small_sites_and_counts_copies_once(spark):
+    page = "<html><body><div><p>Same on every page</p></div><div class='x'><p>Own text {0}</p></div></body>"
+    rows = [(i, "http://small.org/a", page.format(i)) for i in range(3)] + [(100 + i, "http://copies.org/a", page.format(max(0, i - 96))) for i in range(100)] + [(300, "http://one.org/", page.format(7))]
+    got = {r.page_id: r.text for r in sitetree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(3)] == [f"Own text {i}" for i in range(3)]
+    assert got[100] == "Own text 0" and got[199] == "Own text 3" and got[300] == "Same on every page\nOwn text 7"
+
+
 def test_pipeline_stages_keep_their_promises(spark):
     import corpus_pipeline
 
