@@ -411,6 +411,32 @@ def test_op10_style_tree_and_odd_pages(spark):
     assert got[3] == "Own text n23757 & more\na n23757\nb" and got[90] == got[91] == "" and got[92] == "open bold tail"
 
 
+def test_op10_tree_finds_what_no_name_tells(spark):
+    """Menus, banners and closing lines under neutral names go by their importance alone; the lists keep all of them."""
+    rng = random.Random(6)
+    pool = [f"w{i}" for i in range(400)]
+    say = lambda n: " ".join(rng.choices(pool, k=n))
+    menu = "".join(f"<li><i>Entry {k}</i></li>" for k in range(6))
+    rows, want = [], {}
+    for i in range(24):
+        body = [say(30) for _ in range(rng.randrange(1, 6))]
+        parts = "".join(f"<p>{x}</p>" + ("<h3>part</h3>" if k % 2 else "") for k, x in enumerate(body))
+        rows.append((i, "http://plain.org/x", f"<div class='qa'><ul>{menu}</ul><div><p>Read this first</p></div></div><div class='qb'><h2>T{i}</h2>{parts}</div><div class='qc'><p>The end</p><div>Yours <b>truly</b></div></div>"))
+        want[i] = "\n".join([f"T{i}", *(y for k, x in enumerate(body) for y in ([x, "part"] if k % 2 else [x]))])
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in sitetree.extract(df).collect()}
+    assert {i: t.replace("\npart", "") for i, t in got.items()} == {i: t.replace("\npart", "") for i, t in want.items()}
+    kept = {r.page_id: r.text for r in sitetree.extract(df, threshold=0.0).collect()}
+    assert all("Entry 3" in t and "truly" in t and "Read this first" in t for t in kept.values())
+
+
+def test_op10_deep_and_empty_pages(spark):
+    rows = [(i, "http://deep.org/", "<div>" * 3000 + f"low down {i}" + "</div>" * 2000) for i in range(2)] + [(9, None, "<p>a</p>"), (9, None, "<p>a</p>")]
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "page_id long, url string, html string, low int, host string")
+    assert sorted((r.page_id, r.text) for r in sitetree.extract(df).collect()) == [(0, "low down 0"), (1, "low down 1"), (9, "a"), (9, "a")]
+    assert sitetree.extract(df.where("false")).count() == 0
+
+
 def test_op10_judges_small_sites_and_counts_copies_once(spark):
     page = "<html><body><div><p>Same on every page</p></div><div class='x'><p>Own text {0}</p></div></body>"
     rows = [(i, "http://small.org/a", page.format(i)) for i in range(3)] + [(100 + i, "http://copies.org/a", page.format(max(0, i - 96))) for i in range(100)] + [(300, "http://one.org/", page.format(7))]
