@@ -91,22 +91,28 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
     for k in range(order - 1, 0, -1):
         suffix = F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1))
         levels[k] = staged(levels[k + 1].groupBy("model", suffix.alias("gram")).agg(F.count("*").alias("c")), f"grams-{k}")
+    counted = None
+    for k, rows in levels.items():
+        some = rows.groupBy("model").agg(*(F.greatest(F.count_if(F.col("c") == j), F.lit(1)).alias(f"n{j}") for j in (1, 2, 3, 4)), F.count("*").alias("kinds"))
+        some = some.withColumn("order", F.lit(k))
+        counted = some if counted is None else counted.unionByName(some)
+    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    cut = lambda j: F.least(F.greatest(j - (j + 1) * y * F.col(f"n{j + 1}") / F.col(f"n{j}"), F.lit(0.1 * j)), F.lit(0.9 * j))
+    # staged, so that its size is known: Spark broadcasts it below its threshold, and does not deal the n-grams out by language
+    discounts = staged(counted.select("order", "model", "kinds", *(cut(j).alias(f"d{j}") for j in (1, 2, 3))), "discounts")
     lower = None
     for k in range(1, order + 1):
-        some = levels[k].groupBy("model").agg(*(F.greatest(F.count_if(F.col("c") == j), F.lit(1)).alias(f"n{j}") for j in (1, 2, 3, 4)), F.count("*").alias("kinds"))
-        y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-        cut = lambda j, y=y: F.least(F.greatest(j - (j + 1) * y * F.col(f"n{j + 1}") / F.col(f"n{j}"), F.lit(0.1 * j)), F.lit(0.9 * j))
-        some = some.select("model", "kinds", *(cut(j).alias(f"d{j}") for j in (1, 2, 3)))
         context = Window.partitionBy("model", F.shiftright("gram", 8))
-        off = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-        rows = levels[k].join(some, "model").withColumn("off", off)
-        rows = rows.withColumn("total", F.sum("c").over(context)).withColumn("spread", F.sum("off").over(context))
+        with_counts = {"total": F.sum("c").over(context), "one": F.count_if(F.col("c") == 1).over(context), "two": F.count_if(F.col("c") == 2).over(context), "more": F.count_if(F.col("c") > 2).over(context)}
+        rows = levels[k].withColumns(with_counts).join(discounts.where(F.col("order") == k).drop("order"), "model")
         if lower is None:
             rows = rows.withColumn("low", 1 / (F.col("kinds") + 1))
         else:
             suffix = F.col("gram").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1))
             rows = rows.withColumn("suffix", suffix).join(lower.select(F.col("model").alias("m"), F.col("gram").alias("g"), F.col("p").alias("low")), (F.col("model") == F.col("m")) & (F.col("suffix") == F.col("g")))
-        lower = staged(rows.select("model", "gram", ((F.col("c") - F.col("off") + F.col("spread") * F.col("low")) / F.col("total")).alias("p")), f"smooth-{k}")
+        off = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
+        spread = F.col("one") * F.col("d1") + F.col("two") * F.col("d2") + F.col("more") * F.col("d3")
+        lower = staged(rows.select("model", "gram", ((F.col("c") - off + spread * F.col("low")) / F.col("total")).alias("p")), f"smooth-{k}")
     return lower
 
 
@@ -255,6 +261,7 @@ def judged(rows: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, w
         rows = rows.withColumn(f"_{m}", F.try_divide(F.col("loss"), F.col(n)))
     fair = rows.where("not base_failed")
     middle = fair.groupBy("model").agg(F.count("*").alias("n"), *(F.percentile_approx(f"_{m}", 0.5, 10000).alias(f"{m}_mid") for m in measures))
+    middle = staged(middle, "medians")
     side = lambda x: F.coalesce(F.percentile_approx(F.when(x >= 0, x), 0.5, 10000), F.lit(0.0))
     far = {m: F.col(f"_{m}") - F.col(f"{m}_mid") for m in measures}
     spread = fair.join(middle, "model").groupBy("model", "n", *(f"{m}_mid" for m in measures)).agg(*(side(s * far[m]).alias(f"{m}_{e}") for m in measures for e, s in (("lower", -1), ("upper", 1))))
