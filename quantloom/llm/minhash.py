@@ -6,8 +6,10 @@ leader and is paired with every member. A pair compares its signatures batch by
 batch and is dropped once the posterior probability that its similarity reaches
 the threshold falls below the chosen miss probability; survivors are verified
 on the full sets. Buckets whose members are then still in several components
-are compared in blocks of bounded size, the same tests applied inside the task,
-where only a spanning forest of verified links leaves the block."""
+are compared in blocks of bounded size: first signatures alone, then the texts
+of those that survive, where only a spanning forest of verified links leaves a
+pair of blocks. A class is named by id and text hash of its smallest row, so
+rows that repeat an id with other texts are nodes of their own."""
 
 from __future__ import annotations
 
@@ -104,8 +106,8 @@ def _sketches(batches: Iterator[pa.RecordBatch], words: int, bands: int, rows: i
             sigs.append((low & np.uint32(255)).astype(np.uint8).tobytes())
             keys.append(band.astype(np.int64))
         yield pa.record_batch(
-            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(lows, pa.int64()), pa.array(highs, pa.int64()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-            names=["id", "n", "f1", "f2", "sig", "keys"],
+            [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(lows, pa.int64()), pa.array(highs, pa.int64()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+            names=["id", "key", "n", "f1", "f2", "sig", "keys"],
         )
 
 
@@ -115,7 +117,7 @@ def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     pack = zstandard.ZstdCompressor(level=3).compress
     for batch in textkit.parts(batches, 1):
-        yield pa.record_batch([batch.column(0), pa.array(map(pack, textkit.texts(batch.column(1))), pa.binary())], names=["id", "pack"])
+        yield pa.record_batch([batch.column(0), pa.array(map(pack, textkit.texts(batch.column(1))), pa.binary())], names=["node", "pack"])
 
 
 def _sets_of(packs: list[bytes], words: int, size: int = 4 << 20) -> dict[bytes, np.ndarray]:
@@ -158,17 +160,16 @@ def _set_test(batches: Iterator[pa.RecordBatch], percent: int, words: int) -> It
             yield batch.select(["a", "b"]).filter(pa.array([similar(sets[x], sets[y], percent) for x, y in zip(left, right, strict=True)], pa.bool_()))
 
 
-def _block_links(t: pa.Table, percent: int, miss: float, words: int) -> pa.Table:
-    """Verified links between the members of two blocks of one bucket that are not connected yet."""
-    ids, group = t.column("rep").to_numpy(), t.column("component").to_numpy()
-    block, blocks = t.column("block").to_numpy(), t.column("pair").to_numpy()
-    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
-    keys = np.array(t.column("keys").to_pylist(), np.int64)
-    band = t.column("band")[0].as_py()
-    packs = t.column("pack").to_pylist()
-    known = _sets_of(packs, words)
-    sets = [known[x] for x in packs]
-    parent = {int(g): int(g) for g in group}
+def _rivals(t: pa.Table, percent: int, miss: float, words: int | None) -> tuple[list[int], list[int]]:
+    """Pairs of rows of two blocks, in different components, that survive the signature test; with `words` only those that the full sets
+    confirm and that connect what the pairs before did not."""
+    component = t.column("component").combine_chunks()
+    _, group = np.unique(np.rec.fromarrays([x.to_numpy() for x in component.flatten()]), return_inverse=True)
+    block, pair = t.column("block").to_numpy(), t.column("pair")[0].as_py()
+    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(len(group), -1)
+    packs = t.column("pack").to_pylist() if words else []
+    sets = _sets_of(packs, words) if words else {}
+    parent = list(range(len(group)))
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -176,26 +177,39 @@ def _block_links(t: pa.Table, percent: int, miss: float, words: int) -> pa.Table
             x = parent[x]
         return x
 
-    left = np.flatnonzero(block == blocks[0] // 65536)
-    right = np.flatnonzero(block == blocks[0] % 65536)
-    out: list[tuple[int, int]] = []
+    left, right = np.flatnonzero(block == pair["x"]), np.flatnonzero(block == pair["y"])
+    one: list[int] = []
+    two: list[int] = []
     for i in left.tolist():
-        js = right[(ids[right] > ids[i]) if blocks[0] // 65536 == blocks[0] % 65536 else slice(None)]
+        js = right[right > i] if pair["x"] == pair["y"] else right
         js = js[group[js] != group[i]]
-        if not len(js):
-            continue
-        js = js[~(keys[js, :band] == keys[i, :band]).any(axis=1)]  # each pair in its first shared band
         js = js[plausible(np.broadcast_to(sig[i], (len(js), sig.shape[1])), sig[js], percent / 100, miss)]
         for j in js.tolist():
             x, y = root(int(group[i])), root(int(group[j]))
-            if x != y and similar(sets[i], sets[j], percent):
-                parent[max(x, y)] = min(x, y)
-                out.append((int(ids[i]), int(ids[j])))
-    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+            if not words or x != y and similar(sets[packs[i]], sets[packs[j]], percent):
+                if words:
+                    parent[max(x, y)] = min(x, y)
+                one.append(i), two.append(j)
+    return one, two
+
+
+def _block_rivals(t: pa.Table, percent: int, miss: float) -> pa.Table:
+    """The members of two blocks that a signature test leaves."""
+    at = np.unique(np.array(sum(_rivals(t, percent, miss, None), []), np.int64))
+    return t.select(["band", "key", "pair", "rep", "component", "block"]).take(pa.array(at))
+
+
+def _block_links(t: pa.Table, percent: int, miss: float, words: int) -> pa.Table:
+    """Verified links between members of two blocks that are not connected yet."""
+    one, two = (pa.array(x, pa.int64()) for x in _rivals(t, percent, miss, words))
+    return pa.table({"a": t.column("rep").take(one), "b": t.column("rep").take(two)})
+
+
+NODE = "struct<id:bigint,key:bigint>"
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, words: int = 5, miss: float = 1e-6, block: int = 256
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, words: int = 5, miss: float = 1e-6, block: int = 512
 ) -> DataFrame:
     """One row per input row: id, `n_shingles`, `component_id` (smallest id reached over links of
     100 * intersection >= percent * union), `kept` (id = component_id).
@@ -204,13 +218,14 @@ def near_duplicates(
     wordless text: empty set, linked with nothing. Rows with a null id: their
     component is null and `kept` is true. Repeated ids: each row gets its own
     set and joins whichever class its set belongs to; all report the smallest
-    id. An empty table gives an empty result. `miss` bounds the probability to
-    lose a pair at the threshold, once in banding and once in the Bayesian
-    test. Memory per task: two blocks of `block` documents of a bucket."""
+    id. Texts of any length are read whole. An empty table gives an empty
+    result. `miss` bounds the probability to lose a pair at the threshold, once
+    in banding and once in the Bayesian test. Memory per task: the texts of two
+    blocks of `block` documents of a bucket."""
     bands, rows = bands_for(percent / 100, miss)
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("key"))
     sketch = staged(
-        src.mapInArrow(lambda it: _sketches(it, words, bands, rows), "id long, n long, f1 long, f2 long, sig binary, keys array<long>"), "sketches"
+        src.mapInArrow(lambda it: _sketches(it, words, bands, rows), "id long, key long, n long, f1 long, f2 long, sig binary, keys array<long>"), "sketches"
     )
     with scratch(docs.sparkSession):
         classes = staged(_classes(src, sketch, percent, words, miss, block), "final", keep=True)
@@ -221,9 +236,10 @@ def near_duplicates(
 
 def _classes(src: DataFrame, sketch: DataFrame, percent: int, words: int, miss: float, block: int) -> DataFrame:
     """The component of each class of equal sets."""
+    links_schema = f"a {NODE}, b {NODE}"
     some = sketch.where("n > 0 and id is not null")
-    reps = some.groupBy("n", "f1", "f2").agg(F.min(F.struct("id", "sig", "keys")).alias("m"))
-    reps = staged(reps.select("n", "f1", "f2", F.col("m.id").alias("rep"), F.col("m.sig").alias("sig"), F.col("m.keys").alias("keys")), "classes")
+    reps = some.groupBy("n", "f1", "f2").agg(F.min(F.struct("id", "key", "sig", "keys")).alias("m"))
+    reps = staged(reps.select("n", "f1", "f2", F.struct("m.id", "m.key").alias("rep"), F.col("m.sig").alias("sig"), F.col("m.keys").alias("keys")), "classes")
     members = reps.select("rep", F.posexplode("keys").alias("band", "key"))
     buckets = members.groupBy("band", "key").agg(F.count("*").alias("size"), F.min("rep").alias("leader")).where("size > 1")
     buckets = staged(buckets, "buckets")
@@ -231,14 +247,15 @@ def _classes(src: DataFrame, sketch: DataFrame, percent: int, words: int, miss:
     pairs = staged(filled.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     sig_a, sig_b = (reps.select(F.col("rep").alias(c), F.col("sig").alias(f"s{c}")) for c in "ab")
     alive = pairs.join(sig_a, "a").join(sig_b, "b").select("a", "b", "sa", "sb")
-    alive = staged(alive.mapInArrow(lambda it: _signature_test(it, percent, miss), "a long, b long"), "survivors")
+    alive = staged(alive.mapInArrow(lambda it: _signature_test(it, percent, miss), links_schema), "survivors")
     wide = filled.where("size > 2").select("rep")
-    wanted = alive.select(F.col("a").alias("id")).union(alive.select("b")).union(wide).distinct()
-    packs = src.mapInArrow(_packs, "id long, pack binary").join(staged(wanted, "wanted").hint("merge"), "id", "left_semi")
-    packs = staged(packs.groupBy("id").agg(F.min("pack").alias("pack")), "packs")  # in the order that the join leaves, no further shuffle
-    pack_a, pack_b = (packs.select(F.col("id").alias(c), F.col("pack").alias(f"t{c}")) for c in "ab")
+    wanted = alive.select(F.col("a").alias("rep")).union(alive.select("b")).union(wide).distinct()
+    texts = src.where("id is not null").select(F.struct("id", "key").alias("rep"), "text")
+    packs = texts.mapInArrow(_packs, f"node {NODE}, pack binary").withColumnRenamed("node", "rep").join(staged(wanted, "wanted").hint("merge"), "rep", "left_semi")
+    packs = staged(packs.groupBy("rep").agg(F.min("pack").alias("pack")), "packs")  # in the order that the join leaves, no further shuffle
+    pack_a, pack_b = (packs.select(F.col("rep").alias(c), F.col("pack").alias(f"t{c}")) for c in "ab")
     tested = alive.join(pack_a, "a").join(pack_b, "b").select("a", "b", "ta", "tb")
-    links = staged(tested.mapInArrow(lambda it: _set_test(it, percent, words), "a long, b long"), "links")
+    links = staged(tested.mapInArrow(lambda it: _set_test(it, percent, words), links_schema), "links")
     first = components(links)
 
     # buckets that still hold several components
@@ -247,10 +264,15 @@ def _classes(src: DataFrame, sketch: DataFrame, percent: int, words: int, miss:
     mixed = labelled.groupBy("band", "key").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"))
     mixed = staged(mixed.where("lo <> hi").select("band", "key", F.ceil(F.col("size") / block).cast("int").alias("blocks")), "mixed")
     rest = labelled.join(mixed, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    rest = rest.join(reps.select("rep", "sig", "keys"), "rep").join(packs.withColumnRenamed("id", "rep"), "rep")
-    both = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(F.col("block"), o) * 65536 + F.greatest(F.col("block"), o))
-    rest = rest.select("band", "key", "rep", "component", "block", "sig", "keys", "pack", F.explode(both).alias("pair"))
-    more = rest.groupBy("band", "key", "pair").applyInArrow(lambda t: _block_links(t, percent, miss, words), "a long, b long")
+    both = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(F.col("block"), o).alias("x"), F.greatest(F.col("block"), o).alias("y")))
+    rest = rest.select("band", "key", "rep", "component", "block", "blocks")
+    sigs = reps.select("rep", "sig")
+    rest = staged(rest.join(sigs, "rep"), "rest").select("band", "key", "rep", "component", "block", "sig", F.explode(both).alias("pair"))
+    group = ["band", "key", "pair"]
+    schema = rest.select(*group, "rep", "component", "block").schema
+    rivals = staged(rest.groupBy(*group).applyInArrow(lambda t: _block_rivals(t, percent, miss), schema), "rivals")
+    near = rivals.join(sigs, "rep").join(packs, "rep").select(*group, "rep", "component", "block", "sig", "pack")
+    more = near.groupBy(*group).applyInArrow(lambda t: _block_links(t, percent, miss, words), links_schema)
     final = components(links.union(staged(more, "more")))
 
-    return reps.join(final, reps["rep"] == final["node"], "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component"))
+    return reps.join(final, reps["rep"] == final["node"], "left").select("n", "f1", "f2", F.coalesce("component", "rep")["id"].alias("component"))

@@ -212,6 +212,15 @@ def test_op5_equals_brute_force(spark, odd, percent):
     assert minhash.near_duplicates(odd).count() == len(ODD) and minhash.near_duplicates(odd.where("false")).count() == 0
 
 
+def test_op5_repeated_ids_lose_no_link(spark):
+    rng = random.Random(2)
+    base, other = (" ".join(f"{c}{rng.randrange(10**6)}" for _ in range(60)) for c in "xy")
+    rows = [(1, base), (1, other), (2, base + " more"), (3, other + " more"), (7, None), (None, base)]
+    df = spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, key int")
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(df, percent=85).collect() if r.doc_id)
+    assert got == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (7, 7, True)]
+
+
 def test_bayesian_pruning_keeps_the_miss_probability():
     rng = np.random.default_rng(5)
     a = rng.integers(0, 256, (20000, 125), dtype=np.uint8)
