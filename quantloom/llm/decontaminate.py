@@ -1,10 +1,13 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
-Numbers, names and units become typed placeholders, so a question keeps its
-template when its values change. Windows of canonical tokens are hashed and
-joined with those of the benchmark; matches on one diagonal (document place
-minus item place) are counted, and the values that stand in the placeholders
-there must map one to one, as they do in a re-parameterised question."""
+A text is cut into tokens; numbers, names and units among them become typed
+placeholders, one for one, so a question keeps its template when its values
+change and each placeholder keeps its value beside it. Windows of canonical
+tokens are hashed and joined with those of the benchmark; matches on one
+diagonal (document place minus item place) are counted, and the values that
+stand in the placeholders there must map one to one, as they do in a
+re-parameterised question. Items that are too short or hold too few plain words
+for a template are matched by their own tokens."""
 
 from __future__ import annotations
 
@@ -14,33 +17,43 @@ from pyspark.sql import functions as F
 from .storage import staged
 
 WINDOW = 8
-#: other tokens than placeholders that a window needs
+#: other tokens than placeholders that a window needs to be a template
 LEAST_WORDS = 5
+#: tokens that an item needs to be told from plain language
+SHORTEST = 4
 NUMBER, NAME, UNIT = "0number", "0name", "0unit"
 # Units of measure, currency and time that follow a number.
 UNITS = "km m cm mm mi ft in kg g mg lb oz l ml s ms min h hr hrs hour hours minute minutes second seconds day days week weeks month months year years percent usd eur gbp dollar dollars euro euros pound pounds cent cents mile miles meter meters metre metres kilometer kilometers kilometre kilometres gram grams kilogram kilograms liter liters litre litres foot feet inch inches mph kmh"
-_NUMBERS = r"\d+(?:[.,]\d+)*"
-_NAMES = r"\p{Lu}(?<=[\p{Ll}\p{N},;:'’-] .)\p{Ll}\p{L}*"
-_UNITS = rf"{NUMBER}\s{{1,3}}(?:{'|'.join(sorted(UNITS.split(), key=len, reverse=True))})\b|{NUMBER}\s{{0,3}}[%$€£°]"
-_CURRENCY = rf"[$€£]\s{{0,3}}{NUMBER}"
-_GAPS = r"[^\p{L}\p{M}\p{N}]+"
+#: a number with its separators, a word, another numeral, a sign of a unit, the end of a sentence or line
+_TOKEN = r"\d+(?:[.,]\d+)*|[\p{L}\p{M}]+|\p{N}|[%$€£°]|[.!?\n]"
+_NAMES = r"(?<=[\p{L}\p{M}\p{N}] )\p{Lu}\p{Ll}[\p{L}\p{M}]*"
+_NUMBERS = r"(?<![^ ])\d[\d.,]*(?![^ ])"
+_UNITS = rf"(?<={NUMBER} )(?:{'|'.join(sorted(UNITS.split(), key=len, reverse=True))}|[%$€£°])(?![^ ])|[$€£](?= {NUMBER})"
+#: signs that belong to no number, and ends of sentences, are no tokens of a window
+_NO_TOKEN = tuple("%$€£°.!?\n")
 
 
-def canonical(text: Column) -> Column:
-    """The text with typed placeholders, lower-cased."""
-    t = F.regexp_replace(text, _NUMBERS, f" {NUMBER} ")
-    t = F.regexp_replace(t, _NAMES, f" {NAME} ")
-    t = F.regexp_replace(F.lower(t), _UNITS, f" {NUMBER} {UNIT} ")
-    return F.regexp_replace(t, _CURRENCY, f" {UNIT} {NUMBER} ")
+def _cut(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
+
+
+def _placeheld(cut: Column) -> Column:
+    """Canonical tokens: as many as there are in `cut`, as each replacement takes one token for one."""
+    t = F.regexp_replace(F.array_join(cut, " "), _NAMES, NAME)
+    t = F.regexp_replace(F.lower(t), _NUMBERS, NUMBER)
+    return F.split(F.regexp_replace(t, _UNITS, UNIT), " ")
 
 
 def tokens(text: Column) -> Column:
-    return F.filter(F.split(text, _GAPS), lambda x: x != "")
+    """Canonical tokens of the text."""
+    return F.filter(_placeheld(_cut(text)), lambda x: ~x.isin(*_NO_TOKEN) & (x != ""))
 
 
 def raw_tokens(text: Column) -> Column:
-    """Tokens of the text itself, one for each canonical token: a number with its separators is one."""
-    return F.regexp_extract_all(F.lower(text), F.lit(rf"{_NUMBERS}|[%$€£°]|[\p{{L}}\p{{M}}]+|\p{{N}}"), F.lit(0))
+    """Lower-cased tokens of the text itself, one for each canonical token."""
+    pairs = F.transform(F.array(_cut(text)), lambda t: F.arrays_zip(_placeheld(t).alias("c"), t.alias("r")))
+    kept = F.filter(F.element_at(pairs, 1), lambda x: ~x["c"].isin(*_NO_TOKEN) & (x["c"] != ""))
+    return F.transform(kept, lambda x: F.lower(x["r"]))
 
 
 def window_hashes(words: Column, size: int = WINDOW) -> Column:
@@ -55,53 +68,66 @@ def window_hashes(words: Column, size: int = WINDOW) -> Column:
     return F.element_at(F.transform(F.array(words), hashes), 1)
 
 
-def _benchmark_windows(items: DataFrame) -> DataFrame:
-    words = items.select("item_id", tokens(canonical(F.col("text"))).alias("words")).where(F.size("words") >= WINDOW)
-    at = words.select("item_id", "words", F.posexplode(window_hashes(F.col("words"))).alias("item_at", "hash"))
+def _windows(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Windows of the benchmark: templates (hash, item, item_at), and windows of own tokens (size, hash, item, item_at) of items without a template."""
+    words = staged(items.select("item", tokens(F.col("text")).alias("words"), raw_tokens(F.col("text")).alias("raw")), "benchmark-tokens")
+    at = words.select("item", "words", F.posexplode(window_hashes(F.col("words"))).alias("item_at", "hash"))
     plain = F.size(F.filter(F.slice("words", F.col("item_at") + 1, WINDOW), lambda x: ~x.isin(NUMBER, NAME, UNIT)))
-    return at.where(plain >= LEAST_WORDS).select("hash", "item_id", "item_at")
+    templates = staged(at.where(plain >= LEAST_WORDS).select("hash", "item", "item_at"), "benchmark-windows")
+    rest = words.where(F.size("raw") >= SHORTEST).join(templates.select("item").distinct(), "item", "left_anti").withColumn("size", F.least(F.size("raw"), F.lit(WINDOW)))
+    own = [rest.where(F.col("size") == n).select("size", "item", F.posexplode(window_hashes(F.col("raw"), n)).alias("item_at", "hash")) for n in range(SHORTEST, WINDOW + 1)]
+    for x in own[1:]:
+        own[0] = own[0].unionByName(x)
+    return templates, staged(own[0], "benchmark-own")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5, long_match: int = 13) -> DataFrame:
-    """doc_id, key, item_id, n_windows, coverage, n_slots, consistent: one row per document and benchmark item found in it.
+    """doc_id, key, item_id, n_windows, coverage, n_slots, consistent, template: one row per document and benchmark item found in it.
 
     An item is found if, on one diagonal, its matched windows are the share
     `coverage` of its windows or span `long_match` tokens. `consistent`: the
-    document's values in placeholders map one to one to the item's there.
-    Null and empty texts match nothing, and so do items of fewer than 8 tokens
-    or without a window of 5 words; a null or repeated id is kept apart by
-    `key`, the hash of the text. Whole texts are read. The benchmark's windows
-    are joined by hash: Spark broadcasts them only below its size threshold."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")).dropDuplicates()
-    bench = staged(_benchmark_windows(items), "benchmark-windows")
-    sizes = bench.groupBy("item_id").agg(F.countDistinct("item_at").alias("of"))
+    document's values in placeholders map one to one to the item's there;
+    without placeholders (`n_slots` = 0) there is nothing to contradict. An item
+    of fewer than 8 tokens, or none of whose windows has 5 plain words, is
+    matched by its own tokens (`template` is false), values included; one of
+    fewer than 4 tokens is no more than plain language and never found. Null
+    and empty texts match nothing. A null or repeated document id is kept apart
+    by `key`, the hash of the text; null and repeated item ids are items of
+    their own if their texts differ. Whole texts of any length are read; empty
+    tables give empty results. The benchmark's windows are joined by hash:
+    Spark broadcasts them only below its size threshold."""
+    items = staged(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text"), F.xxhash64("item_id", "text").alias("item")).dropDuplicates(), "items")
+    bench, own = _windows(items)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), F.col("text").alias("text"))
-    hashes = src.select("doc_id", "key", F.posexplode(window_hashes(tokens(canonical(F.col("text"))))).alias("doc_at", "hash"))
-    hits = hashes.join(bench, "hash").select("doc_id", "key", "item_id", "item_at", (F.col("doc_at") - F.col("item_at")).alias("shift"))
-    runs = hits.groupBy("doc_id", "key", "item_id", "shift").agg(F.countDistinct("item_at").alias("n_windows"), F.min("item_at").alias("lo"), F.max("item_at").alias("hi"))
-    runs = staged(runs, "runs").join(sizes, "item_id")
+    keep = ("doc_id", "key", "item", "item_at", (F.col("doc_at") - F.col("item_at")).alias("shift"))
+    hits = src.select("doc_id", "key", F.posexplode(window_hashes(tokens(F.col("text")))).alias("doc_at", "hash")).join(bench, "hash").select(*keep, F.lit(True).alias("template"))
+    for (n,) in own.select("size").distinct().collect():  # at most five sizes
+        by_own = src.select("doc_id", "key", F.posexplode(window_hashes(raw_tokens(F.col("text")), n)).alias("doc_at", "hash"))
+        hits = hits.unionByName(by_own.join(own.where(F.col("size") == n).drop("size"), "hash").select(*keep, F.lit(False).alias("template")))
+    sizes = staged(bench.select("item", "item_at").unionByName(own.select("item", "item_at")).groupBy("item").agg(F.countDistinct("item_at").alias("of")), "benchmark-sizes")
+    runs = hits.groupBy("doc_id", "key", "item", "template", "shift").agg(F.countDistinct("item_at").alias("n_windows"), F.min("item_at").alias("lo"), F.max("item_at").alias("hi"))
+    runs = staged(runs, "runs").join(sizes, "item")
     runs = runs.where((F.col("n_windows") >= coverage * F.col("of")) | (F.col("n_windows") >= long_match - WINDOW + 1))
     runs = staged(runs.withColumn("coverage", F.col("n_windows") / F.col("of")), "found")
 
     # values in placeholders, of the few documents found
-    ids = runs.select(F.col("doc_id").alias("d"), F.col("key").alias("k")).distinct()
+    ids = runs.where("template").select(F.col("doc_id").alias("d"), F.col("key").alias("k")).distinct()
     texts = src.join(ids, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left_semi")
-    slots = lambda df, *keep: df.select(*keep, tokens(canonical(F.col("text"))).alias("c"), raw_tokens(F.col("text")).alias("r"))
+    slots = lambda df, *keep: df.select(*keep, tokens(F.col("text")).alias("c"), raw_tokens(F.col("text")).alias("r"))
     texts = staged(slots(texts, "doc_id", "key").dropDuplicates(["doc_id", "key"]), "found-texts").withColumnsRenamed({"doc_id": "d", "key": "k", "c": "dc", "r": "dr"})
-    own = slots(items, F.col("item_id").alias("i")).dropDuplicates(["i"]).withColumnsRenamed({"c": "ic", "r": "ir"})
-    pairs = runs.join(texts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k"))).join(own, F.col("item_id") == F.col("i"))
-    span = F.sequence(F.col("lo"), F.col("hi") + WINDOW - 1)
-    aligned = (F.size("dc") == F.size("dr")) & (F.size("ic") == F.size("ir"))
+    held = staged(slots(items, "item"), "item-tokens").withColumnsRenamed({"item": "i", "c": "ic", "r": "ir"})
+    pairs = runs.join(texts, F.col("template") & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left").join(held, F.col("item") == F.col("i"))
     there = F.transform(
-        F.filter(span, lambda p: F.get("ic", p).isin(NUMBER, NAME, UNIT) & (F.get("ic", p) == F.get("dc", p + F.col("shift")))),
+        F.filter(F.sequence(F.col("lo"), F.col("hi") + WINDOW - 1), lambda p: F.get("ic", p).isin(NUMBER, NAME, UNIT) & (F.get("ic", p) == F.get("dc", p + F.col("shift")))),
         lambda p: F.struct(F.get("ir", p).alias("item"), F.get("dr", p + F.col("shift")).alias("doc")),
     )
-    pairs = pairs.withColumn("slots", F.when(aligned, there).otherwise(F.array().cast("array<struct<item:string,doc:string>>")))
+    pairs = pairs.withColumn("slots", F.when(F.col("template"), there).otherwise(F.array().cast("array<struct<item:string,doc:string>>")))
     n = F.size(F.array_distinct("slots"))
     one_to_one = (F.size(F.array_distinct(F.col("slots.item"))) == n) & (F.size(F.array_distinct(F.col("slots.doc"))) == n)
-    rows = pairs.select("doc_id", "key", "item_id", "n_windows", "coverage", F.size("slots").alias("n_slots"), one_to_one.alias("consistent"))
-    best = F.max_by(F.struct("n_windows", "coverage", "n_slots", "consistent"), F.struct("consistent", "n_windows", "n_slots"))
-    return rows.groupBy("doc_id", "key", "item_id").agg(best.alias("b")).select("doc_id", "key", "item_id", "b.*")
+    rows = pairs.select("doc_id", "key", "item", "template", "n_windows", "coverage", F.size("slots").alias("n_slots"), one_to_one.alias("consistent"))
+    best = F.max_by(F.struct("n_windows", "coverage", "n_slots", "consistent", "template"), F.struct("consistent", "n_windows", "n_slots"))
+    found = rows.groupBy("doc_id", "key", "item").agg(best.alias("b"))
+    return found.join(items.select("item", "item_id"), "item").select("doc_id", "key", "item_id", "b.*")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -263,6 +263,91 @@ def test_op7_finds_leaks_and_new_parameters(spark, odd):
     assert decontaminate.decontaminated(odd, bench).count() == len(ODD) and decontaminate.contaminated(odd.where("false"), bench).count() == 0
 
 
+def plain_tokens(text):
+    """(canonical, own) tokens of a text by a loop, without any regular expression of the operator."""
+    import unicodedata
+
+    kind = lambda c: "L" if unicodedata.category(c)[0] in "LM" else "D" if unicodedata.category(c) == "Nd" else "N" if unicodedata.category(c)[0] == "N" else ""
+    cut, i = [], 0
+    while i < len(text):
+        j = i + 1
+        if "0" <= text[i] <= "9":
+            while j < len(text) and ("0" <= text[j] <= "9" or text[j] in ".," and j + 1 < len(text) and "0" <= text[j + 1] <= "9"):
+                j += 1
+        elif kind(text[i]) == "L":
+            while j < len(text) and kind(text[j]) == "L":
+                j += 1
+        elif not kind(text[i]) and text[i] not in "%$€£°.!?\n":
+            i = j
+            continue
+        cut.append(text[i:j])
+        i = j
+    out = []
+    for k, w in enumerate(cut):
+        before, after = cut[k - 1] if k else "", cut[k + 1] if k + 1 < len(cut) else ""
+        number = lambda x: x[:1] in set("0123456789")
+        if w in ".!?\n":
+            continue
+        if number(w):
+            c = decontaminate.NUMBER
+        elif number(before) and before and (w.lower() in decontaminate.UNITS.split() or w in "%$€£°") or w in "$€£" and number(after):
+            c = decontaminate.UNIT
+        elif w in "%$€£°":
+            continue
+        elif len(w) > 1 and w[0].isupper() and w[1].islower() and before and kind(before[-1]):
+            c = decontaminate.NAME
+        else:
+            c = w.lower()
+        out.append((c, w.lower()))
+    return out
+
+
+def test_op7_equals_brute_force(spark):
+    """Changed numbers, names, units and stray signs, against all diagonals of all pairs."""
+    rng = random.Random(8)
+    pool = "a train leaves the old town of and runs along river until it meets another one that came from there with much more weight on its way".split()
+    town = ["Boston", "Paris", "Oslo", "Rome", "Kyiv"]
+
+    def item():
+        return " ".join(rng.choice([rng.choice(pool)] * 5 + [f"{rng.randrange(90)} km", rng.choice(town), str(rng.randrange(9)), "$5"]) for _ in range(rng.randrange(3, 26)))
+
+    items = [item() for _ in range(25)] + ["What is it called now", "1 2 3 4 5 6 7 8 9", "two words", "1 2 3 4 5 6 7 8 9"]
+    swap = lambda t: re.sub(r"\d+", lambda m: str((int(m[0]) * 7 + 3) % 97), re.sub("|".join(town), lambda m: town[(town.index(m[0]) + 1) % 5], t))
+    spoil = lambda t: re.sub(r"\d+", lambda m: str(rng.randrange(3)), t)
+    rows = []
+    for i in range(120):
+        t = rng.choice(items)
+        t = rng.choice([str, str, swap, spoil, lambda x: x[: len(x) // 2], str.upper])(t)
+        rows.append((i, " ".join(rng.choices(pool, k=rng.randrange(12))) + rng.choice([" ", ". ", " and $HOME 5 m² % ", "\n"]) + t + rng.choice(["", " so it is.", " 100 %", " $ and more"])))
+    bench = [(i, t) for i, t in enumerate(items)] + [(None, items[0]), (3, items[5])]
+    own = [(i, t, plain_tokens(t)) for i, t in dict.fromkeys(bench)]
+    want = {}
+    held = (decontaminate.NUMBER, decontaminate.NAME, decontaminate.UNIT)
+    for d, text in rows:
+        doc = plain_tokens(text)
+        for i, t, ws in own:
+            at = [a for a in range(len(ws) - 7) if sum(c not in held for c, _ in ws[a : a + 8]) >= 5]
+            template, size = bool(at), 8
+            if not at and len(ws) >= 4:
+                size = min(8, len(ws))
+                at = list(range(len(ws) - size + 1))
+            side = 0 if template else 1
+            best = None
+            for shift in range(-len(ws), len(doc)):
+                hit = [a for a in at if a + shift >= 0 and a + shift + size <= len(doc) and all(ws[a + k][side] == doc[a + shift + k][side] for k in range(size))]
+                if hit and (len(hit) >= 0.5 * len(at) or len(hit) >= 6):
+                    slots = [(ws[p][1], doc[p + shift][1]) for p in range(hit[0], hit[-1] + 8) if template and ws[p][0] in held and p + shift < len(doc) and ws[p][0] == doc[p + shift][0]]
+                    fits = len(set(slots)) == len({x for x, _ in slots}) == len({y for _, y in slots})
+                    best = max(best or (False, 0, 0), (fits, len(hit), len(slots)))
+            if best:
+                want[d, i, t] = (*best, template)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bdf = spark.createDataFrame(bench, "item_id long, text string")
+    got = collections.Counter((r.doc_id, r.item_id, r.consistent, r.n_windows, r.n_slots, r.template) for r in decontaminate.matches(df, bdf).collect())
+    assert got == collections.Counter((d, i, *v) for (d, i, _), v in want.items())
+    assert {v[3] for v in want.values()} == {True, False} and any(v[2] and v[0] for v in want.values()) and any(not v[0] for v in want.values())
+
+
 def test_op7_finds_every_whole_item(spark, docs, texts):
     bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
     items = {r.item_id: re.findall(r"\w+", r.text.lower()) for r in bench.collect()}
