@@ -108,16 +108,16 @@ def _texts_at(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.Rec
         yield pa.record_batch([pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(out, pa.binary())], names=["high", "low", "chunk"])
 
 
-def _cut(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], whole: bool, text: int) -> Iterator[pa.RecordBatch]:
     """The texts without the chunks that equal the first occurrence's bytes, and how many chunks and lines went."""
-    for batch in batches:
+    for batch in textkit.parts(batches, text):
         texts, gone, lines = [], [], []
         raw = batch.column("_ql_text")
-        for text, is_null, drop in zip(textkit.texts(raw), raw.is_null().to_pylist(), batch.column("_ql_drop").to_pylist(), strict=True):
+        for body, is_null, drop in zip(textkit.texts(raw), raw.is_null().to_pylist(), batch.column("_ql_drop").to_pylist(), strict=True):
             n = m = 0
             if drop:
-                text, n, m = _without(text, drop, whole)
-            texts.append(None if is_null else text.decode("utf-8", "replace")), gone.append(n), lines.append(m)
+                body, n, m = _without(body, drop, whole)
+            texts.append(None if is_null else body.decode("utf-8", "replace")), gone.append(n), lines.append(m)
         rest = [i for i, name in enumerate(batch.schema.names) if name not in ("_ql_text", "_ql_drop")]
         yield pa.record_batch(
             [*(batch.column(i) for i in rest), pa.array(texts, pa.string()), pa.array(gone, pa.int64()), pa.array(lines, pa.int64())],
@@ -154,7 +154,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty ones empty; a text may become empty, its row stays. Rows with a null
     id take part and come first. Rows that repeat both id and text count as one
     document: they keep and lose the same chunks. All other columns are carried
-    along unchanged. An empty table gives an empty one."""
+    along unchanged; with `counts`, columns of the names of the counts are
+    replaced. Whole texts of any length are read. An empty table gives an empty one."""
     key = F.xxhash64(F.col(text_col))
     src = docs.select(F.col(id_col).cast("long").alias("id"), key.alias("key"), F.col(text_col).alias("text"))
     with scratch(docs.sparkSession):
@@ -163,6 +164,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wide = all_rows.join(drop, F.col(id_col).cast("long").eqNullSafe(F.col("_ql_id")) & (F.xxhash64("_ql_text") == F.col("_ql_key")), "left").drop("_ql_id", "_ql_key")
     fields = [f for f in wide.schema.fields if f.name not in ("_ql_text", "_ql_drop")]
     schema = T.StructType([*fields, T.StructField("_ql_clean", T.StringType()), T.StructField("_ql_chunks", T.LongType()), T.StructField("_ql_lines", T.LongType())])
-    out = wide.mapInArrow(lambda it: _cut(it, whole), schema)
+    place = wide.columns.index("_ql_text")
+    out = wide.mapInArrow(lambda it: _cut(it, whole, place), schema)
     more = [F.col("_ql_chunks").alias("n_chunks_removed"), F.col("_ql_lines").alias("n_lines_removed")] if counts else []
-    return out.select(*(F.col("_ql_clean").alias(text_col) if c == text_col else F.col(c) for c in docs.columns), *more)
+    own = [c for c in docs.columns if not counts or c not in ("n_chunks_removed", "n_lines_removed")]
+    return out.select(*(F.col("_ql_clean").alias(text_col) if c == text_col else F.col(c) for c in own), *more)
