@@ -74,37 +74,63 @@ def rebalanced_map(old: list[int], shards: int, weight: list[int], tolerance: fl
     return new
 
 
-def save_map(spark: SparkSession, versions: list[list[int]], path: str | None = None) -> DataFrame:
-    """Write the map's versions (version, slot, shard) to a table and return it."""
-    rows = [(v + 1, s, k) for v, m in enumerate(versions) for s, k in enumerate(m)]
-    path = path or fresh_path(spark, "slot-map")
-    spark.createDataFrame(rows, "version int, slot int, shard int").coalesce(1).write.parquet(path)
-    return spark.read.schema("version int, slot int, shard int").parquet(path)
+MAP = "version int, slot int, shard int"
 
 
-def shard(docs: DataFrame, shards: int = 40, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16) -> DataFrame:
+def newest_map(spark: SparkSession, path: str) -> tuple[int, list[int]]:
+    """The newest version of a stored map and the shard of each slot; (0, []) where none is stored. One row a slot reaches the driver."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return 0, []
+    table = spark.read.schema(MAP).parquet(path)
+    version = table.agg(F.max("version")).first()[0] or 0
+    rows = table.where(F.col("version") == version).orderBy("slot").collect()
+    return version, [r.shard for r in rows]
+
+
+def save_map(spark: SparkSession, shard_of: list[int], path: str) -> int:
+    """Append the map as the next version (version, slot, shard) to the table at `path`; returns its number."""
+    version = newest_map(spark, path)[0] + 1
+    spark.createDataFrame([(version, s, k) for s, k in enumerate(shard_of)], MAP).coalesce(1).write.mode("append").parquet(path)
+    return version
+
+
+def shard(docs: DataFrame, shards: int = 40, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16, map_path: str | None = None) -> DataFrame:
     """Place every row in a shard; shard sizes in bytes are near equal (law `bytes`).
 
     Returns doc_id, size (UTF-8 bytes of the text plus `overhead`; null text:
     none), text_crc32, law, shard, slot (the row's place in its shard, gapless
     from 0), grown_shard (null under this law), and the virtual slot. The
     virtual slot hashes id and checksum, so repeated ids with other texts
-    spread. Null ids and repeated rows are placed like others; an empty table
-    gives an empty result."""
+    spread. Null ids and repeated rows are placed like others, equal rows in
+    any order; an empty table gives an empty result.
+
+    The newest map stored at `map_path` is loaded, or a first one stored there
+    if there is none; it is edited until the shards are level, growing by one
+    shard at a time up to `shards`, and each edit is appended as a new version.
+    Slots that need not move stay where the stored map has them."""
+    spark = docs.sparkSession
+    map_path = map_path or fresh_path(spark, "slot-map")
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(raw) + overhead).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
     rows = staged(rows.withColumn("virtual_slot", slot_of("doc_id", "text_crc32", slots=slots)), "sized")
     weight, count = [0] * slots, [0] * slots
     for s, w, c in rows.groupBy("virtual_slot").agg(F.sum("size"), F.count("*")).collect():
         weight[s], count[s] = w, c
-    versions = [first_map(shards, slots)]
-    versions.append(rebalanced_map(versions[0], shards, weight))
-    current = save_map(docs.sparkSession, versions).where("version = 2").select(F.col("slot").alias("virtual_slot"), "shard")
+    stored = newest_map(spark, map_path)[1]
+    if not stored:
+        stored = first_map(shards, slots)
+        save_map(spark, stored, map_path)
+    while max(stored) + 1 < shards:
+        stored = grown_map(stored)
+    save_map(spark, rebalanced_map(stored, shards, weight), map_path)
+    version, shard_of = newest_map(spark, map_path)
+    current = spark.read.schema(MAP).parquet(map_path).where(F.col("version") == version).select(F.col("slot").alias("virtual_slot"), "shard")
     before, next_ = [0] * slots, [0] * shards
-    for s, k in enumerate(versions[-1]):
+    for s, k in enumerate(shard_of):
         before[s] = next_[k]
         next_[k] += count[s]
-    bases = docs.sparkSession.createDataFrame(list(enumerate(before)), "virtual_slot int, base long")
+    bases = spark.createDataFrame(list(enumerate(before)), "virtual_slot int, base long")
     place = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")) - 1
     current = F.broadcast(current.join(bases, "virtual_slot"))  # one row for each of the fixed number of slots
     out = rows.withColumn("place", place).join(current, "virtual_slot")
