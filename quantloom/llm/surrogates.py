@@ -10,6 +10,7 @@ collide draw again until all are distinct."""
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import hmac
 import re
@@ -44,7 +45,9 @@ SURNAMES = {
 }
 _TITLE = {t: g for g, ts in TITLES.items() for t in ts.split()}
 _GENDER = {n: g for (_, g), names in GIVEN.items() for n in names.split()}
-_NAME = r"\b(?P<title>" + "|".join(sorted(map(re.escape, _TITLE), key=len, reverse=True)) + r")\.?[ ]+(?P<person>[^\W\d_a-z][^\W\d_]+(?:[ -][^\W\d_a-z][^\W\d_]+){0,2})"
+_WORD = r"[^\W\d_a-z](?:['’]?[^\W\d_])+"
+_NAME = r"\b(?P<title>" + "|".join(sorted(map(re.escape, _TITLE), key=len, reverse=True)) + rf")\.?[ ]+(?P<person>{_WORD}(?:[ -]{_WORD}){{0,2}})"
+_FULL_NAME = rf"\b(?P<full>(?:{'|'.join(sorted(_GENDER, key=len, reverse=True))}) {_WORD})"
 _KINDS = {
     "EMAIL": r"(?<![\w.+-])[A-Za-z0-9_+-][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "IP": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)",
@@ -57,10 +60,11 @@ _KINDS = {
     "SSN": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "PHONE": r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?![\w]|-\d)|(?<![\w.+-])\+\d{8,15}(?!\w)",
     "NAME": _NAME,
+    "FULL_NAME": _FULL_NAME,
 }
 _ALL = re.compile("|".join(f"(?P<{k}>{p})" for k, p in _KINDS.items()))
 #: what a match cannot do without: texts without any of these are not searched
-_HINT = re.compile(rf"[0-9@]|[=:][ ]?\S{{4}}|\b(?:{'|'.join(map(re.escape, _TITLE))})\b|eyJ|xox|sk-|gh[pousr]_")
+_HINT = re.compile(rf"[0-9@]|[=:][ ]?\S{{4}}|\b(?:{'|'.join(map(re.escape, [*_TITLE, *_GENDER]))})\b|eyJ|xox|sk-|gh[pousr]_")
 
 
 class Part(NamedTuple):
@@ -85,15 +89,30 @@ def script_of(text: str) -> str:
     return "Latin"
 
 
+def _name_parts(words: list[re.Match], gender: str, at: int) -> Iterator[Part]:
+    """A part for each given name and one for the surname; a listed given name tells its gender better than a title without any."""
+    if gender == "n" and len(words) > 1:
+        gender = _GENDER.get(words[0][0], "n")
+    for i, w in enumerate(words):
+        sort = "SURNAME" if i == len(words) - 1 else f"GIVEN:{gender}"
+        yield Part(at + w.start(), at + w.end(), f"{sort}:{script_of(w[0])}", w[0].casefold())
+
+
 def detect(text: str) -> list[Part]:
-    """Entities of a text in order; a titled name gives a part for each given name and one for the surname."""
+    """Entities of a text in order.
+
+    Persons are found after a title, or by a listed given name before another
+    name; every further mention of a name part found so, as a whole word, is
+    the same entity."""
     out: list[Part] = []
     if not _HINT.search(text):
         return out
     for m in _ALL.finditer(text):
         kind, found = m.lastgroup, m[0]
-        kind = "NAME" if m["person"] else kind
-        if kind == "CARD":
+        if m["person"] or m["full"]:
+            words = list(re.finditer(r"[^ ]+", m["person"] or m["full"]))
+            out += _name_parts(words, _TITLE[m["title"]] if m["person"] else "n", m.start("person" if m["person"] else "full"))
+        elif kind == "CARD":
             digits = re.sub(r"\D", "", found)
             if not luhn(digits):
                 continue
@@ -101,21 +120,21 @@ def detect(text: str) -> list[Part]:
         elif kind == "SECRET":
             value = re.sub(r"^[ ]?[=:][ ]?[\"']?", "", found)
             out.append(Part(m.end() - len(value), m.end(), kind, value))
-        elif kind == "NAME":
-            words = list(re.finditer(r"[^ ]+", m["person"]))
-            gender = _TITLE[m["title"]]
-            if gender == "n" and len(words) > 1:
-                gender = _GENDER.get(words[0][0], "n")
-            for i, w in enumerate(words):
-                at = m.start("person") + w.start()
-                sort = "SURNAME" if i == len(words) - 1 else f"GIVEN:{gender}"
-                out.append(Part(at, at + len(w[0]), f"{sort}:{script_of(w[0])}", w[0].casefold()))
         elif kind == "PHONE":
             out.append(Part(m.start(), m.end(), kind, ("+" if "+" in found else "") + re.sub(r"\D", "", found)))
         elif kind == "EMAIL":
             out.append(Part(m.start(), m.end(), kind, found.lower()))
         else:
             out.append(Part(m.start(), m.end(), kind, found.replace(" ", "") if kind == "IBAN" else found))
+    named = {text[p.start : p.end]: p for p in reversed(out) if p.kind.startswith(("SURNAME", "GIVEN"))}
+    if named:
+        taken = {p.start: p.end for p in out}
+        starts = sorted(taken)
+        for m in re.finditer(rf"\b(?:{'|'.join(sorted(map(re.escape, named), key=len, reverse=True))})\b", text):
+            i = bisect.bisect_right(starts, m.start())
+            if not i or taken[starts[i - 1]] <= m.start():
+                out.append(Part(m.start(), m.end(), *named[m[0]][2:]))
+        out.sort()
     return out
 
 
@@ -133,6 +152,10 @@ class _Stream:
         return x % n
 
 
+#: code points of the lower-case letters of scripts other than Latin, as first and end
+_ALPHABETS = [(0x3B1, 0x3C2), (0x430, 0x450), (0x5D0, 0x5EB), (0x627, 0x63B), (0x3041, 0x3097), (0x30A1, 0x30FB), (0x4E00, 0x9FA6), (0xAC00, 0xD7A4)]
+
+
 def _alike(text: str, draw: _Stream, hexadecimal: bool = False) -> str:
     out = []
     for c in text:
@@ -143,11 +166,21 @@ def _alike(text: str, draw: _Stream, hexadecimal: bool = False) -> str:
         elif c.isascii() and c.isalpha():
             x = chr(97 + draw.below(26))
             out.append(x.upper() if c.isupper() else x)
+        elif c.isalpha():
+            first, n = next(((a, b - a) for a, b in _ALPHABETS if a <= ord(c.lower()) < b), (97, 26))
+            x = chr(first + draw.below(n))
+            out.append(x.upper() if c.isupper() else x)
         else:
             out.append(c)
     return "".join(out)
 
 
+def iban(country: str, rest: str) -> str:
+    """An IBAN whose two check digits fit its country and account."""
+    value = int("".join(str(int(c, 36)) for c in rest + country + "00"))
+    return f"{country}{98 - value % 97:02d}{rest}"
+
+
 def surrogate(kind: str, canonical: str, key: bytes, attempt: int = 0) -> str:
     """The stand-in of an entity in canonical form; always another string than the entity."""
     draw = _Stream(key, kind, canonical, attempt)
@@ -167,24 +200,22 @@ def surrogate(kind: str, canonical: str, key: bytes, attempt: int = 0) -> str:
             n = canonical.startswith("+")
             keep = 1 + n if canonical.startswith("+1") else 3 * n
             new = canonical[:keep] + "".join(str(draw.below(10)) for _ in canonical[keep:])
-        elif sort in ("ACCESS_KEY", "IBAN"):
-            keep = 4 if sort == "ACCESS_KEY" else 2
-            new = canonical[:keep] + _alike(canonical[keep:], draw)
+        elif sort == "ACCESS_KEY":
+            new = canonical[:4] + _alike(canonical[4:], draw)
+        elif sort == "IBAN":
+            new = iban(canonical[:2], _alike(canonical[4:], draw))
         elif sort == "TOKEN":
             keep = re.match(r"gh[pousr]_|sk-|xox[abp]-|eyJ|", canonical)[0]
             new = keep + _alike(canonical[len(keep) :], draw)
         elif sort == "HEX":
             new = _alike(canonical, draw, hexadecimal=True)
-        elif sort == "SURNAME":
-            pool = SURNAMES[rest].split()
-            new = "-".join(pool[draw.below(len(pool))] for _ in range(1 + attempt)) if attempt < 8 else pool[draw.below(len(pool))] + _syllables(draw, rest)
-        elif sort == "GIVEN":
+        elif sort in ("SURNAME", "GIVEN"):
             gender, _, script = rest.partition(":")
-            pool = GIVEN.get((script, gender), GIVEN["Latin", "n"]).split()
-            new = "-".join(pool[draw.below(len(pool))] for _ in range(1 + attempt)) if attempt < 8 else pool[draw.below(len(pool))] + _syllables(draw, script)
+            pool = (SURNAMES[rest] if sort == "SURNAME" else GIVEN.get((script, gender), GIVEN["Latin", "n"])).split()
+            new = pool[draw.below(len(pool))] + "-" + (pool[draw.below(len(pool))] if not attempt else pool[draw.below(len(pool))] + _syllables(draw, script or rest))
         else:
             new = _alike(canonical, draw)
-        if new.casefold() != canonical.casefold():
+        if canonical.casefold() not in (new.casefold(), *new.casefold().split("-")):
             return new
     return new + "".join(str(draw.below(10)) for _ in range(6))
 
@@ -219,10 +250,27 @@ def _drawn(batches: Iterator[pa.RecordBatch], key: bytes) -> Iterator[pa.RecordB
 
 
 def surrogate_table(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
-    """kind, canonical, attempt, surrogate of every distinct entity: distinct within a kind, and no entity of the corpus."""
+    """kind, canonical, attempt, surrogate, `as_kind` of every distinct entity: distinct within a kind, and no entity of the corpus.
+
+    The first draw combines two names of a pool and leaves no key with more
+    than a few hundredths of a kind; later draws come from a space too large to
+    collide often. A given name that stands under titles of several genders is
+    one entity, drawn as `as_kind`: with the one gender that any title or list
+    tells, else with none."""
     schema = "kind string, canonical string, attempt int, surrogate string"
-    found = docs.select(text_col).mapInArrow(_entities, "kind string, canonical string").distinct().withColumn("attempt", F.lit(0))
-    table = staged(found.mapInArrow(lambda it: _drawn(it, key), schema), "surrogates")
+    found = staged(docs.select(text_col).mapInArrow(_entities, "kind string, canonical string").distinct(), "entities")
+    part = F.split("kind", ":")
+    given = found.where("kind like 'GIVEN:%'").groupBy(part[2].alias("script"), F.col("canonical").alias("name")).agg(F.bool_or(part[1] == "m").alias("m"), F.bool_or(part[1] == "f").alias("f"))
+    sex = F.when(F.expr("m and not f"), "m").when(F.expr("f and not m"), "f").otherwise("n")
+    given = staged(given.select(F.concat(F.lit("GIVEN:"), sex, F.lit(":"), "script").alias("as_kind"), "script", "name"), "given")
+    entities = found.where("kind not like 'GIVEN:%'").unionByName(given.select(F.col("as_kind").alias("kind"), F.col("name").alias("canonical"))).withColumn("attempt", F.lit(0))
+    drawn = _distinct_draws(staged(entities.mapInArrow(lambda it: _drawn(it, key), schema), "surrogates"), key, schema)
+    other = found.where("kind like 'GIVEN:%'").join(given, (part[2] == F.col("script")) & (F.col("canonical") == F.col("name"))).select("kind", "canonical", "as_kind")
+    names = found.where("kind not like 'GIVEN:%'").withColumn("as_kind", F.col("kind")).unionByName(other)
+    return names.join(drawn.withColumnRenamed("kind", "as_kind"), ["as_kind", "canonical"])
+
+
+def _distinct_draws(table: DataFrame, key: bytes, schema: str) -> DataFrame:
     real = table.select(F.col("kind").alias("k"), F.lower("canonical").alias("c"))
     while True:
         rank = F.row_number().over(Window.partitionBy("kind", F.lower("surrogate")).orderBy("attempt", "canonical"))
@@ -269,12 +317,14 @@ def pseudonymised(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
 
     Null texts stay null, empty ones empty. Null and repeated ids are treated
     row by row; other columns are not read; an empty table gives an empty
-    result. Stand-ins at the first draw are recomputed where they are needed;
-    only entities that had to draw again are joined to the documents that name
-    them."""
+    result. Texts of any length are read whole, in runs of at most 4 MB or one
+    longer text; of two possible entities at one place the one that begins
+    first counts. Stand-ins at the first draw are recomputed where they are
+    needed; only entities that had to draw again, or as another gender, are
+    joined to the documents that name them."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     table = surrogate_table(src, key)
-    again = staged(table.where("attempt > 0").select("kind", "canonical", "surrogate"), "redrawn")
+    again = staged(table.where("attempt > 0 or kind <> as_kind").select("kind", "canonical", "surrogate"), "redrawn")
     keyed = src.withColumn("key", F.xxhash64("text"))
     if again.isEmpty():
         joined = src.withColumn("special", F.lit(None).cast("array<struct<kind:string,canonical:string,surrogate:string>>"))

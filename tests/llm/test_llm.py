@@ -142,11 +142,26 @@ def test_op3_hides_entities_and_keeps_coreference(spark, odd):
     card = re.search(r"card ([\d ]+)\.", one[1])[1]
     assert re.fullmatch(r"\d{4} \d{4} \d{4} \d{4}", card) and surrogates.luhn(card.replace(" ", ""))
     m = re.search(r"Dr (\S+) (\S+) and Frau (\S+) met Mr (\S+) (\S+)\.", one[1])
-    assert m[2] == m[3] and m[1] in surrogates.GIVEN["Latin", "f"] and surrogates.script_of(m[5]) == "Cyrillic"
+    assert m[2] == m[3] and m[1].split("-")[0] in surrogates.GIVEN["Latin", "f"] and surrogates.script_of(m[5]) == "Cyrillic"
     assert [x[1] for x in got if x[0] in (3, 4)] == [None, "", "clean text 1234"]
     assert surrogates.pseudonymised(odd, b"k").count() == len(ODD) and surrogates.pseudonymised(odd.where("false"), b"k").count() == 0
 
 
+def test_op3_follows_mentions_gender_and_formats(spark):
+    a = "Mr John Smith called. Later Smith wrote to Anna Kowalska, and Kowalska told John. Mrs O'Neil paid DE89 3704 0044 0532 0130 00. password: пароль密码"
+    b = "Dr Beate Braun, then Frau Beate Braun. Smithson stays, smith stays."
+    rows = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
+    one, two = (r.text for r in surrogates.pseudonymised(rows, b"k").orderBy("doc_id").collect())
+    for secret in ("John", "Smith ", "Kowalska", "Anna", "O'Neil", "0532", "пароль", "密码"):
+        assert secret not in one
+    m = re.match(r"Mr (\S+) (\S+) called\. Later (\S+) wrote to (\S+) (\S+), and (\S+) told (\S+)\. Mrs (\S+) paid (DE[\d ]+)\.", one)
+    assert m[2] == m[3] and m[5] == m[6] and m[1] == m[7] and len({m[1], m[2], m[4], m[5], m[8]}) == 5
+    account = m[9].replace(" ", "")
+    assert int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97 == 1 and len(m[9]) == len("DE89 3704 0044 0532 0130 00")
+    n = re.match(r"Dr (\S+) (\S+), then Frau (\S+) (\S+)\. Smithson stays, smith stays\.", two)
+    assert n[1] == n[3] and n[2] == n[4] and n[1].split("-")[0] in surrogates.GIVEN["Latin", "f"]
+
+
 def test_op3_redraws_until_all_are_distinct(spark):
     names = [f"Mr X{chr(97 + i % 26)}{chr(97 + i // 26)}a" for i in range(200)]
     table = surrogates.surrogate_table(spark.createDataFrame([(i, n) for i, n in enumerate(names)], "doc_id long, text string"), b"k").collect()
@@ -157,7 +172,16 @@ def test_op3_redraws_until_all_are_distinct(spark):
 
 def test_op4_equals_brute_force(spark, odd, docs):
     own = spark.createDataFrame([(1, "x MIT  License y\nReleased under the MIT License", 0), (2, "Licensed under version 2.0 of the Apache terms license", 0), (3, "cc-by cc by by", 1)], "doc_id long, text string, id int")
-    index = {k: set(licenses.words_of(v.encode()).split()) for k, v in licenses.TEMPLATES.items()}
+    index = {k: licenses.words_of(v.encode()).split() for k, (_, _, v) in licenses.TEMPLATES.items()}
+
+    def common(a, b):
+        rows = [[0] * (len(b) + 1)]
+        for x in a:
+            rows.append([0])
+            for j, y in enumerate(b):
+                rows[-1].append(rows[-2][j] + 1 if x == y else max(rows[-2][j + 1], rows[-1][j]))
+        return rows[-1][-1]
+
     for table in (own, odd, docs):
         rows = [(r.doc_id, r.text) for r in table.select("doc_id", "text").collect()]
         want = collections.Counter()
@@ -171,15 +195,29 @@ def test_op4_equals_brute_force(spark, odd, docs):
                 base |= {label} if hit else set()
             shares = {}
             for block in licenses._blocks((t or "").encode()):
-                for k, s in index.items():
-                    if (x := len(s & set(block.split())) / len(s)) >= 0.8:
-                        shares[k] = max(x, shares.get(k, 0))
+                ws2, own = block.split(), {}
+                for k, v in index.items():
+                    label, names, _ = licenses.TEMPLATES[k]
+                    x = len(set(v) & set(ws2)) / len(set(v))
+                    if x >= 0.8 and set(names.encode().split()) <= set(ws2) and any(common(ws2[a : a + 2 * len(v)], v) >= 0.8 * len(set(v)) for a in range(len(ws2))):
+                        own[k] = (x, len(v))
+                for k, x in own.items():
+                    if all(x >= own[j] for j in own if len(set(index[j]) & set(index[k])) >= 0.8 * min(len(set(index[j])), len(set(index[k])))):
+                        label = licenses.TEMPLATES[k][0]
+                        shares[label] = max(x[0], shares.get(label, 0))
             want[d, len(ws), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | shares.keys())), round(1.0 if base else max(shares.values(), default=0.0), 9)] += 1
         got = collections.Counter((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, round(r.score, 9)) for r in licenses.scan(table).collect())
         assert got == want
     assert licenses.scan(odd.where("false")).count() == 0
 
 
+def test_op4_tells_licenses_apart(spark):
+    gpl, lgpl = licenses.TEMPLATES["gpl-notice"][2], licenses.TEMPLATES["lgpl-notice"][2]
+    rows = ["Released under the BSD License", "Licensed under CC BY-SA 4.0", "Licensed under CC BY-NC 4.0", gpl, lgpl.replace(" Software", "\nSoftware"), "the license " + "filler " * 60 + "was released under mit", "Released under the MIT License"]
+    got = {r.doc_id: (r.base_labels, r.labels) for r in licenses.scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert got == {0: ("", "bsd"), 1: ("cc-by", "cc-by,cc-by-sa"), 2: ("cc-by", "cc-by,cc-by-nc"), 3: ("gpl", "gpl"), 4: ("", "lgpl"), 5: ("", ""), 6: ("mit", "mit")}
+
+
 def family(rng, size, edits):
     base = [f"w{rng.randrange(10**6)}" for _ in range(80)]
     for _ in range(size):
@@ -246,8 +284,15 @@ def test_op6_is_level_gapless_and_grows_into_the_new_shard(docs, odd, spark):
     g = sharding.grown_map(m)
     assert all(a == b or b == 40 for a, b in zip(m, g, strict=True)) and abs(g.count(40) - len(m) / 41) <= 1
     assert sharding.shard(odd).count() == len(ODD) and sharding.shard(odd.where("false")).count() == 0
-    saved = sharding.save_map(spark, [m, g])
-    assert saved.where("version = 2 and shard = 40").count() == g.count(40)
+    path = fresh_path(spark, "map-test")
+    sharding.save_map(spark, m, path)
+    sharding.save_map(spark, g, path)
+    assert sharding.newest_map(spark, path) == (2, g)
+    again = sharding.shard(docs, shards=41, map_path=path).collect()  # starts from version 2 and adds version 3
+    version, third = sharding.newest_map(spark, path)
+    assert version == 3 and all(r.shard == third[r.virtual_slot] for r in again) and sum(a != b for a, b in zip(g, third, strict=True)) < len(g) / 4
+    first = {(r.doc_id, r.text_crc32): r for r in rows}
+    assert all(first[r.doc_id, r.text_crc32].virtual_slot == r.virtual_slot for r in again)
 
 
 def test_op7_finds_leaks_and_new_parameters(spark, odd):
