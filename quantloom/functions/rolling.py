@@ -70,10 +70,14 @@ def percent_rank(x: str, by: list[str]) -> Column:
     return average_rank(x, by) / F.count(F.col(x)).over(Window.partitionBy(*by))
 
 
-def exponential(df: DataFrame, specs: dict[str, tuple[str, float, int]], key: str = "id", order: str = "date") -> DataFrame:
+Source = str | Callable[[pd.DataFrame], pd.Series]
+
+
+def exponential(df: DataFrame, specs: dict[str, tuple[Source, float, int]], key: str = "id", order: str = "date") -> DataFrame:
     """Add columns of recursive smoothing y = a x + (1 - a) y', seeded by the first value.
 
-    specs: new column -> (source, a, least number of values). One group per
+    specs: new column -> (source, a, least number of values); a source is a
+    column, one smoothed before it, or a function of both. One group per
     instrument, so rows of one instrument must fit a task, as a price history
     does; instruments run in parallel."""
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), *(f"`{c}` double" for c in specs)])
@@ -81,7 +85,8 @@ def exponential(df: DataFrame, specs: dict[str, tuple[str, float, int]], key: st
     def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
         for c, (source, a, least) in specs.items():
-            pdf[c] = pdf[source].astype(float).ewm(alpha=a, adjust=False, min_periods=least).mean()
+            x = source(pdf) if callable(source) else pdf[source]
+            pdf[c] = x.astype(float).ewm(alpha=a, adjust=False, min_periods=least).mean()
         return pdf
 
     out = df.groupBy(key).applyInPandas(smooth, schema)

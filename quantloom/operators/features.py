@@ -22,15 +22,16 @@ def with_returns(bars: DataFrame) -> DataFrame:
 
 
 def momentum(bars: DataFrame) -> DataFrame:
-    """Difference, rate of change, bias, returns over 5, 20, 40 and 60 days, gaps to and between averages, place in the range."""
+    """Difference, rate of change, bias, returns over 5, 20, 40 and 60 days, gaps to and between averages, place in the range of closes (0.5 where there is none) and distance to its top."""
     c = F.col("close")
     change = lambda n: R.ratio(c, lagged("close", n)) - 1
-    lo, hi = R.full(F.min, "low", 20), R.full(F.max, "high", 20)
+    low, high = (lambda n: R.full(F.min, "close", n)), (lambda n: R.full(F.max, "close", n))
+    place = lambda n: F.coalesce(R.ratio(c - low(n), high(n) - low(n)), F.lit(0.5))
     return bars.select(
         "id", "date", (c - lagged("close", 10)).alias("mom"), change(10).alias("roc"), (R.ratio(c, R.mean("close", 6)) - 1).alias("bias"),
         (-change(5)).alias("reversal"), change(20).alias("mom20"), change(40).alias("mom40"), change(60).alias("mom60"),
-        (R.ratio(c, R.mean("close", 20)) - 1).alias("ma_gap20"), (R.ratio(R.mean("close", 10), R.mean("close", 40)) - 1).alias("ma_cross"),
-        F.when(hi == lo, 0.5).otherwise(R.ratio(c - lo, hi - lo)).alias("place20"), (R.ratio(c, hi) - 1).alias("to_high20"),
+        *((R.ratio(c, R.mean("close", n)) - 1).alias(f"ma_gap{n}") for n in (20, 60)), (R.ratio(R.mean("close", 10), R.mean("close", 40)) - 1).alias("ma_cross"),
+        *(place(n).alias(f"place{n}") for n in (20, 60)), (R.ratio(c, high(60)) - 1).alias("to_high60"),
     )
 
 
@@ -48,7 +49,7 @@ def volatility(bars: DataFrame) -> DataFrame:
 
 
 def liquidity(bars: DataFrame) -> DataFrame:
-    """Volume ratio and trend, turnover stability, log dollar volume, Amihud illiquidity, on-balance volume and money flow."""
+    """Volume ratio and trend, turnover ratio and stability, log dollar volume, turnover by volatility, Amihud illiquidity, on-balance volume with its mean and money flow (null without falls)."""
     typical = (F.col("high") + F.col("low") + F.col("close")) / 3
     df = with_returns(bars).withColumn("typical", typical).withColumn("diff", F.col("close") - lagged("close"))
     df = df.withColumn("rise", F.col("typical") - lagged("typical")).withColumn("flow", F.col("typical") * F.col("volume"))
@@ -56,54 +57,67 @@ def liquidity(bars: DataFrame) -> DataFrame:
     up = F.sum(F.when(F.col("rise") > 0, F.col("flow")).otherwise(0.0)).over(R.last_n(14))
     down = F.sum(F.when(F.col("rise") < 0, F.col("flow")).otherwise(0.0)).over(R.last_n(14))
     impact = R.ratio(F.abs("ret"), F.greatest(F.col("turnover"), F.lit(1.0)))
+    df = df.withColumn("proxy", F.greatest(F.col("turnover"), F.lit(1.0))).withColumn("obv", F.sum("signed").over(R.history().rowsBetween(Window.unboundedPreceding, 0)))
+    log_mean = F.log1p(R.mean("proxy", 20))
     return df.select(
         "id", "date", R.ratio(F.col("volume"), R.mean("volume", 20)).alias("volume_ratio"), (R.ratio(R.mean("volume", 5), R.mean("volume", 20)) - 1).alias("volume_trend"),
-        R.ratio(R.std("turnover", 20), R.mean("turnover", 20)).alias("turnover_cv"), F.log1p(R.mean("turnover", 20)).alias("log_turnover"), (R.mean(impact, 20) * 1e6).alias("amihud"),
-        F.sum("signed").over(R.history().rowsBetween(Window.unboundedPreceding, 0)).alias("obv"),
-        F.when(F.count("rise").over(R.last_n(14)) >= 14, 100 * R.ratio(up, up + down)).alias("mfi"),
+        R.ratio(F.col("proxy"), R.mean("proxy", 20)).alias("turnover_ratio"), R.ratio(R.mean("proxy", 20), R.std("proxy", 20)).alias("turnover_stability"), log_mean.alias("log_turnover"),
+        R.ratio(log_mean, R.std("ret", 20) * F.sqrt(F.lit(252.0))).alias("vol_turnover"), (R.mean(impact, 20) * 1e6).alias("amihud"), "obv", R.mean("obv", 20).alias("obv_mean"),
+        F.when(F.count("*").over(R.last_n(14)) >= 14, 100 - 100 / (1 + R.ratio(up, down))).alias("mfi"),
     )
 
 
 def oscillators(bars: DataFrame) -> DataFrame:
-    """Commodity channel index and the high-to-low mean ratio with its z-score over 60 days."""
+    """Commodity channel index and the high-to-low mean ratio with its z-score over 600 days."""
     df = bars.withColumn("typical", (F.col("high") + F.col("low") + F.col("close")) / 3).withColumn("ma", R.mean("typical", 20))
     df = df.withColumn("away", F.abs(F.col("typical") - F.col("ma"))).withColumn("rsrs", R.ratio(R.mean("high", 18), R.mean("low", 18)))
-    return df.select("id", "date", R.ratio(F.col("typical") - F.col("ma"), 0.015 * R.mean("away", 20)).alias("cci"), "rsrs", R.ratio(F.col("rsrs") - R.mean("rsrs", 60), R.std0("rsrs", 60)).alias("rsrs_z"))
+    return df.select("id", "date", R.ratio(F.col("typical") - F.col("ma"), 0.015 * R.mean("away", 20)).alias("cci"), "rsrs", R.ratio(F.col("rsrs") - R.mean("rsrs", 600), R.std0("rsrs", 600)).alias("rsrs_z"))
 
 
 def regression_slope(bars: DataFrame) -> DataFrame:
-    """Slope of high on low over 18 bars, its z-score over 60 slopes (48 at least), and volume-return correlation."""
-    w = R.last_n(18)
+    """Slope of high on low over 18 bars with its z-score over 252 slopes (80 % at least), correlation of return and change of volume over 20 bars (16 at least), and the percentile of the Bollinger width among the last 60."""
+    w, h = R.last_n(18), R.last_n(20)
     slope = F.when(F.count("*").over(w) >= 18, R.ratio(F.covar_pop("high", "low").over(w), F.var_pop("low").over(w)))
-    df = with_returns(bars).withColumn("slope", slope)
-    pair = F.count(F.col("ret")).over(R.last_n(20)) >= 20
-    return df.select("id", "date", "slope", R.ratio(F.col("slope") - R.mean("slope", 60, 48), R.std0("slope", 60, 48)).alias("slope_z"), F.when(pair, F.corr("ret", "volume").over(R.last_n(20))).alias("pv_corr"))
+    df = with_returns(bars).withColumn("slope", slope).withColumn("change", R.ratio(F.col("volume"), lagged("volume")) - 1).withColumn("width", R.ratio(4 * R.std0("close", 20), R.mean("close", 20)))
+    x, y = F.when(F.col("change").isNotNull(), F.col("ret")), F.when(F.col("ret").isNotNull(), F.col("change"))
+    spread = F.stddev_pop(x).over(h) * F.stddev_pop(y).over(h)
+    widths = F.filter(F.collect_list("width").over(R.last_n(60)), lambda v: v.isNotNull())
+    z = R.ratio(F.col("slope") - R.mean("slope", 252, 202), R.std0("slope", 252, 202))
+    return df.select("id", "date", "slope", z.alias("slope_z"), F.when((F.count(x).over(h) >= 16) & (spread > 1e-12), F.covar_pop(x, y).over(h) / spread).alias("pv_corr"), F.when(F.col("width").isNotNull(), F.size(F.filter(widths, lambda v: v <= F.col("width"))) / F.size(widths)).alias("width_pct"))
 
 
 def beta(bars: DataFrame, bench: DataFrame, n: int = 60) -> DataFrame:
-    """Rolling beta to the benchmark's return and 20-day momentum in excess of the benchmark's. Benchmark rows are one a day."""
+    """Rolling beta to the benchmark's return and 20- and 60-day momentum in excess of the benchmark's. Benchmark rows are one a day."""
     by_date = R.history("_all")
-    b = bench.withColumn("_all", F.lit(0)).select("date", (R.ratio(F.col("bench"), F.lag("bench").over(by_date)) - 1).alias("bret"), (R.ratio(F.col("bench"), F.lag("bench", 20).over(by_date)) - 1).alias("bmom"))
+    b = bench.withColumn("_all", F.lit(0)).select("date", (R.ratio(F.col("bench"), F.lag("bench").over(by_date)) - 1).alias("bret"), *((R.ratio(F.col("bench"), F.lag("bench", n).over(by_date)) - 1).alias(f"bmom{n}") for n in (20, 60)))
     df = with_returns(bars).join(b, "date", "left")
     w = R.last_n(n)
     x, y = F.when(F.col("bret").isNotNull(), F.col("ret")), F.when(F.col("ret").isNotNull(), F.col("bret"))
     return df.select(
         "id", "date", F.when(F.count(x).over(w) >= n, R.ratio(F.covar_samp(x, y).over(w), F.var_samp(y).over(w))).alias("beta"),
-        (R.ratio(F.col("close"), lagged("close", 20)) - 1 - F.col("bmom")).alias("excess_mom20"),
+        *((R.ratio(F.col("close"), lagged("close", n)) - 1 - F.col(f"bmom{n}")).alias(f"excess_mom{n}") for n in (20, 60)),
     )
 
 
 def smoothed(bars: DataFrame) -> DataFrame:
-    """Wilder RSI and ATR of 14 days, MACD histogram 12/26/9 and EMA 12."""
+    """Wilder RSI, ATR and ADX of 14 days, MACD histogram 12/26/9, EMA 12 and 26, and KDJ of 9 days, in one pass over each instrument's history.
+
+    The directional moves of this ADX do not exclude each other."""
     prev = lagged("close")
+    span = R.full(F.max, "high", 9) - R.full(F.min, "low", 9)
     df = bars.select(
-        "id", "date", "close", F.greatest(F.col("close") - prev, F.lit(0.0)).alias("gain"), F.greatest(prev - F.col("close"), F.lit(0.0)).alias("loss"),
+        "id", "date", "close", F.when(prev.isNotNull(), F.greatest(F.col("close") - prev, F.lit(0.0))).alias("gain"), F.when(prev.isNotNull(), F.greatest(prev - F.col("close"), F.lit(0.0))).alias("loss"),
         F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - prev), F.abs(F.col("low") - prev)).alias("range"),
+        F.greatest(F.coalesce(F.col("high") - lagged("high"), F.lit(0.0)), F.lit(0.0)).alias("up"), F.greatest(F.coalesce(lagged("low") - F.col("low"), F.lit(0.0)), F.lit(0.0)).alias("down"),
+        (100 * R.ratio(F.col("close") - R.full(F.min, "low", 9), span)).alias("rsv"),
     )
-    df = df.withColumns({"gain": F.when(prev.isNotNull(), F.col("gain")), "loss": F.when(prev.isNotNull(), F.col("loss"))})
-    df = R.exponential(df, {"g": ("gain", 1 / 14, 14), "l": ("loss", 1 / 14, 14), "atr": ("range", 1 / 14, 14), "e12": ("close", 2 / 13, 1), "e26": ("close", 2 / 27, 1)})
-    df = R.exponential(df.withColumn("dif", F.col("e12") - F.col("e26")), {"dea": ("dif", 2 / 10, 1)})
-    return df.select("id", "date", (100 - 100 / (1 + R.ratio(F.col("g"), F.col("l")))).alias("rsi"), "atr", "e12", (2 * (F.col("dif") - F.col("dea"))).alias("macd"))
+    dx = lambda t: 100 * ((t["pu"] - t["pd"]).abs() / (t["pu"] + t["pd"]).where(lambda x: x != 0))
+    df = R.exponential(df, {
+        "g": ("gain", 1 / 14, 14), "l": ("loss", 1 / 14, 14), "atr": ("range", 1 / 14, 14), "e12": ("close", 2 / 13, 1), "e26": ("close", 2 / 27, 1), "dea": (lambda t: t["e12"] - t["e26"], 2 / 10, 1),
+        "pu": ("up", 1 / 14, 14), "pd": ("down", 1 / 14, 14), "adx": (dx, 1 / 14, 14), "k": ("rsv", 1 / 3, 1), "d": ("k", 1 / 3, 1),
+    })
+    k, d = F.col("k"), F.col("d")
+    return df.select("id", "date", (100 - 100 / (1 + R.ratio(F.col("g"), F.col("l")))).alias("rsi"), "atr", "e12", "e26", (2 * (F.col("e12") - F.col("e26") - F.col("dea"))).alias("macd"), "adx", "k", "d", (3 * k - 2 * d).alias("j"))
 
 
 def percentile_of_last(df: DataFrame, x: str, n: int, least: int) -> Column:

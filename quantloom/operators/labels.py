@@ -8,15 +8,25 @@ from pyspark.sql import functions as F
 from quantloom.functions import rolling as R
 
 
-def forward_returns(bars: DataFrame, horizons: tuple[int, ...] = (1, 5, 10), lag: int = 1) -> DataFrame:
-    """Return of each horizon entered `lag` bars later, with entry and exit date of the longest, and forward volatility."""
+def forward_returns(bars: DataFrame, horizons: tuple[int, ...] = (1, 5, 10), lag: int = 1, cost: float = 0.0) -> DataFrame:
+    """Return of each horizon entered `lag` bars later, less a round trip's cost, with entry and exit date of the longest, and forward volatility."""
     lead = lambda x, n: F.lead(x, n).over(R.history())
     h = max(horizons)
     df = bars.withColumn("ret", R.ratio(F.col("close"), F.lag("close").over(R.history())) - 1)
     w = R.next_n(lag + 1, lag + h)
     vol = F.when(F.count("ret").over(w) >= h, F.stddev_samp("ret").over(w))
-    worst = F.when(F.count("close").over(w) >= h, R.ratio(F.min("close").over(w), lead("close", lag)) - 1)
-    return df.select("id", "date", *((R.ratio(lead("close", lag + n), lead("close", lag)) - 1).alias(f"fwd{n}") for n in horizons), lead("date", lag).alias("entry_date"), lead("date", lag + h).alias("exit_date"), vol.alias("fwd_vol"), worst.alias("fwd_low"))
+    return df.select("id", "date", *((R.ratio(lead("close", lag + n), lead("close", lag)) - 1 - cost).alias(f"fwd{n}") for n in horizons), lead("date", lag).alias("entry_date"), lead("date", lag + h).alias("exit_date"), vol.alias("fwd_vol"))
+
+
+def horizon_labels(bars: DataFrame, bench: DataFrame, h: int = 20) -> DataFrame:
+    """Return over the next h bars in excess of the benchmark's over its next h days, yearly volatility of the returns between those bars and their deepest fall from the running maximum; null without h bars ahead."""
+    ahead = R.next_n(1, h)
+    b = bench.select("date", (R.ratio(F.lead("bench", h).over(Window.orderBy("date")), F.col("bench")) - 1).alias("_bench"))  # one row a day
+    df = bars.withColumn("_ret", R.ratio(F.col("close"), F.lag("close").over(R.history())) - 1).withColumn("_next", F.collect_list("close").over(ahead))
+    fall = F.aggregate("_next", F.struct(F.lit(0.0).alias("top"), F.lit(0.0).alias("fall")), lambda s, c: F.struct(F.greatest(s["top"], c).alias("top"), F.greatest(s["fall"], 1 - c / F.greatest(s["top"], c)).alias("fall")))["fall"]
+    whole = F.size("_next") == h
+    df = df.withColumn("_vol", F.stddev_samp("_ret").over(R.next_n(2, h)) * F.sqrt(F.lit(252.0))).withColumn("_fwd", R.ratio(F.lead("close", h).over(R.history()), F.col("close")) - 1)
+    return df.join(b, "date", "left").select("id", "date", (F.col("_fwd") - F.col("_bench")).alias("excess"), F.when(whole, F.col("_vol")).alias("volatility"), F.when(whole, fall).alias("fall"))
 
 
 def peer_relative(df: DataFrame, x: str, group: str, low: float = 0.05, high: float = 0.95, least: int = 3) -> DataFrame:

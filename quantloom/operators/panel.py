@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from quantloom.functions import rolling as R
 
 
-def adjusted(bars: DataFrame, factors: DataFrame, mode: str = "post") -> DataFrame:
-    """Prices times the cumulative factor in force on the day (1 before the first), volume divided by it; `pre` rebases to the last factor."""
+def adjusted(bars: DataFrame, factors: DataFrame, mode: str = "post", origin: str | None = None) -> DataFrame:
+    """Prices times the cumulative factor in force on the day (1 before the first), volume divided by it; `pre` divides the factor by the one in force on the day `origin`, or by the last."""
     df = R.asof(bars, factors, ["id"], "date", "ex_date", ["factor"])
     f = F.coalesce("factor", F.lit(1.0))
     if mode == "pre":
-        f = f / F.coalesce(F.max("factor").over(Window.partitionBy("id")), F.lit(1.0))
+        known = factors if origin is None else factors.where(F.col("ex_date") <= F.lit(origin).cast("date"))
+        df = df.join(known.groupBy("id").agg(F.max_by("factor", "ex_date").alias("_base")), "id", "left")
+        f = f / F.coalesce("_base", F.lit(1.0))
     return df.withColumn("f", f).select("id", "date", *((F.col(c) * F.col("f")).alias(c) for c in ("open", "high", "low", "close")), (F.col("volume") / F.col("f")).alias("volume"), "f")
 
 

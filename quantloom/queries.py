@@ -28,7 +28,7 @@ bench AS (SELECT CAST(l_shipdate AS DATE) AS date, sum(l_extendedprice) / sum(l_
 inst AS (SELECT s_suppkey AS id, n_name AS industry, r_name AS sector FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 FWD = """fwd AS (SELECT id, date, lead(close, 2) OVER h / lead(close, 1) OVER h - 1 AS fwd1, lead(close, 6) OVER h / lead(close, 1) OVER h - 1 AS fwd5, lead(close, 11) OVER h / lead(close, 1) OVER h - 1 AS fwd10,
 lead(date, 1) OVER h AS entry_date, lead(date, 11) OVER h AS exit_date,
-CASE WHEN count(ret) OVER f >= 10 THEN stddev_samp(ret) OVER f END AS fwd_vol, CASE WHEN count(close) OVER f >= 10 THEN min(close) OVER f / lead(close, 1) OVER h - 1 END AS fwd_low
+CASE WHEN count(ret) OVER f >= 10 THEN stddev_samp(ret) OVER f END AS fwd_vol
 FROM rets WINDOW h AS (PARTITION BY id ORDER BY date), f AS (PARTITION BY id ORDER BY date ROWS BETWEEN 2 FOLLOWING AND 11 FOLLOWING)),
 sig AS (SELECT *, -(close / lag(close, 5) OVER h - 1) AS reversal, close / lag(close, 20) OVER h - 1 AS mom20 FROM bars WINDOW h AS (PARTITION BY id ORDER BY date)),
 pan AS (SELECT sig.*, fwd1, fwd5, fwd10 FROM sig JOIN fwd USING (id, date))"""
@@ -120,13 +120,10 @@ def bars_post_adjusted(spark, d):
     return panel.adjusted(market.bars(spark, d), market.ex_factors(spark, d))
 
 
-@query(f"{BARS}, {_FACTORS}, g AS (SELECT * EXCLUDE (f), f / max(f) OVER (PARTITION BY id) AS f FROM adj) SELECT id, date, {_rounded('open * f AS open', 'high * f AS high', 'low * f AS low', 'close * f AS close', 'volume / f AS volume', 'f')} FROM g")
+@query(f"""{BARS}, {_FACTORS}, o AS (SELECT id, arg_max(factor, ex_date) AS base FROM fx WHERE ex_date <= DATE '1995-06-30' GROUP BY id), g AS (SELECT adj.* EXCLUDE (f), f / coalesce(base, 1.0) AS f FROM adj LEFT JOIN o USING (id))
+SELECT id, date, {_rounded('open * f AS open', 'high * f AS high', 'low * f AS low', 'close * f AS close', 'volume / f AS volume', 'f')} FROM g""")
 def bars_pre_adjusted(spark, d):
-    # the last factor in force on a bar rebases
-    df = R.asof(market.bars(spark, d), market.ex_factors(spark, d), ["id"], "date", "ex_date", ["factor"])
-    last = F.max(F.coalesce("factor", F.lit(1.0))).over(Window.partitionBy("id"))
-    df = df.withColumn("f", F.coalesce("factor", F.lit(1.0)) / last)
-    return df.select("id", "date", *((F.col(c) * F.col("f")).alias(c) for c in ("open", "high", "low", "close")), (F.col("volume") / F.col("f")).alias("volume"), "f")
+    return panel.adjusted(market.bars(spark, d), market.ex_factors(spark, d), "pre", "1995-06-30")
 
 
 @query(f"""{BARS}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY date DESC)::INT AS back FROM bars)
@@ -149,9 +146,8 @@ def data_quality(spark, d):
 
 @query(f"""{BARS} SELECT id, date, {_rounded(
     'close - lag(close, 10) OVER h AS mom', 'close / lag(close, 10) OVER h - 1 AS roc', f"close / ({full('avg', 'close', 6)}) - 1 AS bias", '-(close / lag(close, 5) OVER h - 1) AS reversal',
-    'close / lag(close, 20) OVER h - 1 AS mom20', 'close / lag(close, 40) OVER h - 1 AS mom40', 'close / lag(close, 60) OVER h - 1 AS mom60', f"close / ({full('avg', 'close', 20)}) - 1 AS ma_gap20",
-    f"({full('avg', 'close', 10)}) / ({full('avg', 'close', 40)}) - 1 AS ma_cross", f"CASE WHEN ({full('max', 'high', 20)}) = ({full('min', 'low', 20)}) THEN 0.5 ELSE (close - ({full('min', 'low', 20)})) / (({full('max', 'high', 20)}) - ({full('min', 'low', 20)})) END AS place20",
-    f"close / ({full('max', 'high', 20)}) - 1 AS to_high20")} FROM bars WINDOW h AS (PARTITION BY id ORDER BY date)""")
+    'close / lag(close, 20) OVER h - 1 AS mom20', 'close / lag(close, 40) OVER h - 1 AS mom40', 'close / lag(close, 60) OVER h - 1 AS mom60', f"close / ({full('avg', 'close', 20)}) - 1 AS ma_gap20", f"close / ({full('avg', 'close', 60)}) - 1 AS ma_gap60",
+    f"({full('avg', 'close', 10)}) / ({full('avg', 'close', 40)}) - 1 AS ma_cross", *(f"coalesce((close - ({full('min', 'close', n)})) / nullif(({full('max', 'close', n)}) - ({full('min', 'close', n)}), 0), 0.5) AS place{n}" for n in (20, 60)), f"close / ({full('max', 'close', 60)}) - 1 AS to_high60")} FROM bars WINDOW h AS (PARTITION BY id ORDER BY date)""")
 def factors_momentum(spark, d):
     return features.momentum(market.bars(spark, d))
 
@@ -165,28 +161,30 @@ def factors_volatility(spark, d):
 
 @query(f"""{BARS}, p AS (SELECT *, (high + low + close) / 3 AS typical, coalesce(sign(close - prev), 0) * volume AS signed, abs(ret) / greatest(turnover, 1) AS impact FROM rets),
 q AS (SELECT *, typical - lag(typical) OVER (PARTITION BY id ORDER BY date) AS rise, typical * volume AS flow FROM p),
-r AS (SELECT *, sum(CASE WHEN rise > 0 THEN flow ELSE 0 END) OVER {w(14)} AS up, sum(CASE WHEN rise < 0 THEN flow ELSE 0 END) OVER {w(14)} AS dn FROM q)
-SELECT id, date, {_rounded(f"volume / ({full('avg', 'volume', 20)}) AS volume_ratio", f"({full('avg', 'volume', 5)}) / ({full('avg', 'volume', 20)}) - 1 AS volume_trend", f"({full('stddev_samp', 'turnover', 20)}) / ({full('avg', 'turnover', 20)}) AS turnover_cv",
-    f"ln(1 + ({full('avg', 'turnover', 20)})) AS log_turnover", f"({full('avg', 'impact', 20)}) * 1e6 AS amihud", 'sum(signed) OVER (PARTITION BY id ORDER BY date ROWS UNBOUNDED PRECEDING) AS obv', f"CASE WHEN count(rise) OVER {w(14)} >= 14 THEN 100 * up / nullif(up + dn, 0) END AS mfi")} FROM r""")
+r AS (SELECT *, sum(CASE WHEN rise > 0 THEN flow ELSE 0 END) OVER {w(14)} AS up, sum(CASE WHEN rise < 0 THEN flow ELSE 0 END) OVER {w(14)} AS dn, greatest(turnover, 1) AS proxy, sum(signed) OVER (PARTITION BY id ORDER BY date ROWS UNBOUNDED PRECEDING) AS obv FROM q)
+SELECT id, date, {_rounded(f"volume / ({full('avg', 'volume', 20)}) AS volume_ratio", f"({full('avg', 'volume', 5)}) / ({full('avg', 'volume', 20)}) - 1 AS volume_trend", f"proxy / ({full('avg', 'proxy', 20)}) AS turnover_ratio", f"({full('avg', 'proxy', 20)}) / nullif({full('stddev_samp', 'proxy', 20)}, 0) AS turnover_stability",
+    f"ln(1 + ({full('avg', 'proxy', 20)})) AS log_turnover", f"ln(1 + ({full('avg', 'proxy', 20)})) / nullif(({full('stddev_samp', 'ret', 20)}) * sqrt(252), 0) AS vol_turnover", f"({full('avg', 'impact', 20)}) * 1e6 AS amihud", 'obv', f"{full('avg', 'obv', 20)} AS obv_mean", f"CASE WHEN count(*) OVER {w(14)} >= 14 THEN 100 - 100 / (1 + up / nullif(dn, 0)) END AS mfi")} FROM r""")
 def factors_liquidity(spark, d):
     return features.liquidity(market.bars(spark, d))
 
 
 @query(f"""{BARS}, p AS (SELECT *, (high + low + close) / 3 AS typical, ({full('avg', 'high', 18)}) / ({full('avg', 'low', 18)}) AS rsrs FROM bars), q AS (SELECT *, {full('avg', 'typical', 20)} AS ma FROM p), r AS (SELECT *, abs(typical - ma) AS away FROM q)
-SELECT id, date, {_rounded(f"(typical - ma) / nullif(0.015 * ({full('avg', 'away', 20)}), 0) AS cci", 'rsrs', f"(rsrs - ({full('avg', 'rsrs', 60)})) / nullif({full('stddev_pop', 'rsrs', 60)}, 0) AS rsrs_z")} FROM r""")
+SELECT id, date, {_rounded(f"(typical - ma) / nullif(0.015 * ({full('avg', 'away', 20)}), 0) AS cci", 'rsrs', f"(rsrs - ({full('avg', 'rsrs', 600)})) / nullif({full('stddev_pop', 'rsrs', 600)}, 0) AS rsrs_z")} FROM r""")
 def factors_oscillators(spark, d):
     return features.oscillators(market.bars(spark, d))
 
 
-@query(f"""{BARS}, p AS (SELECT *, CASE WHEN count(*) OVER {w(18)} >= 18 THEN covar_pop(high, low) OVER {w(18)} / nullif(var_pop(low) OVER {w(18)}, 0) END AS slope FROM rets)
-SELECT id, date, {_rounded('slope', f"(slope - ({full('avg', 'slope', 60, 48)})) / nullif({full('stddev_pop', 'slope', 60, 48)}, 0) AS slope_z", f"CASE WHEN count(ret) OVER {w(20)} >= 20 THEN corr(ret, volume) OVER {w(20)} END AS pv_corr")} FROM p""")
+@query(f"""{BARS}, p AS (SELECT *, CASE WHEN count(*) OVER {w(18)} >= 18 THEN covar_pop(high, low) OVER {w(18)} / nullif(var_pop(low) OVER {w(18)}, 0) END AS slope, volume / nullif(lag(volume) OVER (PARTITION BY id ORDER BY date), 0) - 1 AS change,
+4 * ({full('stddev_pop', 'close', 20)}) / ({full('avg', 'close', 20)}) AS width FROM rets), q AS (SELECT *, CASE WHEN change IS NOT NULL THEN ret END AS x, CASE WHEN ret IS NOT NULL THEN change END AS y, list(width) OVER {w(60)} AS ws FROM p),
+r AS (SELECT *, stddev_pop(x) OVER {w(20)} * stddev_pop(y) OVER {w(20)} AS sxy FROM q)
+SELECT id, date, {_rounded('slope', f"(slope - ({full('avg', 'slope', 252, 202)})) / nullif({full('stddev_pop', 'slope', 252, 202)}, 0) AS slope_z", f"CASE WHEN count(x) OVER {w(20)} >= 16 AND sxy > 1e-12 THEN covar_pop(x, y) OVER {w(20)} / sxy END AS pv_corr", 'CASE WHEN width IS NOT NULL THEN len(list_filter(ws, lambda v: v <= width))::DOUBLE / len(list_filter(ws, lambda v: v IS NOT NULL)) END AS width_pct')} FROM r""")
 def factors_regression(spark, d):
     return features.regression_slope(market.bars(spark, d))
 
 
-@query(f"""{BARS}, b AS (SELECT date, bench / lag(bench) OVER (ORDER BY date) - 1 AS bret, bench / lag(bench, 20) OVER (ORDER BY date) - 1 AS bmom FROM bench),
+@query(f"""{BARS}, b AS (SELECT date, bench / lag(bench) OVER (ORDER BY date) - 1 AS bret, bench / lag(bench, 20) OVER (ORDER BY date) - 1 AS bmom20, bench / lag(bench, 60) OVER (ORDER BY date) - 1 AS bmom60 FROM bench),
 p AS (SELECT *, CASE WHEN bret IS NOT NULL THEN ret END AS x, CASE WHEN ret IS NOT NULL THEN bret END AS y FROM rets JOIN b USING (date))
-SELECT id, date, {_rounded(f"CASE WHEN count(x) OVER {w(60)} >= 60 THEN covar_samp(x, y) OVER {w(60)} / nullif(var_samp(y) OVER {w(60)}, 0) END AS beta", 'close / lag(close, 20) OVER (PARTITION BY id ORDER BY date) - 1 - bmom AS excess_mom20')} FROM p""")
+SELECT id, date, {_rounded(f"CASE WHEN count(x) OVER {w(60)} >= 60 THEN covar_samp(x, y) OVER {w(60)} / nullif(var_samp(y) OVER {w(60)}, 0) END AS beta", *(f'close / lag(close, {n}) OVER (PARTITION BY id ORDER BY date) - 1 - bmom{n} AS excess_mom{n}' for n in (20, 60)))} FROM p""")
 def factors_beta(spark, d):
     return features.beta(market.bars(spark, d), market.benchmark(spark, d))
 
@@ -197,19 +195,21 @@ def _ema(x: str, a: float, n: str = "n", key: str = "id") -> str:
     return f"(sum(CASE WHEN {n} = 1 THEN {x} ELSE {a!r} * {x} END * pow({r!r}, -{n})) OVER (PARTITION BY {key} ORDER BY {n} ROWS UNBOUNDED PRECEDING) * pow({r!r}, {n}))"
 
 
-@query(f"""{BARS}, p AS (SELECT id, date, row_number() OVER (PARTITION BY id ORDER BY date) AS n, close, prev, greatest(close - prev, 0) AS gain, greatest(prev - close, 0) AS loss, CASE WHEN prev IS NULL THEN high - low ELSE greatest(high - low, abs(high - prev), abs(low - prev)) END AS rng FROM rets),
+@query(f"""{BARS}, p AS (SELECT id, date, row_number() OVER (PARTITION BY id ORDER BY date) AS n, close, prev, greatest(close - prev, 0) AS gain, greatest(prev - close, 0) AS loss, CASE WHEN prev IS NULL THEN high - low ELSE greatest(high - low, abs(high - prev), abs(low - prev)) END AS rng,
+greatest(coalesce(high - lag(high) OVER (PARTITION BY id ORDER BY date), 0), 0) AS up, greatest(coalesce(lag(low) OVER (PARTITION BY id ORDER BY date) - low, 0), 0) AS down, 100 * (close - ({full('min', 'low', 9)})) / nullif(({full('max', 'high', 9)}) - ({full('min', 'low', 9)}), 0) AS rsv FROM rets),
 g AS (SELECT id, date, n - 1 AS m, gain, loss FROM p WHERE n > 1), g2 AS (SELECT id, date, m, {_ema('gain', 1 / 14, 'm')} AS g, {_ema('loss', 1 / 14, 'm')} AS l FROM g),
-e AS (SELECT *, {_ema('rng', 1 / 14)} AS atr, {_ema('close', 2 / 13)} AS e12, {_ema('close', 2 / 27)} AS e26 FROM p), f AS (SELECT *, e12 - e26 AS dif FROM e), m AS (SELECT *, {_ema('dif', 2 / 10)} AS dea FROM f)
-SELECT m.id, m.date, {_rounded('CASE WHEN g2.m >= 14 THEN 100 - 100 / (1 + g / nullif(l, 0)) END AS rsi', 'CASE WHEN n >= 14 THEN atr END AS atr', 'e12', '2 * (dif - dea) AS macd', digits=4)} FROM m LEFT JOIN g2 ON m.id = g2.id AND m.date = g2.date""", digits=4)
+e AS (SELECT *, {_ema('rng', 1 / 14)} AS atr, {_ema('up', 1 / 14)} AS pu, {_ema('down', 1 / 14)} AS pd, {_ema('close', 2 / 13)} AS e12, {_ema('close', 2 / 27)} AS e26 FROM p), f AS (SELECT *, e12 - e26 AS dif, n - 13 AS n14, n - 8 AS n9, 100 * abs(pu - pd) / nullif(pu + pd, 0) AS dx FROM e),
+m AS (SELECT *, {_ema('dif', 2 / 10)} AS dea FROM f), x AS (SELECT id, date, n14, {_ema('dx', 1 / 14, 'n14')} AS adx FROM f WHERE n14 > 0), kk AS (SELECT id, date, n9, {_ema('rsv', 1 / 3, 'n9')} AS k FROM f WHERE n9 > 0), kd AS (SELECT id, date, k, {_ema('k', 1 / 3, 'n9')} AS d FROM kk)
+SELECT m.id, m.date, {_rounded('CASE WHEN g2.m >= 14 THEN 100 - 100 / (1 + g / nullif(l, 0)) END AS rsi', 'CASE WHEN n >= 14 THEN atr END AS atr', 'e12', 'e26', '2 * (dif - dea) AS macd', 'CASE WHEN x.n14 >= 14 THEN adx END AS adx', 'k', 'd', '3 * k - 2 * d AS j', digits=4)} FROM m LEFT JOIN g2 ON m.id = g2.id AND m.date = g2.date LEFT JOIN x ON m.id = x.id AND m.date = x.date LEFT JOIN kd ON m.id = kd.id AND m.date = kd.date""", digits=4)
 def factors_smoothed(spark, d):
     return features.smoothed(market.bars(spark, d))
 
 
-@query(f"""{BARS}, p AS (SELECT *, list(ret) OVER {w(60)} AS ls FROM rets), q AS (SELECT id, date, ret, list_filter(ls, lambda v: v IS NOT NULL) AS ls FROM p)
-SELECT id, date, round(CASE WHEN ret IS NOT NULL AND len(ls) >= 20 THEN (len(list_filter(ls, lambda v: v < ret)) + (len(list_filter(ls, lambda v: v = ret)) + 1) / 2 - 0.5) / len(ls) END, 6) AS pct FROM q""")
+@query(f"""{BARS}, p AS (SELECT *, list(ret) OVER {w(730)} AS ls FROM rets), q AS (SELECT id, date, ret, list_filter(ls, lambda v: v IS NOT NULL) AS ls FROM p)
+SELECT id, date, round(CASE WHEN ret IS NOT NULL AND len(ls) >= 1 THEN (len(list_filter(ls, lambda v: v < ret)) + (len(list_filter(ls, lambda v: v = ret)) + 1) / 2 - 0.5) / len(ls) END, 6) AS pct FROM q""")
 def return_percentile(spark, d):
     df = features.with_returns(market.bars(spark, d))
-    return df.select("id", "date", features.percentile_of_last(df, "ret", 60, 20).alias("pct"))
+    return df.select("id", "date", features.percentile_of_last(df, "ret", 730, 1).alias("pct"))
 
 
 @query(f"""{BARS}, p AS (SELECT *, ({full('avg', 'close', 5)}) - ({full('avg', 'close', 20)}) AS gap,
@@ -222,11 +222,17 @@ def crossing_signals(spark, d):
     return features.crossings(market.bars(spark, d))
 
 
-@query(f"{BARS}, {FWD} SELECT id, date, {_rounded('fwd1', 'fwd5', 'fwd10', 'fwd_vol', 'fwd_low')}, entry_date, exit_date FROM fwd")
+@query(f"{BARS}, {FWD} SELECT id, date, {_rounded('fwd1', 'fwd5', 'fwd10', 'fwd_vol')}, entry_date, exit_date FROM fwd")
 def forward_labels(spark, d):
     return labels.forward_returns(market.bars(spark, d))
 
 
+@query(f"""{BARS}, bb AS (SELECT date, lead(bench, 20) OVER (ORDER BY date) / bench - 1 AS b FROM bench), x AS (SELECT *, lead(close, 20) OVER h / close - 1 AS fwd, stddev_samp(ret) OVER (PARTITION BY id ORDER BY date ROWS BETWEEN 2 FOLLOWING AND 20 FOLLOWING) * sqrt(252) AS v, list(close) OVER (PARTITION BY id ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING) AS n FROM rets WINDOW h AS (PARTITION BY id ORDER BY date))
+SELECT id, date, {_rounded('fwd - b AS excess', 'CASE WHEN len(n) = 20 THEN v END AS volatility', 'CASE WHEN len(n) = 20 THEN list_max(list_transform(range(1, 21), lambda j: 1 - n[j] / list_max(n[1:j]))) END AS fall')} FROM x LEFT JOIN bb USING (date)""")
+def horizon_labels(spark, d):
+    return labels.horizon_labels(market.bars(spark, d), market.benchmark(spark, d), 20)
+
+
 @query(f"""{BARS}, {FWD}, e AS (SELECT date, quantile_cont(fwd5, 0.05) AS lo, quantile_cont(fwd5, 0.95) AS hi FROM fwd GROUP BY date),
 c AS (SELECT id, date, industry, CASE WHEN fwd5 IS NOT NULL THEN greatest(lo, least(hi, fwd5)) END AS cut FROM fwd JOIN e USING (date) JOIN inst USING (id))
 SELECT id, date, round(cut - CASE WHEN count(cut) OVER g >= 3 THEN avg(cut) OVER g ELSE avg(cut) OVER dd END, 6) AS relative FROM c WINDOW g AS (PARTITION BY date, industry), dd AS (PARTITION BY date)""")
