@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions import rolling as R
@@ -62,3 +62,32 @@ def above_median(df: DataFrame, columns: list[str]) -> DataFrame:
     for c in columns:
         out = out.where(F.col(f"_mid_{c}").isNull() | (F.col(c) > F.col(f"_mid_{c}")))
     return out.drop(*(f"_mid_{c}" for c in columns))
+
+
+def complete_rows(df: DataFrame, columns: list[str], last: int) -> DataFrame:
+    """Rows without a missing value on each of the last dates."""
+    whole = F.lit(True)
+    for c in columns:
+        whole = whole & F.col(c).isNotNull()
+    return df.groupBy("date").agg(F.count_if(whole).alias("complete")).orderBy(F.desc("date")).limit(last)
+
+
+def longest_run(df: DataFrame, flag: Column, order: str, by: list[str] | None = None) -> DataFrame:
+    """Per `by` (default one row): the longest run of consecutive rows for which `flag` holds; 0 without any."""
+    by = by or ["_one"]
+    df = df.withColumn("_one", F.lit(1)).withColumn("_flag", F.coalesce(flag, F.lit(False)))
+    island = F.row_number().over(Window.partitionBy(*by).orderBy(order)) - F.row_number().over(Window.partitionBy(*by, "_flag").orderBy(order))
+    runs = df.withColumn("_island", island).groupBy(*by, "_flag", "_island").agg(F.count("*").alias("_n"))
+    return runs.groupBy(*by).agg(F.coalesce(F.max(F.when(F.col("_flag"), F.col("_n"))), F.lit(0)).alias("longest"))
+
+
+def stability(folds: DataFrame, x: str, fold: str, early: Column) -> DataFrame:
+    """One row from one value per fold: number, mean, coefficient of variation, worst, median, share above 0, early less late mean, longest run of folds below the median."""
+    folds = folds.withColumn("_one", F.lit(1))  # a handful of rows
+    mids = folds.withColumn("_mid", F.median(x).over(Window.partitionBy("_one")))
+    runs = longest_run(mids, F.col(x) < F.col("_mid"), fold)
+    out = mids.groupBy("_one").agg(
+        F.count(x).alias("folds"), F.avg(x).alias("mean"), R.ratio(F.stddev_pop(x), F.abs(F.avg(x))).alias("variation"), F.min(x).alias("worst"), F.max("_mid").alias("median"),
+        F.avg((F.col(x) > 0).cast("int")).alias("positive"), (F.avg(F.when(early, F.col(x))) - F.avg(F.when(~early, F.col(x)))).alias("decay"),
+    )
+    return out.join(runs, "_one").drop("_one").withColumnRenamed("longest", "longest_low")

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-import quantloom.queries as q
+import quantloom.catalogue as q
 
 DATA = "/root/testdata/sf0.001"
 
