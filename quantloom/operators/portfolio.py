@@ -71,3 +71,12 @@ def up_down(daily: DataFrame, ret: str, fold: str) -> DataFrame:
         F.sum(F.when(F.col("_m") > 0, 1).otherwise(0)).alias("positive_folds"), F.count("*").alias("folds"),
     )
     return out.select("*", *(F.coalesce(R.ratio(F.col(f"{s}_total"), F.col(f"{s}_periods")), F.lit(0.0)).alias(f"{s}_mean") for s in ("up", "down")))
+
+
+def drawdown_duration(daily: DataFrame, ret: str, order: str = "date") -> DataFrame:
+    """One row: the largest number of consecutive days on which the compounded return stays below its peak so far (0 at the start)."""
+    run = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)  # one row a day
+    x = daily.where(F.col(ret).isNotNull()).withColumn("_e", F.sum(F.log1p(ret)).over(run))
+    x = x.withColumn("_peak", F.max(F.greatest("_e", F.lit(0.0))).over(run))
+    x = x.withColumn("_top", F.count_if(F.col("_e") >= F.col("_peak")).over(run))
+    return x.groupBy("_top").agg(F.count_if(F.col("_e") < F.col("_peak")).alias("_n")).agg(F.max("_n").alias("days"))
