@@ -209,7 +209,7 @@ NODE = "struct<id:bigint,key:bigint>"
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, words: int = 5, miss: float = 1e-6, block: int = 512
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, words: int = 5, miss: float = 1e-6, block: int = 512, keyed: bool = False
 ) -> DataFrame:
     """One row per input row: id, `n_shingles`, `component_id` (smallest id reached over links of
     100 * intersection >= percent * union), `kept` (id = component_id).
@@ -229,9 +229,10 @@ def near_duplicates(
     )
     with scratch(docs.sparkSession):
         classes = staged(_classes(src, sketch, percent, words, miss, block), "final", keep=True)
-    out = sketch.select("id", "n", "f1", "f2").join(classes, ["n", "f1", "f2"], "left")
-    own = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("id") == own, F.lit(True)).alias("kept"))
+    out = sketch.select("id", "key", "n", "f1", "f2").join(classes, ["n", "f1", "f2"], "left")
+    own = F.coalesce(F.col("component.id"), F.col("id"))
+    more = [F.col("key"), F.coalesce(F.col("component.key"), F.col("key")).alias("component_key")] if keyed else []
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("id") == own, F.lit(True)).alias("kept"), *more)
 
 
 def _classes(src: DataFrame, sketch: DataFrame, percent: int, words: int, miss: float, block: int) -> DataFrame:
@@ -275,4 +276,4 @@ def _classes(src: DataFrame, sketch: DataFrame, percent: int, words: int, miss:
     more = near.groupBy(*group).applyInArrow(lambda t: _block_links(t, percent, miss, words), links_schema)
     final = components(links.union(staged(more, "more")))
 
-    return reps.join(final, reps["rep"] == final["node"], "left").select("n", "f1", "f2", F.coalesce("component", "rep")["id"].alias("component"))
+    return reps.join(final, reps["rep"] == final["node"], "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component"))

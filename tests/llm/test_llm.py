@@ -602,6 +602,29 @@ def test_pipeline_stages_keep_their_promises(spark):
     assert packed.select("doc_id").distinct().count() == docs.count()
 
 
+def test_pipeline_stages_equal_brute_force_on_odd_rows(spark):
+    """Nulls, repeated ids and rows, empty texts and an empty table: near-duplicates and passages against loops, all stages without a crash."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    say = lambda n: " ".join(f"w{rng.randrange(300)}" for _ in range(n))
+    base, passage = say(120), f"{say(9)}\n{say(9)}\n{say(9)}"
+    rows = [(1, base), (1, say(100)), (2, base + " more"), (3, base), (3, base), (4, None), (None, base), (5, ""), (6, f"{say(60)}\n{passage}"), (7, f"{passage}\n{say(60)}"), (8, say(70))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    near = sorted((r.doc_id, len(r.text or "")) for r in corpus_pipeline.near_dedup(spark, docs, DATA).collect() if r.doc_id)
+    sets = {(i, t): {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in rows if i and t for w in [t.lower().split()]}
+    first = {a: min(b for b in sets if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])) for a in sets}
+    by_id = lambda a: min((b for b in sets if first[b] == first[a]), key=lambda b: b[0])
+    assert near == sorted((i, len(t or "")) for i, t in rows if i and (not t or by_id((i, t)) == (i, t) and i != 3))
+    cut = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, DATA).collect()}
+    assert passage in cut[6] and passage not in cut[7] and cut[4] is None and cut[5] == ""
+    for table in (docs, docs.where("false")):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            table = stage(spark, table, DATA)
+            assert table.columns == docs.columns
+        assert corpus_pipeline.STAGES[-1][1](spark, table, DATA).where("length > 4096").count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
