@@ -59,3 +59,14 @@ def capped_weights(df: DataFrame, score: str, cap: float, by: str = "date", key:
     df = df.withColumn("_free", F.sum(F.when(F.col("_i") > F.col("_k"), F.col(score))).over(every))
     weight = F.when(F.col("_i") <= F.col("_k"), F.lit(cap)).otherwise((1 - F.col("_k") * cap) * R.ratio(F.col(score), F.col("_free")))
     return df.withColumn("weight", weight).drop("_i", "_rest", "_capped", "_k", "_free")
+
+
+def transforms(df: DataFrame, x: str, by: str = "date") -> DataFrame:
+    """Add of x within each date: `rank` (percent), `quantile` (midpoint of its fifth), `signed_log`, and `robust`: distance from the median in interquartile ranges, or in 1.4826 x MAD where that range is 0."""
+    d = Window.partitionBy(by)
+    edges = df.groupBy(by).agg(F.median(x).alias("_mid"), (F.percentile(x, 0.75) - F.percentile(x, 0.25)).alias("_iqr"))
+    df = df.join(edges, by).withColumn("_far", F.abs(F.col(x) - F.col("_mid"))).withColumn("_mad", F.median("_far").over(d) * 1.4826)
+    away = F.col(x) - F.col("_mid")
+    df = ranked(df, x, [by]).withColumn("rank", F.col("pct")).withColumn("quantile", (F.col("bucket") - 0.5) / 5)
+    df = df.withColumn("signed_log", F.signum(x) * F.log1p(F.abs(x))).withColumn("robust", F.when(F.col("_iqr") > 0, away / F.col("_iqr")).when(F.col("_mad") > 0, away / F.col("_mad")))
+    return df.drop("_mid", "_iqr", "_far", "_mad", "pct", "bucket")

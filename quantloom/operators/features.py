@@ -138,6 +138,25 @@ def crossings(bars: DataFrame) -> DataFrame:
     return df.select("id", "date", cross.alias("cross"), breakout.alias("breakout"), (F.col("open") + 0.5 * span).alias("buy_above"), (F.col("open") - 0.5 * span).alias("sell_below"))
 
 
+def trade_signals(bars: DataFrame, account: float = 1e6, risk: float = 0.01) -> DataFrame:
+    """MACD cross (1 up, -1 down, 0), RSI of plain 14-day means (7 at least, 50 where there is none) with its signal (1 below 30, -1 above 70), stop price of a 55-day breakout two mean ranges below, and the unit that risks a share of the account."""
+    prev = lagged("close")
+    df = bars.withColumns({
+        "range": F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - prev), F.abs(F.col("low") - prev)),
+        "gain": F.when(prev.isNotNull(), F.greatest(F.col("close") - prev, F.lit(0.0))), "loss": F.when(prev.isNotNull(), F.greatest(prev - F.col("close"), F.lit(0.0))),
+    })
+    df = R.exponential(df, {"e12": ("close", 2 / 13, 1), "e26": ("close", 2 / 27, 1), "dea": (lambda t: t["e12"] - t["e26"], 2 / 10, 1)}).withColumn("hist", F.col("e12") - F.col("e26") - F.col("dea"))
+    before = R.next_n(-55, -1)
+    top = F.when(F.count("high").over(before) >= 55, F.max("high").over(before))
+    rsi = F.coalesce(100 - 100 / (1 + R.ratio(R.mean("gain", 14, 7), R.mean("loss", 14, 7))), F.lit(50.0))
+    df = df.withColumn("was", lagged("hist")).withColumn("atr", R.mean("range", 20)).withColumn("rsi", rsi).withColumn("top", top)
+    cross = F.when((F.col("hist") > 0) & (F.col("was") <= 0), 1).when((F.col("hist") < 0) & (F.col("was") >= 0), -1).otherwise(0)
+    return df.select(
+        "id", "date", cross.alias("macd_cross"), F.when(F.col("rsi") < 30, 1).when(F.col("rsi") > 70, -1).otherwise(0).alias("rsi_signal"), "rsi",
+        F.when(F.col("close") > F.col("top"), F.col("close") - 2 * F.col("atr")).alias("stop"), R.ratio(F.lit(risk * account), F.col("atr")).alias("unit"),
+    )
+
+
 def _recent(df: DataFrame, x: str, n: int, key: str, order: str) -> DataFrame:
     """The last n rows of each key with a finite x; `_now` is the latest x."""
     back = Window.partitionBy(key).orderBy(F.col(order).desc())

@@ -385,12 +385,16 @@ def tick_sessions(spark, d):
     return tick_ops.sessions(market.ticks(spark, d))
 
 
-@query(f"""{BARS}, o AS (SELECT id, date, close, volume FROM bars WHERE id % 2 = 0), n AS (SELECT id, date, CASE WHEN id % 3 = 0 THEN NULL ELSE close * 2 END AS close, volume FROM bars WHERE id % 4 < 2)
-SELECT coalesce(o.id, n.id) AS id, coalesce(o.date, n.date) AS date, round(coalesce(n.close, o.close), 6) AS close, round(coalesce(n.volume, o.volume), 6) AS volume FROM o FULL JOIN n ON o.id = n.id AND o.date = n.date""")
+@query(f"""{BARS}, n AS (SELECT (s_suppkey * 7) % 100 AS id, CAST(o_orderdate AS DATE) AS date, CASE WHEN count(*) % 3 = 0 THEN NULL ELSE sum(o_totalprice) END AS close, count(*)::DOUBLE AS volume FROM orders JOIN supplier ON s_suppkey = o_custkey % (SELECT count(*) FROM supplier) GROUP BY ALL)
+SELECT coalesce(o.id, n.id) AS id, coalesce(o.date, n.date) AS date, round(coalesce(n.close, o.close), 6) AS close, round(coalesce(n.volume, o.volume), 6) AS volume FROM bars o FULL JOIN n ON o.id = n.id AND o.date = n.date""")
 def field_upsert(spark, d):
-    b = market.bars(spark, d).select("id", "date", "close", "volume")
-    new = b.where("id % 4 < 2").withColumn("close", F.when(F.col("id") % 3 != 0, F.col("close") * 2))
-    return panel.upserted(b.where("id % 2 = 0"), new, ["id", "date"])
+    """Day totals of all orders upserted into all bars."""
+    s = market.table(spark, d, "supplier").select("s_suppkey")
+    of = s.agg(F.count("*").alias("_n"))
+    o = market.table(spark, d, "orders").crossJoin(F.broadcast(of)).withColumn("s_suppkey", F.col("o_custkey") % F.col("_n"))  # one row
+    new = o.join(s, "s_suppkey").groupBy(((F.col("s_suppkey") * 7) % 100).alias("id"), F.to_date("o_orderdate").alias("date"))
+    new = new.agg(F.when(F.count("*") % 3 != 0, F.sum("o_totalprice")).alias("close"), F.count("*").cast("double").alias("volume"))
+    return panel.upserted(market.bars(spark, d).select("id", "date", "close", "volume"), new, ["id", "date"])
 
 
 @query(f"""{BARS}, c AS (SELECT id, date_trunc('month', date)::DATE AS month, arg_max(close, date) AS nav FROM bars GROUP BY 1, 2)
@@ -400,13 +404,15 @@ def monthly_nav(spark, d):
     return m.withColumn("ret", R.ratio(F.col("nav"), F.lag("nav").over(R.history(order="month"))) - 1)
 
 
-@query("""p AS (SELECT CAST(o_orderdate AS DATE) AS date, o_custkey AS account, sum(o_totalprice) AS amount FROM orders GROUP BY 1, 2), c AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem), f AS (SELECT account, date, amount FROM p)
-SELECT c.c_custkey AS account, d.date, round(f.amount, 4) AS last_amount FROM customer c CROSS JOIN (SELECT date FROM (SELECT date, row_number() OVER (ORDER BY date DESC) AS r FROM c) WHERE r <= 5) d ASOF LEFT JOIN f ON c.c_custkey = f.account AND d.date >= f.date""", digits=4)
+@query("""f AS (SELECT o_custkey AS account, CAST(o_orderdate AS DATE) AS date, sum(o_totalprice) AS amount FROM orders GROUP BY 1, 2), p AS (SELECT o_custkey AS account, CAST(l_shipdate AS DATE) AS date, l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
+SELECT p.account, p.date, p.l_orderkey, p.l_linenumber, p.l_partkey, p.l_suppkey, round(f.amount, 4) AS last_amount FROM p ASOF LEFT JOIN f ON p.account = f.account AND p.date > f.date""", digits=4)
 def point_in_time_orders(spark, d):
-    facts = market.table(spark, d, "orders").groupBy(F.to_date("o_orderdate").alias("fact_date"), F.col("o_custkey").alias("account")).agg(F.sum("o_totalprice").alias("last_amount"))
-    days = market.calendar(spark, d).orderBy(F.desc("date")).limit(5).select("date")
-    probes = market.table(spark, d, "customer").select(F.col("c_custkey").alias("account")).crossJoin(F.broadcast(days))  # five rows
-    return R.asof(probes, facts, ["account"], "date", "fact_date", ["last_amount"])
+    """The account's latest day total of orders known the day before each shipped line."""
+    o = market.table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("account"), F.to_date("o_orderdate").alias("date"), "o_totalprice")
+    facts = o.groupBy("account", F.date_add("date", 1).alias("visible")).agg(F.sum("o_totalprice").alias("last_amount"))
+    lines = market.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.to_date("l_shipdate").alias("date"))
+    probes = lines.join(o.select("o_orderkey", "account"), lines["l_orderkey"] == F.col("o_orderkey")).drop("o_orderkey")
+    return R.asof(probes, facts, ["account"], "date", "visible", ["last_amount"])
 
 
 @query(f"""{BARS} SELECT id, date, {_rounded(f'avg(close) OVER {w(5)} AS mavg', f'coalesce(sum(close * volume) OVER {w(5)} / nullif(sum(volume) OVER {w(5)}, 0), 0) AS vwap')} FROM bars""")
@@ -522,12 +528,12 @@ def execution_prices(spark, d):
     return df.select("id", "date", F.lead("open").over(h).alias("execution_price"), "ret", F.lead("date").over(h).alias("execution_date"), F.coalesce(F.abs("ret") > 0.2, F.lit(False)).alias("jump"))
 
 
-@query(f"""{BARS}, s AS (SELECT a.id, date, a.close - b.close AS spread FROM bars a JOIN bars b USING (date) WHERE b.id = a.id + 1 AND a.id % 2 = 1)
+@query(f"""{BARS}, s AS (SELECT a.id, date, a.close - b.close AS spread FROM bars a JOIN bars b USING (date) WHERE b.id = a.id + 1)
 SELECT id, date, {_rounded('spread', f"({full('avg', 'spread', 60)}) - 2 * ({full('stddev_pop', 'spread', 60)}) AS low", f"({full('avg', 'spread', 60)}) + 2 * ({full('stddev_pop', 'spread', 60)}) AS high")} FROM s""")
 def pair_bands(spark, d):
     b = market.bars(spark, d).select("id", "date", "close")
     other = b.select((F.col("id") - 1).alias("id"), "date", F.col("close").alias("other"))
-    s = b.where("id % 2 = 1").join(other, ["id", "date"]).withColumn("spread", F.col("close") - F.col("other"))
+    s = b.join(other, ["id", "date"]).withColumn("spread", F.col("close") - F.col("other"))
     mid, half = R.mean("spread", 60), 2 * R.std0("spread", 60)
     return s.select("id", "date", "spread", (mid - half).alias("low"), (mid + half).alias("high"))
 
