@@ -61,9 +61,10 @@ def clip(x: Column, lo: float, hi: float) -> Column:
 
 
 def average_rank(x: str, by: list[str]) -> Column:
-    """Rank from 1 within `by`; ties share the mean of their ranks; null for null."""
-    order, ties = Window.partitionBy(*by).orderBy(F.col(x).asc_nulls_last()), Window.partitionBy(*by, x)
-    return F.when(F.col(x).isNotNull(), F.rank().over(order) + (F.count("*").over(ties) - 1) / 2)
+    """Rank from 1 within `by`; ties share the mean of their ranks; null for null. Rank and ties come from one order, so from one sort."""
+    order = Window.partitionBy(*by).orderBy(F.col(x).asc_nulls_last())
+    ties = F.count("*").over(order.rangeBetween(Window.currentRow, Window.currentRow))
+    return F.when(F.col(x).isNotNull(), F.rank().over(order) + (ties - 1) / 2)
 
 
 def percent_rank(x: str, by: list[str]) -> Column:

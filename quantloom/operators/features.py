@@ -21,14 +21,14 @@ def with_returns(bars: DataFrame) -> DataFrame:
     return bars.withColumn("ret", R.ratio(F.col("close"), lagged("close")) - 1)
 
 
-def momentum(bars: DataFrame) -> DataFrame:
+def momentum(bars: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Difference, rate of change, bias, returns over 5, 20, 40 and 60 days, gaps to and between averages, place in the range of closes (0.5 where there is none) and distance to its top."""
     c = F.col("close")
     change = lambda n: R.ratio(c, lagged("close", n)) - 1
     low, high = (lambda n: R.full(F.min, "close", n)), (lambda n: R.full(F.max, "close", n))
     place = lambda n: F.coalesce(R.ratio(c - low(n), high(n) - low(n)), F.lit(0.5))
     return bars.select(
-        "id", "date", (c - lagged("close", 10)).alias("mom"), change(10).alias("roc"), (R.ratio(c, R.mean("close", 6)) - 1).alias("bias"),
+        "id", "date", *keep, (c - lagged("close", 10)).alias("mom"), change(10).alias("roc"), (R.ratio(c, R.mean("close", 6)) - 1).alias("bias"),
         (-change(5)).alias("reversal"), change(20).alias("mom20"), change(40).alias("mom40"), change(60).alias("mom60"),
         *((R.ratio(c, R.mean("close", n)) - 1).alias(f"ma_gap{n}") for n in (20, 60)), (R.ratio(R.mean("close", 10), R.mean("close", 40)) - 1).alias("ma_cross"),
         *(place(n).alias(f"place{n}") for n in (20, 60)), (R.ratio(c, high(60)) - 1).alias("to_high60"),

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from quantloom.functions import rolling as R
 
 
-def forward_returns(bars: DataFrame, horizons: tuple[int, ...] = (1, 5, 10), lag: int = 1, cost: float = 0.0) -> DataFrame:
-    """Return of each horizon entered `lag` bars later, less a round trip's cost, with entry and exit date of the longest, and forward volatility."""
+def forward_returns(bars: DataFrame, horizons: tuple[int, ...] = (1, 5, 10), lag: int = 1, cost: float = 0.0, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Return of each horizon entered `lag` bars later, less a round trip's cost, with entry and exit date of the longest, and forward volatility; columns to `keep` come first."""
     lead = lambda x, n: F.lead(x, n).over(R.history())
     h = max(horizons)
     df = bars.withColumn("ret", R.ratio(F.col("close"), F.lag("close").over(R.history())) - 1)
     w = R.next_n(lag + 1, lag + h)
     vol = F.when(F.count("ret").over(w) >= h, F.stddev_samp("ret").over(w))
-    return df.select("id", "date", *((R.ratio(lead("close", lag + n), lead("close", lag)) - 1 - cost).alias(f"fwd{n}") for n in horizons), lead("date", lag).alias("entry_date"), lead("date", lag + h).alias("exit_date"), vol.alias("fwd_vol"))
+    return df.select("id", "date", *keep, *((R.ratio(lead("close", lag + n), lead("close", lag)) - 1 - cost).alias(f"fwd{n}") for n in horizons), lead("date", lag).alias("entry_date"), lead("date", lag + h).alias("exit_date"), vol.alias("fwd_vol"))
 
 
 def horizon_labels(bars: DataFrame, bench: DataFrame, h: int = 20) -> DataFrame:

@@ -8,8 +8,10 @@ from quantloom.operators import evaluation, features, labels
 
 
 def panel(bars: DataFrame) -> DataFrame:
-    """Momentum factors joined with the forward returns of the same instrument and date."""
-    return features.momentum(bars).join(labels.forward_returns(bars), ["id", "date"])
+    """Momentum factors and forward returns of each bar: one shuffle and one sort by instrument serve both."""
+    factors = features.momentum(bars, keep=("close",))
+    names = tuple(c for c in factors.columns if c not in ("id", "date", "close"))
+    return labels.forward_returns(factors, keep=names)
 
 
 def signal_quality(bars: DataFrame, signal: str = "reversal", label: str = "fwd5", k: int = 5) -> DataFrame:
