@@ -5,7 +5,8 @@ All pieces are described by the histogram of their lengths, which has at most
 that histogram: the largest open length seeds a bin, a bitset subset-sum over
 the available lengths finds the fullest feasible combination with it, and the
 combination is removed as often as its lengths last. Pieces then find their
-place by their rank among the pieces of equal length."""
+place by their rank among the pieces of equal length; a piece that fills a
+sequence needs none."""
 
 from __future__ import annotations
 
@@ -150,19 +151,27 @@ def _place(batches: Iterator[pa.RecordBatch], base: dict[tuple[int, int], int],
         yield pa.record_batch([*(batch.column(c) for c in names), pa.array(seq), pa.array(off)], names=[*names, "sequence_id", "offset"])
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, buckets: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, buckets: int = 64, group: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Cut documents into pieces of at most `capacity` tokens and pack the pieces into few sequences.
 
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset; the
     places of a sequence are gapless from 0. A null or empty text is the end id
-    alone; rows with a null or repeated id are packed like any other; other
-    columns of the input are not read. An empty table packs to no rows.
-    `tokenizer_path` is readable on every executor. To the driver go at most
-    capacity x buckets counts, to the tasks the plan of as many lengths."""
+    alone; texts of any length are read whole; rows with a null or repeated id
+    are packed like any other, equal rows in any order; other columns of the
+    input are not read. An empty table packs to no rows. `tokenizer_path` is
+    readable on every executor. The pieces of one length are ranked in
+    `buckets` parts, or more, so that a part holds about `group` pieces at
+    most. To the driver and the tasks go the counts of these parts: capacity x
+    buckets, and one for each `group` pieces."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
     pieces = staged(src.mapInArrow(lambda it: _pieces(it, tokenizer_path, capacity, end_id), schema), "pieces")
-    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
+    spark = docs.sparkSession
+    full = pieces.where(F.col("length") == capacity).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+    pieces = pieces.where(F.col("length") < capacity)
+    counts = pieces.groupBy("length").count().collect()  # at most `capacity` rows
+    parts = spark.createDataFrame([(n, max(buckets, -(-c // group))) for n, c in counts], "length long, parts long")
+    pieces = pieces.join(F.broadcast(parts), "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("parts")).cast("int"))  # at most `capacity` rows
     cells = pieces.groupBy("length", "bucket").count().orderBy("length", "bucket").collect()
     base: dict[tuple[int, int], int] = {}
     histogram: dict[int, int] = {}
@@ -171,6 +180,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
         histogram[n] = base[n, g] + c
     places = _placement(fill_plan(histogram, capacity), capacity)
     order = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = pieces.withColumn("rank", (F.row_number().over(order) - 1).cast("long"))
-    sent = docs.sparkSession.sparkContext.broadcast((base, places))  # capacity x buckets entries at most
-    return ranked.mapInArrow(lambda it: _place(it, *sent.value), f"{schema}, sequence_id long, offset long")
+    ranked = pieces.select("doc_id", "piece", "start", "length", "ids_crc32", "bucket").withColumn("rank", (F.row_number().over(order) - 1).cast("long"))
+    sent = spark.sparkContext.broadcast((base, places))
+    placed = ranked.mapInArrow(lambda it: _place(it, *sent.value), f"{schema}, sequence_id long, offset long")
+    return placed.unionByName(full)

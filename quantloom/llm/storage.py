@@ -4,14 +4,26 @@ from __future__ import annotations
 
 import contextlib
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
-#: one list of paths for each `scratch` block that is open
-_OPEN: list[list[str]] = []
+
+
+
+class _Open(threading.local):
+    """One list of paths for each `scratch` block that is open in this thread."""
+
+    def __init__(self):
+        self.blocks: list[list[str]] = []
+
+
+_OPEN = _Open()
+#: held while shuffle files are freed, as the setting belongs to the session
+_FREEING = threading.RLock()
 #: of Spark 4.1: shuffle files go once the query that wrote them has ended
 _FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -35,11 +47,11 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables staged inside the block are deleted at its end, but those staged with `keep`. Nothing lazy that reads them may leave the block."""
-    _OPEN.append([])
+    _OPEN.blocks.append([])
     try:
         yield
     finally:
-        for path in _OPEN.pop():
+        for path in _OPEN.blocks.pop():
             folder = spark._jvm.org.apache.hadoop.fs.Path(path)
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
@@ -52,12 +64,13 @@ def staged(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     exchanges. What was shuffled for it is freed as soon as it is written."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    if _OPEN and not keep:
-        _OPEN[-1].append(path)
-    was = spark.conf.get(_FREE_SHUFFLES, "false")
-    spark.conf.set(_FREE_SHUFFLES, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_FREE_SHUFFLES, was)
+    if _OPEN.blocks and not keep:
+        _OPEN.blocks[-1].append(path)
+    with _FREEING:
+        was = spark.conf.get(_FREE_SHUFFLES, "false")
+        spark.conf.set(_FREE_SHUFFLES, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            spark.conf.set(_FREE_SHUFFLES, was)
     return spark.read.schema(df.schema).parquet(path)

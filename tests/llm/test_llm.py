@@ -115,6 +115,20 @@ def test_op2_pieces_are_the_tokenizers_and_sequences_are_full(odd, docs):
         assert len(bins) <= len(free)
 
 
+def test_op2_full_pieces_empty_table_and_clashing_columns(spark, odd):
+    path = queries.tokenizer_path()
+    rows = packing.pack(odd.withColumn("bucket", odd["id"]).withColumn("length", odd["n_chars"]), path, capacity=64, group=3).collect()
+    full = [r for r in rows if r.length == 64]
+    assert full and all(r.offset == 0 for r in full) and len({r.sequence_id for r in full}) == len(full)
+    assert not {r.sequence_id for r in full} & {r.sequence_id for r in rows if r.length < 64}
+    bins = collections.defaultdict(list)
+    for r in rows:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for places in bins.values():
+        assert [o for o, _ in sorted(places)] == [sum(n for _, n in sorted(places)[:k]) for k in range(len(places))] and sum(n for _, n in places) <= 64
+    assert packing.pack(odd.where("false"), path).count() == 0
+
+
 def test_fullest_is_the_best_subset():
     rng = random.Random(3)
     for _ in range(60):
