@@ -251,7 +251,9 @@ def judged(rows: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, w
     standard deviations from the median, each end by the rows on its own side:
     1.4826 x median distance of the log perplexity of the language's rows that
     pass the base rules. As few rows give no certain spread, an end is `floor` x
-    median / sqrt(rows) away at least. A language without such a row has no band
+    median / sqrt(rows) away at least. The mean over few words strays further:
+    for a text of n words, fewer than the language's median, the ends are
+    sqrt(median / n) times as far away. A language without such a row has no band
     and rejects by the base rules only. Rows without words have no perplexity;
     an empty table gives an empty result."""
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
@@ -260,15 +262,17 @@ def judged(rows: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, w
     for m, n in measures.items():
         rows = rows.withColumn(f"_{m}", F.try_divide(F.col("loss"), F.col(n)))
     fair = rows.where("not base_failed")
-    middle = fair.groupBy("model").agg(F.count("*").alias("n"), *(F.percentile_approx(f"_{m}", 0.5, 10000).alias(f"{m}_mid") for m in measures))
+    middle = fair.groupBy("model").agg(F.count("*").alias("n"), F.percentile_approx("n_words", 0.5, 10000).alias("typical"), *(F.percentile_approx(f"_{m}", 0.5, 10000).alias(f"{m}_mid") for m in measures))
     middle = staged(middle, "medians")
     side = lambda x: F.coalesce(F.percentile_approx(F.when(x >= 0, x), 0.5, 10000), F.lit(0.0))
     far = {m: F.col(f"_{m}") - F.col(f"{m}_mid") for m in measures}
-    spread = fair.join(middle, "model").groupBy("model", "n", *(f"{m}_mid" for m in measures)).agg(*(side(s * far[m]).alias(f"{m}_{e}") for m in measures for e, s in (("lower", -1), ("upper", 1))))
+    spread = fair.join(middle, "model").groupBy("model", "n", "typical", *(f"{m}_mid" for m in measures)).agg(*(side(s * far[m]).alias(f"{m}_{e}") for m in measures for e, s in (("lower", -1), ("upper", 1))))
     half = lambda m, e: F.greatest(floor * F.col(f"{m}_mid") / F.sqrt("n"), width * 1.4826 * F.col(f"{m}_{e}"))
-    bands = spread.select("model", *((F.col(f"{m}_mid") + s * half(m, e)).alias(f"{m}_{e}") for m in measures for e, s in (("lower", -1), ("upper", 1))))
+    bands = spread.select("model", "typical", *(F.col(f"{m}_mid") for m in measures), *(half(m, e).alias(f"{m}_{e}") for m in measures for e in ("lower", "upper")))
     out = rows.join(staged(bands, "bands"), "model", "left")  # one row a language
-    inside = [F.coalesce(F.col(f"_{m}").between(F.col(f"{m}_lower"), F.col(f"{m}_upper")), F.lit(True)) for m in measures]
+    stretch = F.sqrt(F.greatest(F.lit(1.0), F.try_divide(F.col("typical"), F.col("n_words"))))
+    far = {m: F.col(f"_{m}") - F.col(f"{m}_mid") for m in measures}
+    inside = [F.coalesce((far[m] >= -stretch * F.col(f"{m}_lower")) & (far[m] <= stretch * F.col(f"{m}_upper")), F.lit(True)) for m in measures]
     out = out.withColumn("kept", ~F.col("base_failed") & inside[0] & inside[1])
-    out = out.withColumns({f"{m}_{e}": F.exp(f"{m}_{e}") for m in measures for e in ("lower", "upper")})
-    return out.withColumn("perplexity", F.exp("_byte")).withColumn("word_perplexity", F.exp("_word")).drop("_byte", "_word")
+    out = out.withColumns({f"{m}_{e}": F.exp(F.col(f"{m}_mid") + s * stretch * F.col(f"{m}_{e}")) for m in measures for e, s in (("lower", -1), ("upper", 1))})
+    return out.withColumn("perplexity", F.exp("_byte")).withColumn("word_perplexity", F.exp("_word")).drop("_byte", "_word", "typical", *(f"{m}_mid" for m in measures))

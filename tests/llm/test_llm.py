@@ -524,7 +524,7 @@ def test_op9_rejects_junk_and_keeps_clean_documents(spark):
     data = DATA.replace("sf0.001", "sf0.01")
     rows = perplexity.judged(perplexity.measured(spark.read.parquet(f"{data}/documents.parquet"))).where("not base_failed")
     share = {r.quality: r.share for r in rows.join(spark.read.parquet(f"{data}/labels.parquet"), "doc_id").selectExpr("quality", "cast(kept as int) kept").groupBy("quality").avg("kept").toDF("quality", "share").collect()}
-    assert share[1] > 0.97 and share[0] < 0.4
+    assert share[1] > 0.97 and share[0] < 0.5
 
 
 def test_op9_band_sees_word_order_and_case(spark):
