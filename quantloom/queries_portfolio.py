@@ -135,7 +135,7 @@ def smoothed_weights(spark, d):
     return construction.smoothed_weights(_top_weights(spark, d).withColumn("book", F.lit(1)), 5)
 
 
-_SERIES = f"{_PORT}, bb AS (SELECT date, lead(bench) OVER (ORDER BY date) / bench - 1 AS bench FROM bench), sr AS (SELECT date, ret / 10 AS ret, bench / 10 AS bench FROM port JOIN bb USING (date) WHERE bench IS NOT NULL)"
+_SERIES = f"{_PORT}, bb AS (SELECT date, lead(bench) OVER (ORDER BY date) / bench - 1 AS bench FROM bench), sr AS (SELECT date, ret / 1000 AS ret, bench / 1000 AS bench FROM port JOIN bb USING (date) WHERE bench IS NOT NULL)"
 _WINDOWS = """mm AS (SELECT *, year(date) * 12 + month(date) - 1 AS m FROM sr), ab AS (SELECT min(m) AS a, max(m) AS b FROM mm), wn AS (SELECT unnest(range(0, (b - a) // 3 + 1)) AS win, a, b FROM ab), wr AS (SELECT * FROM wn JOIN mm ON m BETWEEN a + win * 3 AND a + win * 3 + 11 WHERE a + win * 3 + 11 <= b),
 wi AS (SELECT win, min(a + win * 3) AS st, count(*) AS days, count_if(ret <> 0) AS active_days, min(CASE WHEN ret <> 0 THEN date END) AS first_active, min(date) AS first_date, exp(sum(ln(1 + ret))) - 1 AS total_returns, exp(sum(ln(1 + ret)) * 252 / count(*)) - 1 AS annualized_returns, avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(252) AS sharpe,
 avg(ret) / nullif(sqrt(avg(pow(least(ret, 0), 2))), 0) * sqrt(252) AS sortino, avg(ret - bench) / nullif(stddev_samp(ret - bench), 0) * sqrt(252) AS information_ratio FROM wr GROUP BY win)"""
@@ -153,7 +153,7 @@ _QUARTERS = f"{_SCORED}, qt AS (SELECT q AS quarter, avg(score) AS score, coales
 
 def _windows(spark, d):
     b = market.benchmark(spark, d).select("date", (R.ratio(F.lead("bench").over(Window.orderBy("date")), F.col("bench")) - 1).alias("bench"))  # one row a day
-    daily = _portfolio(spark, d).join(b, "date").where("bench is not null").select("date", (F.col("ret") / 10).alias("ret"), (F.col("bench") / 10).alias("bench"))
+    daily = _portfolio(spark, d).join(b, "date").where("bench is not null").select("date", (F.col("ret") / 1000).alias("ret"), (F.col("bench") / 1000).alias("bench"))
     return scoring.window_scores(scoring.windows(daily))
 
 
