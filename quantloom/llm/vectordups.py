@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -224,7 +224,8 @@ def _components(signed: DataFrame, dtype: str, cosine: float, block: int) -> tup
     dealt = dealt.repartition(*group).sortWithinPartitions(*group)
     found = staged(dealt.mapInArrow(lambda it: _linked(it, group, dtype, cosine), f"rep {NODE}, links long, root {NODE}"), "found")
 
-    in_ball = balls.join(signed.select("rep", "n"), "rep").withColumn("links", F.sum("n").over(Window.partitionBy("ball")) - F.col("n"))
+    in_ball = balls.join(signed.select("rep", "n"), "rep")
+    in_ball = in_ball.join(in_ball.groupBy("ball").agg(F.sum("n").alias("_all")), "ball").withColumn("links", F.col("_all") - F.col("n"))
     links = staged(found.select("rep", "links").unionByName(in_ball.select("rep", "links")).groupBy("rep").agg(F.sum("links").alias("links")), "links")
     edges = found.select(F.col("rep").alias("a"), F.col("root").alias("b")).unionByName(balls.select(F.col("rep").alias("a"), F.col("ball").alias("b")))
     return components(edges), links
