@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantloom.functions import rolling as R
 from quantloom.functions import scalars as S
 
 TINY = 1e-12
@@ -136,3 +137,95 @@ def benchmark_skill(daily: DataFrame, year: int = 252, free: float = 0.02 / 252,
     root, beta = float(year) ** 0.5, F.try_divide(F.col("_c"), F.col("_v"))
     alpha = (F.col("_p") - (free + beta * (F.col("_b") - free))) * year
     return g.select("dates", "excess_mean", "hit_rate", "excess_drawdown", "shortfall", (F.col("_s") * root).alias("tracking_error"), (F.try_divide(F.col("excess_mean"), F.col("_s")) * root).alias("information_ratio"), beta.alias("beta"), alpha.alias("jensen_alpha"))
+
+
+def allocated(df: DataFrame, score: str, cap: float, budget: float | Column = 1.0, by: list[str] | None = None, key: str = "id", out: str = "weight") -> DataFrame:
+    """A budget shared in proportion to scores, at most `cap` each, what is cut going to the others by score; scores below 0 count as 0, and where none is positive all count alike.
+
+    Water filling by prefix sums: the names at the cap are the first of the
+    order by score, and name i is one of them if, with those above it at the cap,
+    its share of the rest exceeds the cap. Names with no score share what the
+    others cannot take. A name without weight is left out."""
+    by = by or ["date"]
+    every = Window.partitionBy(*by)
+    order = every.orderBy(F.desc("_s"), key).rowsBetween(Window.unboundedPreceding, -1)
+    money = budget if isinstance(budget, Column) else F.lit(float(budget))
+    x = df.where(F.col(key).isNotNull()).withColumn("_s", F.greatest(F.coalesce(F.col(score).cast("double"), F.lit(0.0)), F.lit(0.0)))
+    x = x.withColumn("_s", F.when(F.sum("_s").over(every) > 0, F.col("_s")).otherwise(1.0)).withColumn("_n", F.count("*").over(every)).withColumn("_b", F.least(money, cap * F.col("_n")))
+    x = x.withColumn("_i", F.row_number().over(every.orderBy(F.desc("_s"), key))).withColumn("_rest", F.sum("_s").over(every) - F.coalesce(F.sum("_s").over(order), F.lit(0.0)))
+    x = x.withColumn("_over", F.col("_s") * (F.col("_b") - (F.col("_i") - 1) * cap) > (cap + 1e-15) * F.col("_rest"))
+    x = x.withColumn("_k", F.coalesce(F.min(F.when(~F.col("_over"), F.col("_i"))).over(every), F.col("_n") + 1) - 1)
+    x = x.withColumn("_free", F.sum(F.when(F.col("_i") > F.col("_k"), F.col("_s"))).over(every))
+    left = F.col("_b") - F.col("_k") * cap
+    rest = F.when(F.col("_free") > 0, left * R.ratio(F.col("_s"), F.col("_free"))).otherwise(R.ratio(left, (F.col("_n") - F.col("_k")).cast("double")))
+    x = x.withColumn(out, F.when(F.col("_i") <= F.col("_k"), F.lit(float(cap))).otherwise(rest))
+    return x.drop("_s", "_n", "_b", "_i", "_rest", "_over", "_k", "_free").where(F.col(out) > 1e-15)
+
+
+def group_capped(weights: DataFrame, group: str, cap: float, budget: float = 1.0, by: list[str] | None = None, key: str = "id") -> DataFrame:
+    """Weights scaled group by group so that no group has more than `cap`: groups share the budget (or the sum of weights, if less) as names do. A missing group is `Unknown`; where it is the only one, nothing is cut."""
+    by = by or ["date"]
+    x = weights.withColumn("_g", F.when(F.trim(F.coalesce(F.col(group).cast("string"), F.lit(""))) == "", "Unknown").otherwise(F.col(group).cast("string")))
+    groups = x.groupBy(*by, "_g").agg(F.sum("weight").alias("_w"))
+    every = Window.partitionBy(*by)
+    groups = groups.withColumn("_all", F.sum("_w").over(every)).withColumn("_known", F.max((F.col("_g") != "Unknown").cast("int")).over(every))
+    shares = allocated(groups.where("_known = 1").drop("_known"), "_w", cap, F.least(F.lit(float(budget)), F.col("_all")), by, "_g", "_target")
+    shares = shares.select(*by, "_g", (F.col("_target") / F.col("_w")).alias("_scale")).unionByName(groups.where("_known = 0").select(*by, "_g", F.lit(1.0).alias("_scale")))
+    return x.join(shares, [*by, "_g"]).withColumn("weight", F.col("weight") * F.col("_scale")).drop("_g", "_scale").where("weight > 0")
+
+
+def exposure_capped(weights: DataFrame, group: str, caps: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Weights of groups above their own cap (`group`, `cap`) scaled down to it; what is cut stays in cash."""
+    by = by or ["date"]
+    total = F.sum("weight").over(Window.partitionBy(*by, group))
+    x = weights.withColumn("_w", total).join(caps.select(F.col("group").alias(group), F.col("cap").alias("_cap")), group, "left")
+    return x.withColumn("weight", F.col("weight") * F.when(F.col("_cap") < F.col("_w"), F.col("_cap") / F.col("_w")).otherwise(1.0)).drop("_w", "_cap").where("weight > 0")
+
+
+def _adjusting(target: Column) -> Column:
+    """Shares to trade towards `target`: less than half the least order is not traded, less than the least order is the least order, more is rounded to lots (half to even); a position may always be sold out; no trade of a suspended name, no purchase at the upper and no sale at the lower limit, and no sale beyond what can be closed."""
+    held, least, lot = F.col("held"), F.col("min_qty"), F.col("lot")
+    d = target - held
+    size = F.abs(d)
+    d = F.when(-d == held, d).when(size < least / 2, 0.0).when(size < least, least * F.signum(d)).otherwise(F.rint(d / lot) * lot)
+    d = F.when((d < 0) & (-d > held), -held).otherwise(d)
+    barred = F.coalesce(F.col("suspended"), F.lit(False)) | F.col("price").isNull() | F.coalesce((d > 0) & (F.col("price") >= F.col("limit_up")), F.lit(False)) | F.coalesce((d < 0) & (F.col("price") <= F.col("limit_down")), F.lit(False))
+    d = F.when(barred, 0.0).otherwise(d)
+    return F.greatest(d, -F.col("closable"))
+
+
+def budget_safe_orders(names: DataFrame, book: str = "book", commission: float = 8e-4, minimum: float = 5.0, tax: float = 5e-4, coarse: float = 0.02, fine: float = 0.001) -> DataFrame:
+    """Orders that bring each book to its target weights with the cash it has: book, id, safety, quantity.
+
+    Target quantities are total value x safety x weight / price. Every safety of
+    a coarse grid from 1.2 (1 for books with at most 95 % invested) down to 0,
+    and then of a fine one around the best, is costed at once, one row a name
+    and candidate, in one aggregation: purchases, commission with its minimum
+    and tax on sales against the cash. Of the affordable ones that nearest to
+    the target share invested wins, the larger on a tie. A book that can afford
+    none trades nothing.
+
+    Columns of names: book, id, weight, price, held, closable, min_qty, lot,
+    suspended, limit_up, limit_down, and cash, the same for a book."""
+    value = F.coalesce(F.col("held") * F.col("price"), F.lit(0.0))
+    every = Window.partitionBy(book)
+    x = names.select(book, "id", F.coalesce("weight", F.lit(0.0)).alias("weight"), "price", "held", "closable", F.col("min_qty").cast("double").alias("min_qty"), F.col("lot").cast("double").alias("lot"), "suspended", "limit_up", "limit_down", "cash")
+    x = x.withColumn("_total", F.col("cash") + F.sum(value).over(every)).withColumn("_want", F.sum("weight").over(every))
+
+    def costed(rows: DataFrame) -> DataFrame:
+        q = _adjusting(F.rint(F.coalesce(R.ratio(F.col("_total") * F.col("_s") * F.col("weight"), F.col("price")), F.lit(0.0))))
+        y = rows.withColumn("_q", q).withColumn("_money", F.coalesce(F.col("_q") * F.col("price"), F.lit(0.0)))
+        fee = F.when(F.col("_q") != 0, F.greatest(F.abs("_money") * commission, F.lit(minimum)) + F.when(F.col("_q") < 0, F.abs("_money") * tax).otherwise(0.0)).otherwise(0.0)
+        g = y.groupBy(book, "_s").agg(F.sum(F.col("_money") + fee).alias("_spent"), F.sum(value + F.col("_money")).alias("_after"), F.max("cash").alias("_cash"), F.max("_total").alias("_t"), F.max("_want").alias("_w"))
+        away = F.round(F.abs(F.col("_after") / F.col("_t") - F.col("_w")), 9)
+        return g.where(F.col("_spent") < F.col("_cash")).groupBy(book).agg(F.min(F.struct(away.alias("away"), (-F.col("_s")).alias("s"))).alias("_best")).select(book, (-F.col("_best.s")).alias("_s"))
+
+    top = F.when(F.col("_want") > 0.95, 1.2).otherwise(1.0)
+    steps = F.transform(F.sequence(F.lit(0), F.rint(top / coarse).cast("int")), lambda k: F.round(k * coarse, 6))
+    rough = costed(x.withColumn("_s", F.explode(steps))).withColumnRenamed("_s", "_near")
+    reach = round(coarse / fine)
+    close = F.transform(F.sequence(F.lit(-reach), F.lit(reach)), lambda k: F.round(F.col("_near") + k * fine, 6))
+    best = costed(x.join(rough, book).withColumn("_s", F.explode(F.filter(close, lambda s: (s >= 0) & (s <= top)))))
+    q = _adjusting(F.rint(F.coalesce(R.ratio(F.col("_total") * F.col("_s") * F.col("weight"), F.col("price")), F.lit(0.0))))
+    out = x.join(best, book, "left")
+    return out.select(book, "id", F.col("_s").alias("safety"), F.when(F.col("_s").isNotNull(), q).otherwise(0.0).cast("long").alias("quantity"))

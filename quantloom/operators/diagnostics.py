@@ -91,3 +91,12 @@ def stability(folds: DataFrame, x: str, fold: str, early: Column) -> DataFrame:
         F.avg((F.col(x) > 0).cast("int")).alias("positive"), (F.avg(F.when(early, F.col(x))) - F.avg(F.when(~early, F.col(x)))).alias("decay"),
     )
     return out.join(runs, "_one").drop("_one").withColumnRenamed("longest", "longest_low")
+
+
+def conflict_groups(edges: DataFrame, strength: DataFrame) -> DataFrame:
+    """Features linked by conflicts (a, b), directly or through others: group, feature, size, ic_mean, and whether it represents the group by the largest mean information in size, then by name."""
+    from quantloom.functions.graphs import components
+
+    c = components(edges).select(F.col("component").alias("group"), F.col("node").alias("feature")).join(strength.select("feature", "ic_mean"), "feature", "left")
+    order = Window.partitionBy("group").orderBy(F.desc(F.round(F.abs(F.coalesce("ic_mean", F.lit(0.0))), 9)), "feature")
+    return c.select("group", "feature", F.count("*").over(Window.partitionBy("group")).alias("size"), "ic_mean", (F.row_number().over(order) == 1).alias("representative"))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections import deque
+from decimal import Decimal
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantloom.functions.walks import walk
+
 
 def open_lots(trades: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """First-in-first-out lots still open after all fills, for positions that never turn short: `quantity` left of each purchase.
@@ -73,3 +78,88 @@ def valuation(trades: DataFrame, prices: DataFrame, by: list[str], key: str = "i
     run = Window.partitionBy(*by, key).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     x = both.select(*by, key, "date", F.last("close", ignorenulls=True).over(run).alias("close"), F.sum("_q").over(run).alias("quantity"), F.sum("_a").over(run).alias("spent"))
     return x.where("quantity is not null").withColumn("value", F.col("quantity") * F.col("close"))
+
+
+def lot_pairs(trades: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """Which purchase each sale closes, first in first out, for positions that never turn short: by, opened, closed (structs of `order`), quantity.
+
+    Purchases and sales cut the line of shares at their running sums. All cuts
+    of a key in one order give the pieces between them; the next purchase and
+    the next sale at or after a piece are the ones that own it. Sales beyond
+    what is held close everything and the rest is ignored."""
+    run = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    x = trades.withColumn("_buy", F.sum(F.greatest("quantity", F.lit(0))).over(run)).withColumn("_net", F.sum("quantity").over(run))
+    x = x.withColumn("_sold", F.sum(F.greatest(-F.col("quantity"), F.lit(0))).over(run) - F.greatest(F.lit(0), F.max(-F.col("_net")).over(run)))
+    x = x.withColumn("_was", F.coalesce(F.max("_sold").over(before), F.lit(0)))
+    at, me = F.when(F.col("quantity") > 0, F.col("_buy")).otherwise(F.col("_sold")), F.struct(*order)
+    cuts = x.where((F.col("quantity") > 0) | (F.col("_sold") > F.col("_was"))).select(*by, at.alias("_at"), F.when(F.col("quantity") > 0, me).alias("opened"), F.when(F.col("quantity") <= 0, me).alias("closed"))
+    down = Window.partitionBy(*by).orderBy(F.desc("_at"))
+    ahead = down.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    owner = lambda c: F.last(c, ignorenulls=True).over(ahead).alias(c)
+    pieces = cuts.select(*by, owner("opened"), owner("closed"), (F.col("_at") - F.coalesce(F.lead("_at").over(down), F.lit(0))).alias("quantity"))
+    return pieces.where("opened is not null and closed is not null and quantity > 0")
+
+
+class _Lots:
+    """Open lots of one position, oldest first; negative when short."""
+
+    def __init__(self):
+        self.queue: deque[list] = deque()
+
+    def step(self, row: tuple) -> list[tuple]:
+        _, day, quantity, today, ratio = row
+        out: list[tuple] = []
+        if ratio is not None:
+            self.split(Decimal(repr(ratio)))
+        if not quantity:
+            return out
+        q = self.queue
+        if not q or q[0][1] * quantity >= 0:
+            if q and q[-1][0] == day:
+                q[-1][1] += quantity
+            else:
+                q.append([day, quantity])
+            return out
+        if today and q[-1][0] >= day:
+            quantity = self.take(-1, day, quantity, out)
+        while quantity and q:
+            quantity = self.take(0, day, quantity, out)
+        if quantity:
+            q.append([day, quantity])  # the position turns
+        return out
+
+    def take(self, at: int, day, quantity: int, out: list[tuple]) -> int:
+        """Close against one lot; what is left of the trade."""
+        opened, held = self.queue[at]
+        n = min(abs(held), abs(quantity))
+        sign = 1 if held > 0 else -1
+        if n:  # splits can leave empty lots
+            out.append((opened, day, n * sign))
+        if n == abs(held):
+            del self.queue[at]
+        else:
+            self.queue[at][1] -= n * sign
+        return quantity + n * sign
+
+    def split(self, ratio: Decimal) -> None:
+        """Lots grow by the ratio, each rounded half to even; the newest takes what rounding leaves of the whole."""
+        if self.queue:
+            whole = round(Decimal(sum(n for _, n in self.queue)) * ratio)
+            for lot in self.queue:
+                lot[1] = round(Decimal(lot[1]) * ratio)
+            self.queue[-1][1] += whole - sum(n for _, n in self.queue)
+
+
+def lot_matches(trades: DataFrame, key: str = "id", order: str = "seq") -> DataFrame:
+    """key, opened, closed, quantity: which lot each trade closes, and at the end the lots still open (`closed` null), with the rules that running sums cannot state.
+
+    Purchases of a day are one lot. Trades flagged `today` close the lot of
+    their own day first, then the oldest; a trade beyond the position turns it
+    (negative quantities are short lots); `ratio`, where there is one, splits
+    all lots before the trade of its row. Positions are walked through in one
+    pass with their open lots as state. Columns: key, order, date, quantity
+    (whole, sales negative), today, ratio."""
+    kinds = dict(trades.dtypes)
+    end = lambda s: [(d, None, n) for d, n in s.queue if n]
+    return walk(trades, [key], [order], ["date", "quantity", "today", "ratio"], _Lots, _Lots.step, f"{key} {kinds[key]}, opened date, closed date, quantity long", end)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions import rolling as R
@@ -95,3 +95,29 @@ def deduplicated(df: DataFrame, keys: list[str], order: str, keep: str = "last")
     """One row per key: the first or last by `order`."""
     by = F.desc(order) if keep == "last" else F.asc(order)
     return df.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(by))).where("_k = 1").drop("_k")
+
+
+def quarter_of(date: Column | str) -> Column:
+    """Quarters since year 0: year x 4 + quarter - 1."""
+    return (F.year(date) * 4 + F.quarter(date) - 1).cast("int")
+
+
+def latest_quarters(probes: DataFrame, facts: DataFrame, values: list[str], count: int = 4, statements: str = "latest", key: str = "id", date: str = "asof") -> DataFrame:
+    """Each probe (id, asof, and other columns) with the figures of its last `count` quarters as they were known then: quarter, info_date, values, `place` from 1 for the newest.
+
+    Only quarters from count + 1 before that of the date on are asked for. A
+    probe becomes one question for each of them, answered by an as-of join on id
+    and quarter with the day on which a figure was published, so a restatement
+    counts from its own day on and no join is by range. With `all` every version
+    known by then is returned, newest first in a quarter, and the quarters are
+    those from count + 1 before. Columns of facts: id, quarter, info_date, values."""
+    names = probes.columns
+    first = quarter_of(F.col(date)) - (count + 1)
+    asks = probes.withColumn("quarter", F.explode(F.sequence(first, quarter_of(F.col(date)))))
+    if statements == "all":
+        known = asks.join(facts.select(key, "quarter", "info_date", *values), [key, "quarter"]).where(F.col("info_date") <= F.col(date))
+        order = Window.partitionBy(*names).orderBy(F.desc("quarter"), F.desc("info_date"))
+        return known.select(*names, "quarter", "info_date", *values, F.row_number().over(order).alias("place"))
+    known = R.asof(asks, facts.withColumn("_info", F.col("info_date")), [key, "quarter"], date, "info_date", ["_info", *values])
+    known = known.where("_info is not null").withColumn("place", F.row_number().over(Window.partitionBy(*names).orderBy(F.desc("quarter"))))
+    return known.where(F.col("place") <= count).select(*names, "quarter", F.col("_info").alias("info_date"), *values, "place")
