@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
@@ -71,18 +72,43 @@ def heads(train: DataFrame, test: DataFrame, features: list[str], labels: list[s
     return test
 
 
+def fits_by_group(train: DataFrame, group: str, features: list[str], label: str) -> DataFrame:
+    """Least squares of every group in one pass: group, `_k` (intercept, then one coefficient a feature), `_n`.
+
+    A group's means and covariances are all that its normal equations need, so
+    one aggregation serves all groups; the solutions, features + 1 numbers a
+    group, are found on the driver. Features that do not vary get 0."""
+    cols = [*features, label]
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols)) if i < len(features)]
+    sums = train.dropna(subset=cols).groupBy(group).agg(F.count("*").alias("n"), *(F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)), *(F.covar_pop(cols[i], cols[j]).alias(f"c{i}_{j}") for i, j in pairs))
+    rows = []
+    for r in sums.collect():
+        p = len(features)
+        xx = np.array([[r[f"c{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)])
+        k = np.linalg.lstsq(xx, np.array([r[f"c{i}_{p}"] for i in range(p)]), rcond=1e-12)[0]
+        rows.append((r[group], [float(r[f"m{p}"] - sum(k[i] * r[f"m{i}"] for i in range(p))), *map(float, k)], int(r["n"])))
+    return train.sparkSession.createDataFrame(rows, f"`{group}` {dict(train.dtypes)[group]}, _k array<double>, _n long")
+
+
+def applied(df: DataFrame, fits: DataFrame, group: str, features: list[str], name: str = "prediction") -> DataFrame:
+    """Rows with all features, with the prediction of their group's fit; groups without one are left out."""
+    x = df.dropna(subset=features).join(F.broadcast(fits.drop("_n")), group)  # a few numbers a group
+    return x.withColumn(name, sum((F.col("_k")[i + 1] * F.col(c) for i, c in enumerate(features)), F.col("_k")[0])).drop("_k")
+
+
 def walk_forward(panel: DataFrame, folds: DataFrame, features: list[str], label: str) -> DataFrame:
-    """Out-of-sample predictions: per fold a least-squares fit on its train rows, applied to its test rows. Columns of folds: fold, part, date; the folds, a short list, are walked through on the driver, each fit is a Spark job."""
+    """Out-of-sample predictions: per fold a least-squares fit on its train rows, applied to its test rows. Columns of folds: fold, part, date. All folds are fitted in one pass."""
     tagged = panel.join(folds, "date")
-    out = None
-    for (fold,) in folds.select("fold").distinct().orderBy("fold").collect():
-        mine = tagged.where(F.col("fold") == fold)
-        train = mine.where("part = 'train'").dropna(subset=[*features, label])
-        if train.isEmpty():
-            continue
-        rows = linear(mine.where("part = 'test'").dropna(subset=features), least_squares(train, features, label))
-        out = rows if out is None else out.unionByName(rows)
-    return tagged.where("false").withColumn("prediction", F.lit(0.0)) if out is None else out
+    fits = fits_by_group(tagged.where("part = 'train'"), "fold", features, label)
+    return applied(tagged.where("part = 'test'"), fits, "fold", features)
+
+
+def shadow_fit(panel: DataFrame, calendar: DataFrame, features: list[str], label: str, recent: int = 60, embargo: int = 5, train: int = 500) -> DataFrame:
+    """Predictions for the last `recent` trading dates from a fit on the `train` dates that end `embargo` dates before them, for calibration on what has been seen since."""
+    last = calendar.agg(F.max("seq").alias("_top"))
+    x = panel.join(calendar, "date").crossJoin(F.broadcast(last)).withColumn("_back", F.col("_top") - F.col("seq")).withColumn("_g", F.lit(1))  # one row
+    fits = fits_by_group(x.where((F.col("_back") >= recent + embargo) & (F.col("_back") < recent + embargo + train)), "_g", features, label)
+    return applied(x.where(F.col("_back") < recent), fits, "_g", features).drop("_back", "_top", "_g", "seq")
 
 
 def importances(model, features: list[str], spark) -> DataFrame:

@@ -162,16 +162,26 @@ def allocated(df: DataFrame, score: str, cap: float, budget: float | Column = 1.
     return x.drop("_s", "_n", "_b", "_i", "_rest", "_over", "_k", "_free").where(F.col(out) > 1e-15)
 
 
-def group_capped(weights: DataFrame, group: str, cap: float, budget: float = 1.0, by: list[str] | None = None, key: str = "id") -> DataFrame:
-    """Weights scaled group by group so that no group has more than `cap`: groups share the budget (or the sum of weights, if less) as names do. A missing group is `Unknown`; where it is the only one, nothing is cut."""
+def unclassified(group: str, by: list[str]) -> Column:
+    """Whether all that is known of a date's groups is `Unknown`; such dates have no group to cap."""
+    every = Window.partitionBy(*by)
+    other = F.count_if(F.col(group).isNotNull() & (F.col(group) != "Unknown")).over(every)
+    return (other == 0) & (F.count_if(F.col(group) == "Unknown").over(every) > 0)
+
+
+def group_capped(weights: DataFrame, group: str, cap: float, budget: float = 1.0, by: list[str] | None = None, key: str = "id", skip: str | None = None) -> DataFrame:
+    """Weights scaled group by group so that no group has more than `cap`: groups share the budget (or the sum of weights, if less) as names do.
+
+    A missing group is `Unknown`. Dates that `skip`, a flag column, names stay as
+    they are; without it those on which no group but `Unknown` is known."""
     by = by or ["date"]
     x = weights.withColumn("_g", F.when(F.trim(F.coalesce(F.col(group).cast("string"), F.lit(""))) == "", "Unknown").otherwise(F.col(group).cast("string")))
-    groups = x.groupBy(*by, "_g").agg(F.sum("weight").alias("_w"))
-    every = Window.partitionBy(*by)
-    groups = groups.withColumn("_all", F.sum("_w").over(every)).withColumn("_known", F.max((F.col("_g") != "Unknown").cast("int")).over(every))
-    shares = allocated(groups.where("_known = 1").drop("_known"), "_w", cap, F.least(F.lit(float(budget)), F.col("_all")), by, "_g", "_target")
-    shares = shares.select(*by, "_g", (F.col("_target") / F.col("_w")).alias("_scale")).unionByName(groups.where("_known = 0").select(*by, "_g", F.lit(1.0).alias("_scale")))
-    return x.join(shares, [*by, "_g"]).withColumn("weight", F.col("weight") * F.col("_scale")).drop("_g", "_scale").where("weight > 0")
+    x = x.withColumn("_skip", F.col(skip) if skip else unclassified(group, by))
+    groups = x.groupBy(*by, "_g").agg(F.sum("weight").alias("_w"), F.max("_skip").alias("_skip"))
+    groups = groups.withColumn("_all", F.sum("_w").over(Window.partitionBy(*by)))
+    shares = allocated(groups.where("not _skip"), "_w", cap, F.least(F.lit(float(budget)), F.col("_all")), by, "_g", "_target")
+    shares = shares.select(*by, "_g", (F.col("_target") / F.col("_w")).alias("_scale")).unionByName(groups.where("_skip").select(*by, "_g", F.lit(1.0).alias("_scale")))
+    return x.join(shares, [*by, "_g"]).withColumn("weight", F.col("weight") * F.col("_scale")).drop("_g", "_scale", "_skip").where("weight > 0")
 
 
 def exposure_capped(weights: DataFrame, group: str, caps: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -35,13 +35,14 @@ def signal_summary(df: DataFrame, signal: str, label: str, k: int = 5, least: in
     return daily.agg(F.count("ic").alias("dates"), F.avg("ic").alias("ic_mean"), R.ratio(F.avg("ic"), F.stddev_pop("ic")).alias("ic_ir"), F.avg("spread").alias("spread_mean"), F.avg("hit_rate").alias("hit_rate"))
 
 
-def bucket_returns(df: DataFrame, bucket: str, label: str) -> DataFrame:
-    """Per bucket: rows, mean, median, win rate and quantiles of the label."""
+def bucket_returns(df: DataFrame, bucket: str, label: str, buckets: int) -> DataFrame:
+    """Per bucket from 1 to `buckets`, empty ones too: rows, mean, median, win rate and five quantiles of the label."""
     x = df.where(F.col(bucket).isNotNull() & F.col(label).isNotNull())
-    q = F.percentile(label, F.array(*(F.lit(p) for p in (0.1, 0.25, 0.75, 0.9))))
-    return x.groupBy(bucket).agg(F.count("*").alias("n"), F.avg(label).alias("mean"), F.median(label).alias("median"), F.avg((F.col(label) > 0).cast("int")).alias("win_rate"), q.alias("q")).select(
-        bucket, "n", "mean", "median", "win_rate", *(F.col("q")[i].alias(f"q{p}") for i, p in enumerate((10, 25, 75, 90)))
-    )
+    marks = (10, 25, 50, 75, 90)
+    q = F.percentile(label, F.array(*(F.lit(p / 100) for p in marks)))
+    g = x.groupBy(bucket).agg(F.count("*").alias("n"), F.avg(label).alias("mean"), F.median(label).alias("median"), F.avg((F.col(label) > 0).cast("int")).alias("win_rate"), q.alias("q"))
+    every = df.sparkSession.range(1, buckets + 1).select(F.col("id").cast("int").alias(bucket))
+    return every.join(g, bucket, "left").select(bucket, F.coalesce("n", F.lit(0)).alias("n"), "mean", "median", "win_rate", *(F.col("q")[i].alias(f"q{p}") for i, p in enumerate(marks)))
 
 
 def turnover(weights: DataFrame) -> DataFrame:

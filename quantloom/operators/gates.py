@@ -120,3 +120,32 @@ def stopped_out(positions: DataFrame, limit: float = 0.08) -> DataFrame:
     """Positions whose unrealised return is at or below -limit."""
     loss = R.ratio(F.col("price"), F.col("cost")) - 1
     return positions.withColumn("unrealised", loss).where(F.col("unrealised") <= -limit)
+
+
+def runtime_gates(days: DataFrame, least: int = 300, share: float = 0.8, delay: int = 1, model: tuple[int, int] = (20, 60), evidence: tuple[int, int] = (20, 60)) -> DataFrame:
+    """Per trade date the reasons not to publish, the warnings, and whether it passes.
+
+    Columns: date, eligible, history (median of the eligible names of the dates
+    before), missing (required values missing), gap (trading days that the
+    request is ahead of the data), data_end, label_end, evidence_end. Coverage
+    must reach `least` names and `share` of the history; labels and evidence
+    warn and stop after so many days, a missing date of theirs is no objection."""
+    c = F.col
+    age = lambda end: F.datediff("date", end)
+    floor = F.greatest(F.lit(least), F.coalesce(F.floor(c("history") * share).cast("int"), F.lit(least)))
+    stale = {name: (age(f"{name}_end"), *limits) for name, limits in (("label", model), ("evidence", evidence))}
+    reasons = F.array_compact(F.array(
+        F.when(c("gap") > delay, "request_ahead_of_data"), F.when(age("data_end") > delay, "data_stale"), F.when(c("missing"), "missing_values"), F.when(c("eligible") < floor, "coverage_below_threshold"),
+        *(F.when(days_old > stop, f"{name}_stale") for name, (days_old, _, stop) in stale.items()),
+    ))
+    warnings = F.array_compact(F.array(F.when(c("gap") > delay, "request_ahead_of_data"), *(F.when((days_old > warn) & (days_old <= stop), f"{name}_aging") for name, (days_old, warn, stop) in stale.items())))
+    return days.select("date", "eligible", floor.alias("threshold"), F.array_join(reasons, ",").alias("reasons"), F.array_join(warnings, ",").alias("warnings"), (F.size(reasons) == 0).alias("passed"))
+
+
+def score_gates(scores: DataFrame, reference: DataFrame, score: str) -> DataFrame:
+    """Per date: deviation of the scores and lead of their 95th percentile over the median, against the low ends of both in the reference (std_p01, lead_p05, one row); without scores it does not pass."""
+    q = F.percentile(score, F.array(F.lit(0.5), F.lit(0.95)))
+    g = scores.groupBy("date").agg(F.stddev_pop(score).alias("std"), q.alias("_q")).withColumn("lead", F.col("_q")[1] - F.col("_q")[0])
+    x = g.crossJoin(F.broadcast(reference.select("std_p01", "lead_p05")))  # one row
+    reasons = F.when(F.col("std").isNull(), F.array(F.lit("empty"))).otherwise(F.array_compact(F.array(F.when(F.col("std") <= F.col("std_p01"), "std_below_p01"), F.when(F.col("lead") <= F.col("lead_p05"), "spread_below_p05"))))
+    return x.select("date", "std", "lead", F.array_join(reasons, ",").alias("reasons"), (F.size(reasons) == 0).alias("passed"))

@@ -55,8 +55,10 @@ def last_bars(bars: DataFrame, n: int, until=None) -> DataFrame:
 
 
 def liquid(bars: DataFrame, n: int, top: int) -> DataFrame:
-    """The `top` instruments by mean turnover of their last n bars, with n / 2 bars at least; ties by id."""
-    mean = last_bars(bars, n).groupBy("id").agg(F.avg("turnover").alias("mean_turnover"), F.median("volume").alias("median_volume"), F.count("*").alias("n"))
+    """The `top` instruments by mean turnover of their last n bars within 2 n days of the newest bar of all, with n / 2 bars at least; ties by id."""
+    newest = bars.agg(F.max("date").alias("_newest"))
+    recent = last_bars(bars, n).crossJoin(F.broadcast(newest)).where(F.col("date") > F.date_sub("_newest", 2 * n))  # one row
+    mean = recent.groupBy("id").agg(F.avg("turnover").alias("mean_turnover"), F.median("volume").alias("median_volume"), F.count("*").alias("n"))
     return mean.where(F.col("n") >= n / 2).orderBy(F.desc("mean_turnover"), "id").limit(top)
 
 

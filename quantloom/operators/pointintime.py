@@ -72,6 +72,15 @@ def rebalance_days(calendar: DataFrame, every: int) -> DataFrame:
     return calendar.where((F.col("seq") - 1) % every == 0).select("date", "seq")
 
 
+def rebalance_due(books: DataFrame, calendar: DataFrame, every: int) -> DataFrame:
+    """Books (date, last_rebalance, holdings, and other columns) with the trading days since the last rebalance, those left, and whether one is due: after `every` trading days, without holdings, or without a rebalance so far."""
+    at = lambda c: calendar.select(F.col("date").alias(c), F.col("seq").alias(f"_{c}"))
+    x = books.join(at("date"), "date", "left").join(at("last_rebalance"), "last_rebalance", "left")
+    gap = F.col("_date") - F.col("_last_rebalance")
+    due = F.col("_last_rebalance").isNull() | (F.coalesce(F.col("holdings"), F.lit(0)) == 0) | (gap >= every)
+    return x.select(*books.columns, gap.alias("days_since"), F.when(due, 0).otherwise(every - gap).alias("days_left"), due.alias("due"))
+
+
 def freshness(tables: dict[str, DataFrame], calendar: DataFrame, stale: int = 3, expired: int = 5) -> DataFrame:
     """Per source: last date, trading days since, and fresh, stale or expired."""
     today = calendar.agg(F.max("seq").alias("_now"))

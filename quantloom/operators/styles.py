@@ -3,20 +3,45 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions import rolling as R
 
 
-def exposure(returns: DataFrame, long: int, short: int, n: int = 60, least: int = 20, limit: float = 3.0) -> DataFrame:
-    """Per instrument and date on which both legs trade: return of the long less the short leg, and the rolling beta of the instrument to it, clipped; 0 where the spread does not vary."""
-    leg = lambda k: F.max(F.when(F.col("id") == k, F.col("ret")))
-    spread = returns.where(F.col("id").isin(long, short)).groupBy("date").agg((leg(long) - leg(short)).alias("spread")).where("spread is not null")
-    x = returns.where("ret is not null").select("id", "date", "ret").join(spread, "date")
-    w = R.last_n(n)
-    beta = F.coalesce(R.ratio(F.covar_samp("ret", "spread").over(w), F.var_samp("spread").over(w)), F.lit(0.0))
-    return x.select("id", "date", "spread", F.when(F.count("spread").over(w) >= least, R.clip(beta, -limit, limit)).alias("exposure"))
+def exposure(returns: DataFrame, calendar: DataFrame, long: int, short: int, n: int = 60, least: int = 20, limit: float = 3.0) -> DataFrame:
+    """Per row of returns (id, date, ret): return of the long less the short leg on the day, and the row's exposure to it.
+
+    Betas to that spread over the last `n` dates of the calendar, with `least`
+    pairs, are scaled so that the long leg has 1 and the short leg -1, and
+    clipped; where they cannot be had the legs have 1 and -1 and others 0."""
+    one = lambda k: F.max(F.when(F.col("id") == k, F.col("ret")))
+    legs = returns.where(F.col("id").isin(long, short)).groupBy("date").agg(one(long).alias("_l"), one(short).alias("_s"))
+    days = Window.orderBy("seq").rowsBetween(1 - n, 0)  # one row a day
+    spread = calendar.select("date", "seq").join(legs, "date", "left").withColumn("spread", F.col("_l") - F.col("_s"))
+    paired = lambda c: F.when(F.count(F.col(c) * F.col("spread")).over(days) >= least, F.covar_samp(c, "spread").over(days))
+    variance = F.when((F.count("spread").over(days) >= least) & (F.var_samp("spread").over(days) != 0), F.var_samp("spread").over(days))
+    spread = spread.select("date", "seq", "spread", variance.alias("_v"), paired("_l").alias("_cl"), paired("_s").alias("_cs"))
+    w = Window.partitionBy("id").orderBy("seq").rangeBetween(1 - n, 0)
+    x = returns.select("id", "date", "ret").join(spread, "date")
+    x = x.withColumn("_c", F.when(F.count(F.col("ret") * F.col("spread")).over(w) >= least, F.covar_samp("ret", "spread").over(w)))
+    beta = lambda c: R.ratio(F.col(c), F.col("_v"))
+    scaled = R.ratio(2 * (beta("_c") - beta("_cs")), beta("_cl") - beta("_cs")) - 1
+    sign = F.when(F.col("id") == long, 1.0).when(F.col("id") == short, -1.0).otherwise(0.0)
+    return x.select("id", "date", "spread", F.coalesce(R.clip(scaled, -limit, limit), sign).alias("exposure"))
+
+
+def style_spreads(panel: DataFrame, calendar: DataFrame, pairs: dict[str, tuple[int, int, float]], momentum: str = "mom20", n: int = 60) -> DataFrame:
+    """Per row of the panel (id, date, ret, momentum) a column per style: momentum of the long less that of the short leg on the day (0 where missing) times the row's exposure, and their weighted mean as `composite`. Styles: name -> long, short, weight."""
+    rows = panel.select("id", "date", "ret", momentum)
+    out = rows.select("id", "date")
+    for name, (long, short, _) in pairs.items():
+        leg = lambda k: F.coalesce(F.max(F.when(F.col("id") == k, F.col(momentum))), F.lit(0.0))  # noqa: B023, E731
+        gap = rows.where(F.col("id").isin(long, short)).groupBy("date").agg((leg(long) - leg(short)).alias("_gap"))
+        own = exposure(rows, calendar, long, short, n).join(gap, "date", "left").select("id", "date", (F.coalesce("_gap", F.lit(0.0)) * F.col("exposure")).alias(name))
+        out = out.join(own, ["id", "date"])
+    total = sum(w for _, _, w in pairs.values()) or len(pairs)
+    return out.withColumn("composite", sum((F.col(k) * w for k, (_, _, w) in pairs.items()), F.lit(0.0)) / total)
 
 
 def fund_factors(bars: DataFrame) -> DataFrame:

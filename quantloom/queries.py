@@ -133,7 +133,7 @@ def last_five_bars(spark, d):
 
 
 @query(f"""{BARS}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY date DESC) AS back FROM bars)
-SELECT id, {_rounded('avg(turnover) AS mean_turnover', 'median(volume) AS median_volume')}, count(*) AS n FROM r WHERE back <= 60 GROUP BY id HAVING count(*) >= 30 ORDER BY avg(turnover) DESC, id LIMIT 50""", digits=6)
+SELECT id, {_rounded('avg(turnover) AS mean_turnover', 'median(volume) AS median_volume')}, count(*) AS n FROM r WHERE back <= 60 AND date > (SELECT max(date) FROM bars) - 120 GROUP BY id HAVING count(*) >= 30 ORDER BY avg(turnover) DESC, id LIMIT 50""", digits=6)
 def liquid_universe(spark, d):
     return panel.liquid(market.bars(spark, d), 60, 50)
 
@@ -288,9 +288,9 @@ def signal_quality(spark, d):
 
 @query(f"""{BARS}, {FWD}, x AS (SELECT *, CASE WHEN reversal IS NOT NULL THEN (rank() OVER (PARTITION BY date ORDER BY reversal NULLS LAST) + (count(*) OVER (PARTITION BY date, reversal) - 1) / 2.0) / count(reversal) OVER (PARTITION BY date) END AS pct FROM pan),
 y AS (SELECT *, least(ceil(pct * 5), 5)::INT AS bucket FROM x)
-SELECT bucket, count(*) AS n, {_rounded('avg(fwd5) AS mean', 'median(fwd5) AS median', 'avg((fwd5 > 0)::INT) AS win_rate', 'quantile_cont(fwd5, 0.1) AS q10', 'quantile_cont(fwd5, 0.25) AS q25', 'quantile_cont(fwd5, 0.75) AS q75', 'quantile_cont(fwd5, 0.9) AS q90')} FROM y WHERE bucket IS NOT NULL AND fwd5 IS NOT NULL GROUP BY bucket""")
+SELECT b AS bucket, count(fwd5) AS n, {_rounded('avg(fwd5) AS mean', 'median(fwd5) AS median', 'avg((fwd5 > 0)::INT) AS win_rate', 'quantile_cont(fwd5, 0.1) AS q10', 'quantile_cont(fwd5, 0.25) AS q25', 'quantile_cont(fwd5, 0.5) AS q50', 'quantile_cont(fwd5, 0.75) AS q75', 'quantile_cont(fwd5, 0.9) AS q90')} FROM (SELECT unnest(range(1, 6))::INT AS b) LEFT JOIN y ON bucket = b AND fwd5 IS NOT NULL GROUP BY b""")
 def bucket_calibration(spark, d):
-    return evaluation.bucket_returns(cross_section.ranked(research.panel(market.bars(spark, d)), "reversal", ["date"]), "bucket", "fwd5")
+    return evaluation.bucket_returns(cross_section.ranked(research.panel(market.bars(spark, d)), "reversal", ["date"]), "bucket", "fwd5", 5)
 
 
 def _top_weights(spark, d):
@@ -385,14 +385,14 @@ def tick_sessions(spark, d):
     return tick_ops.sessions(market.ticks(spark, d))
 
 
-@query(f"""{BARS}, n AS (SELECT (s_suppkey * 7) % 100 AS id, CAST(o_orderdate AS DATE) AS date, CASE WHEN count(*) % 3 = 0 THEN NULL ELSE sum(o_totalprice) END AS close, count(*)::DOUBLE AS volume FROM orders JOIN supplier ON s_suppkey = o_custkey % (SELECT count(*) FROM supplier) GROUP BY ALL)
+@query(f"""{BARS}, n AS (SELECT s_suppkey AS id, CAST(o_orderdate AS DATE) AS date, CASE WHEN count(*) % 3 = 0 THEN NULL ELSE sum(o_totalprice) END AS close, count(*)::DOUBLE AS volume FROM orders JOIN supplier ON s_suppkey = o_custkey % (SELECT count(*) FROM supplier) GROUP BY ALL)
 SELECT coalesce(o.id, n.id) AS id, coalesce(o.date, n.date) AS date, round(coalesce(n.close, o.close), 6) AS close, round(coalesce(n.volume, o.volume), 6) AS volume FROM bars o FULL JOIN n ON o.id = n.id AND o.date = n.date""")
 def field_upsert(spark, d):
     """Day totals of all orders upserted into all bars."""
     s = market.table(spark, d, "supplier").select("s_suppkey")
     of = s.agg(F.count("*").alias("_n"))
     o = market.table(spark, d, "orders").crossJoin(F.broadcast(of)).withColumn("s_suppkey", F.col("o_custkey") % F.col("_n"))  # one row
-    new = o.join(s, "s_suppkey").groupBy(((F.col("s_suppkey") * 7) % 100).alias("id"), F.to_date("o_orderdate").alias("date"))
+    new = o.join(s, "s_suppkey").groupBy(F.col("s_suppkey").alias("id"), F.to_date("o_orderdate").alias("date"))
     new = new.agg(F.when(F.count("*") % 3 != 0, F.sum("o_totalprice")).alias("close"), F.count("*").cast("double").alias("volume"))
     return panel.upserted(market.bars(spark, d).select("id", "date", "close", "volume"), new, ["id", "date"])
 

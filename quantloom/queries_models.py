@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quantloom.functions import rolling as R
 from quantloom.models import baselines
 from quantloom.operators import cross_section, features, labels, styles
 from quantloom.plans import research
 from quantloom.queries import BARS, FWD, _ema, _rounded, full, query, w
 from quantloom.sources import market
 
-_XY = "xy AS (SELECT date, id, reversal, mom20, fwd5 AS y FROM pan WHERE reversal IS NOT NULL AND mom20 IS NOT NULL AND fwd5 IS NOT NULL), tr AS (SELECT * FROM xy WHERE date < DATE '1996-01-01'), te AS (SELECT * FROM xy WHERE date >= DATE '1996-01-01')"
+_XY = "xy AS MATERIALIZED (SELECT date, id, reversal, mom20, fwd5 AS y FROM pan WHERE reversal IS NOT NULL AND mom20 IS NOT NULL AND fwd5 IS NOT NULL), tr AS MATERIALIZED (SELECT * FROM xy WHERE date < DATE '1996-01-01'), te AS MATERIALIZED (SELECT * FROM xy WHERE date >= DATE '1996-01-01')"
 
 
 def _split(spark, d):
@@ -18,7 +19,7 @@ def _split(spark, d):
     return p.where("date < '1996-01-01'"), p.where("date >= '1996-01-01'")
 
 
-@query(f"""{BARS}, {FWD}, {_XY}, m AS (SELECT avg(reversal) AS a, avg(mom20) AS b, avg(y) AS c, var_pop(reversal) AS aa, var_pop(mom20) AS bb, covar_pop(reversal, mom20) AS ab, covar_pop(reversal, y) AS ay, covar_pop(mom20, y) AS byy FROM tr), k AS (SELECT *, (ay * bb - byy * ab) / (aa * bb - ab * ab) AS k1, (byy * aa - ay * ab) / (aa * bb - ab * ab) AS k2 FROM m)
+@query(f"""{BARS}, {FWD}, {_XY}, m AS MATERIALIZED (SELECT avg(reversal) AS a, avg(mom20) AS b, avg(y) AS c, var_pop(reversal) AS aa, var_pop(mom20) AS bb, covar_pop(reversal, mom20) AS ab, covar_pop(reversal, y) AS ay, covar_pop(mom20, y) AS byy FROM tr), k AS MATERIALIZED (SELECT *, (ay * bb - byy * ab) / (aa * bb - ab * ab) AS k1, (byy * aa - ay * ab) / (aa * bb - ab * ab) AS k2 FROM m)
 SELECT date, id, round(c - k1 * a - k2 * b + k1 * reversal + k2 * mom20, 5) AS prediction FROM te, k""", digits=5)
 def linear_baseline(spark, d):
     train, test = _split(spark, d)
@@ -44,7 +45,7 @@ def boosted_trees(spark, d):
     return baselines.predicted(test, model, ["reversal", "mom20"]).select("date", "id", "prediction")
 
 
-@query(f"""{BARS}, {FWD}, h AS (SELECT date, id, reversal, fwd1, fwd5 FROM pan WHERE reversal IS NOT NULL), t1 AS (SELECT covar_pop(reversal, fwd1) / var_pop(reversal) AS k, avg(fwd1) - covar_pop(reversal, fwd1) / var_pop(reversal) * avg(reversal) AS c FROM h WHERE date < DATE '1996-01-01' AND fwd1 IS NOT NULL), t5 AS (SELECT covar_pop(reversal, fwd5) / var_pop(reversal) AS k, avg(fwd5) - covar_pop(reversal, fwd5) / var_pop(reversal) * avg(reversal) AS c FROM h WHERE date < DATE '1996-01-01' AND fwd5 IS NOT NULL)
+@query(f"""{BARS}, {FWD}, h AS MATERIALIZED (SELECT date, id, reversal, fwd1, fwd5 FROM pan WHERE reversal IS NOT NULL), t1 AS MATERIALIZED (SELECT covar_pop(reversal, fwd1) / var_pop(reversal) AS k, avg(fwd1) - covar_pop(reversal, fwd1) / var_pop(reversal) * avg(reversal) AS c FROM h WHERE date < DATE '1996-01-01' AND fwd1 IS NOT NULL), t5 AS MATERIALIZED (SELECT covar_pop(reversal, fwd5) / var_pop(reversal) AS k, avg(fwd5) - covar_pop(reversal, fwd5) / var_pop(reversal) * avg(reversal) AS c FROM h WHERE date < DATE '1996-01-01' AND fwd5 IS NOT NULL)
 SELECT date, id, round(t1.c + t1.k * reversal, 5) AS head_fwd1, round(t5.c + t5.k * reversal, 5) AS head_fwd5 FROM h, t1, t5 WHERE date >= DATE '1996-01-01'""", digits=5)
 def model_heads(spark, d):
     p = research.panel(market.bars(spark, d)).where("reversal is not null").select("date", "id", "reversal", "fwd1", "fwd5")
@@ -52,9 +53,9 @@ def model_heads(spark, d):
     return out.select("date", "id", "head_fwd1", "head_fwd5")
 
 
-@query(f"""{BARS}, {FWD}, n AS (SELECT max(seq) AS n FROM cal), s AS (SELECT unnest(range(0, n - 720 + 1, 400)) AS a FROM n WHERE n >= 720), f AS (SELECT (a // 400 + 1)::INT AS fold, a + 1 AS t0, a + 500 AS t1, a + 606 AS v0, a + 720 AS v1 FROM s), x AS (SELECT p.*, seq FROM pan p JOIN cal USING (date)),
-m AS (SELECT fold, covar_pop(reversal, fwd5) / var_pop(reversal) AS k, avg(fwd5) - covar_pop(reversal, fwd5) / var_pop(reversal) * avg(reversal) AS c FROM f JOIN x ON seq BETWEEN t0 AND t1 WHERE reversal IS NOT NULL AND fwd5 IS NOT NULL GROUP BY fold)
-SELECT fold, date, id, round(c + k * reversal, 5) AS prediction FROM f JOIN m USING (fold) JOIN x ON seq BETWEEN v0 AND v1 WHERE reversal IS NOT NULL""", digits=5)
+@query(f"""{BARS}, {FWD}, n AS (SELECT max(seq) AS n FROM cal), s AS (SELECT unnest(range(0, n - 720 + 1, 400)) AS a FROM n WHERE n >= 720), f AS (SELECT (a // 400 + 1)::INT AS fold, a + 1 AS t0, a + 500 AS t1, a + 606 AS v0, a + 720 AS v1 FROM s), x AS MATERIALIZED (SELECT p.*, seq FROM pan p JOIN cal USING (date)),
+d AS MATERIALIZED (SELECT fold, unnest(range(t0, t1 + 1)) AS seq FROM f), e AS MATERIALIZED (SELECT fold, unnest(range(v0, v1 + 1)) AS seq FROM f), m AS MATERIALIZED (SELECT fold, covar_pop(reversal, fwd5) / var_pop(reversal) AS k, avg(fwd5) - covar_pop(reversal, fwd5) / var_pop(reversal) * avg(reversal) AS c FROM d JOIN x USING (seq) WHERE reversal IS NOT NULL AND fwd5 IS NOT NULL GROUP BY fold)
+SELECT fold, date, id, round(c + k * reversal, 5) AS prediction FROM e JOIN m USING (fold) JOIN x USING (seq) WHERE reversal IS NOT NULL""", digits=5)
 def walk_forward_predictions(spark, d):
     cal = market.calendar(spark, d)
     folds = labels.fold_days(cal, labels.folds(cal, 500, 95, 115, 5, 400))
@@ -85,10 +86,35 @@ def trade_signals(spark, d):
     return features.trade_signals(market.bars(spark, d))
 
 
-@query(f"""{BARS}, l AS (SELECT date, max(CASE WHEN id = 1 THEN ret END) AS a, max(CASE WHEN id = 2 THEN ret END) AS b FROM rets GROUP BY date), sp AS (SELECT date, a - b AS spread FROM l WHERE a IS NOT NULL AND b IS NOT NULL), x AS (SELECT id, date, ret, spread FROM rets JOIN sp USING (date) WHERE ret IS NOT NULL)
-SELECT id, date, {_rounded('spread', f"CASE WHEN count(spread) OVER {w(60)} >= 20 THEN least(3, greatest(-3, coalesce(covar_samp(ret, spread) OVER {w(60)} / nullif(var_samp(spread) OVER {w(60)}, 0), 0))) END AS exposure")} FROM x""")
+def _style_sql(name: str, a: int, b: int) -> str:
+    """Exposure of each row of `px` to the spread of two legs, by calendar windows."""
+    w = "(ORDER BY seq ROWS BETWEEN 149 PRECEDING AND CURRENT ROW)"
+    return f"""{name}l AS (SELECT cal.date, cal.seq, l.ret AS l, s.ret AS s, l.ret - s.ret AS spread FROM cal LEFT JOIN (SELECT * FROM px WHERE id = {a}) l USING (date) LEFT JOIN (SELECT * FROM px WHERE id = {b}) s USING (date)),
+{name}v AS MATERIALIZED (SELECT date, seq, spread, CASE WHEN count(spread) OVER {w} >= 20 THEN nullif(var_samp(spread) OVER {w}, 0) END AS v, CASE WHEN count(l * spread) OVER {w} >= 20 THEN covar_samp(l, spread) OVER {w} END AS cl, CASE WHEN count(s * spread) OVER {w} >= 20 THEN covar_samp(s, spread) OVER {w} END AS cs FROM {name}l),
+{name}x AS (SELECT px.id, px.date, spread, v, cl, cs, CASE WHEN count(px.ret * spread) OVER r >= 20 THEN covar_samp(px.ret, spread) OVER r END AS c FROM px JOIN {name}v USING (date) WINDOW r AS (PARTITION BY px.id ORDER BY {name}v.seq RANGE BETWEEN 149 PRECEDING AND CURRENT ROW)),
+{name} AS (SELECT id, date, spread, coalesce(CASE WHEN c IS NOT NULL AND v IS NOT NULL AND cl - cs <> 0 THEN least(3, greatest(-3, 2 * (c / v - cs / v) / (cl / v - cs / v) - 1)) END, CASE id WHEN {a} THEN 1 WHEN {b} THEN -1 ELSE 0 END) AS exposure FROM {name}x)"""
+
+
+_PX = "px AS MATERIALIZED (SELECT id, date, ret, close / lag(close, 20) OVER (PARTITION BY id ORDER BY date) - 1 AS mom20 FROM rets)"
+
+
+@query(f"""{BARS}, {_PX}, {_style_sql('st', 1, 2)} SELECT id, date, {_rounded('spread', 'exposure', digits=5)} FROM st""", digits=5)
 def style_exposure(spark, d):
-    return styles.exposure(features.with_returns(market.bars(spark, d)), 1, 2)
+    return styles.exposure(features.with_returns(market.bars(spark, d)), market.calendar(spark, d), 1, 2, n=150)
+
+
+@query(f"""{BARS}, {_PX}, {_style_sql('sa', 1, 2)}, {_style_sql('sb', 3, 4)}, ga AS (SELECT date, coalesce(max(CASE WHEN id = 1 THEN mom20 END), 0) - coalesce(max(CASE WHEN id = 2 THEN mom20 END), 0) AS g FROM px WHERE id IN (1, 2) GROUP BY date), gb AS (SELECT date, coalesce(max(CASE WHEN id = 3 THEN mom20 END), 0) - coalesce(max(CASE WHEN id = 4 THEN mom20 END), 0) AS g FROM px WHERE id IN (3, 4) GROUP BY date),
+j AS (SELECT sa.id, sa.date, coalesce(ga.g, 0) * sa.exposure AS value_growth, coalesce(gb.g, 0) * sb.exposure AS large_small FROM sa JOIN sb ON sb.id = sa.id AND sb.date = sa.date LEFT JOIN ga ON ga.date = sa.date LEFT JOIN gb ON gb.date = sa.date) SELECT id, date, {_rounded('value_growth', 'large_small', '(value_growth + 0.5 * large_small) / 1.5 AS composite', digits=4)} FROM j""", digits=4)
+def style_spreads(spark, d):
+    x = features.with_returns(market.bars(spark, d)).withColumn("mom20", F.col("close") / F.lag("close", 20).over(R.history()) - 1)
+    return styles.style_spreads(x, market.calendar(spark, d), {"value_growth": (1, 2, 1.0), "large_small": (3, 4, 0.5)}, n=150)
+
+
+@query(f"""{BARS}, {FWD}, n AS (SELECT max(seq) AS n FROM cal), x AS MATERIALIZED (SELECT p.*, (SELECT n FROM n) - seq AS back FROM pan p JOIN cal USING (date)), k AS MATERIALIZED (SELECT covar_pop(reversal, fwd5) / var_pop(reversal) AS k, avg(fwd5) - covar_pop(reversal, fwd5) / var_pop(reversal) * avg(reversal) AS c FROM x WHERE back >= 65 AND back < 565 AND reversal IS NOT NULL AND fwd5 IS NOT NULL)
+SELECT date, id, round(c + k * reversal, 5) AS prediction FROM x, k WHERE back < 60 AND reversal IS NOT NULL""", digits=5)
+def shadow_predictions(spark, d):
+    p = research.panel(market.bars(spark, d)).select("date", "id", "reversal", "fwd5")
+    return baselines.shadow_fit(p, market.calendar(spark, d), ["reversal"], "fwd5").select("date", "id", "prediction")
 
 
 @query(f"""{BARS}, v AS (SELECT id, date, close / lag(close, 20) OVER h - 1 AS mom20, close / lag(close, 60) OVER h - 1 AS mom60, ret * volume / nullif({full('avg', 'volume', 20)}, 0) AS flow, ({full('stddev_samp', 'ret', 10)}) / nullif({full('stddev_samp', 'ret', 60)}, 0) - 1 AS vol_shift FROM rets WINDOW h AS (PARTITION BY id ORDER BY date))

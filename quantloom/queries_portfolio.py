@@ -85,11 +85,11 @@ def contribution_by_type(spark, d):
     return r.join(o, "asset_type", "full")
 
 
-@query("""o AS (SELECT CAST(o_orderdate AS DATE) AS date, CASE o_orderstatus WHEN 'F' THEN 1 ELSE -1 END * o_totalprice AS v FROM orders WHERE o_orderstatus IN ('F', 'O') AND o_orderkey % 5 = 0), c AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem)
+@query("""o AS (SELECT CAST(o_orderdate AS DATE) AS date, CASE o_orderstatus WHEN 'F' THEN 1 ELSE -1 END * o_totalprice AS v FROM orders WHERE o_orderstatus IN ('F', 'O')), c AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem)
 SELECT c.date, round(coalesce(sum(abs(v)) * 0.0008, 0), 4) AS cost, round(coalesce(sum(abs(v)), 0), 4) AS traded, count(v) AS orders FROM c LEFT JOIN o USING (date) GROUP BY c.date""", digits=4)
 def order_costs(spark, d):
-    """Cost and amount of the program orders (keys divisible by five) on each trading date, 0 without orders."""
-    o = market.trades(spark, d).where("order_id % 5 = 0").groupBy("date").agg(F.sum("amount").alias("traded"), F.count("*").alias("orders"))
+    """Cost and amount of the orders of each trading date, 0 without orders."""
+    o = market.trades(spark, d).groupBy("date").agg(F.sum("amount").alias("traded"), F.count("*").alias("orders"))
     x = market.calendar(spark, d).select("date").join(o, "date", "left")
     traded = F.coalesce("traded", F.lit(0.0))
     return x.select("date", (traded * 0.0008).alias("cost"), traded.alias("traded"), F.coalesce("orders", F.lit(0)).alias("orders"))
@@ -137,18 +137,36 @@ def smoothed_weights(spark, d):
 
 _SERIES = f"{_PORT}, bb AS (SELECT date, lead(bench) OVER (ORDER BY date) / bench - 1 AS bench FROM bench), sr AS (SELECT date, ret / 1000 AS ret, bench / 1000 AS bench FROM port JOIN bb USING (date) WHERE bench IS NOT NULL)"
 _WINDOWS = """mm AS (SELECT *, year(date) * 12 + month(date) - 1 AS m FROM sr), ab AS (SELECT min(m) AS a, max(m) AS b FROM mm), wn AS (SELECT unnest(range(0, (b - a) // 3 + 1)) AS win, a, b FROM ab), wr AS (SELECT * FROM wn JOIN mm ON m BETWEEN a + win * 3 AND a + win * 3 + 11 WHERE a + win * 3 + 11 <= b),
-wi AS (SELECT win, min(a + win * 3) AS st, count(*) AS days, count_if(ret <> 0) AS active_days, min(CASE WHEN ret <> 0 THEN date END) AS first_active, min(date) AS first_date, exp(sum(ln(1 + ret))) - 1 AS total_returns, exp(sum(ln(1 + ret)) * 252 / count(*)) - 1 AS annualized_returns, avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(252) AS sharpe,
-avg(ret) / nullif(sqrt(avg(pow(least(ret, 0), 2))), 0) * sqrt(252) AS sortino, avg(ret - bench) / nullif(stddev_samp(ret - bench), 0) * sqrt(252) AS information_ratio FROM wr GROUP BY win)"""
-
-
-def _curve_sql(name: str) -> str:
-    (c, lo, hi, left, right, less), x = scoring.CURVES[name], name
-    at = lambda v: " + ".join(f"({k!r}) * pow({v}, {i})" for i, k in enumerate(c))
-    return f"coalesce(CASE WHEN {x} < {lo} THEN {at(lo)} + {left} * ({x} - ({lo})) WHEN {x} > {hi} THEN {at(hi)} + {right} * ({x} - ({hi})) ELSE {at(x)} END, 0) * {scoring.WEIGHTS[name]}"
-
-
-_SCORED = f"{_SERIES}, {_WINDOWS}, sc AS (SELECT *, {' + '.join(map(_curve_sql, scoring.WEIGHTS))} AS score, st // 3 AS q0, (st + 11) // 3 AS q1 FROM wi)"
-_QUARTERS = f"{_SCORED}, qt AS (SELECT q AS quarter, avg(score) AS score, coalesce(avg(sharpe), 0) AS sharpe, coalesce(avg(total_returns), 0) AS total_returns, count(*) AS windows FROM (SELECT *, unnest(range(q0, q1 + 1)) AS q FROM sc) GROUP BY q)"
+we AS (SELECT *, exp(sum(ln(1 + ret)) OVER h) AS e, exp(sum(ln(1 + bench)) OVER h) AS be, row_number() OVER h AS i FROM wr WINDOW h AS (PARTITION BY win ORDER BY date)), wp AS MATERIALIZED (SELECT *, max(e) OVER h AS peak, e / be AS x, greatest(1, max(e / be) OVER h) AS xpeak, e - coalesce(lag(e) OVER h, 1) AS gain, lag(date) OVER h AS before FROM we WINDOW h AS (PARTITION BY win ORDER BY date)),
+hi AS (SELECT win, i, count_if(e > coalesce(p, e)) OVER (PARTITION BY win ORDER BY i) AS ep FROM (SELECT *, max(e) OVER (PARTITION BY win ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM wp)),
+dp AS (SELECT win, ep, min(CASE WHEN e < peak THEN i END) AS f, arg_min(before, i) FILTER (WHERE e < peak) AS since, max(i) AS l, max(date) AS until, arg_max(e < peak, i) AS low FROM wp JOIN hi USING (win, i) GROUP BY win, ep),
+dl AS (SELECT *, l - f + 1 + CASE WHEN ep < max(ep) OVER (PARTITION BY win) THEN 1 WHEN low THEN 0 END AS n FROM dp), dd AS (SELECT win, until - since AS dur FROM dl WHERE n IS NOT NULL QUALIFY row_number() OVER (PARTITION BY win ORDER BY n DESC, f) = 1),
+mo AS (SELECT win, avg(w::INT) AS mw FROM (SELECT win, m, sum(ln(1 + ret)) > sum(ln(1 + bench)) AS w FROM wr GROUP BY ALL) GROUP BY win),
+wi AS (SELECT wp.win, min(a + wp.win * 3) AS st, count(*) AS days, count_if(ret <> 0) AS active_days, min(CASE WHEN ret <> 0 THEN date END) AS first_active, min(date) AS first_date, exp(sum(ln(1 + ret))) - 1 AS total_returns, exp(sum(ln(1 + ret)) * 252 / count(*)) - 1 AS annualized_returns,
+exp((sum(ln(1 + ret)) - sum(ln(1 + bench))) * 252 / count(*)) - 1 AS excess_annual_returns, max(1 - e / greatest(1, peak)) AS max_drawdown, coalesce(any_value(dur), 0) AS max_drawdown_duration_days, max(1 - x / xpeak) AS excess_max_drawdown, stddev_samp(ret - bench) * sqrt(252) AS tracking_error,
+avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(252) AS sharpe, avg(ret) / nullif(sqrt(avg(pow(least(ret, 0), 2))), 0) * sqrt(252) AS sortino, avg(ret - bench) / nullif(stddev_samp(ret - bench), 0) * sqrt(252) AS information_ratio, avg((ret > 0)::INT) AS win_rate,
+avg(CASE WHEN gain > 0 THEN gain END) / avg(CASE WHEN gain < 0 THEN -gain END) AS profit_loss_rate, any_value(mw) AS monthly_excess_win_rate FROM wp LEFT JOIN dd ON dd.win = wp.win LEFT JOIN mo ON mo.win = wp.win GROUP BY wp.win)"""
+# Fixed values of the SQL: indicator, coefficients from the constant up, range, slopes beyond it, sign, weight.
+_POINTS = """cu AS (SELECT * FROM (VALUES
+('total_returns', 0.0, 385.873016, 36.772487, -5579.365079, 16243.386243, -0.15, 0.3, 144.4444, 655.7937, 1, 0.12),
+('annualized_returns', -17.142857, 306.190476, 1033.333333, -6476.190476, 9523.809524, -0.1, 0.4, 130.0, 462.381, 1, 0.12),
+('excess_annual_returns', 19.312452, 329.895595, -690.603514, 8041.762159, -13750.954927, -0.1, 0.2, 764.273, 578.6351, 1, 0.06),
+('max_drawdown', 166.875, 1702.916667, 8391.666667, 22833.333333, 23333.333333, -0.35, -0.05, 218.3333, 1023.3333, -1, 0.10),
+('max_drawdown_duration_days', 549.2455242967089, 9.365380789997912, 0.06447013829687052, 0.00019543904518330954, 2.1194468125416533e-07, -350, -90, 0.25, 1.8919, -1, 0.075),
+('excess_max_drawdown', 229.705882, 6249.509804, 76062.091503, 419934.640523, 816993.464052, -0.2, -0.03, 382.3529, 2731.3725, -1, 0.0375),
+('tracking_error', 160.0, 1423.333333, 4633.333333, 2666.666667, -13333.333333, -0.3, -0.05, 803.3333, 986.6667, -1, 0.0375),
+('sharpe', 0.0, 70.434783, -80.942029, 55.652174, -10.144928, -0.3, 2.0, 135.1217, 89.8551, 1, 0.10),
+('sortino', 0.0, 73.145743, -77.676768, 37.822671, -5.451339, -0.3, 3.0, 130.5527, 39.5527, 1, 0.10),
+('information_ratio', 0.0, 76.260684, -59.850427, 59.496676, -15.906933, -0.3, 1.5, 129.953, 83.5684, 1, 0.05),
+('win_rate', -1920.0, 13426.666667, -34366.666667, 37333.333333, -13333.333333, 0.35, 0.6, 803.3333, 986.6667, 1, 0.04),
+('profit_loss_rate', -121.671068, 253.344465, -164.707265, 52.293645, -5.776856, 0.5, 3.0, 124.969, 53.1288, 1, 0.06),
+('monthly_excess_win_rate', -111.666667, 215.15873, 1013.492063, -2825.396825, 2222.222222, 0.25, 0.7, 331.0317, 529.6032, 1, 0.10)) t(name, c0, c1, c2, c3, c4, lo, hi, sl, sr, sgn, wgt))"""
+_NAMES = ("total_returns", "annualized_returns", "excess_annual_returns", "max_drawdown", "max_drawdown_duration_days", "excess_max_drawdown", "tracking_error", "sharpe", "sortino", "information_ratio", "win_rate", "profit_loss_rate", "monthly_excess_win_rate")
+_SCORED = f"""{_SERIES}, {_WINDOWS}, {_POINTS}, lo AS (UNPIVOT (SELECT win, {', '.join(f'{c}::DOUBLE AS {c}' for c in _NAMES)} FROM wi) ON {', '.join(_NAMES)} INTO NAME name VALUE v),
+pv AS (SELECT win, wgt, sgn * v AS v, greatest(lo, least(hi, sgn * v))::DOUBLE AS k, c0, c1, c2, c3, c4, CASE WHEN sgn * v < lo THEN sl * (sgn * v - lo) WHEN sgn * v > hi THEN sr * (sgn * v - hi) ELSE 0 END AS beyond FROM lo JOIN cu USING (name)),
+ps AS (SELECT win, sum(wgt * (c0 + k * (c1 + k * (c2 + k * (c3 + k * c4))) + beyond)) AS score FROM pv GROUP BY win), sc AS (SELECT wi.*, coalesce(score, 0) AS score, st // 3 AS q0, (st + 11) // 3 AS q1 FROM wi LEFT JOIN ps ON ps.win = wi.win)"""
+_CORE = ("annualized_returns", "max_drawdown", "sharpe", "win_rate")
+_QUARTERS = f"{_SCORED}, qt AS (SELECT q AS quarter, avg(score) AS score, {', '.join(f'coalesce(avg({c}), 0) AS {c}' for c in _CORE)}, count(*) AS windows FROM (SELECT *, unnest(range(q0, q1 + 1)) AS q FROM sc) GROUP BY q)"
 
 
 def _windows(spark, d):
@@ -158,22 +176,22 @@ def _windows(spark, d):
 
 
 def _quarters(spark, d):
-    return scoring.quarters(_windows(spark, d), ["sharpe", "total_returns"])
+    return scoring.quarters(_windows(spark, d), scoring.CORE)
 
 
-@query(f"""{BARS}, {FWD}, {WEIGHTS}, {_SCORED} SELECT win::INT AS "window", days, active_days, first_active, first_date, (first_active - first_date)::INT AS delay, q0::INT AS start_quarter, q1::INT AS end_quarter, {_rounded(*scoring.WEIGHTS, 'score', digits=4)} FROM sc""", digits=4)
+@query(f"""{BARS}, {FWD}, {WEIGHTS}, {_SCORED} SELECT win::INT AS "window", days, active_days, first_active, first_date, (first_active - first_date)::INT AS delay, q0::INT AS start_quarter, q1::INT AS end_quarter, {_rounded(*_NAMES, 'score', digits=4)} FROM sc""", digits=4)
 def window_scores(spark, d):
     return _windows(spark, d)
 
 
-@query(f"{BARS}, {FWD}, {WEIGHTS}, {_QUARTERS} SELECT quarter::INT AS quarter, windows, {_rounded('score', 'sharpe', 'total_returns', digits=4)} FROM qt", digits=4)
+@query(f"{BARS}, {FWD}, {WEIGHTS}, {_QUARTERS} SELECT quarter::INT AS quarter, windows, {_rounded('score', *_CORE, digits=4)} FROM qt", digits=4)
 def quarter_scores(spark, d):
     return _quarters(spark, d)
 
 
-@query(f"""{BARS}, {FWD}, {WEIGHTS}, {_QUARTERS}, x AS (SELECT *, exp(-0.03 * (row_number() OVER (ORDER BY quarter DESC) - 1)) AS w FROM qt) SELECT {_rounded('sum(score * w) / sum(w) AS score', 'sum(sharpe * w) / sum(w) AS sharpe', 'sum(total_returns * w) / sum(w) AS total_returns', digits=4)}, count(*) AS quarters FROM x""", digits=4)
+@query(f"""{BARS}, {FWD}, {WEIGHTS}, {_QUARTERS}, x AS (SELECT *, exp(-0.03 * (row_number() OVER (ORDER BY quarter DESC) - 1)) AS w FROM qt) SELECT {_rounded(*(f'sum({c} * w) / sum(w) AS {c}' for c in ('score', *_CORE)), digits=4)}, count(*) AS quarters FROM x""", digits=4)
 def composite_score(spark, d):
-    return scoring.composite(_quarters(spark, d), ["sharpe", "total_returns"])
+    return scoring.composite(_quarters(spark, d), scoring.CORE)
 
 
 _LONGEST = "lr AS (SELECT score < 30 AS low, row_number() OVER (ORDER BY quarter) - row_number() OVER (PARTITION BY score < 30 ORDER BY quarter) AS g FROM qt), lg AS (SELECT coalesce(max(c), 0) AS longest FROM (SELECT count(*) AS c FROM lr WHERE low GROUP BY g))"

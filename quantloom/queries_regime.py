@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quantloom.operators import features, pointintime, regime, risk
@@ -200,6 +201,16 @@ def rebalance_days(spark, d):
     return pointintime.rebalance_days(market.calendar(spark, d), 20)
 
 
+@query(f"""{BARS}, k AS (SELECT DISTINCT o_custkey AS book, CAST(o_orderdate AS DATE) AS date FROM orders), h AS (SELECT *, lag(date) OVER (PARTITION BY book ORDER BY date) AS last, row_number() OVER (PARTITION BY book ORDER BY date) % 4 AS holdings FROM k), j AS (SELECT h.*, a.seq AS s, b.seq AS t FROM h LEFT JOIN cal a ON a.date = h.date LEFT JOIN cal b ON b.date = h.last)
+SELECT book, date, last AS last_rebalance, holdings::INT AS holdings, (s - t)::INT AS days_since, CASE WHEN t IS NULL OR holdings = 0 OR coalesce(s - t >= 20, false) THEN 0 ELSE 20 - (s - t) END::INT AS days_left, CASE WHEN t IS NULL OR holdings = 0 THEN true ELSE s - t >= 20 END AS due FROM j""")
+def rebalance_due(spark, d):
+    """Each customer's order days as visits to a portfolio last rebalanced at the visit before, empty on every fourth."""
+    w = Window.partitionBy("book").orderBy("date")
+    k = market.table(spark, d, "orders").select(F.col("o_custkey").alias("book"), F.to_date("o_orderdate").alias("date")).distinct()
+    books = k.withColumn("last_rebalance", F.lag("date").over(w)).withColumn("holdings", F.row_number().over(w) % 4)
+    return pointintime.rebalance_due(books, market.calendar(spark, d), 20)
+
+
 @query(f"""{BARS}, l AS (SELECT 'bars' AS source, max(date) AS last FROM bars UNION ALL SELECT 'early', max(date) FROM bars WHERE date < DATE '1998-01-01' UNION ALL SELECT 'near', max(date) FROM cal WHERE seq <= (SELECT max(seq) FROM cal) - 4), g AS (SELECT source, last, ((SELECT max(seq) FROM cal) - seq)::INT AS days FROM l JOIN cal ON date = last)
 SELECT source, last, days, CASE WHEN days > 5 THEN 'expired' WHEN days > 3 THEN 'stale' ELSE 'fresh' END AS state FROM g""")
 def source_freshness(spark, d):

@@ -68,7 +68,7 @@ di AS (SELECT f, date, CASE WHEN stddev_pop(r) > 0 AND stddev_pop(q) > 0 THEN co
 un AS (SELECT a AS x, b AS y FROM ed UNION SELECT b, a FROM ed), re AS (SELECT DISTINCT x AS a, x AS b FROM un UNION SELECT re.a, un.y FROM re JOIN un ON un.x = re.b), co AS (SELECT a AS feature, min(b) AS grp FROM re GROUP BY a)"""
 
 
-def _feature_table(spark, d):
+def _feature_table(spark, d, whole: bool = True):
     h = Window.partitionBy("id").orderBy("date")
     w = h.rowsBetween(-19, 0)
     x = features.with_returns(market.bars(spark, d))
@@ -77,7 +77,8 @@ def _feature_table(spark, d):
         "id", "date", (F.lead("close", 6).over(h) / F.lead("close", 1).over(h) - 1).alias("fwd5"), (F.col("high") / F.col("close") - 1).alias("high_gap"), (F.col("low") / F.col("close") - 1).alias("low_gap"), change(5).alias("mom5"), change(10).alias("mom10"), change(20).alias("mom20"),
         (F.col("volume") / F.avg("volume").over(w)).alias("turn"), F.when(F.count("ret").over(w) >= 20, F.stddev_samp("ret").over(w)).alias("vol20"),
     )
-    return x.select("id", "date", "fwd5", *(F.round(c, 9).alias(c) for c in _FEATURES)).dropna()
+    x = x.select("id", "date", "fwd5", *(F.round(c, 9).alias(c) for c in _FEATURES))
+    return x.dropna() if whole else x
 
 
 @query(f"""RECURSIVE {BARS}, {FWD}, {_CG} SELECT grp AS "group", feature, count(*) OVER (PARTITION BY grp) AS size, {_rounded('ic AS ic_mean')}, row_number() OVER (PARTITION BY grp ORDER BY round(abs(ic), 9) DESC, feature) = 1 AS representative FROM co JOIN fi ON f = feature""")

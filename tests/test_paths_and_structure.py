@@ -328,10 +328,10 @@ def test_capped_shares_equal_repeated_cutting(spark):
         for d, x in data.items():
             want = water(x, budget, cap)
             assert got[d].keys() == want.keys() and all(abs(got[d][k] - v) < 1e-12 for k, v in want.items()), (d, budget, cap)
-    w = spark.createDataFrame([(1, i, 0.1, g) for i, g in enumerate(["a", "a", "a", "b", None, " "])] + [(2, i, 0.2, None) for i in range(4)], "date int, id int, weight double, g string")
+    w = spark.createDataFrame([(1, i, 0.1, g) for i, g in enumerate(["a", "a", "a", "b", None, " "])] + [(2, i, 0.2, "Unknown") for i in range(4)] + [(3, i, 0.2, None) for i in range(4)], "date int, id int, weight double, g string")
     got = {(r.date, r.id): r.weight for r in construction.group_capped(w, "g", 0.25).collect()}
     want = water({"a": 0.3, "b": 0.1, "Unknown": 0.2}, 0.6, 0.25)
-    assert all(abs(got[1, i] - want["a"] / 3) < 1e-12 for i in range(3)) and abs(got[1, 3] - want["b"]) < 1e-12 and abs(got[1, 4] - want["Unknown"] / 2) < 1e-12 and all(got[2, i] == 0.2 for i in range(4))
+    assert all(abs(got[1, i] - want["a"] / 3) < 1e-12 for i in range(3)) and abs(got[1, 3] - want["b"]) < 1e-12 and abs(got[1, 4] - want["Unknown"] / 2) < 1e-12 and all(got[2, i] == 0.2 and abs(got[3, i] - 0.0625) < 1e-12 for i in range(4))
 
 
 def test_budget_safe_orders_stay_within_cash(spark):
@@ -361,3 +361,108 @@ def test_futures_are_active_on_their_last_day(spark):
     at = lambda inclusive: [(r.status, r.id) for r in intervals.active_on(asks, listed, inclusive=inclusive).orderBy("code", "date").collect()]
     assert at(False) == [("none", None), ("found", 1), ("found", 2), ("found", 2), ("none", None)] and at(True) == [("none", None), ("found", 1), ("several", None), ("found", 2), ("none", None)]
     assert intervals.clashes(listed).count() == 0 and intervals.clashes(listed, inclusive=True).first().days == 1
+
+
+def looped_day(targets, current, r):
+    """One date's executable weights by plain dictionaries; r: the rules."""
+    def caps(weights, industry, gross):
+        pos = {k: max(0.0, v) for k, v in weights.items()}
+        if sum(pos.values()) <= 0 or gross <= 0:
+            return {}
+        out = water(pos, gross, r.max_weight if r.max_weight is not None else gross)
+        if r.max_industry is not None and {industry.get(k) for k in pos} != {"Unknown"}:
+            group = {k: industry.get(k) or "Unknown" for k in out}
+            sums = collections.Counter()
+            for k, v in out.items():
+                sums[group[k]] += v
+            goal = water(dict(sums), min(gross, sum(out.values())), r.max_industry)
+            out = {k: v * goal.get(group[k], 0.0) / sums[group[k]] for k, v in out.items()}
+        return {k: v for k, v in out.items() if v > 0}
+
+    industry = {k: t[1] for k, t in targets.items()}
+    alpha = {k: t[2] for k, t in targets.items()}
+    liquid = {k: t[3] for k, t in targets.items()}
+    held = {k: c[0] for k, c in current.items()}
+    locked = {k: c[1] for k, c in current.items()}
+
+    def limit(k, w):
+        h = held.get(k, 0.0)
+        if r.lock and w < h:
+            w = max(w, locked.get(k, 0.0))
+        if r.participation and r.value and w != h and liquid.get(k) is not None:
+            most = liquid[k] * r.participation / r.value
+            w = h + math.copysign(min(abs(w - h), most), w - h)
+        return h if r.min_trade and abs(w - h) * r.value < r.min_trade else w
+
+    def turn(w, rank):
+        d = {k: v - held.get(k, 0.0) for k, v in w.items()}
+        if r.max_turnover is None or sum(map(abs, d.values())) / 2 <= r.max_turnover:
+            return w
+        left = {1: r.max_turnover, -1: r.max_turnover}
+        out = {}
+        for k in sorted(w, key=lambda k: (-rank(k, d[k]), k)):
+            side = 1 if d[k] > 0 else -1
+            n = min(abs(d[k]), left[side])
+            left[side] -= n
+            out[k] = held.get(k, 0.0) + side * n
+        return out
+
+    first = caps({k: t[0] for k, t in targets.items() if abs(t[0]) >= r.min_weight}, industry, r.gross)
+    liquid = {k: v for k, v in liquid.items() if k in first}  # what is known of a name goes with its target
+    w = {}
+    for k in set(first) | set(held):
+        h, v = held.get(k, 0.0), first.get(k, 0.0)
+        if abs(v - h) < r.buffer or r.alpha and v > h and (alpha.get(k) is None or k not in first or alpha[k] < r.alpha):
+            v = h
+        w[k] = limit(k, v)
+    w = turn(w, lambda k, d: abs(d) * abs((alpha.get(k) if k in first else 0.0) or 0.0))
+    seen = {k: industry[k] if k in first else None for k in w}
+    again = caps(w, seen, min(r.gross, sum(max(0.0, v) for v in w.values())))
+    w = {k: limit(k, again.get(k, 0.0)) for k in set(again) | set(held)}
+    w = turn({k: v for k, v in w.items() if v > 0}, lambda k, d: 0.0)
+    return {k: v for k, v in w.items() if v > 0}
+
+
+@pytest.mark.parametrize("odd", [dict(), dict(max_weight=0.2, max_industry=0.4, buffer=0.02), dict(lock=True, max_turnover=0.15, alpha=0.01), dict(max_weight=0.25, participation=0.1, value=1e6, min_trade=3000.0, lock=True, buffer=0.005, alpha=0.005, max_turnover=0.3, min_weight=0.01, gross=0.9, max_industry=0.5)])
+def test_executable_weights_equal_a_loop(spark, odd):
+    from quantloom.operators.execution import Rules, executable
+
+    rules, rng = Rules(**odd), random.Random(len(odd))
+    targets, current = {}, {}
+    for d in range(12):
+        targets[d] = {i: (rng.random() / 8, rng.choice(["a", "b", "c", None]), rng.choice([None, rng.gauss(0.01, 0.01)]), rng.choice([None, rng.random() * 1e6])) for i in rng.sample(range(20), 12)}
+        current[d] = {i: (w := rng.random() / 10, w * rng.choice([0, 0, 0.5, 1])) for i in rng.sample(range(20), 8)}
+    t = spark.createDataFrame([(d, i, *v) for d, x in targets.items() for i, v in x.items()], "date int, id int, weight double, industry string, alpha double, liquidity double")
+    c = spark.createDataFrame([(d, i, *v) for d, x in current.items() for i, v in x.items()], "date int, id int, weight double, locked double")
+    got = collections.defaultdict(dict)
+    for row in executable(t, c, rules).collect():
+        got[row.date][row.id] = row.weight
+    for d in targets:
+        want = looped_day(targets[d], current[d], rules)
+        assert got[d].keys() == want.keys() and all(abs(got[d][k] - v) < 1e-9 for k, v in want.items()), d
+
+
+def test_feature_reviews(spark):
+    from quantloom.operators import feature_review
+
+    rng = np.random.default_rng(6)
+    rows = [(f, day(10 * f + t), i, float(y := rng.normal()), float(y + rng.normal()), float(rng.normal()), None if rng.random() < 0.7 else 1.0, 3.0) for f in range(4) for t in range(6) for i in range(15)]
+    df = spark.createDataFrame(rows, "fold int, date date, id int, y double, good double, noise double, thin double, flat double")
+    folds = feature_review.fold_metrics(df, ["good", "noise", "thin", "flat"], "y", top=4)
+    p = pd.DataFrame(rows, columns=["fold", "date", "id", "y", "good", "noise", "thin", "flat"])
+    for r in folds.where("feature in ('good', 'noise')").collect():
+        x = p[p.fold == r.fold]
+        stds, ics, spreads, hits, parts = [], [], [], [], collections.defaultdict(list)
+        for _, g in x.groupby("date"):
+            g = g.sort_values(r.feature, ascending=False)
+            stds.append(g[r.feature].std(ddof=0)), ics.append(g[r.feature].rank().corr(g.y.rank())), spreads.append(g.y[:4].mean() - g.y[-4:].mean()), hits.append((g.y[:4] > 0).mean())
+            for k in range(5):
+                parts[k].append(g.y[3 * k : 3 * k + 3].mean())
+        mono = pd.Series([5.0 - k for k in range(5)]).corr(pd.Series([np.mean(parts[k]) for k in range(5)]).rank())
+        assert np.allclose([r.std, r.rank_ic, r.spread, r.hit_rate, r.monotonicity], [np.mean(stds), np.mean(ics), np.mean(spreads), np.mean(hits), mono]) and r.coverage == 1.0
+    s = feature_review.summary(folds)
+    twins = spark.createDataFrame([("noise", "good"), ("good", "good")], "feature string, representative string")
+    got = {r.feature: (r.decision, r.reasons) for r in feature_review.reviewed(s, twins).collect()}
+    assert got["good"] == ("keep", "") and got["noise"][0] == "drop_candidate" and "redundant" in got["noise"][1] and "low_coverage" in got["thin"][1] and "low_variance" in got["flat"][1]
+    audit = {r.feature: (r.decision, r.reasons) for r in feature_review.audited(s, twins).collect()}
+    assert audit["good"][0] == "keep_candidate" and audit["noise"][0] == "hard_exclude" and "redundant" in audit["noise"][1] and audit["flat"][0] == audit["thin"][0] == "hard_exclude"
