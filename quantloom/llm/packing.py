@@ -22,14 +22,30 @@ from . import textkit
 from .storage import staged
 
 #: entries of a worker's cache of tokenised words; others are tokenised each time
-CACHE_WORDS = 300_000
+CACHE_WORDS = 700_000
 _TOKENIZERS: dict[str, object] = {}
 
 
+#: bytes of text whose new words are tokenised together
+RUN = 1 << 22
+#: new words of one call of the tokenizer
+TOGETHER = 64
+_MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+
+
+def _ends_in_letter(word: bytes) -> bool:
+    """Whether the last character is a-z, 0-9 or a letter of Latin-1."""
+    last = word[-1]
+    return 97 <= last <= 122 or 48 <= last <= 57 or len(word) > 1 and word[-2] == 0xC3 and 0x80 <= last <= 0xBF and last not in (0x97, 0xB7)
+
+
 class _Ids(dict):
-    """Token ids, as little-endian unsigned 32-bit bytes, of a run without white space.
+    """Token ids, as little-endian unsigned 32-bit bytes, of runs without white space.
 
-    The vocabulary's pre-tokeniser drops white space, so a text's ids are those of its runs."""
+    The vocabulary's pre-tokeniser drops white space, so a text's ids are those
+    of its runs; and it cuts where marks follow a letter, so a run's ids are those
+    of what stands before its last marks and of those marks. New runs of a few
+    megabytes of text are told first, each once, and tokenised many at a call."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -39,28 +55,86 @@ class _Ids(dict):
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, word: bytes) -> bytes:
-        if word[-1:] in b".,":  # after a letter, a final point or comma is a token of its own
-            if len(word) > 1 and 97 <= word[-2] <= 122:
-                return self[word[:-1]] + self[word[-1:]]
-        out = self.encode(word.decode("utf-8", "replace"))
+    def encode_words(self, words: list[bytes]) -> dict[bytes, bytes]:
+        found: dict[bytes, bytes] = {}
+        for at in range(0, len(words), TOGETHER):
+            some = words[at : at + TOGETHER]
+            texts = [w.decode("utf-8", "replace") for w in some]
+            out = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+            starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+            cuts = (4 * np.searchsorted([o[0] for o in out.offsets], starts)).tolist()
+            raw = np.array(out.ids, "<u4").tobytes()
+            found.update(zip(some, (raw[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)), strict=True))
+        return found
+
+    def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of distinct words that are not known yet; kept while there is room."""
+        parted: list[tuple[bytes, int]] = []
+        plain: dict[bytes, None] = {}
+        special: list[bytes] = []
+        for w in words:
+            n = len(w.rstrip(_MARKS))
+            if b"<|" in w:  # may hold a special token
+                special.append(w)
+            elif 0 < n < len(w) and _ends_in_letter(w[:n]):
+                parted.append((w, n))
+                plain[w[:n]] = plain[w[n:]] = None
+            else:
+                plain[w] = None
+        found = self.encode_words([w for w in plain if w not in self])
+        known = lambda w: found.get(w) or self[w]
+        found |= {w: known(w[:n]) + known(w[n:]) for w, n in parted} | {w: self.encode(w.decode("utf-8", "replace")) for w in special}
         if len(self) < CACHE_WORDS:
-            self[word] = out
-        return out
+            self.update(found)
+        return found
+
+    def texts(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text. Runs are told by 64-bit hashes: each distinct one is looked up once, and its ids are dealt to its places."""
+        texts = [t if b"<|" in t else t.lower() for t in texts]  # as the vocabulary does; special tokens keep their case
+        raw = b"".join(texts)
+        data, offs = np.frombuffer(raw, np.uint8), np.cumsum([0, *map(len, texts)])
+        hashes, bounds = textkit.word_hashes(data, offs, fold=False)
+        if not len(hashes):
+            return [b""] * len(texts)
+        starts, ends = textkit.word_places(data, offs)
+        _, first, place = np.unique(hashes, return_index=True, return_inverse=True)
+        words = [raw[i:j] for i, j in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        found = list(map(self.get, words))
+        new = self.learn([w for w, x in zip(words, found, strict=True) if x is None])
+        found = [new[w] if x is None else x for w, x in zip(words, found, strict=True)]
+        flat = np.frombuffer(b"".join(found), "<u4")
+        sizes = np.array([len(x) // 4 for x in found], np.int64)
+        n = sizes[place]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        out = flat[np.repeat((np.cumsum(sizes) - sizes)[place] - upto[:-1], n) + np.arange(upto[-1])]
+        cuts = upto[bounds].tolist()
+        return [out[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
 
     def text(self, text: bytes) -> bytes:
-        text = text if b"<|" in text else text.lower()  # as the vocabulary does; special tokens keep their case
-        return b"".join(map(self.__getitem__, text.split()))
+        """The ids of a text of any length, in parts that end at white space."""
+        if len(text) <= RUN:
+            return self.texts([text])[0]
+        out, at = [], 0
+        special = b"<|" in text
+        while at < len(text):
+            to = min(len(text), at + RUN)
+            while to < len(text) and not text[to : to + 1].isspace():
+                to += 1
+            part = text[at:to]
+            out.append(self.texts([part if special else part.lower()])[0])
+            at = to
+        return b"".join(out)
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:
     ids = _TOKENIZERS.get(path) or _TOKENIZERS.setdefault(path, _Ids(path))
     tail = np.array([end_id], "<u4").tobytes()
     step = 4 * capacity
-    for batch in textkit.parts(batches, 1):
+    for batch in textkit.parts(batches, 1, RUN):
         rows, piece, start, length, crc = [], [], [], [], []
-        for i, text in enumerate(textkit.texts(batch.column(1))):
-            raw = ids.text(text) + tail
+        texts = textkit.texts(batch.column(1))
+        for i, raw in enumerate(ids.texts(texts) if len(texts) > 1 else map(ids.text, texts)):
+            raw += tail
             for k, at in enumerate(range(0, len(raw), step)):
                 part = raw[at : at + step]
                 rows.append(i), piece.append(k), start.append(at // 4), length.append(len(part) // 4), crc.append(zlib.crc32(part))

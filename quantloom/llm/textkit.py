@@ -131,6 +131,18 @@ def word_hashes(data: np.ndarray, offs: np.ndarray, fold: bool) -> tuple[np.ndar
     return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)), bounds
 
 
+def word_places(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and past-the-last byte of each word, in the order of `word_hashes`."""
+    edge = np.zeros(len(data), bool)
+    edge[offs[:-1][offs[:-1] < len(data)]] = True
+    space = _SPACE[data]
+    begin = ~space
+    end = begin.copy()
+    begin[1:] &= space[:-1] | edge[1:]
+    end[:-1] &= space[1:] | edge[1:]
+    return np.flatnonzero(begin), np.flatnonzero(end) + 1
+
+
 def windows(h: np.ndarray, k: int) -> np.ndarray:
     """Hash of each k consecutive word hashes, as if all were one document."""
     n = len(h) - k + 1
