@@ -95,15 +95,16 @@ def _name_parts(words: list[re.Match], gender: str, at: int) -> Iterator[Part]:
         gender = _GENDER.get(words[0][0], "n")
     for i, w in enumerate(words):
         sort = "SURNAME" if i == len(words) - 1 else f"GIVEN:{gender}"
-        yield Part(at + w.start(), at + w.end(), f"{sort}:{script_of(w[0])}", w[0].casefold())
+        name = re.sub(r"['’][sS]$", "", w[0])  # Smith's is Smith
+        yield Part(at + w.start(), at + w.start() + len(name), f"{sort}:{script_of(name)}", name.casefold())
 
 
 def detect(text: str) -> list[Part]:
     """Entities of a text in order.
 
     Persons are found after a title, or by a listed given name before another
-    name; every further mention of a name part found so, as a whole word, is
-    the same entity."""
+    name; every further mention of a name part found so, as a whole word that
+    is written so, with a capital or in capitals, is the same entity."""
     out: list[Part] = []
     if not _HINT.search(text):
         return out
@@ -126,14 +127,17 @@ def detect(text: str) -> list[Part]:
             out.append(Part(m.start(), m.end(), kind, found.lower()))
         else:
             out.append(Part(m.start(), m.end(), kind, found.replace(" ", "") if kind == "IBAN" else found))
-    named = {text[p.start : p.end]: p for p in reversed(out) if p.kind.startswith(("SURNAME", "GIVEN"))}
+    spelled = {text[p.start : p.end] for p in out if p.kind.startswith(("SURNAME", "GIVEN"))}
+    named = {p.canonical: p for p in reversed(out) if p.kind.startswith(("SURNAME", "GIVEN"))}
     if named:
         taken = {p.start: p.end for p in out}
         starts = sorted(taken)
-        for m in re.finditer(rf"\b(?:{'|'.join(sorted(map(re.escape, named), key=len, reverse=True))})\b", text):
+        for m in re.finditer(rf"\b(?:{'|'.join(sorted(map(re.escape, spelled), key=len, reverse=True))})\b", text, re.IGNORECASE):
+            if m[0].casefold() not in named or not (m[0] in spelled or m[0][0].isupper()):
+                continue
             i = bisect.bisect_right(starts, m.start())
             if not i or taken[starts[i - 1]] <= m.start():
-                out.append(Part(m.start(), m.end(), *named[m[0]][2:]))
+                out.append(Part(m.start(), m.end(), *named[m[0].casefold()][2:]))
         out.sort()
     return out
 
