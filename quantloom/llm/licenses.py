@@ -109,21 +109,34 @@ class TemplateIndex:
 
 
 def in_order(words: list[bytes], notice: list[bytes], need: int) -> bool:
-    """Whether some run of twice as many words as the notice has holds `need` of its words in its order."""
-    kinds = frozenset(notice)
-    places = [(i, w) for i, w in enumerate(words) if w in kinds]
-    for k, (first, _) in enumerate(places):
-        best = [0] * (len(notice) + 1)  # longest common subsequence, row by row
-        for i, w in places[k:]:
-            if i >= first + 2 * len(notice):
-                break
-            before = 0
-            for j, v in enumerate(notice, 1):
-                here = best[j]
-                best[j] = before + 1 if w == v else max(here, best[j - 1])
-                before = here
-        if best[-1] >= need:
-            return True
+    """Whether some run of twice as many words as the notice has holds `need` of its words in its order.
+
+    A run is compared only if it holds that many of the notice's words at all,
+    in whatever order, which sliding counts tell, and only once as many further
+    words have come in as the run compared last fell short by."""
+    wanted = Counter(notice)
+    places = [(i, w) for i, w in enumerate(words) if w in wanted]
+    held: Counter = Counter()
+    enough = end = again = 0
+    for k, (first, word) in enumerate(places):
+        while end < len(places) and places[end][0] < first + 2 * len(notice):
+            w = places[end][1]
+            held[w] += 1
+            enough += held[w] <= wanted[w]
+            end += 1
+        if enough >= need and end >= again:
+            best = [0] * (len(notice) + 1)  # longest common subsequence, row by row
+            for _, w in places[k:end]:
+                before = 0
+                for j, v in enumerate(notice, 1):
+                    here = best[j]
+                    best[j] = before + 1 if w == v else max(here, best[j - 1])
+                    before = here
+            if best[-1] >= need:
+                return True
+            again = end + need - best[-1]
+        enough -= held[word] <= wanted[word]
+        held[word] -= 1
     return False
 
 
