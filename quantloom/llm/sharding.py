@@ -36,6 +36,20 @@ def grown_map(old: list[int]) -> list[int]:
     return new
 
 
+def shrunk_map(old: list[int], shards: int) -> list[int]:
+    """Without the shards from `shards` on: their slots go, one after the other, to the shard that has the fewest, the others stay."""
+    held = [0] * shards
+    for k in old:
+        if k < shards:
+            held[k] += 1
+    new = list(old)
+    for s, k in enumerate(old):
+        if k >= shards:
+            new[s] = min(range(shards), key=lambda x: (held[x], x))
+            held[new[s]] += 1
+    return new
+
+
 def rebalanced_map(old: list[int], shards: int, weight: list[int], tolerance: float = 0.0005) -> list[int]:
     """Move, or else swap, the slots that best level the heaviest and the lightest shard until they differ by the tolerance or nothing helps."""
     new = list(old)
@@ -107,7 +121,9 @@ def shard(docs: DataFrame, shards: int = 40, slots: int = SLOTS, id_col: str = "
 
     The newest map stored at `map_path` is loaded, or a first one stored there
     if there is none; it is edited until the shards are level, growing by one
-    shard at a time up to `shards`, and each edit is appended as a new version.
+    shard at a time up to `shards`, or drained of the last ones down to it, and
+    each edit is appended as a new version. Another number of slots than the
+    stored map has is refused. One writer at a time edits a map.
     Slots that need not move stay where the stored map has them."""
     spark = docs.sparkSession
     map_path = map_path or fresh_path(spark, "slot-map")
@@ -118,9 +134,13 @@ def shard(docs: DataFrame, shards: int = 40, slots: int = SLOTS, id_col: str = "
     for s, w, c in rows.groupBy("virtual_slot").agg(F.sum("size"), F.count("*")).collect():
         weight[s], count[s] = w, c
     stored = newest_map(spark, map_path)[1]
+    if stored and len(stored) != slots:
+        raise ValueError(f"the map at {map_path} has {len(stored)} slots, not {slots}: slots are fixed, as rows are hashed to them")
     if not stored:
         stored = first_map(shards, slots)
         save_map(spark, stored, map_path)
+    if max(stored) + 1 > shards:
+        stored = shrunk_map(stored, shards)
     while max(stored) + 1 < shards:
         stored = grown_map(stored)
     save_map(spark, rebalanced_map(stored, shards, weight), map_path)
