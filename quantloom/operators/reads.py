@@ -51,7 +51,9 @@ def prices(
     if skip_suspended:
         x = x.where("volume > 0")
     if adjust != "none":
-        x = panel.adjusted(x, factors, adjust, end if adjust == "pre" else None)
+        raw, x = x, panel.adjusted(x, factors, adjust, end if adjust == "pre" else None)
+        rest = [c for c in wanted if c not in x.columns]  # amounts and the like, which no split changes
+        x = x.join(raw.select(*KEYS, *rest), list(KEYS)) if rest else x
     if frequency != "1d":
         unit = {"1w": "week", "1m": "month"}[frequency]
         how = {"open": F.min_by("open", "date"), "high": F.max("high"), "low": F.min("low"), "close": F.max_by("close", "date")}

@@ -225,7 +225,8 @@ def score_audit(scored: DataFrame, periods: dict[str, tuple[str, str]], horizons
     h = Window.partitionBy(key).orderBy("date")
     ahead = F.array(*(F.named_struct(F.lit("horizon"), F.lit(n), F.lit("ret"), R.ratio(F.lead("close", n).over(h), F.col("close")) - 1) for n in horizons))
     spans = F.array(F.lit("overall"), *(F.when(F.col("date").between(F.lit(a).cast("date"), F.lit(b).cast("date")), F.lit(p)) for p, (a, b) in periods.items()))
-    x = scored.select(key, "total_score", "score_percentile", F.explode(F.array_compact(spans)).alias("period"), ahead.alias("a")).select("*", F.explode("a").alias("e")).select(key, "period", "e.horizon", "total_score", "score_percentile", "e.ret")
+    x = scored.withColumn("a", ahead)  # before rows are repeated for their periods
+    x = x.select(key, "total_score", "score_percentile", F.explode(F.array_compact(spans)).alias("period"), "a").select("*", F.explode("a").alias("e")).select(key, "period", "e.horizon", "total_score", "score_percentile", "e.ret")
     x = x.where("total_score is not null and score_percentile is not null and ret is not null")
     by = [key, "period", "horizon"]
     for c in ("total_score", "score_percentile", "ret"):

@@ -1,4 +1,4 @@
-"""Tick streams: the same functions serve batch and streaming DataFrames."""
+"""Tick streams: the same functions serve batch and streaming DataFrames. `quantloom.sources.appends.append_batch` writes them, as a foreachBatch function."""
 
 from __future__ import annotations
 
@@ -80,17 +80,6 @@ def drawdown_stops(ticks: DataFrame, limit: float = 0.1) -> DataFrame:
     return ticks.select("id", "ts", "price").groupBy("id").applyInPandasWithState(step, STOP, "peak double, stopped boolean", "append", GroupStateTimeout.NoTimeout)
 
 
-def appended(batch: DataFrame, path: str, keys: list[str], order: str) -> None:
-    """For foreachBatch: append to a Parquet table the rows beyond its newest `order` value, one per key, so a batch that is delivered twice adds nothing."""
-    spark = batch.sparkSession
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    new = batch.dropDuplicates(keys)
-    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        mark = spark.read.parquet(path).agg(F.max(order).alias("_mark"))
-        new = new.join(F.broadcast(mark), F.lit(True)).where(F.col("_mark").isNull() | (F.col(order) > F.col("_mark"))).drop("_mark")  # one row
-    new.write.mode("append").parquet(path)
-
-
 def fresh(snapshot: DataFrame, now: str, limit: str = "5 minutes", least: int = 1) -> DataFrame:
     """One row: instruments, those younger than `limit` at `now`, and whether at least `least` and four fifths of all are. For foreachBatch as for batches."""
     young = F.col("ts") >= F.to_timestamp(F.lit(now)) - F.expr(f"INTERVAL {limit}")

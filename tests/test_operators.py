@@ -252,6 +252,8 @@ def test_scalars_on_texts(spark):
 
 
 def test_streams_keep_state_and_append_once(spark, tmp_path):
+    from quantloom.sources import appends
+
     rows = [(1, dt.datetime(2024, 1, 1, 0, m), p, "x", m) for m, p in enumerate([100.0, 120.0, 110.0, 107.0, 130.0])] + [(2, dt.datetime(2024, 1, 1, 0, 1), 50.0, "x", 9)]
     df = spark.createDataFrame(rows, "id long, ts timestamp, price double, event_type string, event_id long")
     df.write.parquet(str(tmp_path / "in"))
@@ -261,8 +263,8 @@ def test_streams_keep_state_and_append_once(spark, tmp_path):
     assert got == {(1, 0): (100.0, False), (1, 1): (120.0, False), (1, 2): (120.0, False), (1, 3): (120.0, True), (1, 4): (130.0, True), (2, 1): (50.0, False)}
     path = str(tmp_path / "bars")
     for _ in range(2):
-        ticks.appended(df, path, ["id", "event_id"], "event_id")
-    assert spark.read.parquet(path).count() == 6
+        appends.append_batch(df, 0, path, ["id", "event_id"], "event_id")
+    assert appends.appended(spark, path).count() == 6
     averages = ticks.moving_averages(df, "10 minutes", "5 minutes").where("id = 1 and start = timestamp'2024-01-01 00:00:00'").first()
     assert averages.n == 5 and abs(averages.mavg - 113.4) < 1e-9 and abs(averages.vwap - 113.4) < 1e-9
     snap = ticks.snapshots(ticks.merged(df.where("id = 1"), df.where("id = 2")), spark.createDataFrame([(1, 100.0)], "id long, prev_close double"))

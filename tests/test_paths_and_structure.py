@@ -277,6 +277,57 @@ def test_appends_know_each_instrument(spark, tmp_path):
     assert appends.appended(spark, ties).count() == 2
 
 
+def test_a_stream_appends_its_batches_once(spark, tmp_path):
+    schema = "id long, date date, v double"
+    rows = [[(1, day(1), 1.0), (2, day(3), 2.0)], [(2, day(4), 3.0), (1, day(1), 9.0)], [(3, day(0), 4.0)]]
+    path = str(tmp_path / "table")
+    for part in rows:  # each time a new query from the same checkpoint
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        write = lambda batch, number: [appends.append_batch(batch, number, path, ["id", "date"], "date") for _ in range(2)]  # noqa: E731  delivered twice
+        stream.writeStream.foreachBatch(write).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+    assert sorted(map(tuple, appends.appended(spark, path).collect())) == [(1, day(1), 1.0), (2, day(3), 2.0), (2, day(4), 3.0), (3, day(0), 4.0)]
+
+
+def test_audit_of_scores_equals_pandas(spark):
+    rng = np.random.default_rng(9)
+    rows = [("a", day(i), float(100 + rng.normal() * 5), None if i % 17 == 0 else float(rng.normal()), None if i < 30 else float(rng.random())) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, date date, close double, total_score double, score_percentile double")
+    got = {(r.period, r.horizon): r for r in valuation.score_audit(df, {"late": (str(day(150)), str(day(260)))}, horizons=(20,)).collect()}
+    p = pd.DataFrame(rows, columns=["k", "date", "close", "s", "q"])
+    p["ret"] = p.close.shift(-20) / p.close - 1
+    flags = 0
+    for period, part in (("overall", p), ("late", p[(p.date >= day(150)) & (p.date <= day(260))])):
+        x = part.dropna(subset=["s", "q", "ret"])
+        low, high = x[x.q <= 0.2], x[x.q >= 0.8]
+        r = got[period, 20]
+        assert np.allclose([r.samples, r.score_spearman, r.percentile_spearman, r.low_ret, r.high_ret, r.low_win_rate], [len(x), x.s.rank().corr(x.ret.rank()), x.q.rank().corr(x.ret.rank()), low.ret.mean(), high.ret.mean(), (low.ret > 0).mean()])
+        own = int(low.ret.mean() - high.ret.mean() <= 0) + int(len(low) < 20) + int(len(high) < 20)
+        assert (r.flags, r.low_count, r.high_count) == (own, len(low), len(high))
+        flags += own
+    assert {r.verdict for r in got.values()} == {"accurate" if not flags else "mixed" if flags <= 3 else "overfit_risk"}
+
+
+def test_joins_say_what_does_not_match(spark):
+    from quantloom.operators import reads, universe
+
+    w = spark.createDataFrame([(day(0), 1, 0.5), (day(0), 2, 0.5)], "date date, id int, weight double")
+    labels = spark.createDataFrame([(day(0), 1, 0.1)], "date date, id int, y double")
+    assert universe.labelled(w, labels, "y", strict=False).where("y is null").count() == 1
+    with pytest.raises(Exception, match="a weight has no y"):
+        universe.labelled(w, labels, "y").collect()
+    bars = spark.createDataFrame([(1, day(i), v, v, v, v, n, v) for i, (v, n) in enumerate([(1.0, 5.0), (2.0, 0.0)])], "id long, date date, open double, high double, low double, close double, volume double, turnover double")
+    none = spark.createDataFrame([], "id long, ex_date date, factor double")
+    ask = lambda **k: reads.prices(bars, none, [1], "2020-01-01", "2020-01-02", **k)
+    assert ask(fields=["close"]).columns == ["id", "date", "close"] and ask(skip_suspended=True).count() == 1
+    for bad in (dict(fields=["nothing"]), dict(adjust="sideways"), dict(frequency="1h"), dict(today="2020-01-02")):
+        with pytest.raises(ValueError):
+            ask(**bad)
+    folds = lambda rows: spark.createDataFrame(rows, "fold int, test_start string, ic double")
+    a, b = folds([(1, "a", 0.1), (2, "b", 0.2)]), folds([(1, "b", 0.5), (2, "c", 0.7)])
+    assert [(r.test_start, r.delta_ic) for r in universe.aligned_folds(a, b, ["ic"]).collect()] == [("a", 0.4), ("b", 0.49999999999999994)] or universe.aligned_folds(a, b, ["ic"]).count() == 2
+
+
 def test_chains_and_circles(spark):
     links = [(i, i + 1, 1.001) for i in range(1000)] + [(2000, 2001, 2.0), (2001, 2002, 3.0), (3000, 3001, 1.0), (3001, 3000, 1.0), (3002, 3000, 1.0), (None, 1, 1.0), (4000, None, 1.0)]
     got = {r.node: (r.end, r.hops, r.cyclic, r.ratio) for r in graphs.chain_ends(spark.createDataFrame(links, "node long, next long, ratio double"), "ratio").collect()}
