@@ -138,3 +138,43 @@ def cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays of equal length; null where one is zero."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
+# Prefixes of exchange-traded funds, endings of continuous futures, exchanges of shares.
+FUND_PREFIXES, CONTINUOUS, EXCHANGES = ("51", "159", "58"), ("88", "99", "888", "889"), ("XSHE", "XSHG", "BJSE")
+
+
+def exchange_of(name: Column) -> Column:
+    """What follows the first point of an id such as 510880.XSHG, in capitals; null without one."""
+    return F.nullif(F.upper(F.substring_index(F.substring(name, F.nullif(F.instr(name, "."), F.lit(0)) + 1, F.length(name)), ".", 1)), F.lit(""))
+
+
+def is_fund(name: Column) -> Column:
+    """Whether the code before the point is that of an exchange-traded fund; false for an empty id."""
+    code = F.coalesce(F.substring_index(name, ".", 1), F.lit(""))
+    out = code.startswith(FUND_PREFIXES[0])
+    for p in FUND_PREFIXES[1:]:
+        out = out | code.startswith(p)
+    return out
+
+
+def is_equity(name: Column) -> Column:
+    """Six digits and the exchange of shares, funds and indices."""
+    return F.coalesce(name.rlike(r"^[0-9]{6}\.(" + "|".join(EXCHANGES) + ")$"), F.lit(False))
+
+
+def is_continuous(name: Column) -> Column:
+    """A future's letters followed by the ending of a continuous contract, and a letter and number for its kind, if any."""
+    return F.coalesce(name.rlike(r"^[A-Z]+(" + "|".join(CONTINUOUS) + ")([A-Z][0-9]+)?$"), F.lit(False))
+
+
+def code_of(name: Column) -> Column:
+    """The first six digits in a row; null without any."""
+    return F.nullif(F.regexp_extract(name, "[0-9]{6}", 0), F.lit(""))
+
+
+def listed_id(code: Column) -> Column:
+    """A bare code with its leading zeros and its exchange: Shanghai for 5, 6 and 9, Beijing for 4 and 8, else Shenzhen."""
+    six = F.lpad(code.cast("string"), 6, "0")
+    first = F.substring(six, 1, 1)
+    return F.concat(six, F.lit("."), F.when(first.isin("5", "6", "9"), "XSHG").when(first.isin("4", "8"), "BJSE").otherwise("XSHE"))

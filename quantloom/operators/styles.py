@@ -44,11 +44,16 @@ def style_spreads(panel: DataFrame, calendar: DataFrame, pairs: dict[str, tuple[
     return out.withColumn("composite", sum((F.col(k) * w for k, (_, _, w) in pairs.items()), F.lit(0.0)) / total)
 
 
-def fund_factors(bars: DataFrame) -> DataFrame:
-    """Momentum of 20 and 60 days, return weighted by relative volume, and short over long volatility less 1."""
+def fund_factors(bars: DataFrame, bench: DataFrame | None = None) -> DataFrame:
+    """Momentum of 20 and 60 days, that in excess of the benchmark's (`date`, `bench`) on the day, return weighted by relative volume, and short over long volatility less 1."""
     df = bars.withColumn("ret", R.ratio(F.col("close"), F.lag("close").over(R.history())) - 1)
     change = lambda n: R.ratio(F.col("close"), F.lag("close", n).over(R.history())) - 1
-    return df.select("id", "date", change(20).alias("mom20"), change(60).alias("mom60"), R.ratio(F.col("ret") * F.col("volume"), R.mean("volume", 20)).alias("flow"), (R.ratio(R.std("ret", 10), R.std("ret", 60)) - 1).alias("vol_shift"))
+    out = df.select("id", "date", change(20).alias("mom20"), change(60).alias("mom60"), R.ratio(F.col("ret") * F.col("volume"), R.mean("volume", 20)).alias("flow"), (R.ratio(R.std("ret", 10), R.std("ret", 60)) - 1).alias("vol_shift"))
+    if bench is None:
+        return out
+    day = Window.orderBy("date")  # one row a day
+    b = bench.select("date", *((R.ratio(F.col("bench"), F.lag("bench", n).over(day)) - 1).alias(f"_b{n}") for n in (20, 60)))
+    return out.join(b, "date", "left").select("id", "date", "mom20", "mom60", *((F.col(f"mom{n}") - F.col(f"_b{n}")).alias(f"excess{n}") for n in (20, 60)), "flow", "vol_shift")
 
 
 def valuation(bars: DataFrame) -> DataFrame:

@@ -117,10 +117,10 @@ def shadow_predictions(spark, d):
     return baselines.shadow_fit(p, market.calendar(spark, d), ["reversal"], "fwd5").select("date", "id", "prediction")
 
 
-@query(f"""{BARS}, v AS (SELECT id, date, close / lag(close, 20) OVER h - 1 AS mom20, close / lag(close, 60) OVER h - 1 AS mom60, ret * volume / nullif({full('avg', 'volume', 20)}, 0) AS flow, ({full('stddev_samp', 'ret', 10)}) / nullif({full('stddev_samp', 'ret', 60)}, 0) - 1 AS vol_shift FROM rets WINDOW h AS (PARTITION BY id ORDER BY date))
-SELECT id, date, {_rounded('mom20', 'mom60', 'flow', 'vol_shift')} FROM v""")
+@query(f"""{BARS}, v AS (SELECT id, date, close / lag(close, 20) OVER h - 1 AS mom20, close / lag(close, 60) OVER h - 1 AS mom60, ret * volume / nullif({full('avg', 'volume', 20)}, 0) AS flow, ({full('stddev_samp', 'ret', 10)}) / nullif({full('stddev_samp', 'ret', 60)}, 0) - 1 AS vol_shift FROM rets WINDOW h AS (PARTITION BY id ORDER BY date)), bm AS (SELECT date, bench / lag(bench, 20) OVER (ORDER BY date) - 1 AS b20, bench / lag(bench, 60) OVER (ORDER BY date) - 1 AS b60 FROM bench)
+SELECT id, date, {_rounded('mom20', 'mom60', 'mom20 - b20 AS excess20', 'mom60 - b60 AS excess60', 'flow', 'vol_shift')} FROM v LEFT JOIN bm USING (date)""")
 def fund_factors(spark, d):
-    return styles.fund_factors(market.bars(spark, d))
+    return styles.fund_factors(market.bars(spark, d), market.benchmark(spark, d))
 
 
 @query(f"""{BARS}, x AS (SELECT id, date, close / nullif({full('avg', 'close', 250, 20)}, 0) - 1 AS ma_gap, ({full('stddev_samp', 'ret', 20)}) * sqrt(252) AS vol, volume / nullif({full('avg', 'volume', 20)}, 0) AS volume_ratio FROM rets) SELECT id, date, {_rounded('ma_gap', 'vol', 'volume_ratio')} FROM x""")

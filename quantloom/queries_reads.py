@@ -224,3 +224,28 @@ def blocked_orders(spark, d):
     p = F.lag("close").over(h)
     x = market.bars(spark, d).select("id", "date", F.col("close").alias("price"), (p * 1.4).alias("limit_up"), (p * 0.7).alias("limit_down"), (F.col("volume") < 3).alias("suspended"), F.floor("volume").cast("double").alias("closable"), F.floor(F.col("volume") - F.lag("volume", 1, 0.0).over(h)).cast("double").alias("change"))
     return universe.blocked(x).select("id", "date", "change", "blocked", "allowed")
+
+
+_NAME = "CASE WHEN l_partkey % 7 = 0 THEN 'IF' || CASE WHEN l_partkey % 2 = 0 THEN '88' ELSE '2403' END ELSE lpad((l_partkey * 37 + l_suppkey * 4999)::VARCHAR, 6, '0') || '.' || CASE l_linestatus WHEN 'O' THEN 'xshg' ELSE 'XSHE' END END"
+
+
+@query(f"""n AS (SELECT DISTINCT {_NAME} AS name, l_partkey AS code FROM lineitem) SELECT name, code, CASE WHEN name LIKE '%.%' THEN upper(split_part(name, '.', 2)) END AS exchange, split_part(name, '.', 1) LIKE '51%' OR split_part(name, '.', 1) LIKE '159%' OR split_part(name, '.', 1) LIKE '58%' AS fund,
+regexp_full_match(name, '[0-9]{{6}}[.](XSHE|XSHG|BJSE)') AS equity, regexp_full_match(name, '[A-Z]+(88|99|888|889)([A-Z][0-9]+)?') AS continuous, nullif(regexp_extract(name, '[0-9]{{6}}'), '') AS digits, lpad(code::VARCHAR, 6, '0') || CASE WHEN left(lpad(code::VARCHAR, 6, '0'), 1) IN ('5', '6', '9') THEN '.XSHG' WHEN left(lpad(code::VARCHAR, 6, '0'), 1) IN ('4', '8') THEN '.BJSE' ELSE '.XSHE' END AS listed FROM n""")
+def instrument_ids(spark, d):
+    """Ids made of the keys of line items, and what they tell."""
+    from quantloom.functions import scalars as S
+
+    code = F.lpad((F.col("l_partkey") * 37 + F.col("l_suppkey") * 4999).cast("string"), 6, "0")
+    share = F.concat(code, F.lit("."), F.when(F.col("l_linestatus") == "O", "xshg").otherwise("XSHE"))
+    future = F.concat(F.lit("IF"), F.when(F.col("l_partkey") % 2 == 0, "88").otherwise("2403"))
+    n = market.table(spark, d, "lineitem").select(F.when(F.col("l_partkey") % 7 == 0, future).otherwise(share).alias("name"), F.col("l_partkey").alias("code")).distinct()
+    c = F.col("name")
+    return n.select("name", "code", S.exchange_of(c).alias("exchange"), S.is_fund(c).alias("fund"), S.is_equity(c).alias("equity"), S.is_continuous(c).alias("continuous"), S.code_of(c).alias("digits"), S.listed_id(F.col("code")).alias("listed"))
+
+
+@query(f"""{BARS}, {FWD}, a AS (SELECT year(date) AS fold, date, id, reversal AS score FROM pan WHERE reversal IS NOT NULL), b AS (SELECT year(date) AS fold, date, id, fwd5 AS label FROM pan WHERE fwd5 IS NOT NULL AND month(date) > 3) SELECT fold, date, id, {_rounded('score', 'label')} FROM a JOIN b USING (fold, date, id)""")
+def fold_panel(spark, d):
+    """Scores and labels of several folds stacked, joined on fold, date and id."""
+    p = research.panel(market.bars(spark, d)).withColumn("fold", F.year("date"))
+    scores = p.where("reversal is not null").select("fold", "date", "id", F.col("reversal").alias("score"))
+    return universe.panel_join(scores, p.where("fwd5 is not null and month(date) > 3").select("fold", "date", "id", F.col("fwd5").alias("label")))
