@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,24 +27,56 @@ def missing_reasons(columns: list[str]) -> Column:
     return F.array_compact(F.array(*(F.when(F.col(c).isNull(), F.lit(c)) for c in columns)))
 
 
-def factor_ic(df: DataFrame, columns: list[str], label: str, least: int = 10) -> DataFrame:
-    """Per feature: dates, mean, population deviation and ratio of the daily rank correlation with the label, over dates with `least` rows."""
-    x = _long(df.select("date", label, *columns), ["date", label], columns).where(F.col("value").isNotNull() & F.col(label).isNotNull())
-    x = x.withColumn("_a", R.average_rank("value", ["feature", "date"])).withColumn("_b", R.average_rank(label, ["feature", "date"]))
-    daily = x.groupBy("feature", "date").agg(F.count("*").alias("n"), R.correlation("_a", "_b").alias("ic")).where((F.col("n") >= least) & F.col("ic").isNotNull())
+def daily_rank_correlations(df: DataFrame, columns: list[str], pairs: list[tuple[str, str]] | None = None) -> DataFrame:
+    """Per date and pair of columns (default: each two): rows of the date (`n`), rows that have both (`both`) and the rank correlation over these (`c`), null where one of them does not vary.
+
+    One shuffle of the rows by date; a task holds the columns of one date. Each
+    column is ranked once, and again only for pairs with other missing rows."""
+    pairs = pairs or list(combinations(columns, 2))
+
+    def one(t: pa.Table) -> pa.Table:
+        x = {c: t.column(c).to_numpy(zero_copy_only=False) for c in columns}
+        there = {c: t.column(c).is_valid().to_numpy(zero_copy_only=False) for c in columns}
+        ranks: dict[tuple[str, bytes], np.ndarray] = {}
+        size, value = [], []
+        for a, b in pairs:
+            mask = there[a] & there[b]
+            key = mask.tobytes()
+            for c in (a, b):
+                if (c, key) not in ranks:
+                    ranks[c, key] = R.average_ranks(x[c][mask])
+            size.append(int(mask.sum())), value.append(R.correlation_of(ranks[a, key], ranks[b, key]))
+        k = len(pairs)
+        return pa.table({
+            "date": pa.array([t.column("date")[0].as_py()] * k, t.schema.field("date").type), "a": pa.array([a for a, _ in pairs], pa.string()), "b": pa.array([b for _, b in pairs], pa.string()),
+            "n": pa.array([t.num_rows] * k, pa.int64()), "both": pa.array(size, pa.int64()), "c": pa.array(value, pa.float64()),
+        })
+
+    kind = dict(df.dtypes)["date"]
+    rows = df.select("date", *(F.col(c).cast("double").alias(c) for c in columns))
+    return rows.groupBy("date").applyInArrow(one, f"date {kind}, a string, b string, n long, both long, c double")
+
+
+def ic_of(daily: DataFrame, label: str, least: int = 10) -> DataFrame:
+    """`factor_ic` from daily rank correlations whose second column is the label."""
+    daily = daily.where(F.col("b") == label).select(F.col("a").alias("feature"), F.col("c").alias("ic"), "both").where((F.col("both") >= least) & F.col("ic").isNotNull())
     sd = F.stddev_pop("ic")
     return daily.groupBy("feature").agg(F.count("*").alias("dates"), F.avg("ic").alias("ic_mean"), sd.alias("ic_std"), F.coalesce(R.ratio(F.avg("ic"), sd), F.lit(0.0)).alias("ic_ir"))
 
 
+def agreement_of(daily: DataFrame, least: int = 20) -> DataFrame:
+    """`rank_agreement` from daily rank correlations."""
+    return daily.where(F.col("n") >= least).groupBy("a", "b").agg(F.count("*").alias("dates"), F.avg(F.coalesce("c", F.lit(0.0))).alias("agreement"))
+
+
+def factor_ic(df: DataFrame, columns: list[str], label: str, least: int = 10) -> DataFrame:
+    """Per feature: dates, mean, population deviation and ratio of the daily rank correlation with the label, over dates with `least` rows."""
+    return ic_of(daily_rank_correlations(df, [*columns, label], [(c, label) for c in columns]), label, least)
+
+
 def rank_agreement(df: DataFrame, columns: list[str], least: int = 20) -> DataFrame:
     """Per pair of a short list of features: daily rank correlation over rows that have both, averaged over the dates with `least` rows; a date without a value counts as 0."""
-    pairs = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("x"), F.col(b).alias("y")) for a, b in combinations(columns, 2)))
-    x = df.select("date", F.inline(pairs)).withColumn("_both", F.col("x").isNotNull() & F.col("y").isNotNull())
-    x = x.select("date", "a", "b", F.when(F.col("_both"), F.col("x")).alias("x"), F.when(F.col("_both"), F.col("y")).alias("y"))
-    keys = ["a", "b", "date"]
-    x = x.withColumn("_x", R.average_rank("x", keys)).withColumn("_y", R.average_rank("y", keys))
-    daily = x.groupBy(*keys).agg(F.count("*").alias("n"), R.correlation("_x", "_y").alias("c")).where(F.col("n") >= least)
-    return daily.groupBy("a", "b").agg(F.count("*").alias("dates"), F.avg(F.coalesce("c", F.lit(0.0))).alias("agreement"))
+    return agreement_of(daily_rank_correlations(df, columns), least)
 
 
 def score_ranges(df: DataFrame, score: str) -> DataFrame:

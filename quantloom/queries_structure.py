@@ -10,7 +10,7 @@ from quantloom.operators import diagnostics, evaluation, factor_risk, features,
 from quantloom.plans import research
 from quantloom.queries import BARS, FWD, _rounded, query
 from quantloom.sources import appends, market
-from quantloom.sources.shared import fresh_path
+from quantloom.sources.shared import fresh_path, written
 
 
 def _models(spark, d):
@@ -81,11 +81,15 @@ def _feature_table(spark, d, whole: bool = True):
     return x.dropna() if whole else x
 
 
+def _conflicts(x):
+    daily = written(diagnostics.daily_rank_correlations(x, [*_FEATURES, "fwd5"]), "daily")  # a row a date and pair, read twice
+    pairs = diagnostics.agreement_of(daily.where("b <> 'fwd5'"), least=3).where(F.abs("agreement") >= 0.3)
+    return diagnostics.conflict_groups(pairs, diagnostics.ic_of(daily, "fwd5", least=3))
+
+
 @query(f"""RECURSIVE {BARS}, {FWD}, {_CG} SELECT grp AS "group", feature, count(*) OVER (PARTITION BY grp) AS size, {_rounded('ic AS ic_mean')}, row_number() OVER (PARTITION BY grp ORDER BY round(abs(ic), 9) DESC, feature) = 1 AS representative FROM co JOIN fi ON f = feature""")
 def conflict_groups(spark, d):
-    x = _feature_table(spark, d)
-    pairs = diagnostics.rank_agreement(x, list(_FEATURES), least=3).where(F.abs("agreement") >= 0.3)
-    return diagnostics.conflict_groups(pairs, diagnostics.factor_ic(x, list(_FEATURES), "fwd5", least=3))
+    return _conflicts(_feature_table(spark, d))
 
 
 _FACTS = """fa AS (SELECT o_custkey AS id, year(o_orderdate) * 4 + quarter(o_orderdate) - 1 AS quarter, CAST(o_orderdate AS DATE) + (30 + floor(o_totalprice / 5000))::INT AS info_date, sum(o_totalprice) AS value FROM orders GROUP BY ALL), pb AS (SELECT DISTINCT o_custkey AS id, last_day(o_orderdate) AS day FROM orders)"""
