@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.functions import rolling as R
@@ -13,28 +15,39 @@ METRICS = ("coverage", "std", "rank_ic", "spread", "hit_rate", "monotonicity")
 def fold_metrics(panel: DataFrame, features: list[str], label: str, fold: str = "fold", top: int = 10, groups: int = 5) -> DataFrame:
     """Per fold and feature: rows, valid rows, coverage, mean deviation over a date's names, mean rank information, spread of the `top` best less the worst (at most half a date's names each), hit rate of the best, and monotonicity: the rank correlation of group and mean label over `groups` equal parts of each date.
 
-    Features become rows, so that ranks, places and means of all of them come
-    from one shuffle by feature, fold and date; dates with fewer than two valid
-    names count for coverage only. Ties in a feature are cut by id."""
-    both = F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in features))
-    x = panel.select(F.col(fold).alias("fold"), "date", "id", F.col(label).cast("double").alias("y"), F.inline(both))
-    ok = F.col("x").isNotNull() & ~F.isnan("x") & F.col("y").isNotNull() & ~F.isnan("y")
-    sizes = x.groupBy("fold", "feature").agg(F.count("*").alias("rows"), F.count_if(ok).alias("valid"))
-    day = ["fold", "feature", "date"]
-    w = Window.partitionBy(*day)
-    x = x.where(ok).withColumns({"_n": F.count("*").over(w), "_a": R.average_rank("x", day), "_down": F.row_number().over(w.orderBy(F.desc("x"), "id")), "_up": F.row_number().over(w.orderBy("x", F.desc("id"))), "_b": R.average_rank("y", day)}).where("_n >= 2")
-    k = F.least(F.lit(top), F.floor(F.col("_n") / 2))
-    g = F.least(F.lit(groups), F.col("_n"))
-    part = F.floor((F.col("_down") * g - 1) / F.col("_n"))  # the part whose bounds, cut down to whole places, hold the place
-    head, tail = F.when(F.col("_down") <= k, F.col("y")), F.when(F.col("_up") <= k, F.col("y"))
-    daily = x.groupBy(*day).agg(
-        F.stddev_pop("x").alias("std"), R.correlation("_a", "_b").alias("rank_ic"), (F.avg(head) - F.avg(tail)).alias("spread"), F.avg(F.when(F.col("_down") <= k, (F.col("y") > 0).cast("int"))).alias("hit_rate"),
-    ).groupBy("fold", "feature").agg(*(F.avg(c).alias(c) for c in ("std", "rank_ic", "spread", "hit_rate")), F.count("rank_ic").alias("dates"))
-    by_part = x.withColumn("_part", part).groupBy(*day, "_part").agg(F.avg("y").alias("_m")).groupBy("fold", "feature", "_part").agg(F.avg("_m").alias("_m"))
+    One shuffle by fold and date; a task holds the features of one date's names
+    and gives a row a feature. Dates with fewer than two valid names count for
+    coverage only. Ties in a feature are cut by id."""
+
+    def one(t: pa.Table) -> pa.Table:
+        y, ids = t.column("y").to_numpy(zero_copy_only=False), t.column("id").to_numpy(zero_copy_only=False)
+        named, rows = np.argsort(ids, kind="stable"), []
+        for c in features:
+            x = t.column(c).to_numpy(zero_copy_only=False)[named]  # null comes as NaN
+            ok = ~np.isnan(x) & ~np.isnan(y[named])
+            u, v = x[ok], y[named][ok]
+            n = len(u)
+            if n < 2:
+                rows.append((c, t.num_rows, n, None, None, None, None, []))
+                continue
+            v = v[order := np.argsort(-u, kind="stable")]  # largest first, ties by id
+            u = u[order]
+            k, g = min(top, n // 2), min(groups, n)
+            bounds = [n * p // g for p in range(g + 1)]
+            rows.append((c, t.num_rows, n, float(u.std()), R.correlation_of(R.average_ranks(u), R.average_ranks(v)), float(v[:k].mean() - v[n - k :].mean()), float((v[:k] > 0).mean()), [float(v[i:j].mean()) for i, j in zip(bounds, bounds[1:], strict=False)]))
+        names = ("feature", "rows", "valid", *METRICS[1:5], "parts")
+        types = (pa.string(), pa.int64(), pa.int64(), *[pa.float64()] * 4, pa.list_(pa.float64()))
+        own = pa.array([t.column("fold")[0].as_py()] * len(rows), t.schema.field("fold").type)
+        return pa.table({"fold": own, **{name: pa.array(col, kind) for name, col, kind in zip(names, zip(*rows, strict=True), types, strict=True)}})
+
+    x = panel.select(F.col(fold).alias("fold"), "date", "id", F.col(label).cast("double").alias("y"), *(F.col(c).cast("double").alias(c) for c in features))
+    daily = x.groupBy("fold", "date").applyInArrow(one, f"fold {x.schema['fold'].dataType.simpleString()}, feature string, rows long, valid long, {', '.join(f'{c} double' for c in METRICS[1:5])}, parts array<double>")
+    part = [F.struct(F.lit(-float(i)).alias("p"), F.avg(F.get("parts", F.lit(i))).alias("m")) for i in range(groups)]
+    out = daily.groupBy("fold", "feature").agg(F.sum("rows").alias("rows"), F.sum("valid").alias("valid"), *(F.avg(c).alias(c) for c in METRICS[1:5]), F.count("rank_ic").alias("dates"), F.array(*part).alias("_parts"))
+    # a row a fold, feature and part
     both = ["fold", "feature"]
-    by_part = by_part.withColumn("_r", R.average_rank("_m", both)).withColumn("_p", -F.col("_part").cast("double"))
-    mono = by_part.groupBy(*both).agg(F.when(F.count("*") >= 3, R.correlation("_p", "_r")).alias("monotonicity"))
-    out = sizes.join(daily, both, "left").join(mono, both, "left")
+    out = out.select("*", F.inline("_parts")).withColumn("_r", R.average_rank("m", both)).withColumn("_p", F.when(F.col("m").isNotNull(), F.col("p")))
+    out = out.groupBy(*both).agg(*(F.first(c).alias(c) for c in ("rows", "valid", *METRICS[1:5], "dates")), F.when(F.count("m") >= 3, R.correlation("_p", "_r")).alias("monotonicity"))
     return out.select("fold", "feature", "rows", "valid", R.ratio(F.col("valid"), F.col("rows")).alias("coverage"), *(F.coalesce(c, F.lit(0.0)).alias(c) for c in METRICS[1:]), F.coalesce("dates", F.lit(0)).alias("dates"))
 
 

@@ -10,7 +10,7 @@ from quantloom.plans import research
 from quantloom.queries import BARS, FWD, _rounded, query
 from quantloom.queries_execution import _BEST, _FILL, _candidates
 from quantloom.queries_regime import _MARKET, _ROTATION, _breadth, _clamp, _industry_close, _market
-from quantloom.queries_structure import _CG, _FEATURES, _feature_table
+from quantloom.queries_structure import _CG, _FEATURES, _conflicts, _feature_table
 from quantloom.sources import market
 from quantloom.sources.shared import written
 
@@ -25,35 +25,35 @@ _SUM = """su AS (SELECT feature, sum(valid) / sum("rows") AS coverage, sum(std *
 sr AS (SELECT feature, grp, first_value(feature) OVER (PARTITION BY grp ORDER BY round(abs(ic), 9) DESC, feature) AS representative FROM co JOIN fi ON f = feature), sx AS (SELECT su.*, coalesce(representative, feature) AS lead FROM su LEFT JOIN sr USING (feature))"""
 
 
-def _folds(spark, d):
-    x = _feature_table(spark, d, whole=False).withColumn("fold", F.year("date"))
-    return feature_review.fold_metrics(x, list(_FEATURES), "fwd5")
+def _folds(x):
+    return feature_review.fold_metrics(x.withColumn("fold", F.year("date")), list(_FEATURES), "fwd5")
 
 
-def _groups(spark, d):
-    x = _feature_table(spark, d)
-    pairs = diagnostics.rank_agreement(x, list(_FEATURES), least=3).where(F.abs("agreement") >= 0.3)
-    g = diagnostics.conflict_groups(pairs, diagnostics.factor_ic(x, list(_FEATURES), "fwd5", least=3))
-    return g.select("feature", F.max(F.when(F.col("representative"), F.col("feature"))).over(Window.partitionBy("group")).alias("representative"))
+def _folds_and_groups(spark, d):
+    x = written(_feature_table(spark, d, whole=False), "features")  # read twice
+    g = _conflicts(x.dropna())
+    return _folds(x), g.select("feature", F.max(F.when(F.col("representative"), F.col("feature"))).over(Window.partitionBy("group")).alias("representative"))
 
 
 @query(f"""RECURSIVE {BARS}, {FWD}, {_CG}, {_FF} SELECT fold, feature, "rows", valid, {_rounded('coverage', 'std', 'rank_ic', 'spread', 'hit_rate', 'monotonicity', digits=5)}, dates FROM folds""", digits=5)
 def feature_folds(spark, d):
-    return _folds(spark, d)
+    return _folds(_feature_table(spark, d, whole=False))
 
 
 @query(f"""RECURSIVE {BARS}, {FWD}, {_CG}, {_FF}, {_SUM}, rv AS (SELECT *, coverage < 0.5 AS lc, coverage >= 0.5 AND std <= 0.01 AS lv, rank_ic <= 0 AS ni, feature <> lead AS rd, rank_ic + 0.2 * least(1, greatest(-1, spread * 100)) + 0.1 * monotonicity AS signal_score, positive - least(CASE WHEN abs(rank_ic) > 1e-12 THEN ic_std / abs(rank_ic) ELSE 0 END, 2) * 0.1 AS stability_score FROM sx),
 rw AS (SELECT *, CASE WHEN rd THEN 0.35 ELSE 0 END AS redundancy_penalty, CASE WHEN lc THEN 0.25 ELSE 0 END + CASE WHEN lv THEN 0.35 ELSE 0 END + CASE WHEN ni THEN 0.2 ELSE 0 END AS quality_penalty FROM rv)
 SELECT feature, {_rounded('coverage', 'rank_ic', digits=5)}, concat_ws(',', CASE WHEN lc THEN 'low_coverage' END, CASE WHEN lv THEN 'low_variance' END, CASE WHEN ni THEN 'negative_rank_ic' END, CASE WHEN rd THEN 'redundant' END) AS reasons, CASE WHEN lv OR ni OR rd THEN 'drop_candidate' WHEN lc THEN 'review' ELSE 'keep' END AS decision, {_rounded('signal_score', 'stability_score', 'redundancy_penalty', 'quality_penalty', 'signal_score + 0.25 * stability_score - redundancy_penalty - quality_penalty AS factor_score', digits=5)} FROM rw""", digits=5)
 def feature_reviews(spark, d):
-    return feature_review.reviewed(feature_review.summary(_folds(spark, d)), _groups(spark, d))
+    folds, groups = _folds_and_groups(spark, d)
+    return feature_review.reviewed(feature_review.summary(folds), groups)
 
 
 @query(f"""RECURSIVE {BARS}, {FWD}, {_CG}, {_FF}, {_SUM}, rv AS (SELECT *, concat_ws(',', CASE WHEN coverage < 0.5 THEN 'low_coverage' END, CASE WHEN coverage >= 0.5 AND std <= 0.01 THEN 'low_variance' END, CASE WHEN rank_ic <= -0.02 AND positive < 0.5 THEN 'stable_negative_ic' END, CASE WHEN feature <> lead THEN 'redundant' END) AS why, abs(t_stat) < 1.2815515655446004 AND positive < 0.67 AS weak FROM sx)
 SELECT feature, CASE WHEN why <> '' THEN 'hard_exclude' WHEN weak THEN 'watch' ELSE 'keep_candidate' END AS decision, CASE WHEN why = '' AND weak THEN 'weak_evidence' ELSE why END AS reasons, {_rounded('coverage', 'rank_ic', 'positive', 't_stat', digits=4)}, folds, lead AS representative FROM rv""", digits=4)
 def feature_audit(spark, d):
     """p below 0.2 is a t of 1.2816 at least; the p-value itself has no SQL function."""
-    return feature_review.audited(feature_review.summary(_folds(spark, d)), _groups(spark, d)).drop("p_value")
+    folds, groups = _folds_and_groups(spark, d)
+    return feature_review.audited(feature_review.summary(folds), groups).drop("p_value")
 
 
 _REGIMES = f"""{_MARKET}, {_ROTATION}, rj AS (SELECT me.date, label || '_' || coalesce(structure, 'co_move') AS regime, {_clamp("CASE WHEN label <> 'range' THEN trendiness ELSE 1 - trendiness END")} AS a, {_clamp("CASE WHEN coalesce(structure, 'co_move') = 'rotation' THEN rotation ELSE 1 - rotation END")} AS b FROM me LEFT JOIN ru USING (date)), rg AS (SELECT date, regime, coalesce(sqrt(a * b), 0) AS strength FROM rj)"""
