@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from quantloom.functions import rolling as R
 from quantloom.functions import scalars as S
+from quantloom.functions.order import quantiles
+from quantloom.sources.shared import written
 
 
 def without_flagged(panel: DataFrame, flags: DataFrame, flag: str) -> DataFrame:
@@ -17,14 +19,15 @@ def without_flagged(panel: DataFrame, flags: DataFrame, flag: str) -> DataFrame:
 
 def above_quantile(snapshot: DataFrame, x: str, q: float) -> DataFrame:
     """Rows of a snapshot at or above the q-quantile of x; unknown x goes."""
-    floor = snapshot.agg(F.percentile(x, q).alias("_floor"))
+    floor = quantiles(snapshot, x, [q]).select(F.get("quantiles", F.lit(0)).alias("_floor"))
     return snapshot.crossJoin(F.broadcast(floor)).where(F.col(x) >= F.col("_floor")).drop("_floor")  # one row
 
 
 def rescaled(df: DataFrame, columns: list[str], lo: float = -1000.0, hi: float = 10000.0) -> DataFrame:
     """Percent-like columns clipped to [lo, hi], then divided by 10000 if the median size of the column exceeds 100, by 100 if it exceeds 1."""
-    mids = df.agg(*(F.median(F.abs(c)).alias(f"_m_{c}") for c in columns))
-    x = df.crossJoin(F.broadcast(mids))  # one row
+    x = df
+    for c in columns:  # one row each
+        x = x.crossJoin(F.broadcast(quantiles(df.select(F.abs(c).alias(c)), c, [0.5]).select(F.get("quantiles", F.lit(0)).alias(f"_m_{c}"))))
     scale = lambda c: F.when(F.col(f"_m_{c}") > 100, 10000.0).when(F.col(f"_m_{c}") > 1, 100.0).otherwise(1.0)
     return x.withColumns({c: R.clip(F.col(c), lo, hi) / scale(c) for c in columns}).drop(*(f"_m_{c}" for c in columns))
 
@@ -39,9 +42,12 @@ def sane_weights(df: DataFrame, by: str = "date", key: str = "id") -> DataFrame:
 def calibrator(df: DataFrame, score: str, label: str, buckets: int = 5) -> DataFrame:
     """Per bucket between global quantiles of the score: edges, rows and share of positive labels; every bucket is there, an empty one with the overall share."""
     x = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
-    edges = x.agg(F.percentile(score, F.array(*(F.lit(i / buckets) for i in range(1, buckets)))).alias("_e"), F.avg((F.col(label) > 0).cast("int")).alias("_all"))
+    x = written(x.select(F.col(score).cast("double").alias(score), (F.col(label) > 0).cast("int").alias("_up")), "scores")  # read several times
+    marks = quantiles(x, score, [i / buckets for i in range(1, buckets)]).withColumnRenamed("quantiles", "_e")
+    edges = marks.crossJoin(F.broadcast(x.agg(F.avg("_up").alias("_all"))))  # one row each
+    edges = written(edges, "edges")
     y = x.crossJoin(F.broadcast(edges)).withColumn("bucket", F.size(F.filter("_e", lambda e: e < F.col(score))) + 1)  # one row
-    g = y.groupBy("bucket").agg(F.count("*").alias("n"), F.avg((F.col(label) > 0).cast("int")).alias("_h"))
+    g = y.groupBy("bucket").agg(F.count("*").alias("n"), F.avg("_up").alias("_h"))
     grid = edges.select("_e", "_all", F.explode(F.sequence(F.lit(1), F.lit(buckets))).alias("bucket"))
     return grid.join(g, "bucket", "left").select("bucket", F.get("_e", F.col("bucket") - 2).alias("lower"), F.get("_e", F.col("bucket") - 1).alias("upper"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("_h", "_all").alias("hit_rate"))
 

@@ -8,7 +8,8 @@ import random
 import numpy as np
 import pandas as pd
 
-from quantloom.operators import diagnostics, feature_review
+from quantloom.functions.order import quantiles
+from quantloom.operators import diagnostics, factor_risk, feature_review, features, gates, intervals, styles
 
 
 def plan(df):
@@ -59,3 +60,68 @@ def test_fold_metrics_repeat_no_row_for_a_feature(spark):
         assert math.isclose(r.hit_rate, mean([(g.y[:n] > 0).mean() for g, n in zip(days, k, strict=True)]), abs_tol=1e-12)
         ics = [g[r.feature].rank().corr(g.y.rank()) for g in days if g[r.feature].nunique() > 1 and g.y.nunique() > 1]
         assert r.dates == len(ics) and math.isclose(r.rank_ic, mean(ics), abs_tol=1e-12)
+
+
+def test_quantiles_equal_numpy_with_ties_and_without_rows(spark):
+    rnd = random.Random(3)
+    marks = [0.0, 0.2, 0.5, 0.9, 1.0]
+    for values in ([rnd.choice([1.0, 2.0, rnd.random()]) for _ in range(997)] + [None], [4.0] * 50, [7.5]):
+        df = spark.createDataFrame([(v,) for v in values], "v double")
+        got = quantiles(df, "v", marks).first().quantiles
+        assert np.allclose(got, np.quantile([v for v in values if v is not None], marks), atol=1e-12)
+    assert quantiles(spark.createDataFrame([], "v double"), "v", marks).first().quantiles == [None] * 5
+
+
+def test_calibrator_gathers_no_whole_column(spark):
+    rnd = random.Random(4)
+    rows = [(rnd.choice([None, rnd.random(), 0.5]), rnd.choice([None, rnd.random() - 0.4])) for _ in range(500)]
+    got = gates.calibrator(spark.createDataFrame(rows, "s double, y double"), "s", "y")
+    assert "percentile" not in plan(got)
+    s = np.array([a for a, b in rows if a is not None and b is not None])
+    edges = np.quantile(s, [0.2, 0.4, 0.6, 0.8])
+    bucket = (edges[None, :] < s[:, None]).sum(axis=1) + 1
+    out = {r.bucket: r for r in got.collect()}
+    assert sorted(out) == [1, 2, 3, 4, 5] and all(out[k].n == (bucket == k).sum() for k in out)
+    assert np.allclose([out[k].upper for k in range(1, 5)], edges, atol=1e-12)
+
+
+def test_percentile_of_last_compares_no_lists_and_equals_a_loop(spark):
+    rnd = random.Random(6)
+    values = [rnd.choice([None, 1.0, 2.0, rnd.random()]) for _ in range(600)]
+    df = spark.createDataFrame([(1, pd.Timestamp("2020-01-01").date() + pd.Timedelta(days=i), v) for i, v in enumerate(values)], "id long, date date, x double")
+    got = features.percentile_of_last(df, "x", 40, 2)
+    assert "collect_list" not in plan(got)
+    for i, r in enumerate(got.orderBy("date").collect()):
+        last, now = [v for v in values[max(0, i - 39) : i + 1] if v is not None], values[i]
+        want = None if now is None or len(last) < 2 else (sum(v < now for v in last) + (sum(v == now for v in last) + 1) / 2 - 0.5) / len(last)
+        assert (r.pct is None) == (want is None) and (want is None or math.isclose(r.pct, want))
+
+
+def test_merged_ranges_keep_equal_ranges_together(spark):
+    """Of equal ranges the first opens a run and the others belong to it, in whichever order they come."""
+    d = lambda n: pd.Timestamp(2001, 6, n).date()
+    ranges = [(1, d(1), d(4)), (1, d(9), d(12)), (1, d(9), d(12)), (1, d(9), d(12)), (1, d(13), d(20)), (2, d(3), d(2))]
+    df = spark.createDataFrame(ranges, "key long, start date, end date").repartition(3)
+    assert sorted(map(tuple, intervals.merged(df, ["key"]).collect())) == [(1, d(1), d(4), 1), (1, d(9), d(20), 4)]
+
+
+def test_factor_models_do_not_depend_on_the_blocks(spark):
+    """Late, rare and missing assets included; no window of all assets is gathered."""
+    rnd, rows = random.Random(8), []
+    for i in range(40):
+        for t in range(rnd.randint(0, 30) if i % 4 else 70, 120):
+            if t != 55 and rnd.random() < (0.1 if i == 7 else 0.8):
+                rows.append((i, pd.Timestamp("2020-01-01").date() + pd.Timedelta(days=t), rnd.random() - 0.5 + (t % 3) * 0.1 * i / 40))
+    df = spark.createDataFrame(rows, "id long, date date, ret double")
+    cal = spark.createDataFrame([(t + 1, pd.Timestamp("2020-01-01").date() + pd.Timedelta(days=t)) for t in range(120)], "seq int, date date")
+    for halflife in (None, 20.0):
+        one, many = (factor_risk.factor_models(df, cal, every=30, days=50, halflife=halflife, block=b).toPandas().sort_values(["asof", "id"]).reset_index(drop=True) for b in (1000, 5))
+        assert one[["asof", "id", "dates"]].equals(many[["asof", "id", "dates"]]) and len(one) > 100
+        for c in ("loadings", "variances"):
+            assert np.allclose(np.concatenate(one[c].tolist()), np.concatenate(many[c].tolist()), atol=1e-9)
+        assert np.allclose(one.specific, many.specific, atol=1e-9)
+
+
+def test_hold_band_gathers_no_book(spark):
+    df = spark.createDataFrame([(1, 1, 1, 0.5), (1, 2, 1, 0.5)], "book int, date int, id int, s double")
+    assert "FlatMapGroupsInPandas" not in plan(styles.hold_band(df, "s"))
