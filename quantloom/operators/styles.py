@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions import rolling as R
+from quantloom.functions import walks
 
 
 def exposure(returns: DataFrame, calendar: DataFrame, long: int, short: int, n: int = 60, least: int = 20, limit: float = 3.0) -> DataFrame:
@@ -67,7 +67,8 @@ def hold_band(scores: DataFrame, score: str, buy: int = 10, hold: int = 20, ever
 
     Only the `hold` best of a date and the names held matter, so the scores of a
     date are cut to the names that were ever among the best before the books are
-    walked through, one in a task. Without `bonus` this loses nothing."""
+    walked through, in Arrow batches: a task holds one date's names. Without
+    `bonus` the cut loses nothing."""
     from pyspark.sql import Window
 
     df = scores if book in scores.columns else scores.withColumn(book, F.lit(1))
@@ -79,22 +80,32 @@ def hold_band(scores: DataFrame, score: str, buy: int = 10, hold: int = 20, ever
         df = df.join(ever, [book, "id"], "left_semi")
     kinds = dict(df.dtypes)
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        held: set = set()
-        since, rows = every, []
-        for day, part in pdf.sort_values(["date", "place"]).groupby("date", sort=True):
-            ids = part["id"].tolist()
-            if since >= every or not held:
-                place = part["place"].tolist()
-                if bonus and held and part["sd"].iloc[0] > 0:
-                    lifted = part["score"] + part["id"].isin(held) * bonus * part["sd"].iloc[0]
-                    ids = part.assign(s=lifted).sort_values(["s", "id"], ascending=[False, True])["id"].tolist()
-                    place = list(range(1, len(ids) + 1))
-                held = {i for i, p in zip(ids, place, strict=True) if p <= buy or i in held and p <= hold}
-                since = 0
-            now = [i for i in ids if i in held]
-            rows += [(pdf[book].iloc[0], day, i, 1 / len(now)) for i in now]
-            since += 1
-        return pd.DataFrame(rows, columns=[book, "date", "id", "weight"])
-
-    return df.groupBy(book).applyInPandas(walk, f"{book} {kinds[book]}, date {kinds['date']}, id {kinds['id']}, weight double")
+    class Book:
+        def __init__(self):
+            self.held, self.since, self.day, self.names = set(), every, None, []
+
+        def closed(self) -> list[tuple]:
+            """The names held on the day that is complete."""
+            names, held = self.names, self.held
+            if self.since >= every or not held:
+                places = [(i, place) for place, i, _, _ in names]
+                sd = names[0][3]
+                if bonus and held and sd is not None and sd > 0:
+                    lifted = sorted((-(score + (i in held) * bonus * sd), i) for _, i, score, _ in names)
+                    places = [(i, k) for k, (_, i) in enumerate(lifted, 1)]
+                self.held = held = {i for i, place in places if place <= buy or i in held and place <= hold}
+                self.since = 0
+                names = [(place, i, None, None) for i, place in places]
+            now = [i for _, i, _, _ in names if i in held]
+            self.since += 1
+            return [(self.day, i, 1 / len(now)) for i in now]
+
+    def step(state: Book, row: tuple) -> list[tuple]:
+        out = []
+        if state.names and row[0] != state.day:
+            out, state.names = state.closed(), []
+        state.day = row[0]
+        state.names.append(row[1:])
+        return out
+
+    return walks.walk(df, [book], ["date", "place"], ["id", "score", "sd"], Book, step, f"{book} {kinds[book]}, date {kinds['date']}, id {kinds['id']}, weight double", lambda state: state.closed())
