@@ -6,9 +6,11 @@ it. Chunks that occur in several places of the corpus are found by their
 128-bit hashes; the first occurrence stays, and each other one is removed after
 its bytes were compared with the first one's.
 
-Whole passages need no boundary: there each two consecutive lines are a chunk,
-so a repeated run of k lines is k - 1 repeated chunks that overlap, and their
-union is the run from its first line to its last, whatever stands around it."""
+The lines of a passage before its first boundary and after its last one share
+their chunk with what stands around. For whole passages each two consecutive
+lines that do not lie together in a repeated chunk are therefore looked up as
+well: with the chunks they join to the run from its first repeated line to its
+last, whatever stands around it."""
 
 from __future__ import annotations
 
@@ -58,53 +60,67 @@ def pairs(text: bytes) -> tuple[list[bytes], list[tuple[int, int]]]:
     return lines, list(zip(shown[:-1], shown[1:], strict=True))
 
 
-def _pieces(text: bytes, whole: bool) -> list[tuple[int, bytes]]:
-    """Place and bytes of all that can be removed from a text."""
+#: what a piece is: a chunk, or two consecutive lines
+CHUNK, PAIR = 0, 1
+
+
+def _owners(found: list[list[bytes]]) -> list[int]:
+    """For each line the number of its chunk."""
+    return [k for k, c in enumerate(found) for _ in c]
+
+
+def _pieces(text: bytes, whole: bool) -> list[tuple[int, int, int, bytes]]:
+    """Kind, place and bytes of all that can be removed from a text, after the place the number of the chunk that a pair lies in, -1 outside."""
+    found = chunks(text)
+    out = [(CHUNK, k, -1, b"\n".join(c)) for k, c in enumerate(found) if _multi(c)]
     if whole:
-        lines, both = pairs(text)
-        return [(k, b"\n".join(lines[a : b + 1])) for k, (a, b) in enumerate(both)]
-    return [(k, b"\n".join(c)) for k, c in enumerate(chunks(text)) if _multi(c)]
+        owner, (lines, both) = _owners(found), pairs(text)
+        out += [(PAIR, k, owner[a] if owner[a] == owner[b] else -1, b"\n".join(lines[a : b + 1])) for k, (a, b) in enumerate(both)]
+    return out
 
 
 def _without(text: bytes, drop: list[dict], whole: bool) -> tuple[bytes, int, int]:
     """The text without the pieces whose bytes equal those of the first occurrence, and how many chunks (whole passages: runs of lines) and lines went."""
-    own = dict(_pieces(text, whole))
-    same = [x["place"] for x in drop if own[x["place"]] == x["chunk"]]
+    own = {(kind, place): piece for kind, place, _, piece in _pieces(text, whole)}
+    same = [(x["kind"], x["place"]) for x in drop if own[x["kind"], x["place"]] == x["chunk"]]
+    found, n = chunks(text), 0
     if whole:
         lines, both = pairs(text)
+        owner = _owners(found)
+        cut = {place for kind, place in same if kind == CHUNK}
+        spans = [both[place] for kind, place in same if kind == PAIR] + [(a, b) for a, b in both if owner[a] == owner[b] and owner[a] in cut]
         gone = [False] * len(lines)
-        for k in same:
-            a, b = both[k]
+        for a, b in spans:
             gone[a : b + 1] = [True] * (b + 1 - a)
         runs = sum(x and not y for x, y in zip(gone, [False, *gone], strict=False))
         return b"\n".join(x for x, y in zip(lines, gone, strict=True) if not y), runs, sum(gone)
-    all_chunks, n = chunks(text), 0
-    for k in same:
-        n += len(all_chunks[k])
-        all_chunks[k] = []
-    return b"\n".join(line for c in all_chunks for line in c), len(same), n
+    for _, k in same:
+        n += len(found[k])
+        found[k] = []
+    return b"\n".join(line for c in found for line in c), len(same), n
 
 
 def _hashes(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
     import xxhash
 
     for batch in textkit.parts(batches, 2):
-        rows, place, high, low = [], [], [], []
+        rows, kinds, place, owner, high, low = [], [], [], [], [], []
         for i, text in enumerate(textkit.texts(batch.column(2))):
-            for k, piece in _pieces(text, whole):
+            for kind, k, inside, piece in _pieces(text, whole):
                 h = xxhash.xxh3_128_intdigest(piece)
-                rows.append(i), place.append(k), high.append((h >> 64) - (1 << 63)), low.append((h & _MASK) - (1 << 63))
+                rows.append(i), kinds.append(kind), place.append(k), owner.append(inside), high.append((h >> 64) - (1 << 63)), low.append((h & _MASK) - (1 << 63))
         at = pa.array(rows, pa.int64())
-        yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(x, pa.int64()) for x in (place, high, low))], names=["id", "key", "place", "high", "low"])
+        columns = [pa.array(kinds, pa.int32()), *(pa.array(x, pa.int64()) for x in (place, owner, high, low))]
+        yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), *columns], names=["id", "key", "kind", "place", "owner", "high", "low"])
 
 
 def _texts_at(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
     for batch in textkit.parts(batches, 0):
         high, low, out = [], [], []
         for text, wanted in zip(textkit.texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-            own = dict(_pieces(text, whole))
+            own = {(kind, place): piece for kind, place, _, piece in _pieces(text, whole)}
             for x in wanted:
-                high.append(x["high"]), low.append(x["low"]), out.append(own[x["place"]])
+                high.append(x["high"]), low.append(x["low"]), out.append(own[x["kind"], x["place"]])
         yield pa.record_batch([pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(out, pa.binary())], names=["high", "low", "chunk"])
 
 
@@ -125,29 +141,44 @@ def _cut(batches: Iterator[pa.RecordBatch], whole: bool, text: int) -> Iterator[
         )
 
 
-def _repeats(src: DataFrame, whole: bool) -> DataFrame:
-    """The chunks to cut out of each document, with the bytes of their first occurrences."""
-    found = staged(src.mapInArrow(lambda it: _hashes(it, whole), "id long, key long, place long, high long, low long"), "chunks")
-    found = found.distinct()
+def _later(found: DataFrame, kind: int, label: str) -> tuple[DataFrame, DataFrame]:
+    """The first occurrences of the pieces of a kind that occur again, and the places of all others."""
     first = found.groupBy("high", "low").agg(F.count("*").alias("n"), F.min(F.struct("id", "key", "place")).alias("first"))
-    first = staged(first.where("n > 1").select("high", "low", "first"), "repeated")
-    holds = first.groupBy(F.col("first.id").alias("fid"), F.col("first.key").alias("fkey")).agg(F.collect_list(F.struct(F.col("first.place").alias("place"), "high", "low")).alias("wanted"))
+    first = staged(first.where("n > 1").select("high", "low", "first"), f"repeated-{label}")
+    again = found.join(first, ["high", "low"]).where(~F.struct("id", "key", "place").eqNullSafe(F.col("first")))
+    if kind == PAIR:  # two lines that overlap their first occurrence, as three equal lines do, are no copy of it
+        again = again.where(~F.struct("id", "key", F.col("place") - 1).eqNullSafe(F.struct("first.id", "first.key", "first.place")))
+    again = staged(again.select("id", "key", F.lit(kind).alias("kind"), "place", "high", "low"), f"again-{label}")
+    return first.select(F.lit(kind).alias("kind"), "high", "low", "first"), again
+
+
+def _repeats(src: DataFrame, whole: bool) -> DataFrame:
+    """The pieces to cut out of each document, with the bytes of their first occurrences.
+
+    Pairs of lines inside a chunk that stood before went with it, and its first
+    occurrence holds the same pairs, so only the others are looked up."""
+    found = staged(src.mapInArrow(lambda it: _hashes(it, whole), "id long, key long, kind int, place long, owner long, high long, low long"), "chunks").distinct()
+    first, again = _later(found.where(F.col("kind") == CHUNK), CHUNK, "chunks")
+    if whole:
+        gone = again.select(F.col("id").alias("_id"), F.col("key").alias("_key"), F.col("place").alias("_place")).hint("merge")  # one plan at every size
+        rest = found.where(F.col("kind") == PAIR).join(gone, F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")) & (F.col("owner") == F.col("_place")), "left_anti")
+        rest = staged(rest, "pairs")
+        first_pairs, again_pairs = _later(rest, PAIR, "pairs")
+        first, again = first.unionByName(first_pairs), again.unionByName(again_pairs)
+    holds = first.groupBy(F.col("first.id").alias("fid"), F.col("first.key").alias("fkey")).agg(F.collect_list(F.struct("kind", F.col("first.place").alias("place"), "high", "low")).alias("wanted"))
     holds = staged(holds, "holders").hint("merge")  # one plan at every size
     texts = src.join(holds, src["id"].eqNullSafe(holds["fid"]) & (src["key"] == holds["fkey"])).select("text", "wanted")
     texts = staged(texts.mapInArrow(lambda it: _texts_at(it, whole), "high long, low long, chunk binary").dropDuplicates(["high", "low"]), "first-texts")
-    again = found.join(first, ["high", "low"]).where(~F.struct("id", "key", "place").eqNullSafe(F.col("first")))
-    if whole:  # two lines that overlap their first occurrence, as three equal lines do, are no copy of it
-        again = again.where(~F.struct("id", "key", F.col("place") - 1).eqNullSafe(F.struct("first.id", "first.key", "first.place")))
-    again = again.select("id", "key", "place", "high", "low")
-    again = staged(again, "again").join(texts, ["high", "low"])
-    return again.groupBy(F.col("id").alias("_ql_id"), F.col("key").alias("_ql_key")).agg(F.collect_list(F.struct("place", "chunk")).alias("_ql_drop"))
+    again = again.join(texts, ["high", "low"])
+    return again.groupBy(F.col("id").alias("_ql_id"), F.col("key").alias("_ql_key")).agg(F.collect_list(F.struct("kind", "place", "chunk")).alias("_ql_drop"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = False, whole: bool = False) -> DataFrame:
     """`docs` with the repeated multi-line chunks cut out of `text_col`; with `counts` also n_chunks_removed and n_lines_removed.
 
     With `whole`, every run of two or more lines that stood before goes from
-    its first line to its last; n_chunks_removed counts the runs cut out. The
+    its first line to its last: chunks first, then each two lines that no
+    repeated chunk holds; n_chunks_removed counts the runs cut out. The
     first copy of each line always stays.
 
     The first occurrence, by id and then by place, stays. Null texts stay null,

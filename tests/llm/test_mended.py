@@ -1,11 +1,12 @@
 """What operators did wrong before: mentions of names in other forms, very long lines, maps with other numbers of shards."""
 
+import collections
 import random
 import time
 
 import pytest
 
-from quantloom.llm import licenses, packing, sharding, surrogates
+from quantloom.llm import licenses, linededup, packing, sharding, storage, surrogates
 from quantloom.llm.queries import tokenizer_path
 from quantloom.llm.storage import fresh_path
 
@@ -82,3 +83,35 @@ def test_long_texts_and_a_full_cache_give_the_same_ids(monkeypatch):
     ids = packing._Ids(tokenizer_path())
     text = b" ".join(f"word{i % 37} Foo's &&& bar{i}%%".encode() for i in range(300))
     assert ids.text(text) == ids.encode(text.decode()) and len(ids) < 200
+
+
+def _pairs_alone(rows):
+    """Plain rule of whole passages: each two lines that stood before go, without chunks."""
+    first, out = {}, {}
+    texts = [(d, (t or "").encode()) for d, t in rows]
+    for at, (_, t) in enumerate(texts):
+        lines, both = linededup.pairs(t)
+        for k, (a, b) in enumerate(both):
+            first.setdefault(b"\n".join(lines[a : b + 1]), (at, k))
+    for at, (d, t) in enumerate(texts):
+        lines, both = linededup.pairs(t)
+        gone = set()
+        for k, (a, b) in enumerate(both):
+            if first[b"\n".join(lines[a : b + 1])] not in ((at, k), (at, k - 1)):
+                gone |= set(range(a, b + 1))
+        out[d] = b"\n".join(x for i, x in enumerate(lines) if i not in gone).decode()
+    return out
+
+
+def test_line_dedup_finds_passages_by_chunks_and_looks_up_only_the_rest_by_pairs(spark):
+    rnd = random.Random(8)
+    blocks = [[rnd.choice(["", "  ", f"line {rnd.randint(0, 30)}", f"other {rnd.randint(0, 400)}"]) for _ in range(rnd.randint(1, 14))] for _ in range(12)]
+    rows = [(i, "\n".join(x for _ in range(rnd.randint(0, 5)) for x in (rnd.choice(blocks) if rnd.random() < 0.6 else [rnd.choice(["a", "a", "b", "", f"own {i}"])] * rnd.randint(1, 3)))) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in linededup.dedup_lines(df, whole=True).collect()} == _pairs_alone(rows)
+    passage = "\n".join(f"line {i} of one passage" for i in range(40))
+    src = spark.createDataFrame([(i, i, f"before {i}\n{passage}\nafter {i}") for i in range(3)], "id long, key long, text string")
+    with storage.scratch(spark):
+        cuts = {r._ql_id: collections.Counter(x.kind for x in r._ql_drop) for r in linededup._repeats(src, True).collect()}
+    inner = linededup.chunks(passage.encode())
+    assert set(cuts) == {1, 2} and all(c[linededup.CHUNK] >= sum(map(linededup._multi, inner[1:-1])) > 3 and 0 < c[linededup.PAIR] < 39 for c in cuts.values())
