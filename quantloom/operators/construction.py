@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions import rolling as R
 from quantloom.functions import scalars as S
+from quantloom.sources.shared import written
 
 TINY = 1e-12
 
@@ -204,38 +210,87 @@ def _adjusting(target: Column) -> Column:
     return F.greatest(d, -F.col("closable"))
 
 
+def _adjusted(target: np.ndarray, x: dict[str, np.ndarray]) -> np.ndarray:
+    """`_adjusting` for candidates in rows and names in columns held by a task; NaN in a price or limit is none."""
+    held, least, lot, price = x["held"], x["min_qty"], x["lot"], x["price"]
+    d = target - held
+    size = np.abs(d)
+    out = np.where(-d == held, d, np.where(size < least / 2, 0.0, np.where(size < least, least * np.sign(d), np.rint(d / lot) * lot)))
+    out = np.where((out < 0) & (-out > held), -held, out)
+    barred = (x["suspended"] != 0) | np.isnan(price) | (out > 0) & (price >= x["limit_up"]) | (out < 0) & (price <= x["limit_down"])
+    return np.fmax(np.where(barred, 0.0, out), -x["closable"])
+
+
+def _costs(batches: Iterator[pa.RecordBatch], candidates: Callable[[np.ndarray], np.ndarray], commission: float, minimum: float, tax: float) -> Iterator[pa.RecordBatch]:
+    """Per book and safety what the batch's names cost and what is then invested, and the book's cash, value and wish. `candidates` gives the safeties of a book from its first row's `_want` and `_near`."""
+    numbers = ("weight", "price", "held", "closable", "min_qty", "lot", "suspended", "limit_up", "limit_down", "cash", "_total", "_want", "_near")
+    for batch in batches:
+        x = {c: batch.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in numbers}
+        books = batch.column(0).dictionary_encode()
+        code = pc.fill_null(books.indices, len(books.dictionary)).to_numpy(zero_copy_only=False)
+        at, sums = [], []
+        for book in np.unique(code):
+            mine = np.flatnonzero(code == book)
+            first = {c: x[c][mine[0]] for c in ("cash", "_total", "_want", "_near")}
+            s = candidates(first["_want"], first["_near"])
+            spent, after = np.zeros(len(s)), np.zeros(len(s))
+            if np.isnan([first[c] for c in ("cash", "_total", "_want")]).any():  # a book without a value can afford nothing
+                spent += np.nan
+            for lo in range(0, len(mine), 1024):
+                y = {c: v[mine[lo : lo + 1024]] for c, v in x.items()}
+                with np.errstate(all="ignore"):
+                    target = np.where((y["price"] == 0) | np.isnan(y["price"]), 0.0, y["_total"] * s[:, None] * y["weight"] / y["price"])
+                    q = _adjusted(np.rint(np.nan_to_num(target, posinf=np.inf, neginf=-np.inf)), y)
+                    money = np.where(np.isnan(y["price"]), 0.0, q * y["price"])
+                    fee = np.where(q != 0, np.maximum(np.abs(money) * commission, minimum) + np.where(q < 0, np.abs(money) * tax, 0.0), 0.0)
+                    worth = np.nan_to_num(y["held"] * y["price"], posinf=np.inf, neginf=-np.inf)
+                spent += (money + fee).sum(axis=1)
+                after += (worth + money).sum(axis=1)
+            at.append(np.full(len(s), mine[0]))
+            sums.append(np.stack([s, spent, after, *(np.full(len(s), first[c]) for c in ("cash", "_total", "_want"))]))
+        both = np.concatenate(sums, axis=1) if sums else np.empty((6, 0))
+        where = pa.array(np.concatenate(at) if at else np.empty(0, np.int64))
+        yield pa.record_batch([batch.column(0).take(where), *map(pa.array, both)], names=[batch.schema.names[0], "_s", "_spent", "_after", "_cash", "_t", "_w"])
+
+
 def budget_safe_orders(names: DataFrame, book: str = "book", commission: float = 8e-4, minimum: float = 5.0, tax: float = 5e-4, coarse: float = 0.02, fine: float = 0.001) -> DataFrame:
     """Orders that bring each book to its target weights with the cash it has: book, id, safety, quantity.
 
     Target quantities are total value x safety x weight / price. Every safety of
     a coarse grid from 1.2 (1 for books with at most 95 % invested) down to 0,
-    and then of a fine one around the best, is costed at once, one row a name
-    and candidate, in one aggregation: purchases, commission with its minimum
-    and tax on sales against the cash. Of the affordable ones that nearest to
-    the target share invested wins, the larger on a tie. A book that can afford
-    none trades nothing.
+    and then of a fine one around the best, is costed: purchases, commission
+    with its minimum and tax on sales against the cash. Of the affordable ones
+    that nearest to the target share invested wins, the larger on a tie. A book
+    that can afford none trades nothing.
+
+    No row is repeated for a candidate: a task costs all of them over an Arrow
+    batch, and the sums of the batches are added up by book.
 
     Columns of names: book, id, weight, price, held, closable, min_qty, lot,
     suspended, limit_up, limit_down, and cash, the same for a book."""
     value = F.coalesce(F.col("held") * F.col("price"), F.lit(0.0))
     every = Window.partitionBy(book)
     x = names.select(book, "id", F.coalesce("weight", F.lit(0.0)).alias("weight"), "price", "held", "closable", F.col("min_qty").cast("double").alias("min_qty"), F.col("lot").cast("double").alias("lot"), "suspended", "limit_up", "limit_down", "cash")
-    x = x.withColumn("_total", F.col("cash") + F.sum(value).over(every)).withColumn("_want", F.sum("weight").over(every))
+    x = written(x.withColumn("_total", F.col("cash") + F.sum(value).over(every)).withColumn("_want", F.sum("weight").over(every)), "books")  # read three times
+    kind = dict(x.dtypes)[book]
 
-    def costed(rows: DataFrame) -> DataFrame:
-        q = _adjusting(F.rint(F.coalesce(R.ratio(F.col("_total") * F.col("_s") * F.col("weight"), F.col("price")), F.lit(0.0))))
-        y = rows.withColumn("_q", q).withColumn("_money", F.coalesce(F.col("_q") * F.col("price"), F.lit(0.0)))
-        fee = F.when(F.col("_q") != 0, F.greatest(F.abs("_money") * commission, F.lit(minimum)) + F.when(F.col("_q") < 0, F.abs("_money") * tax).otherwise(0.0)).otherwise(0.0)
-        g = y.groupBy(book, "_s").agg(F.sum(F.col("_money") + fee).alias("_spent"), F.sum(value + F.col("_money")).alias("_after"), F.max("cash").alias("_cash"), F.max("_total").alias("_t"), F.max("_want").alias("_w"))
+    def costed(rows: DataFrame, candidates: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+        plain = rows.select(book, "weight", "price", "held", "closable", "min_qty", "lot", F.coalesce("suspended", F.lit(False)).cast("double").alias("suspended"), "limit_up", "limit_down", "cash", "_total", "_want", "_near")
+        y = plain.mapInArrow(lambda it: _costs(it, candidates, commission, minimum, tax), f"`{book}` {kind}, _s double, _spent double, _after double, _cash double, _t double, _w double")
+        g = y.groupBy(book, "_s").agg(F.sum("_spent").alias("_spent"), F.sum("_after").alias("_after"), *(F.max(c).alias(c) for c in ("_cash", "_t", "_w")))
         away = F.round(F.abs(F.col("_after") / F.col("_t") - F.col("_w")), 9)
         return g.where(F.col("_spent") < F.col("_cash")).groupBy(book).agg(F.min(F.struct(away.alias("away"), (-F.col("_s")).alias("s"))).alias("_best")).select(book, (-F.col("_best.s")).alias("_s"))
 
-    top = F.when(F.col("_want") > 0.95, 1.2).otherwise(1.0)
-    steps = F.transform(F.sequence(F.lit(0), F.rint(top / coarse).cast("int")), lambda k: F.round(k * coarse, 6))
-    rough = costed(x.withColumn("_s", F.explode(steps))).withColumnRenamed("_s", "_near")
-    reach = round(coarse / fine)
-    close = F.transform(F.sequence(F.lit(-reach), F.lit(reach)), lambda k: F.round(F.col("_near") + k * fine, 6))
-    best = costed(x.join(rough, book).withColumn("_s", F.explode(F.filter(close, lambda s: (s >= 0) & (s <= top)))))
+    def every_coarse(want: float, _: float) -> np.ndarray:
+        return np.array([round(k * coarse, 6) for k in range(round((1.2 if want > 0.95 else 1.0) / coarse) + 1)])
+
+    def around(want: float, near: float) -> np.ndarray:
+        reach = round(coarse / fine)
+        s = np.array([round(near + k * fine, 6) for k in range(-reach, reach + 1)])
+        return s[(s >= 0) & (s <= (1.2 if want > 0.95 else 1.0))]
+
+    rough = costed(x.withColumn("_near", F.lit(0.0)), every_coarse).withColumnRenamed("_s", "_near")
+    best = costed(x.join(rough, book), around)
     q = _adjusting(F.rint(F.coalesce(R.ratio(F.col("_total") * F.col("_s") * F.col("weight"), F.col("price")), F.lit(0.0))))
     out = x.join(best, book, "left")
     return out.select(book, "id", F.col("_s").alias("safety"), F.when(F.col("_s").isNotNull(), q).otherwise(0.0).cast("long").alias("quantity"))

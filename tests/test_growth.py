@@ -4,12 +4,13 @@ import contextlib
 import io
 import math
 import random
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
 
 from quantloom.functions.order import quantiles
-from quantloom.operators import diagnostics, factor_risk, feature_review, features, gates, intervals, styles
+from quantloom.operators import construction, diagnostics, factor_risk, feature_review, features, gates, intervals, styles
 
 
 def plan(df):
@@ -125,3 +126,44 @@ def test_factor_models_do_not_depend_on_the_blocks(spark):
 def test_hold_band_gathers_no_book(spark):
     df = spark.createDataFrame([(1, 1, 1, 0.5), (1, 2, 1, 0.5)], "book int, date int, id int, s double")
     assert "FlatMapGroupsInPandas" not in plan(styles.hold_band(df, "s"))
+
+
+def test_budget_safe_orders_repeat_no_row_and_equal_a_loop(spark):
+    rnd = random.Random(9)
+    rows = []
+    for book in ("a", "b", "c", None):
+        for i in range(40):
+            held = float(rnd.randint(0, 900))
+            price = rnd.choice([None, 0.0, *(round(rnd.uniform(2, 90), 2) for _ in range(12))])
+            rows.append((book, i, rnd.choice([None, 0.0, 0.01, 0.03, 0.05 if book == "c" else 0.02]), price, held, min(held, float(rnd.randint(0, 900))), 100, 100, rnd.choice([None, False, False, True]), price and price * rnd.choice([1.0, 1.5]), price and price * 0.6, 30_000.0))
+    names = "book id weight price held closable min_qty lot suspended limit_up limit_down cash".split()
+    df = spark.createDataFrame(rows, "book string, id long, weight double, price double, held double, closable double, min_qty int, lot int, suspended boolean, limit_up double, limit_down double, cash double")
+    out = construction.budget_safe_orders(df)
+    assert "Generate" not in plan(out)
+    got = {(r.book, r.id): (r.safety, r.quantity) for r in out.collect()}
+
+    def quantity(x, total, s):
+        d = (round(total * s * (x.weight or 0.0) / x.price) if x.price else 0.0) - x.held
+        d = d if -d == x.held else 0.0 if abs(d) < 50 else math.copysign(100, d) if abs(d) < 100 else round(d / 100) * 100.0
+        d = -x.held if d < 0 and -d > x.held else d
+        if x.suspended or x.price is None or d > 0 and x.price >= x.limit_up or d < 0 and x.price <= x.limit_down:
+            d = 0.0
+        return max(d, -x.closable)
+
+    for book in ("a", "b", "c"):
+        mine = [SimpleNamespace(**dict(zip(names, r, strict=True))) for r in rows if r[0] == book]
+        total, want = 30_000 + sum(x.held * (x.price or 0.0) for x in mine), sum(x.weight or 0.0 for x in mine)
+
+        def best(steps):
+            found = []
+            for s in steps:
+                money = [quantity(x, total, s) * (x.price or 0.0) for x in mine]
+                fee = sum(max(abs(m) * 8e-4, 5) + (abs(m) * 5e-4 if quantity(x, total, s) < 0 else 0) for m, x in zip(money, mine, strict=True) if quantity(x, total, s))
+                if sum(money) + fee < 30_000:
+                    found.append((round(abs((total - 30_000 + sum(money)) / total - want), 9), -s))
+            return -min(found)[1] if found else None
+
+        top = 1.2 if want > 0.95 else 1.0
+        near = best([round(k * 0.02, 6) for k in range(round(top / 0.02) + 1)])
+        s = None if near is None else best([v for v in (round(near + k * 0.001, 6) for k in range(-20, 21)) if 0 <= v <= top])
+        assert all(got[book, x.id] == (s, int(quantity(x, total, s)) if s is not None else 0) for x in mine), book
