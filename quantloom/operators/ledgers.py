@@ -60,7 +60,7 @@ def futures_fees(fills: DataFrame, rates: DataFrame) -> DataFrame:
     """Commission of each fill by its product's rule: by money (rate x amount) or by volume (rate x lots); what closes a position of today pays the rate of close-today, other closes that of close, the rest that of open. A product without a rule pays 0.
 
     Columns of fills: product, lots, amount, effect (open or close), today (lots that close a position of today)."""
-    x = fills.join(rates, "product", "left")
+    x = fills.join(F.broadcast(rates), "product", "left")  # a rule a product; a shuffle by product would put all fills of one in a task
     share = F.when(F.col("lots") != 0, F.least(F.col("today"), F.col("lots")) / F.col("lots")).otherwise(0.0)
     base = F.when(F.col("kind") == "money", F.col("amount")).otherwise(F.col("lots").cast("double"))
     fee = F.when(F.col("effect") == "open", base * F.col("open_rate")).otherwise(base * (share * F.col("close_today_rate") + (1 - share) * F.col("close_rate")))
