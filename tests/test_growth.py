@@ -8,9 +8,12 @@ from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
+from quantloom import catalogue, queries_models
+from quantloom.functions import frames
 from quantloom.functions.order import quantiles
-from quantloom.operators import construction, diagnostics, factor_risk, feature_review, features, gates, intervals, styles
+from quantloom.operators import construction, diagnostics, factor_risk, feature_review, features, gates, intervals, ledgers, styles
 
 
 def plan(df):
@@ -167,3 +170,47 @@ def test_budget_safe_orders_repeat_no_row_and_equal_a_loop(spark):
         near = best([round(k * 0.02, 6) for k in range(round(top / 0.02) + 1)])
         s = None if near is None else best([v for v in (round(near + k * 0.001, 6) for k in range(-20, 21)) if 0 <= v <= top])
         assert all(got[book, x.id] == (s, int(quantity(x, total, s)) if s is not None else 0) for x in mine), book
+
+
+def test_wide_windows_are_arrays_and_equal_pandas(spark):
+    rnd = random.Random(12)
+    v = [rnd.choice([None, 2.0, 2.0, rnd.random()]) for _ in range(300)] + [5.1] * 30
+    x = frames.Series(np.array(v, float), np.array([e is not None for e in v]))
+    p = pd.Series(v, dtype=float)
+    for n, least in ((20, None), (20, 3), (60, 10), (600, 1)):
+        w = p.rolling(n, min_periods=n if least is None else least)
+        n_there = p.notna().astype(float).rolling(n, min_periods=1).sum()
+        want = {"mean": w.mean(), "std": w.std(), "std0": w.std(ddof=0), "min": w.min(), "max": w.max(), "skew": w.skew() * (n_there - 2) / np.sqrt(n_there * (n_there - 1))}
+        for kind, e in want.items():
+            got = frames.rolling(kind, x, n, least)
+            mine = pd.Series(np.where(got.there, got.v, np.nan))
+            if kind == "skew":  # pandas gives 0 for equal values, null for fewer than three
+                mine, e = mine[(n_there > 2) & (w.max() > w.min())], e[(n_there > 2) & (w.max() > w.min())]
+            assert np.allclose(mine, e, atol=1e-8, equal_nan=True), (kind, n, least)
+    still = slice(320, 330)
+    assert (frames.rolling("std0", x, 10).v[still] == 0).all() and not frames.rolling("skew", x, 10).there[still].any()
+    t0 = pd.Timestamp(2020, 1, 1)
+    bars = spark.createDataFrame([(i, (t0 + pd.Timedelta(days=k)).date(), 3.0, 3.5, 2.5, rnd.choice([3.0, 2.9]), 10.0, 30.0) for i in range(2) for k in range(70)], "id long, date date, open double, high double, low double, close double, volume double, turnover double")
+    for f in (features.volatility, features.oscillators, features.regression_slope, features.common):
+        assert "ROWS BETWEEN" not in plan(f(bars)).upper() and "rowframe, -5" not in plan(f(bars)) and plan(f(bars)).count("FlatMapGroupsInArrow") == 1
+    typed = bars.withColumn("asset_type", F.when(F.col("id") == 0, "ETF").otherwise("stock"))
+    assert {r.cost for r in features.common(typed).where("id = 0").collect()} == {4e-4} and features.common(typed).count() == 140
+
+
+def test_fees_join_rates_without_a_shuffle_by_product(spark):
+    fills = spark.createDataFrame([(k, k % 3, 2.0, 100.0, "open", 0.0) for k in range(9)], "seq long, product long, lots double, amount double, effect string, today double")
+    rates = spark.createDataFrame([(0, "money", 0.01, 0.0, 0.0), (1, "volume", 1.5, 2.0, 3.0)], "product long, kind string, open_rate double, close_rate double, close_today_rate double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = ledgers.futures_fees(fills, rates)
+        assert "hashpartitioning" not in plan(out)
+        assert [r.commission for r in out.orderBy("seq").collect()] == [1.0, 3.0, 0.0] * 3
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_models_compute_the_panel_once(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(queries_models, "written", lambda df, label: calls.append(label) or df)
+    catalogue.queries()["model_heads"](spark, "/root/testdata/sf0.001")
+    assert calls == ["panel"]
