@@ -64,10 +64,17 @@ def liquid(bars: DataFrame, n: int, top: int) -> DataFrame:
 
 def quality(bars: DataFrame, jump: float = 0.5) -> DataFrame:
     """One row: rows, instruments, dates, repeated keys, missing and non-positive closes, returns beyond `jump`."""
-    keys = bars.groupBy("id", "date").count().agg(F.count_if(F.col("count") > 1).alias("repeated_keys"))
-    ret = F.abs(R.ratio(F.col("close"), F.lag("close").over(R.history())) - 1)
-    facts = bars.withColumn("_r", ret).agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.countDistinct("date").alias("dates"), F.count_if(F.col("close").isNull()).alias("missing"), F.count_if(F.col("close") <= 0).alias("not_positive"), F.count_if(F.col("_r") > jump).alias("jumps"))
-    return facts.crossJoin(F.broadcast(keys))  # one row each
+    h = R.history()
+    before, twice = F.lag(F.lit(1)).over(h).isNotNull(), F.lag(F.lit(1), 2).over(h).isNotNull()
+    same = before & F.lag("date").over(h).eqNullSafe(F.col("date"))
+    more = twice & F.lag("date", 2).over(h).eqNullSafe(F.col("date"))  # the key was counted at its second row
+    ret = F.abs(R.ratio(F.col("close"), F.lag("close").over(h)) - 1)
+    x = bars.select("id", "date", "close", ret.alias("_r"), (~before & F.col("id").isNotNull()).alias("_first"), (same & ~more).alias("_again"))
+    # one order by instrument gives instruments, repeated keys and returns, so bars are built once and only the dates need a distinct count
+    return x.agg(
+        F.count("*").alias("n"), F.count_if("_first").alias("ids"), F.countDistinct("date").alias("dates"), F.count_if(F.col("close").isNull()).alias("missing"), F.count_if(F.col("close") <= 0).alias("not_positive"), F.count_if(F.col("_r") > jump).alias("jumps"),
+        F.count_if("_again").alias("repeated_keys"),
+    )
 
 
 def upserted(old: DataFrame, new: DataFrame, keys: list[str], keep_old_on_null: bool = True) -> DataFrame:

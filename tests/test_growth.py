@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quantloom import catalogue, queries_models
 from quantloom.functions import frames
 from quantloom.functions.order import quantiles
-from quantloom.operators import construction, diagnostics, factor_risk, feature_review, features, gates, intervals, ledgers, styles
+from quantloom.operators import construction, diagnostics, factor_risk, feature_review, features, gates, intervals, ledgers, panel, styles
 
 
 def plan(df):
@@ -214,3 +214,12 @@ def test_models_compute_the_panel_once(spark, monkeypatch):
     monkeypatch.setattr(queries_models, "written", lambda df, label: calls.append(label) or df)
     catalogue.queries()["model_heads"](spark, "/root/testdata/sf0.001")
     assert calls == ["panel"]
+
+
+def test_quality_sorts_once_and_counts_repeated_keys(spark):
+    d = [pd.Timestamp(2020, 1, k).date() for k in range(1, 6)] + [None]
+    rows = [(i, day, c) for i, day, c in [(1, d[0], 1.0), (1, d[1], 2.0), (1, d[1], 2.0), (1, d[1], 2.0), (1, d[3], None), (2, d[0], -1.0), (2, d[4], 0.0), (2, d[4], 5.0), (None, d[2], 1.0), (None, d[2], 1.0), (3, d[5], 1.0), (3, d[5], 1.0), (3, d[0], 1.0)]]
+    out = panel.quality(spark.createDataFrame(rows, "id long, date date, close double"))
+    assert "Expand" not in plan(out) and "Join" not in plan(out) and plan(out).count("Window ") == 1
+    r = out.first()
+    assert (r.n, r.ids, r.dates, r.missing, r.not_positive, r.repeated_keys) == (13, 3, 5, 1, 2, 4)
