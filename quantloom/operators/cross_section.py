@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +46,26 @@ def top_bottom(df: DataFrame, x: str, k: int, by: str = "date", key: str = "id")
     return df.where((F.col("from_top") <= k) | (F.col("from_bottom") <= k))
 
 
+def best_by_score(df: DataFrame, scores: list[str], k: int, keep: list[str], by: str = "date", key: str = "id", name: str = "score") -> DataFrame:
+    """The k highest rows of each date for each score, with equal weights; ties by key. Columns `name` (the score's name), `by`, `key`, `keep` and `weight`.
+
+    Rows are not repeated for each score: one shuffle by date, and a task holds one date's names."""
+    columns = [by, key, *keep]
+
+    def one(t: pa.Table) -> pa.Table:
+        t, out = t.take(pc.sort_indices(t, sort_keys=[(key, "ascending")], null_placement="at_start")), []
+        for score in scores:
+            there = np.flatnonzero(t.column(score).is_valid().to_numpy())
+            at = there[R.largest_first(t.column(score).to_numpy()[there])[:k]]
+            rows = t.take(pa.array(at, pa.int64())).select(columns)
+            out.append(rows.add_column(0, name, pa.array([score] * len(at), pa.string())).append_column("weight", pa.array([1.0 / max(len(at), 1)] * len(at), pa.float64())))
+        return pa.concat_tables(out)
+
+    x = df.select(*columns, *(F.col(c).cast("double").alias(c) for c in scores))
+    kept = ", ".join(f"`{c}` {x.schema[c].dataType.simpleString()}" for c in columns)
+    return x.groupBy(by).applyInArrow(one, f"`{name}` string, {kept}, weight double")
+
+
 def capped_weights(df: DataFrame, score: str, cap: float, by: str = "date", key: str = "id") -> DataFrame:
     """Weights proportional to positive scores, none above `cap`, excess to the rest by score.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.functions import rolling as R
@@ -13,32 +13,42 @@ DECAY = {"ic": 0.02, "spread": 0.005, "wins": 0.8}
 INF = float("inf")
 
 
-def stability(folds: DataFrame, metric: str, name: str, key: str = "experiment") -> DataFrame:
-    """Per experiment 0 to 100: variation over folds (half), worst against median fold (30 %), longest run below the median (20 %); columns `name`, and its variation and worst fold."""
-    x = folds.where(F.col(metric).isNotNull()).select(key, "fold", F.col(metric).alias("x"))
-    every, order = Window.partitionBy(key), Window.partitionBy(key).orderBy("fold")
-    x = x.withColumn("_mid", F.median("x").over(every)).withColumn("_low", F.col("x") < F.col("_mid"))
-    x = x.withColumn("_run", F.row_number().over(order) - F.row_number().over(Window.partitionBy(key, "_low").orderBy("fold")))
-    runs = x.where("_low").groupBy(key, "_run").agg(F.count("*").alias("_c")).groupBy(key).agg(F.max("_c").alias("_long"))
-    g = x.groupBy(key).agg(F.avg("x").alias("_m"), F.stddev_pop("x").alias("_s"), F.min("x").alias("_w"), F.max("_mid").alias("_d"), F.count("*").alias("_n")).join(runs, key, "left")
+def _folds_of(metric: str) -> list[Column]:
+    """Aggregates over the folds of one experiment that `_stability` reads: moments, median and the folds in order."""
+    x = F.col(metric)
+    listed = F.array_sort(F.collect_list(F.when(x.isNotNull(), F.struct("fold", x.alias("x")))))
+    return [f.alias(f"_{metric}_{n}") for n, f in {"m": F.avg(x), "s": F.stddev_pop(x), "w": F.min(x), "d": F.median(x), "n": F.count(x), "x": listed}.items()]
+
+
+def _stability(metric: str, name: str) -> list[Column]:
+    """Columns `name`, its variation and its worst fold from the aggregates of `_folds_of`."""
+    m, s, w, d, n, listed = (F.col(f"_{metric}_{c}") for c in "mswdnx")
     ramp = lambda v: R.clip((0.5 - v) / 0.4 * 100, 0.0, 100.0)
-    cv = F.when(F.abs("_m") > 1e-12, F.col("_s") / F.abs("_m")).otherwise(F.lit(INF))
-    ratio = R.ratio(F.col("_w"), F.col("_d"))
-    worst = F.when(F.col("_d") == 0, 50.0).otherwise(R.clip(ratio / 0.8 * 100, 0.0, 100.0))
-    run = F.when(F.col("_n") <= 1, 100.0).otherwise(ramp(F.coalesce("_long", F.lit(0)) / F.col("_n")))
-    return g.select(key, (0.5 * ramp(F.least(cv, F.lit(1e6))) + 0.3 * worst + 0.2 * run).alias(name), cv.alias(f"{name}_cv"), F.col("_w").alias(f"{name}_worst"))
+    step = lambda a, f: F.struct(F.when(f["x"] < d, a["run"] + 1).otherwise(0).alias("run"), F.greatest(a["long"], F.when(f["x"] < d, a["run"] + 1).otherwise(0)).alias("long"))
+    longest = F.aggregate(listed, F.struct(F.lit(0).alias("run"), F.lit(0).alias("long")), step)["long"]
+    cv = F.when(F.abs(m) > 1e-12, s / F.abs(m)).otherwise(F.lit(INF))
+    worst = F.when(d == 0, 50.0).otherwise(R.clip(R.ratio(w, d) / 0.8 * 100, 0.0, 100.0))
+    run = F.when(n <= 1, 100.0).otherwise(ramp(longest / n))
+    return [(0.5 * ramp(F.least(cv, F.lit(1e6))) + 0.3 * worst + 0.2 * run).alias(name), cv.alias(f"{name}_cv"), w.alias(f"{name}_worst")]
+
+
+def stability(folds: DataFrame, metric: str, name: str, key: str = "experiment") -> DataFrame:
+    """Per experiment 0 to 100: variation over folds (half), worst against median fold (30 %), longest run below the median (20 %); columns `name`, and its variation and worst fold. One aggregate; an experiment's folds are a few values."""
+    return folds.groupBy(key).agg(*_folds_of(metric)).where(F.col(f"_{metric}_n") > 0).select(key, *_stability(metric, name))
 
 
 def summaries(folds: DataFrame, key: str = "experiment") -> DataFrame:
-    """One row per experiment from its folds (ic, spread, val_ic, val_spread, gross, net, max_drawdown, turnover): means, stability of information and of net return, share of positive folds, decays from validation to test and their flags."""
+    """One row per experiment from its folds (ic, spread, val_ic, val_spread, gross, net, max_drawdown, turnover): means, stability of information and of net return, share of positive folds, decays from validation to test and their flags. All of it is one aggregate."""
     c = F.col
     won = (c("val_ic") + c("val_spread") > c("ic") + c("spread")).cast("int")
-    g = folds.groupBy(key).agg(
-        F.count("*").alias("folds"), *(F.avg(x).alias(x) for x in ("ic", "spread", "gross", "net", "turnover")), F.max("max_drawdown").alias("max_drawdown"), F.avg((c("ic") > 0).cast("int")).alias("positive"),
-        F.avg(c("val_ic") - c("ic")).alias("ic_decay"), F.avg(c("val_spread") - c("spread")).alias("spread_decay"), F.avg(won).alias("val_wins"),
+    means = ("ic", "spread", "gross", "net", "turnover")
+    g = folds.where(c(key).isNotNull()).groupBy(key).agg(
+        F.count("*").alias("folds"), *(F.avg(x).alias(x) for x in means), F.max("max_drawdown").alias("max_drawdown"), F.avg((c("ic") > 0).cast("int")).alias("positive"),
+        F.avg(c("val_ic") - c("ic")).alias("ic_decay"), F.avg(c("val_spread") - c("spread")).alias("spread_decay"), F.avg(won).alias("val_wins"), *_folds_of("ic"), *_folds_of("net"),
     )
-    g = g.withColumn("flag_ic", c("ic_decay") > DECAY["ic"]).withColumn("flag_spread", c("spread_decay") > DECAY["spread"]).withColumn("flag_val", c("val_wins") > DECAY["wins"])
-    return g.join(stability(folds, "ic", "stability", key), key).join(stability(folds, "net", "net_stability", key), key)
+    flags = [(c("ic_decay") > DECAY["ic"]).alias("flag_ic"), (c("spread_decay") > DECAY["spread"]).alias("flag_spread"), (c("val_wins") > DECAY["wins"]).alias("flag_val")]
+    own = (key, "folds", *means, "max_drawdown", "positive", "ic_decay", "spread_decay", "val_wins")
+    return g.where("_ic_n > 0 and _net_n > 0").select(*own, *flags, *_stability("ic", "stability"), *_stability("net", "net_stability"))
 
 
 def _beside(summary: DataFrame, baseline: str, key: str) -> DataFrame:
@@ -51,11 +61,11 @@ def compared(folds: DataFrame, baseline: str, key: str = "experiment") -> DataFr
     c = F.col
     b = folds.where(c(key) == baseline).select("fold", c("ic").alias("_ic"), c("net").alias("_net"))
     x = folds.where(c(key) != baseline).join(b, "fold").withColumn("_d", F.round(c("net") - c("_net"), 12)).withColumn("_i0", F.round(c("ic") - c("_ic"), 12))  # equal folds differ by rounding alone
-    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_d")))
-    x = x.withColumn("_up", F.when(c("_d") > 0, c("_d"))).withColumn("_i", place)
+    x = x.withColumn("_up", F.when(c("_d") > 0, c("_d")))
+    best = F.aggregate(F.slice(F.sort_array(F.collect_list("_up"), asc=False), 1, 2), F.lit(0.0), lambda a, b: a + b)
     by = x.groupBy(key).agg(
         F.count("*").alias("aligned"), F.avg(c("ic") - c("_ic")).alias("ic_delta"), F.count_if(c("_i0") > 0).alias("ic_wins"), F.avg("_d").alias("net_delta"), F.count_if(c("_d") > 0).alias("net_wins"), F.sum("_d").alias("_t"),
-        F.coalesce(R.ratio(F.sum(F.when(c("_i") <= 2, c("_up"))), F.sum("_up")), F.lit(0.0)).alias("top2_share"),
+        F.coalesce(R.ratio(best, F.sum("_up")), F.lit(0.0)).alias("top2_share"),
     )
     few = (c("_t") > 0) & ((c("net_wins") / c("aligned") < 0.4) | (c("net_wins") <= 2) & (c("aligned") >= 5) | (c("top2_share") >= 0.65))
     y = _beside(summaries(folds, key), baseline, key).join(by, key).withColumn("_few", few)

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quantloom.functions import rolling as R
-from quantloom.operators import evaluation, experiments, feature_review
+from quantloom.operators import cross_section, evaluation, experiments, feature_review
 from quantloom.queries import BARS, FWD, WEIGHTS, _portfolio, _rounded, query
 from quantloom.queries_portfolio import _SERIES
 from quantloom.sources import market
@@ -39,15 +39,13 @@ def _folds(spark, d):
     h = Window.partitionBy("id").orderBy("date")
     bars = market.bars(spark, d)
     x = bars.select("id", "date", *(F.round(R.ratio(F.col("close"), F.lag("close", n).over(h)) - 1, 9).alias(k) for k, n in _SIGNALS.items()), (R.ratio(F.lead("close", 2).over(h), F.lead("close", 1).over(h)) - 1).alias("fwd1")).where("fwd1 is not null")
+    x = x.repartition("date")  # one shuffle of the panel serves the metrics and the portfolios
     half = F.year("date") * 2 + (F.month("date") > 6).cast("int")
     m = feature_review.fold_metrics(x.withColumn("half", half), list(_SIGNALS), "fwd1", fold="half", top=5).select(F.col("feature").alias("experiment"), F.floor(F.col("fold") / 2).cast("int").alias("fold"), (F.col("fold") % 2).alias("_test"), "rank_ic", "spread", "dates").where("dates > 0")
-    v = m.where("_test = 0").select("experiment", "fold", F.col("rank_ic").alias("val_ic"), F.col("spread").alias("val_spread"))
-    m = m.where("_test = 1").select("experiment", "fold", F.col("rank_ic").alias("ic"), "spread").join(v, ["experiment", "fold"])
-    both = F.array(*(F.struct(F.lit(k).alias("experiment"), F.col(k).alias("x")) for k in _SIGNALS))
+    of = lambda test, c: F.max(F.when(F.col("_test") == test, F.col(c)))  # noqa: E731  one row a half
+    m = m.groupBy("experiment", "fold").agg(of(1, "rank_ic").alias("ic"), of(1, "spread").alias("spread"), of(0, "rank_ic").alias("val_ic"), of(0, "spread").alias("val_spread")).where("ic is not null and val_ic is not null")
     days = market.calendar(spark, d).select("date", F.col("seq").alias("d"))
-    r = x.select("id", "date", "fwd1", F.inline(both)).where("x is not null").join(days, "date")
-    day = Window.partitionBy("experiment", "date")
-    r = r.withColumn("_i", F.row_number().over(day.orderBy(F.desc("x"), "id"))).withColumn("_n", F.count("*").over(day)).where("_i <= 5 and _n >= 1").withColumn("w", 1 / F.count("*").over(day))
+    r = cross_section.best_by_score(x, list(_SIGNALS), 5, ["fwd1"], name="experiment").withColumnRenamed("weight", "w").join(days, "date")
     name = Window.partitionBy("experiment", "id").orderBy("d")
     bought = F.abs(F.col("w") - F.when(F.lag("d").over(name) == F.col("d") - 1, F.lag("w").over(name)).otherwise(0.0))
     sold = F.when(F.lead("d").over(name) == F.col("d") + 1, 0.0).otherwise(F.col("w"))

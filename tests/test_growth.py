@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quantloom import catalogue, queries_models
 from quantloom.functions import frames
 from quantloom.functions.order import quantiles
-from quantloom.operators import construction, diagnostics, factor_risk, feature_review, features, gates, intervals, ledgers, panel, styles
+from quantloom.operators import construction, cross_section, diagnostics, experiments, factor_risk, feature_review, features, gates, intervals, ledgers, panel, styles
 
 
 def plan(df):
@@ -223,3 +223,38 @@ def test_quality_sorts_once_and_counts_repeated_keys(spark):
     assert "Expand" not in plan(out) and "Join" not in plan(out) and plan(out).count("Window ") == 1
     r = out.first()
     assert (r.n, r.ids, r.dates, r.missing, r.not_positive, r.repeated_keys) == (13, 3, 5, 1, 2, 4)
+
+
+def test_experiments_are_summed_up_in_one_aggregate(spark):
+    ic = {"a": [0.1, 0.3, 0.05, 0.02, 0.2, None], "b": [0.2, -0.1, 0.2, 0.1, 0.1, 0.1], "c": [None] * 6, None: [1.0] * 6}
+    rows = [(k, 2000 + i, v, 0.1, 0.2, 0.1, 0.0, 0.01 * (i + 1), 0.1, 0.3) for k, x in ic.items() for i, v in enumerate(x)]
+    random.Random(1).shuffle(rows)
+    folds = spark.createDataFrame(rows, "experiment string, fold int, ic double, spread double, val_ic double, val_spread double, gross double, net double, max_drawdown double, turnover double")
+    out = experiments.summaries(folds)
+    assert "Window" not in plan(out) and "Join" not in plan(out)
+    got = {r.experiment: r for r in out.collect()}
+    assert set(got) == {"a", "b"}  # no information of c, no name of the last
+    for k, long in (("a", 2), ("b", 1)):
+        x = [v for v in ic[k] if v is not None]
+        m, mid = np.mean(x), np.median(x)
+        cv = np.std(x) / abs(m)
+        ramp = lambda v: min(100.0, max(0.0, (0.5 - v) / 0.4 * 100))
+        want = 0.5 * ramp(cv) + 0.3 * min(100.0, max(0.0, min(x) / mid / 0.8 * 100)) + 0.2 * ramp(long / len(x))
+        assert got[k].folds == 6 and math.isclose(got[k].stability, want) and math.isclose(got[k].stability_cv, cv) and got[k].stability_worst == min(x)
+    assert {r.experiment: r.s for r in experiments.stability(folds, "ic", "s").where("experiment is not null").collect()} == {k: got[k].stability for k in got}
+    assert "Window" not in plan(experiments.compared(folds, "b"))
+
+
+def test_best_by_score_repeats_no_row_for_a_score(spark):
+    rnd, nan = random.Random(6), float("nan")
+    rows = [(rnd.choice([None, *range(40)]) if i % 9 == 0 else 100 + i, pd.Timestamp(2020, 1, 1 + i % 3).date(), rnd.choice([None, nan, 1.0, 2.0, rnd.random()]), None if i % 3 == 1 else float(rnd.randint(0, 3)), float(i)) for i in range(60)]
+    rows += [(1, pd.Timestamp(2020, 2, 1).date(), None, 5.0, 1.0)]
+    df = spark.createDataFrame(rows, "id long, date date, x double, z double, y double")
+    out = cross_section.best_by_score(df, ["x", "z"], 4, ["y"])
+    assert "Generate" not in plan(out) and "Window" not in plan(out) and plan(out).count("FlatMapGroupsInArrow") == 1
+    want = {}
+    for at, score in ((2, "x"), (3, "z")):
+        for date in {r[1] for r in rows}:
+            names = sorted((r for r in rows if r[1] == date and r[at] is not None), key=lambda r: (not math.isnan(r[at]), -r[at] if not math.isnan(r[at]) else 0.0, r[0] is not None, r[0] or 0))[:4]
+            want |= {(score, date, r[4]): 1 / len(names) for r in names}
+    assert {(r.score, r.date, r.y): r.weight for r in out.collect()} == want
