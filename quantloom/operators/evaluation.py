@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,12 +29,19 @@ def spread(df: DataFrame, signal: str, label: str, k: int) -> DataFrame:
 
 
 def signal_summary(df: DataFrame, signal: str, label: str, k: int = 5, least: int = 5) -> DataFrame:
-    """One row: dates, mean rank IC, IC over its population deviation, mean spread, mean hit rate. Ranks and places of a date come from one shuffle by date."""
-    x = df.where(F.col(signal).isNotNull() & F.col(label).isNotNull()).select("date", "id", signal, label)
-    d = Window.partitionBy("date")
-    x = x.withColumns({"_a": R.average_rank(signal, ["date"]), "_up": F.row_number().over(d.orderBy(F.asc(signal), "id")), "_down": F.row_number().over(d.orderBy(F.desc(signal), "id")), "_b": R.average_rank(label, ["date"])})
-    top, bottom = (F.when(F.col(c) <= k, F.col(label)) for c in ("_down", "_up"))
-    daily = x.groupBy("date").agg(F.count("*").alias("_n"), R.correlation("_a", "_b").alias("ic"), (F.avg(top) - F.avg(bottom)).alias("spread"), F.avg(F.when(F.col("_down") <= k, (F.col(label) > 0).cast("int"))).alias("hit_rate")).where(F.col("_n") >= least)
+    """One row: dates, mean rank IC, IC over its population deviation, mean spread, mean hit rate. One shuffle by date; a task holds one date's names and gives a row a date."""
+
+    def one(t: pa.Table) -> pa.Table:
+        t = t.take(pc.sort_indices(t, sort_keys=[("id", "ascending")], null_placement="at_start"))
+        x, y = (t.column(c).to_numpy() for c in ("x", "y"))
+        up = np.argsort(x, kind="stable")[:k]
+        down = R.largest_first(x)[:k]
+        hits = (y[down] > 0) | np.isnan(y[down])  # NaN is the largest, as in Spark
+        row = {"date": t.column("date")[:1], "n": [t.num_rows], "ic": pa.array([R.correlation_of(R.average_ranks(x), R.average_ranks(y))], pa.float64()), "spread": [float(y[down].mean() - y[up].mean())], "hit_rate": [float(hits.mean())]}
+        return pa.table(row)
+
+    x = df.where(F.col(signal).isNotNull() & F.col(label).isNotNull()).select("date", "id", F.col(signal).cast("double").alias("x"), F.col(label).cast("double").alias("y"))
+    daily = x.groupBy("date").applyInArrow(one, f"date {x.schema['date'].dataType.simpleString()}, n long, ic double, spread double, hit_rate double").where(F.col("n") >= least)
     return daily.agg(F.count("ic").alias("dates"), F.avg("ic").alias("ic_mean"), R.ratio(F.avg("ic"), F.stddev_pop("ic")).alias("ic_ir"), F.avg("spread").alias("spread_mean"), F.avg("hit_rate").alias("hit_rate"))
 
 

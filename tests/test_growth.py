@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quantloom import catalogue, queries_models
 from quantloom.functions import frames
 from quantloom.functions.order import quantiles
-from quantloom.operators import construction, cross_section, diagnostics, experiments, factor_risk, feature_review, features, gates, intervals, ledgers, panel, styles
+from quantloom.operators import construction, cross_section, diagnostics, evaluation, experiments, factor_risk, feature_review, features, gates, intervals, ledgers, panel, styles
 
 
 def plan(df):
@@ -258,3 +258,24 @@ def test_best_by_score_repeats_no_row_for_a_score(spark):
             names = sorted((r for r in rows if r[1] == date and r[at] is not None), key=lambda r: (not math.isnan(r[at]), -r[at] if not math.isnan(r[at]) else 0.0, r[0] is not None, r[0] or 0))[:4]
             want |= {(score, date, r[4]): 1 / len(names) for r in names}
     assert {(r.score, r.date, r.y): r.weight for r in out.collect()} == want
+
+
+def test_signal_summary_sorts_a_date_once(spark):
+    rnd, nan = random.Random(8), float("nan")
+    rows = [(i, pd.Timestamp(2020, 1, 1 + t).date(), rnd.choice([None, nan, 1.0, 2.0, rnd.random()]) if t < 4 else 3.0, rnd.choice([None, 0.0, 0.5, rnd.random() - 0.5])) for t in range(6) for i in range(30 if t else 3)]
+    random.Random(2).shuffle(rows)
+    out = evaluation.signal_summary(spark.createDataFrame(rows, "id long, date date, x double, y double"), "x", "y", 4)
+    assert "Window" not in plan(out) and plan(out).count("FlatMapGroupsInArrow") == 1
+    ics, spreads, hits = [], [], []
+    for date in {r[1] for r in rows}:
+        day = sorted((math.inf if math.isnan(r[2]) else r[2], r[0], r[3]) for r in rows if r[1] == date and r[2] is not None and r[3] is not None)
+        if len(day) < 5:
+            continue
+        best = [y for _, _, y in sorted(day, key=lambda r: (-r[0], r[1]))[:4]]
+        spreads.append(np.mean(best) - np.mean([y for _, _, y in day[:4]])), hits.append(np.mean([y > 0 for y in best]))
+        a, b = pd.Series([r[0] for r in day]).rank(), pd.Series([r[2] for r in day]).rank()
+        if a.nunique() > 1 and b.nunique() > 1:
+            ics.append(a.corr(b))
+    r = out.first()
+    assert r.dates == len(ics) < len(spreads) and all(math.isclose(g, w, abs_tol=1e-12) for g, w in ((r.ic_mean, np.mean(ics)), (r.ic_ir, np.mean(ics) / np.std(ics)), (r.spread_mean, np.mean(spreads)), (r.hit_rate, np.mean(hits))))
+    assert evaluation.signal_summary(spark.createDataFrame([], "id long, date date, x double, y double"), "x", "y").first().dates == 0
