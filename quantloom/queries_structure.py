@@ -159,7 +159,7 @@ def active_instruments(spark, d):
 def incremental_bars(spark, d):
     """A first load of the older half of each instrument's bars, then twice a feed of all bars at doubled prices: only what follows an instrument's own last date is added, and once."""
     path = fresh_path(spark, "bars")
-    bars = market.bars(spark, d).select("id", "date", "close")
+    bars = written(market.bars(spark, d).select("id", "date", "close"), "bars")  # the source of all deliveries
     older = bars.withColumn("_i", F.row_number().over(Window.partitionBy("id").orderBy("date"))).withColumn("_n", F.count("*").over(Window.partitionBy("id"))).where(F.col("_i") <= F.floor(F.col("_n") / 2)).drop("_i", "_n")
     feed = bars.withColumn("close", F.col("close") * 2)
     for number, batch in enumerate((older, feed, feed)):

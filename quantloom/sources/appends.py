@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -28,8 +28,28 @@ def appended(spark: SparkSession, path: str) -> DataFrame:
     return rows.drop("batch")
 
 
+def unseen(batch: DataFrame, marks: DataFrame | None, keys: list[str], order: str, key: str = "id") -> DataFrame:
+    """Rows of a batch at or after the newest mark of their instrument, one per instrument and `keys`, without keys that have that mark.
+
+    Marks are sorted in among the rows, so one shuffle and one sort by
+    instrument find its newest mark, the rows behind it and repeated keys. Null
+    keys are equal; of rows that repeat a key, the one of the newest `order` is
+    taken."""
+    both = batch.withColumn("_old", F.lit(False))
+    rest = [k for k in keys if k != key]
+    first = [F.desc("_old"), *([] if order in keys else [F.desc(order)])]
+    if marks is not None:
+        value = lambda f: F.col("_mark") if f.name == order else F.col(f.name) if f.name in (key, *keys) else F.lit(None).cast(f.dataType)
+        both = both.unionByName(marks.select(*(value(f).alias(f.name) for f in batch.schema), F.lit(True).alias("_old")))
+        whole = Window.partitionBy(key).orderBy(*rest, *first).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        both = both.withColumn("_last", F.max(F.when(F.col("_old"), F.col(order))).over(whole))
+        both = both.where(F.when(F.col("_old"), F.col(order) == F.col("_last")).otherwise(F.col("_last").isNull() | (F.col(order) >= F.col("_last")))).drop("_last")
+    same = Window.partitionBy(key, *rest).orderBy(*first)  # in the order of the window before; marks come before rows
+    return both.withColumn("_place", F.row_number().over(same)).where("_place = 1 and not _old").drop("_place", "_old")
+
+
 def append_batch(batch: DataFrame, number: int, path: str, keys: list[str], order: str, key: str = "id") -> None:
-    """Append to the table in `path` the rows of each instrument after its own last `order` value, one per `keys`; for foreachBatch with its batch id.
+    """Append to the table in `path` the rows of each instrument after its own last `order` value, one per instrument and `keys`; for foreachBatch with its batch id.
 
     A batch writes its rows, then its marks (per instrument the newest value and
     the keys that have it), then its record. One with a record is not written
@@ -41,12 +61,7 @@ def append_batch(batch: DataFrame, number: int, path: str, keys: list[str], orde
     done = _read(spark, f"{path}/commits")
     if done is not None and not done.where(F.col("batch") == number).isEmpty():
         return
-    new = batch.dropDuplicates(keys)
-    marks = _committed(spark, path, "marks")
-    if marks is not None:
-        last = marks.groupBy(key).agg(F.max("_mark").alias("_last"))
-        newest = marks.join(last, key).where(F.col("_mark") == F.col("_last")).select(*keys).distinct()
-        new = new.join(last, key, "left").where(F.col("_last").isNull() | (F.col(order) >= F.col("_last"))).drop("_last").join(newest, keys, "left_anti")
+    new = unseen(batch, _committed(spark, path, "marks"), keys, order, key)
     folder = f"batch={number}"
     new.write.mode("overwrite").parquet(f"{path}/rows/{folder}")
     own = spark.read.schema(new.schema).parquet(f"{path}/rows/{folder}")

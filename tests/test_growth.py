@@ -14,6 +14,7 @@ from quantloom import catalogue, queries_models
 from quantloom.functions import frames
 from quantloom.functions.order import quantiles
 from quantloom.operators import construction, cross_section, diagnostics, evaluation, experiments, factor_risk, feature_review, features, gates, intervals, ledgers, panel, styles
+from quantloom.sources import appends
 
 
 def plan(df):
@@ -279,3 +280,18 @@ def test_signal_summary_sorts_a_date_once(spark):
     r = out.first()
     assert r.dates == len(ics) < len(spreads) and all(math.isclose(g, w, abs_tol=1e-12) for g, w in ((r.ic_mean, np.mean(ics)), (r.ic_ir, np.mean(ics) / np.std(ics)), (r.spread_mean, np.mean(spreads)), (r.hit_rate, np.mean(hits))))
     assert evaluation.signal_summary(spark.createDataFrame([], "id long, date date, x double, y double"), "x", "y").first().dates == 0
+
+
+def test_unseen_rows_come_from_one_sort_by_instrument(spark, tmp_path):
+    day = lambda k: pd.Timestamp(2020, 1, 1 + k).date() if k is not None else None
+    df = lambda rows: spark.createDataFrame([(i, day(d), v, w) for i, d, v, w in rows], "id long, date date, v string, w double")
+    marks = spark.createDataFrame([(1, day(3), "a", day(3)), (1, day(3), None, day(3)), (1, day(1), "b", day(1)), (2, day(5), "a", day(5))], "id long, date date, v string, _mark date")
+    rows = [(1, 3, "a", 1.0), (1, 3, None, 2.0), (1, 3, "c", 3.0), (1, 2, "z", 4.0), (1, None, "z", 5.0), (1, 4, "a", 6.0), (1, 4, "a", 6.0), (2, 4, "q", 7.0), (3, None, None, 8.0), (3, None, None, 8.0), (None, 1, "x", 9.0), (1, 1, "b", 10.0)]
+    new = appends.unseen(df(rows), marks, ["id", "date", "v"], "date")
+    assert "Join" not in plan(new) and "Aggregate" not in plan(new) and plan(new).count("Exchange") == plan(new).count("Sort [") == 1
+    assert new.columns == ["id", "date", "v", "w"] and sorted(r.w for r in new.collect()) == [3.0, 6.0, 8.0, 9.0]
+    assert [r.w for r in appends.unseen(df([(1, 1, "k", 1.0), (1, 3, "k", 3.0), (1, 2, "k", 2.0)]), None, ["id", "v"], "date").collect()] == [3.0]  # the newest of a key
+    path = str(tmp_path / "table")
+    for number in range(2):  # a null in a key is no new key
+        appends.append_batch(df([(1, 3, None, 1.0), (1, 3, "a", 2.0)]), number, path, ["id", "date", "v"], "date")
+    assert sorted(r.w for r in appends.appended(spark, path).collect()) == [1.0, 2.0]
